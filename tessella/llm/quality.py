@@ -20,8 +20,8 @@ CLOSED = r"[.!?:;…。！？][\"'»”’)\]]*\s*$"
 NAVIGATION = r"(?i)(\S\s*[|»›>•·]\s*\S.*[|»›>•·])|^\s*(home|menu|login|log in|sign in|sign up|next|previous|back to top|skip to content|share|tweet)\s*$"
 #: Phrases of notices and footers.
 BOILERPLATE = r"(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|accept (all )?cookies|enable javascript|copyright (©|\(c\))|subscribe to our newsletter|click here to)"
-#: Every word of the line carries the same kind of attached symbols.
-NOISE = r"(###|\*\*\*|\$\$\$|%%%|&&&|!!)(\s|$)"
+#: A word that ends in a run of symbols.
+NOISE = r"[#*$%&!|<>~^=_]{2,}(\s|$)"
 
 
 def words_of(text: Column) -> Column:

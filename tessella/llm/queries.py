@@ -16,6 +16,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import merkle
+
+    compared = merkle.compare_with_edit(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return compared.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import packing
 
@@ -37,6 +44,13 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(docs, tokenizer("byte_bpe_50k.json")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import simhash
+
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import token_counts
 
@@ -44,6 +58,6 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizer("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_quality_rules, op5_bpe, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_merkle_fingerprints, op3_packing, op4_quality_rules, op5_bpe, op7_simhash, op8_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
