@@ -58,6 +58,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizer("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op2_merkle_fingerprints, op3_packing, op4_quality_rules, op5_bpe, op7_simhash, op8_token_counts)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import lines
+
+    out = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_equal", "n_similar", "first_docs", F.length("text").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_merkle_fingerprints, op3_packing, op4_quality_rules, op5_bpe, op7_simhash, op8_token_counts, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
