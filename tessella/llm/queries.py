@@ -16,6 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import html
+
+    return html.extract_pages(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import merkle
 
@@ -44,6 +50,13 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(docs, tokenizer("byte_bpe_50k.json")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import secrets
+
+    found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), secrets.train(spark))
+    return found.select("doc_id", "n_candidates", F.size("secrets").alias("n_secrets"), "secrets", F.sha2("redacted_text", 256).alias("redacted_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import simhash
 
@@ -58,6 +71,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizer("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import chat
+
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import lines
 
@@ -65,6 +84,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_equal", "n_similar", "first_docs", F.length("text").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_merkle_fingerprints, op3_packing, op4_quality_rules, op5_bpe, op7_simhash, op8_token_counts, op10_line_dedup)}
+_ALL = (op1_main_text, op2_merkle_fingerprints, op3_packing, op4_quality_rules, op5_bpe, op6_secret_scan, op7_simhash, op8_token_counts, op9_chat_format, op10_line_dedup)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {}
