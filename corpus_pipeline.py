@@ -1,8 +1,57 @@
-"""Documents to packed sequences, stage by stage; each stage's result is written as Parquet and read by the next."""
+"""Documents to packed sequences, stage by stage; each stage's result is written as Parquet and read by the next.
 
-STAGES: list = []
+Every stage but the last takes and returns the columns of documents; n_chars follows the text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm import lines, packing, quality, secrets, simhash
+from tessella.llm.queries import tokenizer
+from tessella.llm.scratch import written
+
+
+def _with_text(docs: DataFrame, out: DataFrame, text: str) -> DataFrame:
+    """out's rows with the columns of docs, text replaced."""
+    new = {"text": F.col(text)} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
+    return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line-first rules keep, without their failing lines."""
+    return _with_text(docs, quality.judge(docs.select(*docs.columns)).filter("kept"), "clean_text")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier document, or an earlier place, has; a document goes once no word is left."""
+    return _with_text(docs, lines.dedup_lines(docs).filter(F.col("text").rlike(quality.WORD)), "text")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near-duplicates."""
+    return simhash.keep_first(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a placeholder in place of each secret."""
+    return _with_text(docs, secrets.scan(docs, secrets.train(spark)), "redacted_text")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document in a sequence of at most 4096 tokens."""
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"))
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("SimHash near-dedup", near_dedup), ("secret scan", secret_scan), ("packing", pack)]
+
+#: The stages' forest, tokenizer and edit join have no SQL; tests/llm holds them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
