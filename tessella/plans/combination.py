@@ -1 +1,88 @@
-"""To be filled."""
+"""Combination of three daily signals, and models over them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.dsl import formula
+from tessella.operators import combine as K
+from tessella.operators import research as R
+from tessella.operators.metrics import correlation
+from tessella.plans.catalogue import add, round_sql, six
+from tessella.plans.evaluation import _THREE, _THREE_SQL, corr_sql
+from tessella.sources import panel as P
+
+NAMES = list(_THREE)
+_DAY = f"""{_THREE_SQL}, lb AS (SELECT security_id, bar_idx, lead(close_trade_px, 24) OVER (PARTITION BY security_id ORDER BY bar_idx) / nullif(close_trade_px, 0) - 1 AS resp FROM p),
+dd AS (SELECT date, security_id, avg(rev) AS rev, avg(mom) AS mom, avg(vol) AS vol, avg(resp) AS ret FROM s3 JOIN lb USING (security_id, bar_idx) GROUP BY 1, 2)"""
+_STATS = "si AS (" + " UNION ALL ".join(f"SELECT '{n}' AS factor, date, {corr_sql(n, 'ret')} AS ic FROM dd GROUP BY date" for n in NAMES) + "), st AS (SELECT factor, avg(ic) AS ic, stddev_samp(ic) AS std FROM si GROUP BY 1)"
+
+
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, security_id, rev, mom, vol, ret): means over each day's bars."""
+    bars = formula.evaluate(P.research_panel(spark, sf_dir), _THREE)
+    return bars.groupBy("date", "security_id").agg(*(F.avg(n).alias(n) for n in NAMES), F.avg("resp").alias("ret"))
+
+
+add("daily_feature_frame", lambda spark, d: six(daily(spark, d).na.fill(0.0, NAMES)), f"WITH {_DAY} SELECT date, security_id, {round_sql({n: f'coalesce({n}, 0)' for n in NAMES} | {'ret': 'ret'})} FROM dd")
+add("factor_ic_stats", lambda spark, d: six(R.factor_stats(daily(spark, d), NAMES)), f"WITH {_DAY}, {_STATS} SELECT factor, {round_sql({'ic': 'ic', 'std': 'std', 'icir': 'ic / nullif(std, 0)', 'sign': 'CAST(sign(ic) AS DOUBLE)', 'abs_ic': 'abs(ic)'})} FROM st")
+
+
+def _stats(days: DataFrame) -> dict[str, dict[str, float]]:
+    rows = {r.factor: r.asDict() for r in R.factor_stats(days, NAMES).collect()}  # one row a signal
+    return {n: rows[n] for n in NAMES}
+
+
+def _combo(scheme: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        days = daily(spark, sf_dir)
+        corr = K.pooled_correlations(days, NAMES) if scheme in ("ridge_shrink", "inverse_corr", "corr_pruned") else None
+        return six(K.blend(days, K.weights(scheme, _stats(days), corr)).select("date", "security_id", "combo"))
+
+    return query
+
+
+_W = {
+    "equal": "sign(ic)", "ic": "ic", "icir": "ic / nullif(std, 0)", "power": "sign(ic) * ic * ic", "inverse_vol": "sign(ic) / std",
+    "topk": "CASE WHEN row_number() OVER (ORDER BY abs(ic) DESC, factor) <= 2 THEN sign(ic) ELSE 0 END", "softmax": "sign(ic) * exp((abs(ic) - max(abs(ic)) OVER ()) / 0.05)",
+}
+for _s in ("equal", "ic", "icir", "topk", "softmax", "power", "inverse_vol", "ridge_shrink", "inverse_corr", "corr_pruned"):
+    _sql = None
+    if _s in _W:
+        _top = " + ".join(f"coalesce({n}, 0) * (SELECT w FROM wn WHERE factor = '{n}')" for n in NAMES)
+        _low = " + ".join(f"CASE WHEN {n} IS NOT NULL THEN abs((SELECT w FROM wn WHERE factor = '{n}')) ELSE 0 END" for n in NAMES)
+        _sql = f"WITH {_DAY}, {_STATS}, w0 AS (SELECT factor, {_W[_s]} AS w FROM st), wn AS (SELECT factor, w / (SELECT sum(abs(w)) FROM w0) AS w FROM w0) SELECT date, security_id, round(({_top}) / nullif({_low}, 0), 6) + 0.0 AS combo FROM dd"
+    add(f"combo_{_s}", _combo(_s), _sql)
+
+add("target_standardize", lambda spark, d: six(daily(spark, d).withColumn("target", K.standard_target(F.col("ret"))).select("date", "security_id", "target")), f"WITH {_DAY} SELECT date, security_id, round(coalesce(greatest(least((ret - avg(ret) OVER w) / nullif(stddev_samp(ret) OVER w, 0), 5), -5), 0), 6) + 0.0 AS target FROM dd WINDOW w AS (PARTITION BY date)")
+add("recency_weights", lambda spark, d: six(K.recency(daily(spark, d))), f"WITH {_DAY} SELECT date, round(0.75 + 0.5 * percent_rank() OVER (ORDER BY date), 6) + 0.0 AS weight FROM (SELECT DISTINCT date FROM dd)")
+add("lag_features", lambda spark, d: six(K.lag_features(daily(spark, d).select("date", "security_id", "rev"), ["rev"], 2)), f"WITH {_DAY} SELECT date, security_id, {round_sql({'rev': 'rev', 'rev__lag1': 'coalesce(lag(rev, 1) OVER w, 0)', 'rev__lag2': 'coalesce(lag(rev, 2) OVER w, 0)', 'rev__diff1': 'coalesce(rev - lag(rev, 1) OVER w, 0)', 'rev__mom2': 'coalesce(rev - lag(rev, 2) OVER w, 0)'})} FROM dd WINDOW w AS (PARTITION BY security_id ORDER BY date)")
+add("combo_turnover", lambda spark, d: six(_combo_turnover(daily(spark, d))), f"WITH {_DAY}, x AS (SELECT date, rev, abs(rev - lag(rev) OVER (PARTITION BY security_id ORDER BY date)) AS ch FROM dd) SELECT date, round(coalesce(sum(ch), 0) / nullif(sum(abs(rev)), 0) * 100, 6) + 0.0 AS tvr FROM x GROUP BY 1")
+
+
+def _combo_turnover(days: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    from tessella.functions.scalar import ratio
+
+    change = F.abs(F.col("rev") - F.lag("rev").over(Window.partitionBy("security_id").orderBy("date")))
+    return days.withColumn("_c", change).groupBy("date").agg((ratio(F.coalesce(F.sum("_c"), F.lit(0.0)), F.sum(F.abs("rev"))) * 100.0).alias("tvr"))
+
+
+add("model_input_correlation", lambda spark, d: six(daily(spark, d).agg(*(correlation(n, "ret").alias(n) for n in NAMES))), f"WITH {_DAY} SELECT {round_sql({n: corr_sql(n, 'ret') for n in NAMES})} FROM dd")
+
+
+def _oos(model: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        feats = [f"{n}{s}" for n in NAMES for s in ("", "__lag1", "__diff1")]
+        days = K.lag_features(daily(spark, sf_dir), NAMES).withColumn("target", K.standard_target(F.col("ret")))
+        cut = F.lit("2024-01-20").cast("date")
+        out = K.fit_predict(days.filter(F.col("date") <= cut), days.filter(F.col("date") > cut), feats, "target", model)
+        return six(out.select("date", "security_id", "pred", "ret"))
+
+    return query
+
+
+for _m in ("ridge", "forest", "boosted"):
+    add(f"{_m}_oos", _oos(_m))
