@@ -11,8 +11,9 @@ from tessella.operators.metrics import YEAR, correlation
 
 
 def daily_frame(signal: DataFrame, alpha: str = "alpha", resp: str = "resp") -> DataFrame:
-    """(date, security_id, pred, ret): means over a day's bars, rows with both."""
-    out = signal.groupBy("date", "security_id").agg(F.avg(alpha).alias("pred"), F.avg(resp).alias("ret"))
+    """(date, security_id, pred, ret): means over a day's bars, rows with both. Predictions equal to ten places are ties, so ranks
+    don't hang on the order of summation."""
+    out = signal.groupBy("date", "security_id").agg(F.round(F.avg(alpha), 10).alias("pred"), F.avg(resp).alias("ret"))
     return out.filter("pred is not null and ret is not null")
 
 

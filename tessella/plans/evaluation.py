@@ -62,7 +62,7 @@ def _score_sql(mode: str) -> str:
 for _mode in M.MODES:
     add(f"score_{_mode}", q(lambda s, m=_mode: M.evaluate(s, mode=m)), _score_sql(_mode))
 
-DAYS = "dy AS (SELECT date, security_id, avg(alpha) AS pred, avg(resp) AS ret FROM r GROUP BY 1, 2 HAVING avg(alpha) IS NOT NULL AND avg(resp) IS NOT NULL)"
+DAYS = "dy AS (SELECT date, security_id, round(avg(alpha), 10) AS pred, avg(resp) AS ret FROM r GROUP BY 1, 2 HAVING avg(alpha) IS NOT NULL AND avg(resp) IS NOT NULL)"
 BASK = "bk AS (SELECT *, least(greatest(1, floor(n * 0.2)), floor(n / 2)) AS size FROM (SELECT *, count(*) OVER (PARTITION BY date) AS n, row_number() OVER (PARTITION BY date ORDER BY pred, security_id) AS k FROM dy)), sd AS (SELECT *, CASE WHEN k <= size THEN -1 WHEN k > n - size THEN 1 ELSE 0 END AS side FROM bk)"
 PNL = "mv AS (SELECT date, weight * ret AS g, abs(weight - coalesce(lag(weight) OVER (PARTITION BY security_id ORDER BY date), 0)) AS d FROM wt), pl AS (SELECT date, sum(g) - {fee} * (sum(d) / 2) AS pnl, sum(d) / 2 AS turnover FROM mv GROUP BY 1)"
 LS = "wt AS (SELECT *, coalesce(side * 0.5 / nullif(size, 0), 0) AS weight FROM sd)"

@@ -17,23 +17,23 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LAB = "lab AS (SELECT doc_id, source, lang, CAST(n_chars AS DOUBLE) AS score, quality, toxic FROM documents JOIN labels USING (doc_id))"
-_ok = F.col("quality") == 1
-add("library_summary", lambda spark, d: six(L.summary(labelled(spark, d), "score", _ok)), f"WITH {_LAB} SELECT count(*) AS tested, CAST(sum(CAST(quality = 1 AS INT)) AS BIGINT) AS passing, {round_sql({'best': 'max(score)', 'avg_positive': 'avg(CASE WHEN score > 0 THEN score END)', 'pass_rate': 'avg(CAST(quality = 1 AS DOUBLE))'})} FROM lab")
-add("status_breakdown", lambda spark, d: labelled(spark, d).groupBy(F.when(_ok & (F.col("toxic") == 0), "pass").when(F.col("toxic") == 1, "toxic").otherwise("fail").alias("status")).agg(F.count("*").alias("n")), f"WITH {_LAB} SELECT CASE WHEN quality = 1 AND toxic = 0 THEN 'pass' WHEN toxic = 1 THEN 'toxic' ELSE 'fail' END AS status, count(*) AS n FROM lab GROUP BY 1")
-add("source_attribution", lambda spark, d: six(L.breakdown(labelled(spark, d), "source", _ok)), f"WITH {_LAB} SELECT source, count(*) AS tested, CAST(sum(CAST(quality = 1 AS INT)) AS BIGINT) AS passing, {round_sql({'pass_rate': 'avg(CAST(quality = 1 AS DOUBLE))', 'share': 'count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM lab)'})} FROM lab GROUP BY 1")
-add("generation_progress", lambda spark, d: six(labelled(spark, d).groupBy(F.floor(F.col("doc_id") / 100).alias("generation")).agg(F.count("*").alias("tested"), F.sum(_ok.cast("long")).alias("passing"), F.max("score").alias("best"))), f"WITH {_LAB} SELECT doc_id // 100 AS generation, count(*) AS tested, CAST(sum(CAST(quality = 1 AS INT)) AS BIGINT) AS passing, max(score) AS best FROM lab GROUP BY 1")
+_ok = lambda: F.col("quality") == 1  # noqa: E731  columns need a running session
+add("library_summary", lambda spark, d: six(L.summary(labelled(spark, d), "score", _ok())), f"WITH {_LAB} SELECT count(*) AS tested, CAST(sum(CAST(quality = 1 AS INT)) AS BIGINT) AS passing, {round_sql({'best': 'max(score)', 'avg_positive': 'avg(CASE WHEN score > 0 THEN score END)', 'pass_rate': 'avg(CAST(quality = 1 AS DOUBLE))'})} FROM lab")
+add("status_breakdown", lambda spark, d: labelled(spark, d).groupBy(F.when(_ok() & (F.col("toxic") == 0), "pass").when(F.col("toxic") == 1, "toxic").otherwise("fail").alias("status")).agg(F.count("*").alias("n")), f"WITH {_LAB} SELECT CASE WHEN quality = 1 AND toxic = 0 THEN 'pass' WHEN toxic = 1 THEN 'toxic' ELSE 'fail' END AS status, count(*) AS n FROM lab GROUP BY 1")
+add("source_attribution", lambda spark, d: six(L.breakdown(labelled(spark, d), "source", _ok())), f"WITH {_LAB} SELECT source, count(*) AS tested, CAST(sum(CAST(quality = 1 AS INT)) AS BIGINT) AS passing, {round_sql({'pass_rate': 'avg(CAST(quality = 1 AS DOUBLE))', 'share': 'count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM lab)'})} FROM lab GROUP BY 1")
+add("generation_progress", lambda spark, d: six(labelled(spark, d).groupBy(F.floor(F.col("doc_id") / 100).alias("generation")).agg(F.count("*").alias("tested"), F.sum(_ok().cast("long")).alias("passing"), F.max("score").alias("best"))), f"WITH {_LAB} SELECT doc_id // 100 AS generation, count(*) AS tested, CAST(sum(CAST(quality = 1 AS INT)) AS BIGINT) AS passing, max(score) AS best FROM lab GROUP BY 1")
 add("family_leaderboard", lambda spark, d: six(read(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("size"), F.max("p_retailprice").cast("double").alias("best"), F.avg("p_retailprice").cast("double").alias("mean"))), "SELECT p_brand, count(*) AS size, round(CAST(max(p_retailprice) AS DOUBLE), 6) + 0.0 AS best, round(CAST(avg(p_retailprice) AS DOUBLE), 6) + 0.0 AS mean FROM part GROUP BY 1")
-_BY = [F.col("o_totalprice").desc(), F.col("o_orderkey")]
+_by = lambda: [F.col("o_totalprice").desc(), F.col("o_orderkey")]
 _orders = lambda spark, d: read(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("o_totalprice"), "o_orderpriority")
 _O = "SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice, o_orderpriority FROM orders"
-add("paged_sorted_list", lambda spark, d: L.page(_orders(spark, d), _BY, 2, 25), f"{_O} ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50")
-add("best_per_family_topk", lambda spark, d: L.diversified(_orders(spark, d), "o_orderpriority", _BY, 20), f"SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) = 1 AS f FROM ({_O})) ORDER BY f DESC, o_totalprice DESC, o_orderkey LIMIT 20")
-add("balanced_source_topk", lambda spark, d: L.best_per_group(_orders(spark, d), "o_orderpriority", _BY, 5), f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS place FROM ({_O})) WHERE place <= 5")
-_month = F.date_format("o_orderdate", "yyyy-MM")
+add("paged_sorted_list", lambda spark, d: L.page(_orders(spark, d), _by(), 2, 25), f"{_O} ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50")
+add("best_per_family_topk", lambda spark, d: L.diversified(_orders(spark, d), "o_orderpriority", _by(), 20), f"SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) = 1 AS f FROM ({_O})) ORDER BY f DESC, o_totalprice DESC, o_orderkey LIMIT 20")
+add("balanced_source_topk", lambda spark, d: L.best_per_group(_orders(spark, d), "o_orderpriority", _by(), 5), f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS place FROM ({_O})) WHERE place <= 5")
+_month = lambda: F.date_format("o_orderdate", "yyyy-MM")
 _price = lambda spark, d: read(spark, d, "orders").withColumn("p", F.col("o_totalprice").cast("double"))
 _RUN = "SELECT step, CAST(sum(n) OVER (ORDER BY step) AS BIGINT) AS tested, max(b) OVER (ORDER BY step) AS best FROM (SELECT strftime(o_orderdate, '%Y-%m') AS step, count(*) AS n, max(CAST(o_totalprice AS DOUBLE)) AS b FROM orders GROUP BY 1)"
-add("running_best_curve", lambda spark, d: L.running_best(_price(spark, d), _month, "p"), _RUN)
-add("downsample_curve", lambda spark, d: L.downsample(L.running_best(_price(spark, d), _month, "p"), "step", 12), f"WITH c AS ({_RUN}), k AS (SELECT *, row_number() OVER (ORDER BY step) - 1 AS i, count(*) OVER () AS n FROM c) SELECT step, tested, best FROM k WHERE n <= 12 OR i IN (SELECT CAST(round_even(j * (n2 - 1) / 11.0, 0) AS BIGINT) FROM range(12) r(j), (SELECT count(*) AS n2 FROM c))")
+add("running_best_curve", lambda spark, d: L.running_best(_price(spark, d), _month(), "p"), _RUN)
+add("downsample_curve", lambda spark, d: L.downsample(L.running_best(_price(spark, d), _month(), "p"), "step", 12), f"WITH c AS ({_RUN}), k AS (SELECT *, row_number() OVER (ORDER BY step) - 1 AS i, count(*) OVER () AS n FROM c) SELECT step, tested, best FROM k WHERE n <= 12 OR i IN (SELECT CAST(round_even(j * (n2 - 1) / 11.0, 0) AS BIGINT) FROM range(12) r(j), (SELECT count(*) AS n2 FROM c))")
 add("turnover_bucket", lambda spark, d: read(spark, d, "lineitem").groupBy(F.when(F.col("l_quantity") <= 2, "very low").when(F.col("l_quantity") <= 6, "low").when(F.col("l_quantity") <= 10, "medium").otherwise("high").alias("tier")).agg(F.count("*").alias("n")), "SELECT CASE WHEN l_quantity <= 2 THEN 'very low' WHEN l_quantity <= 6 THEN 'low' WHEN l_quantity <= 10 THEN 'medium' ELSE 'high' END AS tier, count(*) AS n FROM lineitem GROUP BY 1")
 add("failure_reasons", lambda spark, d: labelled(spark, d).select(F.explode(F.array_compact(F.array(F.when(F.col("quality") == 0, "low_quality"), F.when(F.col("toxic") == 1, "toxic"), F.when(F.col("score") < 500, "short")))).alias("reason")).groupBy("reason").agg(F.count("*").alias("n")), f"WITH {_LAB} SELECT reason, count(*) AS n FROM (SELECT 'low_quality' AS reason FROM lab WHERE quality = 0 UNION ALL SELECT 'toxic' FROM lab WHERE toxic = 1 UNION ALL SELECT 'short' FROM lab WHERE score < 500) GROUP BY 1")
 
