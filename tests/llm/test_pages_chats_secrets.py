@@ -1,0 +1,110 @@
+"""Main texts, chat repair and secret scans."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+pytest.importorskip("tessella.llm")
+
+from tessella.llm import chat, html, secrets
+
+STORY = "The story of the fox and the hound is told in this book, and it is a good one. " * 3
+
+
+def test_article_without_what_surrounds_it():
+    page = f"""<html><head><title>T</title><script>var t="</p>";</script></head><body><header>Site</header><nav><a href=x>Home</a></nav><div class="cookie-notice">We use cookies on this site and the like of them.</div>
+    <article><h1>A  tale</h1><p>{STORY}</p><!-- <p>no</p> --><p>Short &amp; <b>sweet</b>.<br>End.</p><div class="ad">Buy the thing now.</div><section id="comments"><p>{STORY}</p></section></article>
+    <aside>Side</aside><form><p>Mail</p></form><footer>&copy; 2024</footer></body></html>"""
+    assert html.main_text(page) == f"A tale\n{STORY.strip()}\nShort & sweet. End."
+
+
+def test_unmarked_page_by_density():
+    links = "".join(f"<a href={i}>link number {i}</a> " for i in range(20))
+    page = f"<div><h2>Head</h2><p>{STORY}</p><p>Short.</p><p>{STORY}</p></div><div>{links}</div><div>Posted by me</div>"
+    assert html.main_text(page) == f"Head\n{STORY.strip()}\nShort.\n{STORY.strip()}"
+
+
+@pytest.mark.parametrize("page", [None, "", "<", "<p", "plain", "<!-- open", "<script>x", "<p>a</div></p></p>", "<a" * 1000, "&#x110000;&bogus;", "<p>" * 3000 + "x"])
+def test_broken_pages(page):
+    assert isinstance(html.main_text(page), str)
+
+
+def test_pages_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    out = html.extract_pages(pages).collect()
+    assert len(out) == pages.count() and all(r.n_chars == len(r.text) and "track(" not in r.text and "&copy;" not in r.text for r in out)
+    assert html.extract_pages(pages.limit(0)).count() == 0
+
+
+def cheapest(roles: list) -> int:
+    best = [1 << 30]
+    legal = {(0, 1), (0, 2), (1, 2), (3, 2), (2, 3)}
+
+    def go(i: int, state: int, cost: int) -> None:
+        if cost >= best[0]:
+            return
+        if i == len(roles):
+            best[0] = cost
+            return
+        given = chat.role_of(roles[i])
+        for new in (1, 2, 3):
+            label = 0 if new == given else 1 if given == 0 else 3
+            if (state, new) in legal:
+                go(i + 1, new, cost + label)
+            if state == new:
+                go(i + 1, new, cost + label + 1)
+            for between in (2, 3):
+                if (state, between) in legal and (between, new) in legal:
+                    go(i + 1, new, cost + label + 2)
+
+    go(0, 0, 0)
+    return best[0]
+
+
+def test_repairs_are_cheapest(spark):
+    r = random.Random(5)
+    names = ["system", "user", "assistant", "tool", None, "human"]
+    rows = [(c, t, r.choice(names), f"{c}.{t}") for c in range(40) for t in range(r.randint(1, 6))]
+    rows += [(100, t, r.choice(names[:3]), "x") for t in range(700)] + [(101, 3, r.choice(names[:3]), f"x{t}") for t in range(300)]
+    rows += [(None, 0, "user", None), (5, None, "user", "late")]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), chunk=32).collect()
+    assert len(out) == len(rows)
+    for c in range(40):
+        order = sorted((x for x in rows if x[0] == c), key=lambda x: (x[1] is None, x[1]))
+        assert sum(x.cost for x in out if x.conv_id == c) == cheapest([x[2] for x in order])
+    repair = chat.Repair(chat.Costs())
+    for c in (100, 101):
+        v = [0, *[chat.FAR] * 3]
+        for x in sorted((x for x in rows if x[0] == c), key=lambda x: x[1:]):
+            v = repair.step(v, chat.role_of(x[2]))
+        assert sum(x.cost for x in out if x.conv_id == c) == min(v)
+    for c in range(40):
+        shown = "".join(x.rendered for x in sorted((x for x in out if x.conv_id == c), key=lambda x: (x.turn is None, x.turn)))
+        assert shown.count("<|im_start|>") == shown.count("<|im_end|>") and shown.endswith("<|im_end|>\n")
+
+
+def test_empty_conversations(spark):
+    assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.train(spark)
+
+
+def test_held_out_findings(forest):
+    held = secrets.seed_findings(1000, 99)
+    right = sum((secrets.votes(forest, secrets.features(v, b, a, p)) >= 0.5) == bool(y) for v, b, a, p, y in held)
+    assert right >= 0.97 * len(held)
+
+
+def test_redaction(spark, forest, odd, empty):
+    text = 'See token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and card 9807915762804490 of commit 04dbebab91ab85687d33eeaaf9ac699e1188f962 there.'
+    docs = spark.createDataFrame([(1, text, "src1")], "doc_id long, text string, source string")
+    r = secrets.scan(docs, forest).first()
+    assert r.redacted_text == text.replace('"04dbebab91ab85687d33eeaaf9ac699e1188f962"', '"[secret]"') and r.n_candidates == 3
+    assert [text[s.start : s.start + s.length] for s in r.secrets] == ["04dbebab91ab85687d33eeaaf9ac699e1188f962"]
+    out = secrets.scan(odd, forest)
+    assert out.filter("redacted_text is distinct from text").count() == 0 and out.count() == 9 and secrets.scan(empty, forest).count() == 0
