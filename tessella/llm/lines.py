@@ -42,7 +42,10 @@ def _windows(edits: int, shorter: int) -> list[tuple[int, int, int]]:
 
 
 def _keys(line: Column, n: Column, tolerance: tuple[tuple[int, int], ...]) -> tuple[Column, Column]:
-    """The index keys and the probe keys of a line, as arrays of hashes."""
+    """The index keys and the probe keys of a line of n characters, as arrays of hashes. Texts of one byte a character are cut as
+    bytes, which takes no walk from the start."""
+    raw = line.cast("binary")
+    cut = lambda at, size: F.when(F.octet_length(line) == n, F.substring(raw, at, size)).otherwise(F.substring(line, at, size).cast("binary"))
     index, probe = [], []
     for k, (least, edits) in enumerate(tolerance):
         below = tolerance[k + 1][0] if k + 1 < len(tolerance) else 1 << 31
@@ -53,10 +56,10 @@ def _keys(line: Column, n: Column, tolerance: tuple[tuple[int, int], ...]) -> tu
                 begin = F.floor(m * i / (edits + 1)).cast("int")
                 size = F.floor(m * (i + 1) / (edits + 1)).cast("int") - begin
                 if not shorter:
-                    index.append(F.when(fits, F.xxhash64(F.lit(i), m, F.substring(line, begin + 1, size))))
+                    index.append(F.when(fits, F.xxhash64(F.lit(i), m, cut(begin + 1, size))))
                 for shift in range(lo, hi + 1):
                     at = begin + 1 + shift
-                    probe.append(F.when(fits & (at >= 1), F.xxhash64(F.lit(i), m, F.substring(line, F.greatest(at, F.lit(1)), size))))
+                    probe.append(F.when(fits & (at >= 1), F.xxhash64(F.lit(i), m, cut(F.greatest(at, F.lit(1)), size))))
     return F.array_compact(F.array(*index)), F.array_compact(F.array(*probe))
 
 
@@ -129,10 +132,10 @@ def _edits(shorter: Column, tolerance: tuple[tuple[int, int], ...]) -> Column:
 
 
 def similar_lines(leaders: DataFrame, tolerance: tuple[tuple[int, int], ...] = TOLERANCE) -> DataFrame:
-    """leaders(h1, h2, at struct<d, t, no>, line), distinct lines -> (h1, h2, first): lines with an earlier line (a smaller `at`)
+    """leaders(h1, h2, at struct<d, t, no>, line, chars, c), distinct lines with their length and letter counts -> (h1, h2, first): lines with an earlier line (a smaller `at`)
     within the tolerance of the shorter one, and where the earliest such line stands."""
-    keys = lambda k: F.explode(_keys(F.col("line"), F.length("line"), tolerance)[k]).alias("key")
-    sized = leaders.filter(F.length("line") >= min(t[0] for t in tolerance)).select("h1", "line", _letter_counts(F.col("line")).alias("c"))
+    keys = lambda k: F.explode(_keys(F.col("line"), F.col("chars"), tolerance)[k]).alias("key")
+    sized = leaders.filter(F.col("chars") >= min(t[0] for t in tolerance)).select("h1", "line", "chars", "c")
     indexed = sized.select("h1", "c", keys(0)).alias("a")
     probed = sized.select("h1", "c", keys(1)).alias("b")
     most = max(t[1] for t in tolerance)
@@ -140,7 +143,7 @@ def similar_lines(leaders: DataFrame, tolerance: tuple[tuple[int, int], ...] = T
     met = indexed.join(probed, (F.col("a.key") == F.col("b.key")) & (F.col("a.h1") != F.col("b.h1")) & near)
     pairs = written(met.select(F.least("a.h1", "b.h1").alias("p"), F.greatest("a.h1", "b.h1").alias("q")).distinct(), "line-pairs")
     wanted = pairs.select(F.col("p").alias("h1")).union(pairs.select(F.col("q").alias("h1"))).distinct()
-    texts = _only(leaders, "h1", wanted).join(wanted, "h1")
+    texts = _only(leaders.select("h1", "h2", "at", "line"), "h1", wanted).join(wanted, "h1")
     side = lambda new: texts.select(F.col("h1").alias(new), *(F.col(c).alias(f"{new}_{c}") for c in ("h1", "h2", "at", "line")))
     both = pairs.join(side("p"), "p").join(side("q"), "q")
     allowed = _edits(F.least(F.length("p_line"), F.length("q_line")), tolerance)
@@ -159,13 +162,13 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     come last. An empty table gives no rows; columns of docs with the new names are replaced."""
     keyed = docs.withColumns({"_d": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), "_t": F.xxhash64(F.col(text_col))})
     split = F.split(F.col(text_col), "\n")
-    long_lines = F.filter(F.transform(split, lambda x, i: F.struct(i.alias("no"), F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")).alias("line"))), lambda s: F.length(s["line"]) >= min_chars)
+    long_lines = F.filter(F.transform(split, lambda x, i: F.struct(i.alias("no"), F.btrim(x, F.lit(" \t\r\f\v")).alias("line"))), lambda s: F.length(s["line"]) >= min_chars)
     lines = keyed.select("_d", "_t", F.inline(long_lines)).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct(F.col("_d").alias("d"), F.col("_t").alias("t"), "no").alias("at"), "line")
     firsts = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("at", "line")).alias("x"))
-    leaders = written(firsts.select("h1", "h2", "n", "x.at", "x.line"), "first-lines")
+    leaders = written(firsts.select("h1", "h2", "n", "x.at", "x.line", F.length("x.line").alias("chars"), _letter_counts(F.col("x.line")).alias("c")), "first-lines")
     similar = written(similar_lines(leaders.drop("n"), tolerance), "similar-lines")
-    known = leaders.select("h1", "h2", "n", F.col("at").alias("lead")).join(similar, ["h1", "h2"], "left").filter("n > 1 or first is not null")
-    gone = lines.select("h1", "h2", "at").join(known, ["h1", "h2"]).filter("first is not null or at <> lead")
+    known = leaders.filter("n > 1").select("h1", "h2", F.col("at").alias("lead")).join(similar, ["h1", "h2"], "full")
+    gone = _only(lines.select("h1", "h2", "at"), "h1", known).join(known, ["h1", "h2"]).filter("first is not null or at <> lead")
     per_doc = gone.groupBy(F.col("at.d").alias("_d"), F.col("at.t").alias("_t")).agg(F.collect_set(F.struct(F.col("at.no").alias("no"), F.col("first").isNotNull().alias("similar"), F.coalesce("first", "lead")["d"].alias("doc"))).alias("_gone"))
     per_doc = written(per_doc, "gone-lines")
     bucket = F.pmod(F.col("_t"), F.lit(BUCKETS)).cast("int").alias("_b")
