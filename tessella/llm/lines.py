@@ -26,7 +26,7 @@ TOLERANCE = ((20, 1), (400, 2))
 #: Lines shorter than this are never taken for duplicates: headings, closings and the like repeat in clean texts.
 MIN_CHARS = 20
 #: Letters whose counts bound the edits from below, and bits of each count.
-LETTERS, COUNT_BITS = "etaoin", 10
+LETTERS, COUNT_BITS = "etaoinshrl", 6
 BUCKETS = 1 << 18
 _LAST = (1 << 63) - 1
 
@@ -64,15 +64,17 @@ def _keys(line: Column, n: Column, tolerance: tuple[tuple[int, int], ...]) -> tu
 
 
 def _letter_counts(line: Column) -> Column:
-    """Counts of LETTERS, each up to 2^COUNT_BITS - 1, packed in a long."""
-    size, most = F.octet_length(line), (1 << COUNT_BITS) - 1
-    parts = [F.shiftleft(F.least(size - F.octet_length(F.replace(line, F.lit(c), F.lit(""))), F.lit(most)).cast("long"), COUNT_BITS * k) for k, c in enumerate(LETTERS)]
-    return reduce(lambda a, b: a.bitwiseOR(b), parts)
+    """Counts of LETTERS, each modulo 2^COUNT_BITS, packed in a long."""
+    size, ring = F.octet_length(line), (1 << COUNT_BITS) - 1
+    count = lambda c: (size - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(ring))
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(count(c), COUNT_BITS * k) for k, c in enumerate(LETTERS)])
 
 
 def _count_distance(a: Column, b: Column) -> Column:
-    part = lambda x, k: F.shiftright(x, COUNT_BITS * k).bitwiseAND(F.lit((1 << COUNT_BITS) - 1))
-    return reduce(lambda x, y: x + y, [F.abs(part(a, k) - part(b, k)) for k in range(len(LETTERS))])
+    """Sum of the letters' differences on the ring, which never exceeds that of the full counts."""
+    ring = (1 << COUNT_BITS) - 1
+    ahead = lambda k: (F.shiftright(a, COUNT_BITS * k) - F.shiftright(b, COUNT_BITS * k)).bitwiseAND(F.lit(ring))
+    return reduce(lambda x, y: x + y, [F.least(ahead(k), ring + 1 - ahead(k)) for k in range(len(LETTERS))])
 
 
 def banded_distance(a: Column, b: Column, most: int) -> Column:
@@ -136,10 +138,10 @@ def similar_lines(leaders: DataFrame, tolerance: tuple[tuple[int, int], ...] = T
     within the tolerance of the shorter one, and where the earliest such line stands."""
     keys = lambda k: F.explode(_keys(F.col("line"), F.col("chars"), tolerance)[k]).alias("key")
     sized = leaders.filter(F.col("chars") >= min(t[0] for t in tolerance)).select("h1", "line", "chars", "c")
-    indexed = sized.select("h1", "c", keys(0)).alias("a")
+    indexed = sized.select("h1", "c", _edits(F.col("chars"), tolerance).alias("edits"), keys(0)).alias("a")
     probed = sized.select("h1", "c", keys(1)).alias("b")
     most = max(t[1] for t in tolerance)
-    near = _count_distance(F.col("a.c"), F.col("b.c")) <= 2 * most
+    near = _count_distance(F.col("a.c"), F.col("b.c")) <= 2 * F.col("a.edits")  # the indexed line is the shorter
     met = indexed.join(probed, (F.col("a.key") == F.col("b.key")) & (F.col("a.h1") != F.col("b.h1")) & near)
     pairs = written(met.select(F.least("a.h1", "b.h1").alias("p"), F.greatest("a.h1", "b.h1").alias("q")).distinct(), "line-pairs")
     wanted = pairs.select(F.col("p").alias("h1")).union(pairs.select(F.col("q").alias("h1"))).distinct()
