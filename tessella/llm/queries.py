@@ -87,4 +87,30 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (op1_main_text, op2_merkle_fingerprints, op3_packing, op4_quality_rules, op5_bpe, op6_secret_scan, op7_simhash, op8_token_counts, op9_chat_format, op10_line_dedup)
 QUERIES = {f.__name__: f for f in _ALL}
 
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _quality_sql() -> str:
+    """op4 in DuckDB's SQL, by the rules' own patterns."""
+    from tessella.llm import quality as q
+
+    text = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    gap, word = text(q.WORD_GAP), text(q.WORD)
+    gaps = f"len(regexp_extract_all(l, {gap})) + 1"
+    fails = (
+        f"regexp_matches(l, {text(q.BOILERPLATE)}) OR len(regexp_extract_all(l, {text(q.NOISE)})) * 2 > {gaps} OR regexp_matches(l, {text(q.NAVIGATION)}) "
+        f"OR (NOT regexp_matches(l, {text(q.CLOSED)}) AND {gaps} >= 3)"
+    )
+    chars = lambda x: f"length(regexp_replace({x}, {gap}, '', 'g'))"
+    return f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, {gap}), lambda x: x <> '') AS w, string_split(t, chr(10)) AS ls FROM d),
+g AS (SELECT k, i, w[i:i + 4] AS g FROM w, unnest(range(1, len(w) - 3)) AS u(i)),
+r AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM g) WHERE c > 1),
+v AS (SELECT k, count(DISTINCT p) AS n FROM r, unnest(range(i, i + 5)) AS u(p) GROUP BY k),
+m AS (SELECT w.k, doc_id, len(w) AS n_words, {chars('t')} AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  len(list_filter(ls, lambda l: regexp_matches(l, {word}))) - len(list_distinct(list_filter(ls, lambda l: regexp_matches(l, {word})))) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words,
+  {chars(f"array_to_string(list_filter(ls, lambda l: NOT regexp_matches(l, {word}) OR NOT ({fails})), chr(10))")} AS left_chars FROM w LEFT JOIN v ON v.k = w.k),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND word_chars - left_chars <= 0.5 * word_chars AS kept FROM b"""
+
+
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": _quality_sql()}
