@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.dsl import formula
 from tessella.functions.scalar import ratio
+from tessella.operators.cs import average_rank
 from tessella.operators.metrics import bar_turnover, correlation, daily_turnover, ir
 
 #: family -> (template, windows). Each counts with either sign.
@@ -31,19 +32,22 @@ FAMILIES: dict[str, tuple[str, tuple[int, ...]]] = {
 
 
 def members(families: dict[str, tuple[str, tuple[int, ...]]] | None = None) -> dict[str, str]:
-    """name -> formula, ranked across entities, for each family and window."""
-    return {f"{family}__{n}": f"pct_rank({template.format(n=n)})" for family, (template, windows) in (families or FAMILIES).items() for n in windows}
+    """name -> formula, for each family and window."""
+    return {f"{family}__{n}": template.format(n=n) for family, (template, windows) in (families or FAMILIES).items() for n in windows}
 
 
 def search(panel: DataFrame, candidates: dict[str, str], resp: str = "resp") -> DataFrame:
-    """Per candidate and sign: family, mean daily IC, its ratio and days. The bars' correlations are one aggregation, and those of
-    the opposite sign are their negatives, as ranks mirror."""
-    names = list(candidates)
+    """Per candidate and sign: family, mean daily IC of its ranks across entities, its ratio and days.
+
+    The values are columns of one pass over time; then each candidate's bars are groups of their own, so that ranking takes one
+    exchange and sort for all. The opposite sign's IC is the negative, as ranks mirror."""
     signals = formula.evaluate(panel, candidates)
-    bars = signals.groupBy("date", "bar_idx").agg(*(correlation(n, resp).alias(n) for n in names))
-    days = bars.groupBy("date").agg(*(F.avg(n).alias(n) for n in names))
-    long = days.select(F.explode(F.array(*(F.struct(F.lit(n).alias("candidate"), F.lit(sign).alias("sign"), (F.col(n) * sign).alias("ic")) for n in names for sign in (1, -1)))).alias("x")).select("x.*")
-    out = long.groupBy("candidate", "sign").agg(F.avg("ic").alias("ic"), ir("ic").alias("ir"), F.count("ic").alias("days"))
+    each = F.array(*(F.struct(F.lit(n).alias("candidate"), F.col(n).alias("x")) for n in candidates))
+    long = signals.select("date", "bar_idx", resp, F.inline(each)).withColumn("_g", F.struct("candidate", "bar_idx"))
+    ranked = long.withColumn("_r", average_rank(F.col("x"), "_g"))
+    days = ranked.groupBy("candidate", "date", "bar_idx").agg(correlation("_r", resp).alias("ic")).groupBy("candidate", "date").agg(F.avg("ic").alias("ic"))
+    signed = days.withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("ic", F.col("ic") * F.col("sign"))
+    out = signed.groupBy("candidate", "sign").agg(F.avg("ic").alias("ic"), ir("ic").alias("ir"), F.count("ic").alias("days"))
     return out.withColumn("family", F.split("candidate", "__")[0])
 
 
@@ -56,7 +60,7 @@ def screen(panel: DataFrame, candidates: dict[str, str], days: int, least_ic: fl
     """The candidates worth a full evaluation: those with enough IC over the last days. Names and numbers only reach the driver."""
     last = panel.select("date").distinct().orderBy(F.desc("date")).limit(days)
     found = search(panel.join(F.broadcast(last), "date"), candidates, resp).filter(F.col("ic") >= least_ic).select("candidate", "sign").collect()
-    return {f"{r.candidate}__{r.sign}": candidates[r.candidate] if r.sign > 0 else f"0 - {candidates[r.candidate]}" for r in found}
+    return {f"{r.candidate}__{r.sign}": f"pct_rank({'' if r.sign > 0 else '0 - '}({candidates[r.candidate]}))" for r in found}
 
 
 def turnover_of(panel: DataFrame, given: str) -> DataFrame:
