@@ -68,27 +68,27 @@ def differing(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", rows_a_bucket: int = 2000) -> DataFrame:
     """docs with next_{column}: those of the next row in descending id (after the last: the first).
 
-    Ids are cut into ranges at their quantiles, so one shuffle brings neighbours together, whatever the ids' gaps. The last row of
-    a range finds its successor in a table with one row for each range. Rows of equal ids follow one another by their text's
+    Ids are cut into ranges at their quantiles, so one shuffle brings neighbours together, whatever the ids' gaps, and the rows next
+    to a range's end travel with it. Rows of equal ids follow one another by their text's
     hash; null ids come last. Ids that repeat much can't be parted by ranges and share a task."""
     count = docs.count()
     buckets = max(1, min(5000, count // rows_a_bucket))
     cuts = docs.select(F.percentile_approx(id_col, [k / buckets for k in range(1, buckets)] or [0.5], 20 * buckets).alias("q")).first()["q"]
     bucket = F.when(F.col(id_col).isNull(), -1).otherwise(_range_of(F.col(id_col), sorted(set(cuts or [0]))))
     keyed = docs.withColumns({"_bucket": bucket, "_tie": F.xxhash64(*columns)})
-    order = [F.col(id_col).desc_nulls_last(), F.col("_tie")]
-    inside = Window.partitionBy("_bucket").orderBy(*order)
-    packed = F.struct(*columns)
-    led = keyed.withColumns({"_next": F.lead(packed).over(inside), "_row": F.row_number().over(inside)})
-    # The first row of each range, and the range before which it is wanted: the next larger one (the least: the largest).
-    heads = led.filter("_row = 1").select("_bucket", packed.alias("_head"))
-    span = Window.orderBy(F.col("_bucket").desc())  # one row for each range, 5000 at the most
-    names = heads.select("_bucket").withColumns({"_after": F.lead("_bucket").over(span), "_top": F.max("_bucket").over(Window.partitionBy())})
-    wanted = names.select(F.col("_bucket"), F.coalesce("_after", "_top").alias("_from"))
-    heads = heads.withColumnRenamed("_bucket", "_from").join(wanted, "_from")
-    ends = led.filter("_next is null").join(heads.select("_bucket", "_head"), "_bucket").withColumn("_next", F.col("_head"))
-    whole = led.filter("_next is not null").select(*docs.columns, "_next").unionByName(ends.select(*docs.columns, "_next"))
-    return whole.select(*docs.columns, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns))
+    # The first row of each range also goes, as an extra one, to the range before it (of the first range: to the last).
+    first = F.max(F.struct(F.col(id_col).alias("i"), F.bitwise_not("_tie").alias("t"))).alias("h")
+    heads = keyed.select("_bucket", id_col, "_tie").groupBy("_bucket").agg(first)
+    before = F.lag("_bucket").over(Window.orderBy(F.col("_bucket").desc()))  # a row for each range, 5000 at the most
+    sent = heads.withColumns({"_before": before, "_last": F.min("_bucket").over(Window.partitionBy())})
+    sent = sent.select(F.col("h.i").alias("_i"), F.bitwise_not("h.t").alias("_t"), F.coalesce("_before", "_last").alias("_to"))
+    marked = keyed.join(F.broadcast(sent), F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_tie") == F.col("_t")), "left")
+    place = lambda to, extra: F.struct(to.alias("at"), F.lit(extra).alias("extra"))
+    places = F.array_compact(F.array(place(F.col("_bucket"), False), F.when(F.col("_to").isNotNull(), place(F.col("_to"), True))))
+    dealt = marked.select(*docs.columns, "_tie", F.inline(places))
+    order = Window.partitionBy("at").orderBy("extra", F.col(id_col).desc_nulls_last(), "_tie")
+    led = dealt.withColumn("_next", F.lead(F.struct(*columns)).over(order)).filter(~F.col("extra"))
+    return led.select(*docs.columns, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns))
 
 
 def _range_of(value: Column, cuts: list[int], step: int = 64) -> Column:
@@ -111,10 +111,9 @@ def compare_with_edit(docs: DataFrame, text_col: str = "text", id_col: str = "do
 
     Null texts are empty; a table of one row is its own successor; repeated rows are compared like others."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    treed = with_tree(plain, "text", "")
-    both = with_next(treed.select("doc_id", "text", "root", "sections", "paragraphs", "leaves"), ["text", "leaves"])
-    both = both.withColumn("edited_text", edited(F.col("text"), F.col("next_text")))
-    both = with_tree(both, "edited_text", "edited_")
+    both = with_next(plain, ["text"])
+    both = both.withColumns({"edited_text": edited(F.col("text"), F.col("next_text")), "next_leaves": tree(F.col("next_text"))["leaves"]})
+    both = with_tree(with_tree(both, "text", ""), "edited_text", "edited_")
     return both.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"), F.col("root").alias("fingerprint"), F.col("edited_root").alias("edited_fingerprint"),
         likeness(F.col("leaves"), F.col("edited_leaves")).alias("near_edited"), likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"),
