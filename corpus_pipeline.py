@@ -13,15 +13,19 @@ from tessella.llm.queries import tokenizer
 from tessella.llm.scratch import written
 
 
-def _with_text(docs: DataFrame, out: DataFrame, text: str) -> DataFrame:
-    """out's rows with the columns of docs, text replaced."""
+def _with_text(docs: DataFrame, out: DataFrame, text: str, *more: str) -> DataFrame:
+    """out's rows with the columns of docs, text replaced, and more columns."""
     new = {"text": F.col(text)} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
-    return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+    return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns), *more)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules keep, without their failing lines."""
-    return _with_text(docs, quality.judge(docs.select(*docs.columns)).filter("kept"), "clean_text")
+    """Documents that the line-first rules keep, without their failing lines.
+
+    A generator of one row or none takes the place of a filter: the optimizer would compute the rules once more to filter first."""
+    judged = quality.judge(docs)
+    kept = _with_text(docs, judged.select(*docs.columns, "clean_text", "kept"), "clean_text", "kept")
+    return kept.select(F.inline(F.when(F.col("kept"), F.array(F.struct(*docs.columns)))))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

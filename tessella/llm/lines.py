@@ -138,11 +138,12 @@ def similar_lines(leaders: DataFrame, tolerance: tuple[tuple[int, int], ...] = T
     within the tolerance of the shorter one, and where the earliest such line stands."""
     keys = lambda k: F.explode(_keys(F.col("line"), F.col("chars"), tolerance)[k]).alias("key")
     sized = leaders.filter(F.col("chars") >= min(t[0] for t in tolerance)).select("h1", "line", "chars", "c")
-    indexed = sized.select("h1", "c", _edits(F.col("chars"), tolerance).alias("edits"), keys(0)).alias("a")
-    probed = sized.select("h1", "c", keys(1)).alias("b")
+    indexed = sized.select("h1", "c", "chars", keys(0)).alias("a")
+    probed = sized.select("h1", "c", "chars", keys(1)).alias("b")
     most = max(t[1] for t in tolerance)
-    near = _count_distance(F.col("a.c"), F.col("b.c")) <= 2 * F.col("a.edits")  # the indexed line is the shorter
-    met = indexed.join(probed, (F.col("a.key") == F.col("b.key")) & (F.col("a.h1") != F.col("b.h1")) & near)
+    near = _count_distance(F.col("a.c"), F.col("b.c")) <= 2 * _edits(F.col("a.chars"), tolerance)  # the indexed line is the shorter
+    once = (F.col("a.chars") < F.col("b.chars")) | (F.col("a.h1") < F.col("b.h1"))  # of equal lengths either may be the indexed one
+    met = indexed.join(probed, (F.col("a.key") == F.col("b.key")) & once & near)
     pairs = written(met.select(F.least("a.h1", "b.h1").alias("p"), F.greatest("a.h1", "b.h1").alias("q")).distinct(), "line-pairs")
     wanted = pairs.select(F.col("p").alias("h1")).union(pairs.select(F.col("q").alias("h1"))).distinct()
     texts = _only(leaders.select("h1", "h2", "at", "line"), "h1", wanted).join(wanted, "h1")
