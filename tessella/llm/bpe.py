@@ -81,7 +81,9 @@ class MergeAutomaton:
 
     def path(self, word: bytes) -> list[bytes]:
         """The arcs that spell word. after: a prefix -> the last arc of its path, kept as words share prefixes."""
-        n, after, born, table = len(word), self.after if len(word) <= 40 else {}, self.born, self.table
+        if len(word) > 40:
+            return self._long_path(word)
+        n, after, born, table = len(word), self.after, self.born, self.table
         if len(self.after) >= TABLE:
             self.after.clear()
         known = n
@@ -104,6 +106,27 @@ class MergeAutomaton:
             end -= len(arc)
         return out[::-1]
 
+    def _long_path(self, word: bytes) -> list[bytes]:
+        """As path(), with the last arcs by the prefix's length: a word of n bytes takes memory by n, not by its square."""
+        n, born, table = len(word), self.born, self.table
+        last = [b""] * (n + 1)
+        for end in range(1, n + 1):
+            for start in range(max(0, end - self.longest), end):
+                arc = word[start:end]
+                if arc in born:
+                    if not start:
+                        break
+                    state = last[start]
+                    allowed = table.get((state, arc))
+                    if allowed or allowed is None and self.follows(state, arc):
+                        break
+            last[end] = arc
+        out, end = [], n
+        while end:
+            out.append(arc := last[end])
+            end -= len(arc)
+        return out[::-1]
+
     def encode(self, word: bytes) -> list[int]:
         return [self.ids[arc] for arc in self.path(word)]
 

@@ -111,3 +111,23 @@ def test_packing_covers_every_id_once(odd, window):
         next(x for x in whole[p.doc_id][::-1] if len(x[0]) == 4 * p.start and x[1] == p.doc_tokens)[0].extend(p.ids)
     assert sorted(at) == list(range(len(at))) and all(n == window for s, n in at.items() if s < len(at) - 1)
     assert Counter((d, zlib.crc32(bytes(b))) for d, parts in whole.items() for b, _ in parts) == expected
+
+
+@pytest.mark.parametrize("run", ["=", "a", "etaoin", "日"])
+def test_a_long_run_takes_memory_by_its_length(run):
+    import tracemalloc
+
+    library, own = Tokenizer.from_file(BYTE), bpe.ByteBpe(BYTE)
+    text = "see " + run * (20_000 // len(run))
+    tracemalloc.start()
+    try:
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+        assert tracemalloc.get_traced_memory()[1] < 40_000_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_run_of_200_000_characters():
+    library, own = Tokenizer.from_file(BYTE), bpe.ByteBpe(BYTE)
+    text = "=" * 200_000
+    assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
