@@ -37,13 +37,24 @@ MARKED = re.compile(
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^\"'>])*)(?:>|\Z)", re.S)
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+#: Attributes with their values, what may hide an element, and styles that do.
+ATTRIBUTES = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+HIDING = re.compile(r"hidden|display", re.I)
+UNSEEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 #: Names that only say what the page also has.
 BESIDE = re.compile(r"(?:has|with|no|without)-[\w-]+", re.I)
 ROLES = re.compile(r"^(?:navigation|banner|contentinfo|complementary|search|dialog|alert)$", re.I)
 GOOD, BAD, OPEN = "good", "bad", "open"
 
 
+def is_hidden(attrs: str) -> bool:
+    """Whether a tag's attributes hide its element: hidden, aria-hidden=true or a style; class names never do."""
+    if not HIDING.search(attrs):
+        return False
+    values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in reversed(list(ATTRIBUTES.finditer(attrs)))}  # the first of a name counts
+    return "hidden" in values and values["hidden"].lower() != "until-found" or values.get("aria-hidden", "").strip().lower() == "true" or bool(UNSEEN.search(values.get("style", "")))
+
+
 @dataclass
 class Rules:
     """Characters below which a block is short and from which it is long; densities of words and of links."""
@@ -132,7 +143,7 @@ def blocks_of(page: str) -> list[Block]:
         if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
             heading = name
         names = [next(filter(None, x), "") for x in NAMES.findall(m["attrs"])] if m["attrs"] else []
-        here = name in BOILERPLATE_TAGS and not (name == "header" and article) or any(MARKED.search(BESIDE.sub("", x)) or ROLES.match(x) for x in names) and name not in ("html", "body", "article", "main") or bool(m["attrs"] and HIDDEN.search(m["attrs"]))
+        here = name in BOILERPLATE_TAGS and not (name == "header" and article) or any(MARKED.search(BESIDE.sub("", x)) or ROLES.match(x) for x in names) and name not in ("html", "body", "article", "main") or bool(m["attrs"]) and name not in ("html", "body") and is_hidden(m["attrs"])
         main = name in ("article", "main")
         if name in ("article", "main") and any(re.search(r"(?:^|[-_\s])comments?(?:$|[-_\s\d])", x, re.I) for x in names):
             here, main = True, False

@@ -26,6 +26,17 @@ def test_unmarked_page_by_density():
     assert html.main_text(page) == f"Head\n{STORY.strip()}\nShort.\n{STORY.strip()}"
 
 
+@pytest.mark.parametrize("attrs", ['class="overflow-hidden"', "class='md:hidden x'", 'style="overflow:hidden"', 'data-state="hidden"', 'aria-hidden="false"'])
+def test_names_and_overflow_hide_nothing(attrs):
+    for page in (f"<html><body {attrs}><article><p>{STORY}</p></article></body></html>", f"<body><article {attrs}><p>{STORY}</p></article></body>", f"<div {attrs}><p>{STORY}</p></div>"):
+        assert html.main_text(page) == STORY.strip()
+
+
+@pytest.mark.parametrize("attrs", ["hidden", 'hidden=""', "id=x HIDDEN class=y", 'aria-hidden="true"', "aria-hidden=true", 'style="color:red; display : none"', 'style="visibility:hidden"'])
+def test_hidden_elements_are_left_out(attrs):
+    assert html.main_text(f"<body><div {attrs}><p>{STORY}</p></div><article><p>Seen. {STORY}</p></article></body>") == f"Seen. {STORY.strip()}"
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "plain", "<!-- open", "<script>x", "<p>a</div></p></p>", "<a" * 1000, "&#x110000;&bogus;", "<p>" * 3000 + "x"])
 def test_broken_pages(page):
     assert isinstance(html.main_text(page), str)
