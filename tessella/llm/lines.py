@@ -7,6 +7,10 @@ that the lengths bound. Keys carry the segment's number and the indexed length.
 counts an edit, in how often some letters occur - checked inside the join, so that lines with a common passage aren't paired -
 and are then verified by a banded bit-parallel edit distance.
 
+Where the edits follow the length (one for each PER characters), segments would need probes by the cube of the edits. There the
+longest passage that so many edits can't break is of q + w - 1 characters or more, and both lines have the least hash of w
+neighbouring q-grams of that passage: lines meet on such least hashes, which are a quarter as many as characters or fewer.
+
 A line's text is shuffled once, to find first occurrences; everything else travels as hashes. Where few rows of a table are
 wanted by key (lines to verify, documents to change), a broadcast set of at most BUCKETS hash buckets spares the others the
 shuffle; if all buckets are wanted it is a plain join.
@@ -21,8 +25,13 @@ from pyspark.sql import functions as F
 
 from tessella.llm.scratch import written
 
-#: (least length of the shorter line, edits): lines below the first length are compared for equality only.
-TOLERANCE = ((20, 1), (400, 2))
+#: (least length of the shorter line, edits): lines below the first length are compared for equality only. None, which only the
+#: last may have, is one edit for each PER characters of the shorter line: 5 %, as the steps before it are.
+TOLERANCE = ((20, 1), (40, 2), (60, None))
+PER = 20
+#: (least length of the shorter line, bytes of a gram q, grams of a window w): m characters with m // PER edits have an unbroken
+#: passage of ceil((m - m // PER) / (m // PER + 1)) characters, 15 from 60 on and 18 from 200 on, which is q + w - 1.
+GRAMS = ((60, 9, 7), (200, 11, 8))
 #: Lines shorter than this are never taken for duplicates: headings, closings and the like repeat in clean texts.
 MIN_CHARS = 20
 #: Letters whose counts bound the edits from below, and bits of each count.
@@ -41,13 +50,15 @@ def _windows(edits: int, shorter: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _keys(line: Column, n: Column, tolerance: tuple[tuple[int, int], ...]) -> tuple[Column, Column]:
+def _keys(line: Column, n: Column, tolerance: tuple[tuple[int, int | None], ...]) -> tuple[Column, Column]:
     """The index keys and the probe keys of a line of n characters, as arrays of hashes. Texts of one byte a character are cut as
     bytes, which takes no walk from the start."""
     raw = line.cast("binary")
     cut = lambda at, size: F.when(F.octet_length(line) == n, F.substring(raw, at, size)).otherwise(F.substring(line, at, size).cast("binary"))
     index, probe = [], []
     for k, (least, edits) in enumerate(tolerance):
+        if edits is None:
+            continue
         below = tolerance[k + 1][0] if k + 1 < len(tolerance) else 1 << 31
         for shorter in range(edits + 1):
             m = n - shorter
@@ -63,6 +74,25 @@ def _keys(line: Column, n: Column, tolerance: tuple[tuple[int, int], ...]) -> tu
     return F.array_compact(F.array(*index)), F.array_compact(F.array(*probe))
 
 
+def _gram_keys(line: Column, n: Column) -> Column:
+    """The least hashes of each window of grams, for each length class whose pairs a line of n characters can be in. Grams are cut
+    as bytes: a passage has at least as many bytes as characters."""
+    raw = line.cast("binary")
+
+    def least_hashes(k: int, q: int, w: int) -> Column:
+        hashes = lambda r: F.transform(F.sequence(F.lit(1), F.octet_length(r) - (q - 1)), lambda i: F.xxhash64(F.lit(k), F.substring(r, i, F.lit(q))))
+        windows = lambda h: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(h) - w), lambda at: F.least(*(F.get(h, at + j) for j in range(w)))))
+        return F.get(F.transform(F.transform(F.array(raw), hashes), windows), F.lit(0))  # the bytes, and the hashes, are made once
+
+    found = []
+    for k, (least, q, w) in enumerate(GRAMS):
+        fits = n >= least
+        if k + 1 < len(GRAMS):
+            fits = fits & (n - F.floor(n / PER) < GRAMS[k + 1][0])  # as the longer line of a pair, too
+        found.append(F.when(fits, least_hashes(k, q, w)).otherwise(F.array().cast("array<bigint>")))
+    return F.concat(*found)
+
+
 def _letter_counts(line: Column) -> Column:
     """Counts of LETTERS, each modulo 2^COUNT_BITS, packed in a long."""
     size, ring = F.octet_length(line), (1 << COUNT_BITS) - 1
@@ -129,34 +159,41 @@ def _only(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return df.withColumn("_b", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "_b", "left_semi").drop("_b")
 
 
-def _edits(shorter: Column, tolerance: tuple[tuple[int, int], ...]) -> Column:
-    return reduce(lambda rule, t: F.when(shorter >= t[0], t[1]).otherwise(rule), tolerance, F.lit(0))
+def _edits(shorter: Column, tolerance: tuple[tuple[int, int | None], ...]) -> Column:
+    return reduce(lambda rule, t: F.when(shorter >= t[0], F.floor(shorter / PER).cast("int") if t[1] is None else F.lit(t[1])).otherwise(rule), tolerance, F.lit(0))
 
 
-def similar_lines(leaders: DataFrame, tolerance: tuple[tuple[int, int], ...] = TOLERANCE) -> DataFrame:
+def similar_lines(leaders: DataFrame, tolerance: tuple[tuple[int, int | None], ...] = TOLERANCE) -> DataFrame:
     """leaders(h1, h2, at struct<d, t, no>, line, chars, c), distinct lines with their length and letter counts -> (h1, h2, first): lines with an earlier line (a smaller `at`)
     within the tolerance of the shorter one, and where the earliest such line stands."""
     keys = lambda k: F.explode(_keys(F.col("line"), F.col("chars"), tolerance)[k]).alias("key")
     sized = leaders.filter(F.col("chars") >= min(t[0] for t in tolerance)).select("h1", "line", "chars", "c")
     indexed = sized.select("h1", "c", "chars", keys(0)).alias("a")
     probed = sized.select("h1", "c", "chars", keys(1)).alias("b")
-    most = max(t[1] for t in tolerance)
+    most = max((t[1] for t in tolerance if t[1] is not None), default=0)
     near = _count_distance(F.col("a.c"), F.col("b.c")) <= 2 * _edits(F.col("a.chars"), tolerance)  # the indexed line is the shorter
     once = (F.col("a.chars") < F.col("b.chars")) | (F.col("a.h1") < F.col("b.h1"))  # of equal lengths either may be the indexed one
-    met = indexed.join(probed, (F.col("a.key") == F.col("b.key")) & once & near)
-    pairs = written(met.select(F.least("a.h1", "b.h1").alias("p"), F.greatest("a.h1", "b.h1").alias("q")).distinct(), "line-pairs")
+    met = indexed.join(probed, (F.col("a.key") == F.col("b.key")) & once & near).select("a.h1", F.col("b.h1").alias("h"))
+    if tolerance[-1][1] is None:
+        grams = leaders.filter(F.col("chars") >= tolerance[-1][0]).select("h1", "c", "chars", F.explode(_gram_keys(F.col("line"), F.col("chars"))).alias("key"))
+        a, b = grams.alias("a"), grams.alias("b")
+        once = (F.col("a.chars") < F.col("b.chars")) | (F.col("a.chars") == F.col("b.chars")) & (F.col("a.h1") < F.col("b.h1"))
+        close = F.col("b.chars") - F.col("a.chars") <= _edits(F.col("a.chars"), tolerance)
+        met = met.union(a.join(b, (F.col("a.key") == F.col("b.key")) & once & close & near).select("a.h1", "b.h1"))
+    pairs = written(met.select(F.least("h1", "h").alias("p"), F.greatest("h1", "h").alias("q")).distinct(), "line-pairs")
     wanted = pairs.select(F.col("p").alias("h1")).union(pairs.select(F.col("q").alias("h1"))).distinct()
     texts = _only(leaders.select("h1", "h2", "at", "line"), "h1", wanted).join(wanted, "h1")
     side = lambda new: texts.select(F.col("h1").alias(new), *(F.col(c).alias(f"{new}_{c}") for c in ("h1", "h2", "at", "line")))
     both = pairs.join(side("p"), "p").join(side("q"), "q")
     allowed = _edits(F.least(F.length("p_line"), F.length("q_line")), tolerance)
-    alike = both.withColumn("_d", banded_distance(F.col("p_line"), F.col("q_line"), most)).filter(F.col("_d") <= allowed)
+    distance = F.when(F.col("_k") <= most, banded_distance(F.col("p_line"), F.col("q_line"), most)).otherwise(F.expr("nullif(levenshtein(p_line, q_line, _k), -1)"))
+    alike = both.withColumn("_k", allowed).withColumn("_d", distance).filter(F.col("_d") <= F.col("_k"))
     later = F.col("p_at") > F.col("q_at")
     pick = lambda c: F.when(later, F.col(f"p_{c}")).otherwise(F.col(f"q_{c}"))
     return alike.select(pick("h1").alias("h1"), pick("h2").alias("h2"), F.least("p_at", "q_at").alias("first")).groupBy("h1", "h2").agg(F.min("first").alias("first"))
 
 
-def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", tolerance: tuple[tuple[int, int], ...] = TOLERANCE, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", tolerance: tuple[tuple[int, int | None], ...] = TOLERANCE, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with text_col rid of duplicate lines, and n_lines, n_equal, n_similar (lines that went) and first_docs, the ids of the
     documents, distinct and sorted, that hold the lines for which they went.
 

@@ -212,3 +212,26 @@ def test_line_dedup_of_odd_rows(odd, empty):
     assert set(odd.columns) <= set(out.columns) and out.count() == 9 and lines.dedup_lines(empty).count() == 0
     twice = [r for r in out.collect() if r.doc_id == 1 and r.text.startswith("One")]
     assert [r.text for r in twice] == ["One fine day the fox met the hound in the wood."] * 2
+
+
+def test_tolerance_follows_the_length(spark):
+    """Near copies of lines of 20 to 900 characters at up to 7 % edits, one changed word among them, against all pairs at 5 %."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("etaoinshrdlué") for _ in range(r.randint(2, 9)))
+    texts = []
+    for size in (20, 39, 40, 59, 60, 62, 79, 100, 199, 200, 205, 210, 380, 420, 640):
+        for _ in range(2):
+            line = " ".join(word() for _ in range(size))[:size].replace(" ", "x", 1).strip().ljust(size, "e")
+            words = line.split(" ")
+            words[len(words) // 2] = word()
+            texts += [line, " ".join(words), *(mutate(r, line, round(size * share)).strip() for share in (0.02, 0.045, 0.05, 0.07))]
+    seen: list[str] = []
+    expected = []
+    for t in texts:
+        m = lambda x: min(len(x), len(t)) // 20  # noqa: B023, E731
+        near = len(t) >= 20 and any(x != t and len(x) >= 20 and abs(len(x) - len(t)) <= m(x) and distance(x, t) <= m(x) for x in seen)
+        expected.append((int(t in seen and not near), int(near)))
+        seen.append(t)
+    got = {x.doc_id: (x.n_equal, x.n_similar) for x in lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == expected
+    assert sum(n for _, n in expected) > 80
