@@ -25,7 +25,11 @@ PLACEHOLDER = "[secret]"
 
 #: Runs of key-like characters, values that are assigned to a name, and private key blocks.
 TOKENS = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}(?![A-Za-z0-9+/_\-])")
-ASSIGNED = re.compile(r"(?i)\b(?:pass(?:word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?\b[\"']?\s*[:=]\s*[\"']?([^\s\"',;]{8,})")
+NAME = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|bearer|credential)s?"
+ASSIGNED = re.compile(rf"(?i){NAME}[A-Za-z0-9_.\-]{{0,40}}[\"']?\s*[:=]\s*[\"']?(?:(?:bearer|basic)\s+)?([^\s\"',;]{{8,}})")
+BEARER = re.compile(r"(?i)\bbearer\s+[\"']?([^\s\"',;]{8,})")
+LOGIN = re.compile(r"://[^\s/:@\"'<>]{0,200}:([^\s/\"'<>]{1,200})@")
+NAMED = re.compile(NAME, re.I)
 BLOCKS = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?!-----BEGIN).)*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S)
 
 # Names that secrets or harmless digests are given, prefixes that issuers use, paths of tests, frequent words.
@@ -54,8 +58,8 @@ _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}
 def candidates(text: str) -> list[tuple[int, int]]:
     """Places, from start to end, that may hold a secret; they don't overlap and stand in the text's order."""
     found = [m.span() for m in BLOCKS.finditer(text)]
-    found += [m.span(1) for m in ASSIGNED.finditer(text)]
-    found += [m.span() for m in TOKENS.finditer(text) if any(c.isdigit() for c in m[0])]
+    found += [m.span(1) for pattern in (ASSIGNED, BEARER, LOGIN) for m in pattern.finditer(text)]
+    found += [m.span() for m in TOKENS.finditer(text) if any(c.isdigit() for c in m[0]) or m[0].startswith(PREFIXES) or NAMED.search(text, max(0, m.start() - 40), m.start())]
     out: list[tuple[int, int]] = []
     for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
         if not out or a >= out[-1][1]:

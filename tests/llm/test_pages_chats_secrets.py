@@ -119,3 +119,21 @@ def test_redaction(spark, forest, odd, empty):
     assert [text[s.start : s.start + s.length] for s in r.secrets] == ["04dbebab91ab85687d33eeaaf9ac699e1188f962"]
     out = secrets.scan(odd, forest)
     assert out.filter("redacted_text is distinct from text").count() == 0 and out.count() == 9 and secrets.scan(empty, forest).count() == 0
+
+
+@pytest.mark.parametrize(("text", "value"), [
+    ("DB_PASSWORD=hunter22!x", "hunter22!x"), ('auth_token = "Xk$9!aQz@1"', "Xk$9!aQz@1"), ('client_secret: "p@ssW0rd!9"', "p@ssW0rd!9"), ("Authorization: Bearer abc$DEF!12", "abc$DEF!12"),
+    ("private_key: Zx!9@kLm#2", "Zx!9@kLm#2"), ("postgres://bob:s3cr3t!pw@db/x", "s3cr3t!pw"), ("ghp_abcdefghijklmnopqrstuvwxyzABCDEFGHIJ", "ghp_abcdefghijklmnopqrstuvwxyzABCDEFGHIJ"),
+])
+def test_candidates_of_all_forms(text, value):
+    assert value in [text[a:b] for a, b in secrets.candidates(text)]
+
+
+def test_recall_from_text_to_verdict(forest):
+    secret = [x for x in secrets.seed_findings(1000, 99) if x[4]]
+    right = 0
+    for value, before, after, path, _ in secret:
+        found = secrets.scan_text(before + value + after, path, forest)
+        right += any(a <= len(before) and b >= len(before) + len(value) and v >= 0.5 for a, b, v in found)
+    print("recall", right, len(secret))
+    assert right >= 0.97 * len(secret)
