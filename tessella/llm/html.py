@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags. Pass 1 judges each block alone: menus, notices and the like by where they stand,
 lists of links by link density, long blocks by the share of stop words; short blocks without a clear sign stay open. Pass 2
-lets open blocks inherit from the nearest decided neighbours. A page that marks its article has its text there.
+lets open blocks inherit from the nearest decided neighbours. A marked article that holds enough of the page's good text moves the
+thresholds, down within and up outside; one that holds little, such as a teaser, is a block like others.
 """
 
 from __future__ import annotations
@@ -64,6 +65,8 @@ class Rules:
     stop_words: float = 0.2
     few_stop_words: float = 0.1
     links: float = 0.4
+    outside: float = 0.3  # stop words that a long block outside the marked article needs
+    share: float = 0.3  # of the page's good text, that an article holds which moves the thresholds
 
 
 @dataclass
@@ -156,14 +159,19 @@ def blocks_of(page: str) -> list[Block]:
 
 def judge(blocks: list[Block], rules: Rules) -> list[str]:
     """GOOD or BAD for each block."""
-    has_article = sum(len(b.text) for b in blocks if b.article and not b.marked) > 0
+    plain = [b for b in blocks if not (b.marked or b.heading or b.linked > rules.links)]
+    within = sum(len(b.text) for b in plain if b.article)
+    outside = sum(len(b.text) for b in plain if not b.article and len(b.text) >= rules.short and b.stops >= rules.stop_words)
+    has_article = within > 0 and within >= rules.share * (within + outside)
 
     def alone(b: Block) -> str:
-        if b.marked or b.linked > rules.links or has_article and not b.article:
+        if b.marked or b.linked > rules.links:
             return BAD
+        if has_article and not b.article:
+            return GOOD if len(b.text) >= rules.long and b.stops >= rules.outside and not b.heading else BAD
         if len(b.text) < rules.short or b.heading:
             return OPEN
-        if b.article or b.stops >= rules.stop_words:
+        if has_article or b.stops >= rules.stop_words:
             return GOOD
         return BAD if b.stops < rules.few_stop_words and len(b.text) < rules.long else OPEN
 

@@ -26,6 +26,16 @@ def test_unmarked_page_by_density():
     assert html.main_text(page) == f"Head\n{STORY.strip()}\nShort.\n{STORY.strip()}"
 
 
+def test_a_teaser_card_does_not_hide_the_text():
+    page = f"<body><div id=content><h1>Head</h1><p>{STORY}</p><p>Short.</p><p>{STORY}</p></div><article class=card><p>Read on about the fox.</p></article></body>"
+    assert html.main_text(page).startswith(f"Head\n{STORY.strip()}\nShort.\n{STORY.strip()}")
+
+
+def test_long_prose_beside_an_article():
+    page = f"<body><div><p>{STORY}</p><p>Posted by me</p></div><article><p>{STORY}</p><p>Short.</p></article></body>"
+    assert html.main_text(page) == f"{STORY.strip()}\n{STORY.strip()}\nShort."
+
+
 @pytest.mark.parametrize("attrs", ['class="overflow-hidden"', "class='md:hidden x'", 'style="overflow:hidden"', 'data-state="hidden"', 'aria-hidden="false"'])
 def test_names_and_overflow_hide_nothing(attrs):
     for page in (f"<html><body {attrs}><article><p>{STORY}</p></article></body></html>", f"<body><article {attrs}><p>{STORY}</p></article></body>", f"<div {attrs}><p>{STORY}</p></div>"):
