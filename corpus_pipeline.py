@@ -30,7 +30,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier document, or an earlier place, has; a document goes once no word is left."""
-    return _with_text(docs, lines.dedup_lines(docs).filter(F.col("text").rlike(quality.WORD)), "text")
+    return _with_text(docs, lines.dedup_lines(docs, min_chars=1).filter(F.col("text").rlike(quality.WORD)), "text")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

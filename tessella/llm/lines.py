@@ -32,7 +32,7 @@ PER = 20
 #: (least length of the shorter line, bytes of a gram q, grams of a window w): m characters with m // PER edits have an unbroken
 #: passage of ceil((m - m // PER) / (m // PER + 1)) characters, 15 from 60 on and 18 from 200 on, which is q + w - 1.
 GRAMS = ((60, 9, 7), (200, 11, 8))
-#: Lines shorter than this are never taken for duplicates: headings, closings and the like repeat in clean texts.
+#: Lines shorter than this are not taken for duplicates unless min_chars says so, as the query and the pipeline do with 1.
 MIN_CHARS = 20
 #: Letters whose counts bound the edits from below, and bits of each count.
 LETTERS, COUNT_BITS = "etaoinshrl", 6

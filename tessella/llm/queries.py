@@ -80,7 +80,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import lines
 
-    out = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=1)
     return out.select("doc_id", "n_lines", "n_equal", "n_similar", "first_docs", F.length("text").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 

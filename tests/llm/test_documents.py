@@ -235,3 +235,15 @@ def test_tolerance_follows_the_length(spark):
     got = {x.doc_id: (x.n_equal, x.n_similar) for x in lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(texts))] == expected
     assert sum(n for _, n in expected) > 80
+
+
+def test_short_lines_of_the_query_and_the_pipeline(spark, tmp_path):
+    """Equal lines go however short they are; lines without a word stay."""
+    import corpus_pipeline
+    from tessella.llm import queries
+
+    docs = spark.createDataFrame([(1, "Head.\n\nOne."), (2, "Head.\n\nTwo."), (3, "Head.")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: (r.n_equal, r.n_chars_left) for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert out == {1: (0, 11), 2: (1, 5), 3: (1, 0)}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {1: "Head.\n\nOne.", 2: "\nTwo."}
