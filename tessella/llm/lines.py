@@ -1,23 +1,31 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
 A line is a duplicate if an earlier line (by doc_id, then position) is equal to it or within its edit tolerance. Equal lines meet
-on their hash. For the rest, each first occurrence of a line indexes the tolerance-plus-one segments of its text, and probes the
-substrings of lines up to the tolerance shorter that could match a segment: with so few edits one segment survives, at a place
-that the lengths bound. Keys carry the segment's number and the indexed length. Pairs that share a key must agree, up to two
-counts an edit, in how often some letters occur - checked inside the join, so that lines with a common passage aren't paired -
-and are then verified by a banded bit-parallel edit distance.
+on their hash. For the rest, first occurrences of lines meet on hashes of segments, are filtered by counts inside the join, and are
+verified by a banded bit-parallel edit distance.
 
-Where the edits follow the length (one for each PER characters), segments would need probes by the cube of the edits. There the
-longest passage that so many edits can't break is of q + w - 1 characters or more, and both lines have the least hash of w
-neighbouring q-grams of that passage: lines meet on such least hashes, which are a quarter as many as characters or fewer.
+Lines of WORDS[0] words or more are compared by words. A line is cut into chunks after words of certain endings, which depends on
+nothing but the word before the cut; an edit of a word changes at most BROKEN pairs of neighbouring chunks. So a line with more than
+BROKEN pairs for each edit keeps one, and in any order of hashes one is among the first BROKEN * edits + 1 of either line: those are
+its segments. Two lines that both have too few chunks for that share a run of RUN words instead, and meet on their runs.
 
-A line's text is shuffled once, to find first occurrences; everything else travels as hashes. Where few rows of a table are
+Shorter lines are compared by characters. Up to three edits, each line indexes the edits-plus-one segments of its text and probes
+the substrings of lines up to the tolerance shorter that could match a segment: with so few edits one segment survives, at a place
+that the lengths bound. Keys carry the segment's number and the indexed length. Where the edits follow the length (one for each PER
+characters, in few but long words, or in scripts without spaces), the longest passage that so many edits can't break is of q + w - 1
+characters or more, and both lines have the least hash of w neighbouring q-grams of that passage: they meet on such least hashes.
+
+Pairs that share a key must agree, up to two counts an edit, in how often some letters, or endings of words, occur - checked inside
+the join, so that lines with a common passage aren't paired. A key of many lines is dealt out in pairs of blocks.
+
+A line's text is shuffled only to verify a pair; everything else travels as hashes. Where few rows of a table are
 wanted by key (lines to verify, documents to change), a broadcast set of at most BUCKETS hash buckets spares the others the
 shuffle; if all buckets are wanted it is a plain join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,14 +40,30 @@ PER = 20
 #: (least length of the shorter line, bytes of a gram q, grams of a window w): m characters with m // PER edits have an unbroken
 #: passage of ceil((m - m // PER) / (m // PER + 1)) characters, 15 from 60 on and 18 from 200 on, which is q + w - 1.
 GRAMS = ((60, 9, 7), (200, 11, 8))
+#: (least words of a line, words for each edit): from so many words on, what single spaces part, lines are compared by words: 5 %
+#: of the shorter line's, one at least.
+WORDS = (13, 20)
+#: A chunk of words ends after a word that ends in one of these (fixed values; any choice is exact, this one cuts every few words).
+CUT = r"(?<=[nst.,;:!?]) "
+#: Neighbouring chunks that one edit of a word can break, and words of a run that lines without enough chunks share.
+BROKEN, RUN = 3, 6
 #: Lines shorter than this are not taken for duplicates unless min_chars says so, as the query and the pipeline do with 1.
 MIN_CHARS = 20
-#: Letters whose counts bound the edits from below, and bits of each count.
-LETTERS, COUNT_BITS = "etaoinshrl", 6
+#: Letters whose counts bound the edits from below, endings of words whose counts do, and bits of each count.
+LETTERS, ENDINGS, COUNT_BITS = "etaoinshrl", "estdnrayo.", 6
 BUCKETS = 1 << 18
+#: Rows of a key in a block of the key join, rows of which one is looked at to find keys with more, and the most such keys to broadcast.
+BLOCK, LOOKED_AT, MOST_HOT = 512, 16, 1 << 16
+#: Edits up to which the distance is taken by bit vectors; beyond, by the banded distance of Spark.
+NARROW = 3
 _LAST = (1 << 63) - 1
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _windows(edits: int, shorter: int) -> list[tuple[int, int, int]]:
     """(segment, first shift, last shift) from the segment's place in a line `shorter` shorter: the multi-match-aware bounds."""
     out = []
@@ -75,7 +99,7 @@ def _keys(line: Column, n: Column, tolerance: tuple[tuple[int, int | None], ...]
 
 
 def _gram_keys(line: Column, n: Column) -> Column:
-    """The least hashes of each window of grams, for each length class whose pairs a line of n characters can be in. Grams are cut
+    """The least hashes of each window of grams of characters, for each length class whose pairs a line of n characters can be in. Grams are cut
     as bytes: a passage has at least as many bytes as characters."""
     raw = line.cast("binary")
 
@@ -93,11 +117,11 @@ def _gram_keys(line: Column, n: Column) -> Column:
     return F.concat(*found)
 
 
-def _letter_counts(line: Column) -> Column:
-    """Counts of LETTERS, each modulo 2^COUNT_BITS, packed in a long."""
+def _counts(line: Column, found: list[str]) -> Column:
+    """How often each text of `found` stands in a line, modulo 2^COUNT_BITS, packed in a long."""
     size, ring = F.octet_length(line), (1 << COUNT_BITS) - 1
-    count = lambda c: (size - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(ring))
-    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(count(c), COUNT_BITS * k) for k, c in enumerate(LETTERS)])
+    count = lambda c: ((size - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) / len(c)).cast("long").bitwiseAND(F.lit(ring))
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(count(c), COUNT_BITS * k) for k, c in enumerate(found)])
 
 
 def _count_distance(a: Column, b: Column) -> Column:
@@ -107,8 +131,8 @@ def _count_distance(a: Column, b: Column) -> Column:
     return reduce(lambda x, y: x + y, [F.least(ahead(k), ring + 1 - ahead(k)) for k in range(len(LETTERS))])
 
 
-def banded_distance(a: Column, b: Column, most: int) -> Column:
-    """The edit distance of two texts if it is at most `most` (up to 15), else null.
+def banded_distance(a: Column, b: Column, most: int, words: bool = False) -> Column:
+    """The edit distance of two texts, by characters or by words that single spaces part, if it is at most `most` (up to 15), else null.
 
     Bit vectors hold the vertical differences of a band of 2 * most + 1 cells around the diagonal, which slides down a row with
     each character of b (Hyyro's banded form of Myers' algorithm). The distance is followed along the band's lower edge to the last row
@@ -118,10 +142,6 @@ def banded_distance(a: Column, b: Column, most: int) -> Column:
     flip = lambda x: x.bitwiseXOR(F.lit(full))
     bit = lambda x, k: F.shiftright(x, k).bitwiseAND(F.lit(1))
 
-    def let(value: Column, body) -> Column:
-        """body(value), with value computed once."""
-        return F.get(F.transform(F.array(value), body), F.lit(0))
-
     def run(pair: Column) -> Column:
         x, y = pair["x"], pair["y"]
         m, n = F.size(x), F.size(y)
@@ -147,12 +167,28 @@ def banded_distance(a: Column, b: Column, most: int) -> Column:
         start = F.struct(F.lit(full ^ ((1 << most) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(most).alias("d"))
         return F.aggregate(F.transform(y, lambda ch, j: F.struct(ch.alias("ch"), j.alias("j"))), start, step)["d"]
 
-    chars = lambda t: F.filter(F.split(t, ""), lambda c: c != "")
-    long_enough = (F.length(a) > most) & (F.abs(F.length(a) - F.length(b)) <= most)
-    d = F.when(long_enough, let(F.struct(chars(a).alias("x"), chars(b).alias("y")), run)).otherwise(F.when(F.length(a) <= most, F.levenshtein(a, b)))
+    parts = lambda t: F.split(t, " ") if words else F.filter(F.split(t, ""), lambda c: c != "")
+    size = (lambda t: _n_words(t)) if words else F.length
+    long_enough = (size(a) > most) & (F.abs(size(a) - size(b)) <= most)
+    short = F.lit(None).cast("int") if words else F.when(F.length(a) <= most, F.levenshtein(a, b))
+    d = F.when(long_enough, let(F.struct(parts(a).alias("x"), parts(b).alias("y")), run)).otherwise(short)
     return F.when(d <= most, d)
 
 
+def word_distance(a: Column, b: Column, most: Column) -> Column:
+    """The edit distance by words of two texts if it is at most `most`, else null. Each different word of the two becomes a code
+    point of its own, so that the banded distance of texts does."""
+    code = lambda at: F.decode(F.unhex(F.lpad(F.hex(at + F.when(at < 0x8000, 0x2000).otherwise(0x10000)), 8, "0")), "UTF-32")  # noqa: E731  past the surrogates
+    spelt = lambda words, known: F.array_join(F.transform(words, lambda w: code(F.array_position(known, w))), "")
+    pair = F.struct(F.split(a, " ").alias("x"), F.split(b, " ").alias("y"))
+    d = let(pair, lambda p: let(F.array_distinct(F.concat(p["x"], p["y"])), lambda known: let(F.struct(spelt(p["x"], known).alias("x"), spelt(p["y"], known).alias("y"), most.alias("k")), _threshold)))
+    return F.when(d >= 0, d)
+
+
+def _threshold(p: Column) -> Column:
+    return F.call_function("levenshtein", p["x"], p["y"], p["k"])
+
+
 def _only(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """df's rows whose key's bucket is among the wanted keys' buckets: all that can match, and few more if few are wanted."""
     bucket = F.pmod(F.col(key), F.lit(BUCKETS)).cast("int").alias("_b")
@@ -163,34 +199,80 @@ def _edits(shorter: Column, tolerance: tuple[tuple[int, int | None], ...]) -> Co
     return reduce(lambda rule, t: F.when(shorter >= t[0], F.floor(shorter / PER).cast("int") if t[1] is None else F.lit(t[1])).otherwise(rule), tolerance, F.lit(0))
 
 
-def similar_lines(leaders: DataFrame, tolerance: tuple[tuple[int, int | None], ...] = TOLERANCE) -> DataFrame:
-    """leaders(h1, h2, at struct<d, t, no>, line, chars, c), distinct lines with their length and letter counts -> (h1, h2, first): lines with an earlier line (a smaller `at`)
-    within the tolerance of the shorter one, and where the earliest such line stands."""
-    keys = lambda k: F.explode(_keys(F.col("line"), F.col("chars"), tolerance)[k]).alias("key")
-    sized = leaders.filter(F.col("chars") >= min(t[0] for t in tolerance)).select("h1", "line", "chars", "c")
-    indexed = sized.select("h1", "c", "chars", keys(0)).alias("a")
-    probed = sized.select("h1", "c", "chars", keys(1)).alias("b")
-    most = max((t[1] for t in tolerance if t[1] is not None), default=0)
-    near = _count_distance(F.col("a.c"), F.col("b.c")) <= 2 * _edits(F.col("a.chars"), tolerance)  # the indexed line is the shorter
-    once = (F.col("a.chars") < F.col("b.chars")) | (F.col("a.h1") < F.col("b.h1"))  # of equal lengths either may be the indexed one
-    met = indexed.join(probed, (F.col("a.key") == F.col("b.key")) & once & near).select("a.h1", F.col("b.h1").alias("h"))
+def _word_edits(shorter: Column) -> Column:
+    return F.greatest(F.floor(shorter / WORDS[1]).cast("int"), F.lit(1))
+
+
+def _n_words(line: Column) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
+def _chunk_keys(line: Column, n: Column) -> Column:
+    """The keys of a line of n words: of its different pairs of neighbouring chunks, the first by hash; all, and its runs of words, if they are few."""
+    enough = _word_edits(n) * BROKEN + 1
+    pairs = lambda chunks: F.transform(F.slice(chunks, 1, F.size(chunks) - 1), lambda c, i: F.xxhash64(F.lit(-1), c, F.get(chunks, i + 1)))
+    runs = lambda words: F.transform(F.sequence(F.lit(1), F.size(words) - (RUN - 1)), lambda i: F.xxhash64(F.lit(-2), F.slice(words, i, RUN)))
+    chosen = lambda keys: F.when(F.size(keys) >= enough, F.slice(keys, F.lit(1), enough)).otherwise(F.concat(keys, let(F.split(line, " "), runs)))
+    return let(F.array_sort(F.array_distinct(let(F.split(line, CUT), pairs))), chosen)
+
+
+def _meet(keyed: DataFrame, condition: Column, other: DataFrame | None = None) -> DataFrame:
+    """Rows of keyed (as a) with rows of other, or of itself (as b), of equal key and what the condition says. Keys of many rows,
+    of which a look at one row in LOOKED_AT tells, are dealt out: a row in its own block meets each block of the other side."""
+    b = keyed if other is None else other
+    looked = keyed.filter(F.pmod("h1", F.lit(LOOKED_AT)) == 0).groupBy("key").count().filter(F.col("count") * LOOKED_AT > BLOCK)
+    hot = written(looked.select("key", F.ceil(F.col("count") * LOOKED_AT / BLOCK).cast("int").alias("blocks")), "hot-keys")
+    n = hot.count()
+    if not n:
+        return keyed.alias("a").join(b.alias("b"), (F.col("a.key") == F.col("b.key")) & condition)
+    if n <= MOST_HOT:
+        hot = F.broadcast(hot)
+    own = F.pmod(F.xxhash64("h1"), F.coalesce("blocks", F.lit(1))).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
+    left = keyed.join(hot, "key", "left").withColumns({"i": own, "j": every}).drop("blocks")
+    right = b.join(hot, "key", "left").withColumns({"j": own, "i": every}).drop("blocks")
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("key", "i", "j")])
+    return left.alias("a").join(right.alias("b"), same & condition)
+
+
+def _met(leaders: DataFrame, tolerance: tuple[tuple[int, int | None], ...]) -> DataFrame:
+    """(p, q): hashes h1 of lines that share a key and may be within the tolerance."""
+    distance = _count_distance(F.col("a.c"), F.col("b.c"))
+    by_word = leaders.filter("keys is not null").select("h1", "c", "n", F.explode("keys").alias("key"))
+    edits = _word_edits(F.least("a.n", "b.n"))
+    pairs = [_meet(by_word, (F.col("a.h1") < F.col("b.h1")) & (F.abs(F.col("a.n") - F.col("b.n")) <= edits) & (distance <= 2 * edits))]
+    short = leaders.filter(F.col("line").isNotNull() & (F.col("n") >= min(t[0] for t in tolerance)))
+    near = distance <= 2 * _edits(F.col("a.n"), tolerance)  # a is the shorter
+    once = (F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.h1") < F.col("b.h1"))
+    keys = lambda k: short.select("h1", "c", "n", F.explode(_keys(F.col("line"), F.col("n"), tolerance)[k]).alias("key"))
+    pairs.append(_meet(keys(0), ((F.col("a.n") < F.col("b.n")) | (F.col("a.h1") < F.col("b.h1"))) & near, keys(1)))
     if tolerance[-1][1] is None:
-        grams = leaders.filter(F.col("chars") >= tolerance[-1][0]).select("h1", "c", "chars", F.explode(_gram_keys(F.col("line"), F.col("chars"))).alias("key"))
-        a, b = grams.alias("a"), grams.alias("b")
-        once = (F.col("a.chars") < F.col("b.chars")) | (F.col("a.chars") == F.col("b.chars")) & (F.col("a.h1") < F.col("b.h1"))
-        close = F.col("b.chars") - F.col("a.chars") <= _edits(F.col("a.chars"), tolerance)
-        met = met.union(a.join(b, (F.col("a.key") == F.col("b.key")) & once & close & near).select("a.h1", "b.h1"))
-    pairs = written(met.select(F.least("h1", "h").alias("p"), F.greatest("h1", "h").alias("q")).distinct(), "line-pairs")
-    wanted = pairs.select(F.col("p").alias("h1")).union(pairs.select(F.col("q").alias("h1"))).distinct()
-    texts = _only(leaders.select("h1", "h2", "at", "line"), "h1", wanted).join(wanted, "h1")
-    side = lambda new: texts.select(F.col("h1").alias(new), *(F.col(c).alias(f"{new}_{c}") for c in ("h1", "h2", "at", "line")))
-    both = pairs.join(side("p"), "p").join(side("q"), "q")
-    allowed = _edits(F.least(F.length("p_line"), F.length("q_line")), tolerance)
-    distance = F.when(F.col("_k") <= most, banded_distance(F.col("p_line"), F.col("q_line"), most)).otherwise(F.expr("nullif(levenshtein(p_line, q_line, _k), -1)"))
+        grams = short.filter(F.col("n") >= tolerance[-1][0]).select("h1", "c", "n", F.explode(_gram_keys(F.col("line"), F.col("n"))).alias("key"))
+        pairs.append(_meet(grams, once & (F.col("b.n") - F.col("a.n") <= _edits(F.col("a.n"), tolerance)) & near))
+    found = reduce(DataFrame.union, [x.select(F.col("a.h1").alias("p"), F.col("b.h1").alias("q")) for x in pairs])
+    return found.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
+
+
+def similar_lines(leaders: DataFrame, lines: DataFrame, tolerance: tuple[tuple[int, int | None], ...] = TOLERANCE) -> DataFrame:
+    """leaders(h1, h2, at struct<d, t, no>, n, c, keys, line): the distinct lines, with their words and keys or their characters and
+    text, whichever rule they are under; lines(h1, at, line): all -> (h1, h2, first): lines with an earlier line (a smaller `at`)
+    within the tolerance of the shorter one, and where the earliest such line stands."""
+    pairs = written(_met(leaders, tolerance), "line-pairs")
+    wanted = pairs.select(F.explode(F.array("p", "q")).alias("h1")).distinct()
+    places = leaders.join(wanted, "h1", "left_semi").select("h1", "h2", "at", "n", F.col("keys").isNotNull().alias("words"))
+    texts = written(_only(lines.select("h1", "at", "line"), "h1", wanted).join(places, ["h1", "at"]), "wanted-lines")
+    side = lambda new: texts.select(F.col("h1").alias(new), *(F.col(c).alias(f"{new}_{c}") for c in ("h2", "at", "line", "n", "words")))
+    both = pairs.join(side("p"), "p").join(side("q"), "q").filter("p_words = q_words")
+    shorter, line = F.least("p_n", "q_n"), (F.col("p_line"), F.col("q_line"))
+    allowed = F.when(F.col("p_words"), _word_edits(shorter)).otherwise(_edits(shorter, tolerance))
+    narrow = F.col("_k") <= NARROW
+    distance = (
+        F.when(F.col("p_words") & narrow, banded_distance(*line, NARROW, words=True)).when(F.col("p_words"), word_distance(*line, F.col("_k")))
+        .when(narrow, banded_distance(*line, NARROW)).otherwise(F.expr("nullif(levenshtein(p_line, q_line, _k), -1)"))
+    )
     alike = both.withColumn("_k", allowed).withColumn("_d", distance).filter(F.col("_d") <= F.col("_k"))
     later = F.col("p_at") > F.col("q_at")
-    pick = lambda c: F.when(later, F.col(f"p_{c}")).otherwise(F.col(f"q_{c}"))
-    return alike.select(pick("h1").alias("h1"), pick("h2").alias("h2"), F.least("p_at", "q_at").alias("first")).groupBy("h1", "h2").agg(F.min("first").alias("first"))
+    return alike.select(F.when(later, F.col("p")).otherwise(F.col("q")).alias("h1"), F.when(later, F.col("p_h2")).otherwise(F.col("q_h2")).alias("h2"), F.least("p_at", "q_at").alias("first")).groupBy("h1", "h2").agg(F.min("first").alias("first"))
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", tolerance: tuple[tuple[int, int | None], ...] = TOLERANCE, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -199,28 +281,39 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
     Lines are compared without surrounding white space; those under min_chars characters stay. Null texts stay null with no
     lines. Rows of equal id and text stand or fall together, rows of equal id are ordered by a hash of their texts, and null ids
-    come last. An empty table gives no rows; columns of docs with the new names are replaced."""
-    keyed = docs.withColumns({"_d": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), "_t": F.xxhash64(F.col(text_col))})
-    split = F.split(F.col(text_col), "\n")
+    come last. An empty table gives no rows; columns of docs with the new names are replaced, all others stay, whatever their names."""
+    new = ("n_lines", "n_equal", "n_similar", "first_docs")
+    others = [c for c in docs.columns if c != text_col and c not in new]
+    keyed = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in others)).alias("row") if others else F.struct(F.lit(0).alias("none")).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"),
+        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("t"),
+    )
+    split = F.split("text", "\n")
     long_lines = F.filter(F.transform(split, lambda x, i: F.struct(i.alias("no"), F.btrim(x, F.lit(" \t\r\f\v")).alias("line"))), lambda s: F.length(s["line"]) >= min_chars)
-    lines = keyed.select("_d", "_t", F.inline(long_lines)).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct(F.col("_d").alias("d"), F.col("_t").alias("t"), "no").alias("at"), "line")
-    firsts = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("at", "line")).alias("x"))
-    leaders = written(firsts.select("h1", "h2", "n", "x.at", "x.line", F.length("x.line").alias("chars"), _letter_counts(F.col("x.line")).alias("c")), "first-lines")
-    similar = written(similar_lines(leaders.drop("n"), tolerance), "similar-lines")
-    known = leaders.filter("n > 1").select("h1", "h2", F.col("at").alias("lead")).join(similar, ["h1", "h2"], "full")
+    lines = keyed.select("d", "t", F.inline(long_lines)).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct("d", "t", "no").alias("at"), "line")
+    by_word = F.col("words") >= WORDS[0]
+    with_keys = lines.withColumn("words", _n_words(F.col("line"))).select(
+        "h1", "h2", "at", F.when(by_word, F.col("words")).otherwise(F.length("line")).alias("n"), F.when(by_word, _chunk_keys(F.col("line"), F.col("words"))).alias("keys"), F.when(~by_word, F.col("line")).alias("line"),
+        F.when(by_word, _counts(F.concat("line", F.lit(" ")), [f"{e} " for e in ENDINGS])).otherwise(_counts(F.col("line"), list(LETTERS))).alias("c"),
+    )
+    firsts = with_keys.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("n", "c", "keys", "line")))
+    leaders = written(firsts, "first-lines")
+    similar = written(similar_lines(leaders, lines, tolerance), "similar-lines")
+    known = leaders.filter("times > 1").select("h1", "h2", F.col("at").alias("lead")).join(similar, ["h1", "h2"], "full")
     gone = _only(lines.select("h1", "h2", "at"), "h1", known).join(known, ["h1", "h2"]).filter("first is not null or at <> lead")
-    per_doc = gone.groupBy(F.col("at.d").alias("_d"), F.col("at.t").alias("_t")).agg(F.collect_set(F.struct(F.col("at.no").alias("no"), F.col("first").isNotNull().alias("similar"), F.coalesce("first", "lead")["d"].alias("doc"))).alias("_gone"))
+    per_doc = gone.groupBy("at.d", "at.t").agg(F.collect_set(F.struct(F.col("at.no").alias("no"), F.col("first").isNotNull().alias("similar"), F.coalesce("first", "lead")["d"].alias("doc"))).alias("gone"))
     per_doc = written(per_doc, "gone-lines")
-    bucket = F.pmod(F.col("_t"), F.lit(BUCKETS)).cast("int").alias("_b")
-    marks = F.broadcast(per_doc.select(bucket).distinct().withColumn("_hit", F.lit(True)))
-    marked = keyed.withColumn("_b", bucket).join(marks, "_b", "left").drop("_b")
-    changed = marked.filter("_hit").join(per_doc, ["_d", "_t"], "left").select(*keyed.columns, "_gone")
-    same = marked.filter("_hit is null").select(*keyed.columns, F.lit(None).cast(per_doc.schema["_gone"].dataType).alias("_gone"))
-    out = changed.unionByName(same).withColumn("_gone", F.coalesce("_gone", F.array().cast(per_doc.schema["_gone"].dataType)))
-    n = F.greatest(F.size(split), F.lit(0))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.transform("_gone", lambda g: g["no"]))
-    text = F.when(F.size("_gone") == 0, F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
-    return out.withColumns({
-        "n_lines": n, "n_equal": F.size(F.filter("_gone", lambda g: ~g["similar"])), "n_similar": F.size(F.filter("_gone", lambda g: g["similar"])),
-        "first_docs": F.array_sort(F.array_distinct(F.transform("_gone", lambda g: g["doc"]))), text_col: text,
-    }).drop("_d", "_t", "_gone")
+    bucket = F.pmod("t", F.lit(BUCKETS)).cast("int").alias("b")
+    marks = F.broadcast(per_doc.select(bucket).distinct().withColumn("hit", F.lit(True)))
+    marked = keyed.withColumn("b", bucket).join(marks, "b", "left")
+    changed = marked.filter("hit").join(per_doc.hint("shuffle_hash"), ["d", "t"], "left").select("row", "text", "gone")
+    out = changed.unionByName(marked.filter("hit is null").select("row", "text", F.lit(None).cast(per_doc.schema["gone"].dataType).alias("gone")))
+    kept = lambda parts: F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.transform("gone", lambda g: g["no"]))
+    rest = let(split, lambda parts: F.array_join(F.transform(kept(parts), lambda i: F.get(parts, i)), "\n"))
+    count = lambda similar: F.coalesce(F.size(F.filter("gone", lambda g: g["similar"] == similar)), F.lit(0))
+    made = {
+        text_col: F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest), "n_lines": F.greatest(F.size(split), F.lit(0)), "n_equal": count(False), "n_similar": count(True),
+        "first_docs": F.coalesce(F.array_sort(F.array_distinct(F.transform("gone", lambda g: g["doc"]))), F.array().cast("array<bigint>")),
+    }
+    order = [c for c in docs.columns if c not in new] + list(new)
+    return out.select(*(made.get(c, F.col("row").getField(c) if c in others else None).alias(c) for c in order))

@@ -176,18 +176,34 @@ def mutate(r: random.Random, text: str, k: int) -> str:
 @pytest.mark.parametrize("most", [1, 2, 3])
 def test_banded_distance(spark, most):
     r = random.Random(most)
+    texts = [" ".join(r.choice("abc") for _ in range(r.randint(1, 14))) for _ in range(400)]
+    for x in spark.createDataFrame([(a, mutate(r, a, 4) if k % 2 else b) for k, (a, b) in enumerate(zip(texts, texts[1:]))], "a string, b string").select(
+        "a", "b", lines.banded_distance(F.col("a"), F.col("b"), most, words=True).alias("d"), lines.word_distance(F.col("a"), F.col("b"), F.lit(most)).alias("e")
+    ).collect():
+        d = distance(x.a.split(" "), x.b.split(" "))
+        assert x.e == (d if d <= most else None)
+        assert x.d == x.e or min(x.a.count(" "), x.b.count(" ")) < most + 1
     pairs = [(a, mutate(r, a, r.randint(0, 5))) for a in ("".join(r.choice("abcé") for _ in range(r.randint(0, 30))) for _ in range(400))]
     for x in spark.createDataFrame(pairs, "a string, b string").select("a", "b", lines.banded_distance(F.col("a"), F.col("b"), most).alias("d")).collect():
         d = distance(x.a, x.b)
         assert x.d == (d if d <= most else None)
 
 
-def test_line_dedup(spark):
-    r = random.Random(3)
-    base = ["".join(r.choice("etaoin bcd") for _ in range(r.randint(15, 70))).strip() for _ in range(50)]
-    docs = [(i, "\n".join(mutate(r, r.choice(base), r.choice([0, 0, 1, 2, 3])) for _ in range(r.randint(0, 5)))) for i in range(120)]
-    got = {x.doc_id: (x.text, x.n_equal, x.n_similar) for x in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), tolerance=((20, 1), (40, 2))).collect()}
-    seen: list[str] = []
+def alike(x: str, y: str, edits=lambda n: n // 20 if n >= 20 else 0) -> bool:
+    """The rule of two different lines: by words from 13 words on, else by characters."""
+    v, w = x.split(" "), y.split(" ")
+    if (len(v) < 13) != (len(w) < 13):
+        return False
+    if len(v) < 13:
+        most = edits(min(len(x), len(y)))
+        return abs(len(x) - len(y)) <= most and 0 < most and distance(x, y) <= most
+    most = max(1, min(len(v), len(w)) // 20)
+    return abs(len(v) - len(w)) <= most and distance(v, w) <= most
+
+
+def held_against(got: dict, docs: list[tuple[int, str]], **rule) -> int:
+    seen: dict[str, None] = {}
+    total = 0
     for i, text in docs:
         left, equal, similar = [], 0, 0
         for line in text.split("\n"):
@@ -195,16 +211,47 @@ def test_line_dedup(spark):
             if len(key) < 20:
                 left.append(line)
                 continue
-            before = seen[: seen.index(key)] if key in seen else seen
-            if any(abs(len(x) - len(key)) <= 2 and distance(x, key) <= (2 if min(len(x), len(key)) >= 40 else 1) for x in before):
+            before = list(seen)[: list(seen).index(key)] if key in seen else seen
+            if any(alike(x, key, **rule) for x in before):
                 similar += 1
             elif key in seen:
                 equal += 1
             else:
                 left.append(line)
-            if key not in seen:
-                seen.append(key)
-        assert got[i] == ("\n".join(left), equal, similar)
+            seen.setdefault(key)
+        assert got[i] == ("\n".join(left), equal, similar), i
+        total += similar
+    return total
+
+
+def test_line_dedup(spark):
+    r = random.Random(3)
+    base = ["".join(r.choice("etaoin bcd") for _ in range(r.randint(15, 70))).strip() for _ in range(50)]
+    docs = [(i, "\n".join(mutate(r, r.choice(base), r.choice([0, 0, 1, 2, 3])) for _ in range(r.randint(0, 5)))) for i in range(120)]
+    got = {x.doc_id: (x.text, x.n_equal, x.n_similar) for x in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), tolerance=((20, 1), (40, 2))).collect()}
+    assert held_against(got, docs, edits=lambda n: 2 if n >= 40 else 1 if n >= 20 else 0) > 20
+
+
+@pytest.mark.parametrize("kind", ["prose", "few endings", "one word", "long words"])
+def test_line_dedup_by_words(spark, kind, monkeypatch):
+    """Lines of 12 to 130 words with up to 8 % of their words changed, put in or left out; keys of four lines and more are dealt out in blocks."""
+    monkeypatch.setattr(lines, "BLOCK", 4)
+    monkeypatch.setattr(lines, "LOOKED_AT", 1)
+    r = random.Random(len(kind))
+    letters = {"prose": "etaoinshrdlué,", "few endings": "aou", "one word": "x", "long words": "etaoinshrdlu"}[kind]
+    word = lambda: "".join(r.choice(letters) for _ in range(1 if kind == "one word" else r.randint(11, 40) if kind == "long words" else r.randint(1, 6)))
+    texts = []
+    for size in (12, 13, 14, 19, 20, 25, 39, 40, 41, 59, 60, 79, 80, 81, 100, 130):
+        base = [word() for _ in range(size)]
+        for share in (0, 0, 0.02, 0.04, 0.05, 0.05, 0.06, 0.08):
+            words = list(base)
+            for _ in range(round(size * share)):
+                at = r.randrange(len(words))
+                words[at : at + r.choice([0, 1, 1])] = [word() for _ in range(r.choice([0, 1, 1]))]
+            texts.append(" ".join(words))
+    docs = list(enumerate(texts))
+    got = {x.doc_id: (x.text, x.n_equal, x.n_similar) for x in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert held_against(got, docs) > 20
 
 
 def test_line_dedup_of_odd_rows(odd, empty):
@@ -215,26 +262,17 @@ def test_line_dedup_of_odd_rows(odd, empty):
 
 
 def test_tolerance_follows_the_length(spark):
-    """Near copies of lines of 20 to 900 characters at up to 7 % edits, one changed word among them, against all pairs at 5 %."""
+    """Near copies of lines of 20 to 900 characters and fewer than 13 words at up to 7 % edits, against all pairs at 5 %."""
     r = random.Random(8)
-    word = lambda: "".join(r.choice("etaoinshrdlué") for _ in range(r.randint(2, 9)))
-    texts = []
+    word = lambda k: "".join(r.choice("etaoinshrdlué") for _ in range(k))
+    docs = []
     for size in (20, 39, 40, 59, 60, 62, 79, 100, 199, 200, 205, 210, 380, 420, 640):
         for _ in range(2):
-            line = " ".join(word() for _ in range(size))[:size].replace(" ", "x", 1).strip().ljust(size, "e")
-            words = line.split(" ")
-            words[len(words) // 2] = word()
-            texts += [line, " ".join(words), *(mutate(r, line, round(size * share)).strip() for share in (0.02, 0.045, 0.05, 0.07))]
-    seen: list[str] = []
-    expected = []
-    for t in texts:
-        m = lambda x: min(len(x), len(t)) // 20  # noqa: B023, E731
-        near = len(t) >= 20 and any(x != t and len(x) >= 20 and abs(len(x) - len(t)) <= m(x) and distance(x, t) <= m(x) for x in seen)
-        expected.append((int(t in seen and not near), int(near)))
-        seen.append(t)
-    got = {x.doc_id: (x.n_equal, x.n_similar) for x in lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert [got[i] for i in range(len(texts))] == expected
-    assert sum(n for _, n in expected) > 80
+            line = " ".join(word(max(2, size // 9)) for _ in range(8))[:size].ljust(size, "e")
+            docs += [line, *(mutate(r, line, round(size * share)).strip() for share in (0.02, 0.045, 0.05, 0.07))]
+    docs = list(enumerate(docs))
+    got = {x.doc_id: (x.text, x.n_equal, x.n_similar) for x in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert held_against(got, docs) > 60
 
 
 def test_short_lines_of_the_query_and_the_pipeline(spark, tmp_path):
