@@ -6,8 +6,9 @@ verified by a banded bit-parallel edit distance.
 
 Lines of WORDS[0] words or more are compared by words. A line is cut into chunks after words of certain endings, which depends on
 nothing but the word before the cut; an edit of a word changes at most BROKEN pairs of neighbouring chunks. So a line with more than
-BROKEN pairs for each edit keeps one, and in any order of hashes one is among the first BROKEN * edits + 1 of either line: those are
-its segments. Two lines that both have too few chunks for that share a run of RUN words instead, and meet on their runs.
+BROKEN pairs for each edit keeps one, and in any order of pairs one is among the first BROKEN * edits + 1 of either line: those are
+its segments. Two lines that both have too few chunks for that meet on least hashes of neighbouring runs of RUN words, as they share
+longer runs.
 
 Shorter lines are compared by characters. Up to three edits, each line indexes the edits-plus-one segments of its text and probes
 the substrings of lines up to the tolerance shorter that could match a segment: with so few edits one segment survives, at a place
@@ -44,9 +45,13 @@ GRAMS = ((60, 9, 7), (200, 11, 8))
 #: of the shorter line's, one at least.
 WORDS = (13, 20)
 #: A chunk of words ends after a word that ends in one of these (fixed values; any choice is exact, this one cuts every few words).
-CUT = r"(?<=[nst.,;:!?]) "
-#: Neighbouring chunks that one edit of a word can break, and words of a run that lines without enough chunks share.
+CUT = r" (?<=[nst.,;:!?] )"
+#: Pairs of neighbouring chunks that one edit of a word can break, and words of a run that lines without enough chunks share.
 BROKEN, RUN = 3, 6
+#: (least words of a line, runs of a window): lines of 13 words within the tolerance share 6 words in a row, lines of 20 share 9, from
+#: 40 on 13; so they share RUN + window - 1.
+RUN_WINDOWS = ((20, 4), (40, 8))
+_RANKS = 1023
 #: Lines shorter than this are not taken for duplicates unless min_chars says so, as the query and the pipeline do with 1.
 MIN_CHARS = 20
 #: Letters whose counts bound the edits from below, endings of words whose counts do, and bits of each count.
@@ -208,12 +213,17 @@ def _n_words(line: Column) -> Column:
 
 
 def _chunk_keys(line: Column, n: Column) -> Column:
-    """The keys of a line of n words: of its different pairs of neighbouring chunks, the first by hash; all, and its runs of words, if they are few."""
+    """The keys of a line of n words: of its different pairs of neighbouring chunks the first, in the order of their lengths, the
+    longest first, as these are in few lines; all, and least hashes of its runs of words, if they are few."""
     enough = _word_edits(n) * BROKEN + 1
-    pairs = lambda chunks: F.transform(F.slice(chunks, 1, F.size(chunks) - 1), lambda c, i: F.xxhash64(F.lit(-1), c, F.get(chunks, i + 1)))
-    runs = lambda words: F.transform(F.sequence(F.lit(1), F.size(words) - (RUN - 1)), lambda i: F.xxhash64(F.lit(-2), F.slice(words, i, RUN)))
-    chosen = lambda keys: F.when(F.size(keys) >= enough, F.slice(keys, F.lit(1), enough)).otherwise(F.concat(keys, let(F.split(line, " "), runs)))
-    return let(F.array_sort(F.array_distinct(let(F.split(line, CUT), pairs))), chosen)
+    ranked = lambda a, b: (_RANKS - F.least(F.octet_length(a) + F.octet_length(b), F.lit(_RANKS))).cast("long")
+    key = lambda a, b: F.shiftleft(ranked(a, b), 53).bitwiseOR(F.shiftrightunsigned(F.xxhash64(a, b), 11))
+    pairs = lambda chunks: F.zip_with(F.slice(chunks, 1, F.size(chunks) - 1), F.slice(chunks, 2, F.size(chunks)), key)
+    hashes = lambda words: F.transform(F.sequence(F.lit(1), F.size(words) - (RUN - 1)), lambda i: F.xxhash64(F.lit(-2), F.slice(words, i, RUN)))
+    window = reduce(lambda rule, w: F.when(n >= w[0], w[1]).otherwise(rule), RUN_WINDOWS, F.lit(1))
+    least = lambda found: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(found) - (window - 1)), lambda i: F.array_min(F.slice(found, i, window))))
+    chosen = lambda keys: F.when(F.size(keys) >= enough, F.slice(keys, F.lit(1), enough)).otherwise(F.concat(keys, let(let(F.split(line, " "), hashes), least)))
+    return let(F.sort_array(F.array_distinct(let(F.split(line, CUT), pairs))), chosen)
 
 
 def _meet(keyed: DataFrame, condition: Column, other: DataFrame | None = None) -> DataFrame:
@@ -270,6 +280,8 @@ def similar_lines(leaders: DataFrame, lines: DataFrame, tolerance: tuple[tuple[i
         F.when(F.col("p_words") & narrow, banded_distance(*line, NARROW, words=True)).when(F.col("p_words"), word_distance(*line, F.col("_k")))
         .when(narrow, banded_distance(*line, NARROW)).otherwise(F.expr("nullif(levenshtein(p_line, q_line, _k), -1)"))
     )
+    most = lambda a, b: F.size(F.array_except(F.split(a, " "), F.split(b, " "))) <= F.col("_k")  # noqa: E731  different words that the other lacks
+    distance = F.when(~F.col("p_words") | most(*line) & most(*line[::-1]), distance)
     alike = both.withColumn("_k", allowed).withColumn("_d", distance).filter(F.col("_d") <= F.col("_k"))
     later = F.col("p_at") > F.col("q_at")
     return alike.select(F.when(later, F.col("p")).otherwise(F.col("q")).alias("h1"), F.when(later, F.col("p_h2")).otherwise(F.col("q_h2")).alias("h2"), F.least("p_at", "q_at").alias("first")).groupBy("h1", "h2").agg(F.min("first").alias("first"))
