@@ -4,11 +4,13 @@ The automaton starts with one state whose arcs are the single bytes. Each merge
 wherever a u-arc leads to a state r that has a v-arc to s, a uv-arc to s is added and the u-arc is led to a copy of r that
 lacks the v-arc. As all u-arcs lead to one state, that copy is the state "u was last" itself, less one arc; the uv-arc leaves
 exactly the states that u's arc leaves, and its state starts as a copy of v's state as it was then. So a state is a token, with
-(a) the state it was copied from and when and (b) the arcs taken from it and when; whether state x has an arc y is decided by
-walking both down to bytes, once, and then stands in a transition table.
+(a) the state it was copied from and when and (b) the arcs taken from it and when; whether state x has an arc y follows from both
+of them down to bytes, and then stands in a table of arcs.
 
-A path of arcs that spells a word is its BPE encoding and there is only one. Encoding keeps, for each prefix, the last arc of
-the prefix's path (there is one); each further byte takes table look-ups only. Decoding emits arc labels.
+A path of arcs that spells a word is its BPE encoding and there is only one. Arcs carry many bytes, so a second table, compiled
+beforehand from the arcs' labels, takes one step for each byte: its nodes are the labels' beginnings, and each knows the longest label
+that ends there. Encoding takes that step, then the longest such label that the state at its start has as an arc; the last arc of
+each beginning of the word stands in a list by position, so that time and memory follow the word's length. Decoding emits arc labels.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.chunks import Memory, head_and_words, per_worker
+from tessella.llm.chunks import REMEMBERED, Memory, head_and_words, per_worker
 
 #: Words as the byte-level pre-tokenizer cuts them (a fixed value of this family of tokenizers).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Transitions a worker remembers before it starts anew.
-TABLE = 2_000_000
+#: Arcs between tokens that a worker remembers before it starts anew.
+TABLE = 500_000
 _EVER = 1 << 60
 
 
@@ -42,89 +44,99 @@ class MergeAutomaton:
     """Built from a vocabulary {bytes: id} and ordered merges [(bytes, bytes)]."""
 
     def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
-        self.ids, self.labels = vocab, {i: t for t, i in vocab.items()}
-        self.longest = max(map(len, vocab), default=1)
-        self.born = {bytes([b]): -1 for b in range(256)}  # token -> the merge that made its arc
-        self.halves: dict[bytes, tuple[bytes, bytes]] = {}
-        self.cut: dict[bytes, dict[bytes, int]] = {}  # state -> arcs taken from it, and by which merge
+        self.labels = {i: t for t, i in vocab.items()}
+        self.vocab = vocab
+        # An arc is a number: bytes first, then merges in order. Of each: the merge that made it, its halves and its label.
+        self.arcs = {bytes([b]): b for b in range(256)}
+        self.born, self.halves, self.label = [-1] * 256, [(0, 0)] * 256, [bytes([b]) for b in range(256)]
+        self.cut: dict[int, int] = {}  # state and arc -> the merge that took the arc from the state
         for k, (u, v) in enumerate(merges):
             self._gadget(k, u, v)
-        self.table: dict[tuple[bytes, bytes], bool] = {}
-        self.after: dict[bytes, bytes] = {}
+        self.table: dict[int, bool] = {}
+        self.ids = [vocab.get(t, -1) for t in self.label]
+        self._compile()
 
     def _gadget(self, k: int, u: bytes, v: bytes) -> None:
-        if u not in self.born or v not in self.born or not self._has_arc(u, v, k):
+        x, y = self.arcs.get(u), self.arcs.get(v)
+        if x is None or y is None or not self._has_arc(x, y, k):
             return  # no path has these arcs in a row, so the merge never applies
-        self.cut.setdefault(u, {})[v] = k
-        self.born[u + v], self.halves[u + v] = k, (u, v)
-
-    def _has_arc(self, state: bytes, arc: bytes, until: int) -> bool:
+        self.cut[x << 32 | y] = k
+        if u + v not in self.arcs:
+            self.arcs[u + v] = len(self.label)
+            self.label.append(u + v)
+            self.born.append(k)
+            self.halves.append((x, y))
+
+    def _has_arc(self, state: int, arc: int, until: int) -> bool:
         """Whether, before merge `until`, the state "state was last" had the arc."""
+        born, halves, cut = self.born, self.halves, self.cut
         while True:
-            if self.cut.get(state, {}).get(arc, until) < until:
+            if cut.get(state << 32 | arc, until) < until:
                 return False
-            a, b = self.born[state], self.born[arc]
+            a, b = born[state], born[arc]
             if a < 0 and b < 0:
                 return True
             if a > b:  # the state began as a copy of its right half's, with the arcs of then
-                until, state = a, self.halves[state][1]
+                until, state = a, halves[state][1]
             else:  # the arc was added wherever its left half's arc was left; in runs (u = v) that merge itself cuts u's own
-                until, arc = b + 1, self.halves[arc][0]
-
-    def follows(self, state: bytes, arc: bytes) -> bool:
-        key = (state, arc)
+                until, arc = b + 1, halves[arc][0]
+
+    def _compile(self) -> None:
+        """The byte table: node and byte -> node for the beginnings of labels; of a node, the one to go on from if it has no such
+        byte, and the longest label that ends there; of an arc, the longest shorter label that ends it."""
+        self.step: dict[int, int] = {}
+        depth, ends = [0], [-1]
+        for arc, label in enumerate(self.label):
+            node = 0
+            for byte in label:
+                key = node << 8 | byte
+                if (new := self.step.get(key)) is None:
+                    new = self.step[key] = len(depth)
+                    depth.append(depth[node] + 1)
+                    ends.append(-1)
+                node = new
+            ends[node] = arc
+        self.fall, self.longest, self.shorter = [0] * len(depth), list(ends), [-1] * len(self.label)
+        for key, node in sorted(self.step.items(), key=lambda x: depth[x[1]]):
+            parent, byte = key >> 8, key & 255
+            if parent:
+                at = self.fall[parent]
+                while at and (at << 8 | byte) not in self.step:
+                    at = self.fall[at]
+                self.fall[node] = self.step.get(at << 8 | byte, 0)
+            below = self.longest[self.fall[node]]
+            if ends[node] < 0:
+                self.longest[node] = below
+            else:
+                self.shorter[ends[node]] = below
+
+    def follows(self, state: int, arc: int) -> bool:
+        key = state << 32 | arc
         if (known := self.table.get(key)) is None:
             if len(self.table) >= TABLE:
                 self.table.clear()
             known = self.table[key] = self._has_arc(state, arc, _EVER)
         return known
 
-    def path(self, word: bytes) -> list[bytes]:
-        """The arcs that spell word. after: a prefix -> the last arc of its path, kept as words share prefixes."""
-        if len(word) > 40:
-            return self._long_path(word)
-        n, after, born, table = len(word), self.after, self.born, self.table
-        if len(self.after) >= TABLE:
-            self.after.clear()
-        known = n
-        while known and word[:known] not in after:
-            known -= 1
-        for end in range(known + 1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                arc = word[start:end]
-                if arc in born:
-                    if not start:
-                        break
-                    state = after[word[:start]]
-                    allowed = table.get((state, arc))
-                    if allowed or allowed is None and self.follows(state, arc):
-                        break
-            after[word[:end]] = arc
-        out, end = [], n
-        while end:
-            out.append(arc := after[word[:end]])
-            end -= len(arc)
-        return out[::-1]
-
-    def _long_path(self, word: bytes) -> list[bytes]:
-        """As path(), with the last arcs by the prefix's length: a word of n bytes takes memory by n, not by its square."""
-        n, born, table = len(word), self.born, self.table
-        last = [b""] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                arc = word[start:end]
-                if arc in born:
-                    if not start:
-                        break
-                    state = last[start]
-                    allowed = table.get((state, arc))
-                    if allowed or allowed is None and self.follows(state, arc):
-                        break
-            last[end] = arc
-        out, end = [], n
+    def path(self, word: bytes) -> list[int]:
+        """The arcs that spell word."""
+        step, fall, longest, shorter, label, table = self.step, self.fall, self.longest, self.shorter, self.label, self.table
+        last, node = [-1], 0
+        for end, byte in enumerate(word, 1):
+            while (new := step.get(node << 8 | byte)) is None:
+                node = fall[node]
+            node = new
+            arc = longest[node]
+            while start := end - len(label[arc]):
+                allowed = table.get(last[start] << 32 | arc)
+                if allowed or allowed is None and self.follows(last[start], arc):
+                    break
+                arc = shorter[arc]
+            last.append(arc)
+        out, end = [], len(word)
         while end:
             out.append(arc := last[end])
-            end -= len(arc)
+            end -= len(label[arc])
         return out[::-1]
 
     def encode(self, word: bytes) -> list[int]:
@@ -149,9 +161,9 @@ class ByteBpe:
         self.automaton.labels |= {i: t.encode() for t, i in self.added.items()}
         self._words = regex.compile(WORDS)
         self._added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.words = Memory(self.automaton.encode)
-        self.heads = Memory(self._chunk, 50_000)
-        self.tails = Memory(lambda w: self._chunk(" " + w))
+        self.words = Memory(lambda w: self.automaton.encode(w.encode()), REMEMBERED // 3)
+        self.heads = Memory(self._chunk, REMEMBERED // 3)
+        self.tails = Memory(lambda w: self._chunk(" " + w), 2 * REMEMBERED)
 
     def _chunk(self, chunk: str) -> tuple[str, int, bytes]:
         """Of a chunk: its ids, each followed by a comma; how many; the bytes they decode to."""
@@ -161,12 +173,12 @@ class ByteBpe:
                 ids.append(self.added[part])
             elif part:
                 for word in self._words.findall(part):
-                    ids += self.words[word.encode()] if len(word) < 64 else self.automaton.encode(word.encode())
+                    ids += self.words[word]
         return "".join(f"{i}," for i in ids), len(ids), self.automaton.decode(ids)
 
     def round_trip(self, text: str) -> tuple[str, int, bytes]:
         head, words = head_and_words(text)
-        a, n, b = self.heads[head] if len(head) < 64 else self._chunk(head)
+        a, n, b = self.heads[head]
         if not words:
             return a[:-1], n, b
         ids, counts, labels = zip(*map(self.tails.__getitem__, words), strict=True)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.chunks import Memory, load_tokenizer, per_worker
+from tessella.llm.chunks import REMEMBERED, Memory, load_tokenizer, per_worker
 from tessella.llm.scratch import written
 
 #: Bytes of ids that a task holds before it hands them on.
@@ -34,7 +34,7 @@ class WordIds:
         tokenizer = load_tokenizer(path)
         self._whole = lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
         self.pieces = Memory(self._whole)
-        self.chunks = Memory(self._chunk, 1_000_000)
+        self.chunks = Memory(self._chunk, 2 * REMEMBERED)
 
     def _chunk(self, chunk: str) -> bytes:
         if m := _PIECE.fullmatch(chunk):

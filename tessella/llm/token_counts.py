@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.chunks import REMEMBERED, balanced, head_and_words, load_tokenizer, per_worker
+from tessella.llm.chunks import LONG, MARKS, Memory, at_marks, balanced, head_and_words, load_tokenizer, per_worker
 
 #: Bytes of new chunks that go to the library at once.
 BATCH_BYTES = 1 << 16
@@ -20,7 +20,8 @@ BATCH_BYTES = 1 << 16
 
 class _Counter:
     def __init__(self, path: str):
-        self.lengths: dict[str, int] = {}
+        self.lengths = Memory(lambda chunk: self.count([chunk])[0])  # a head as it is, a later chunk without its space: a tab in front of the former tells them apart
+        self.cut = False
         if path.endswith(".model"):
             import sentencepiece
 
@@ -29,27 +30,32 @@ class _Counter:
             self.encode = lambda batch: [len(x) for x in model.encode(batch, num_threads=1)]
         else:
             model = load_tokenizer(path)
+            self.cut = not any(set(MARKS) & set(t.content) for t in model.get_added_tokens_decoder().values())
             self.split = head_and_words
             self.encode = lambda batch: [len(x) for x in model.encode_batch_fast(batch, add_special_tokens=False)]
 
+    def count(self, chunks: list[str]) -> list[int]:
+        """Lengths of chunks, which go to the library in batches balanced by bytes; long ones in parts."""
+        parts = [list(at_marks(c)) if self.cut and len(c) > LONG else [c] for c in chunks]
+        lengths = iter([n for batch in balanced([p for x in parts for p in x], BATCH_BYTES) for n in self.encode(batch)])
+        return [sum(next(lengths) for _ in x) for x in parts]
+
     def __call__(self, texts: list[str]) -> Iterator[int]:
-        # a head is kept as it is, a later chunk without its space: a tab in front tells them apart
+        lengths = self.lengths
         for text in texts:
             head, words = self.split(text)
-            lengths = self.lengths
-            try:
-                yield sum(map(lengths.__getitem__, words)) + lengths["\t" + head]
-                continue
-            except KeyError:
-                pass
-            if len(lengths) > REMEMBERED:
-                lengths.clear()
-            new = [w for w in dict.fromkeys(words) if w not in lengths]
-            for batch in balanced(new, BATCH_BYTES):
-                lengths.update(zip(batch, self.encode([" " + w for w in batch]), strict=True))
-            if "\t" + head not in lengths:
-                lengths["\t" + head] = self.encode([head])[0]
-            yield sum(map(lengths.__getitem__, words)) + lengths["\t" + head]
+            known = dict.get
+            found = [known(lengths, w) for w in words]
+            if None in found:
+                new = list({w: None for w, n in zip(words, found, strict=True) if n is None})
+                made = dict(zip(new, self.count([" " + w for w in new]), strict=True))
+                for w, n in made.items():
+                    lengths.remember(w, n)
+                found = [made[w] if n is None else n for w, n in zip(words, found, strict=True)]
+            if (n := known(lengths, "\t" + head)) is None:
+                n = self.count([head])[0]
+                lengths.remember("\t" + head, n)
+            yield sum(found) + n
 
 
 def token_count(text: Column, tokenizer_path: str) -> Column:

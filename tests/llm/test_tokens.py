@@ -14,7 +14,7 @@ pytest.importorskip("tessella.llm")
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tessella.llm import bpe, packing, token_counts
+from tessella.llm import bpe, chunks, packing, token_counts
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 PARTS = ["a", "b", " ", "  ", "\n", "\t", "é", "日本", "🙂", "'s", "'ll", "123", "!!", "the", "ing", "<|endoftext|>", " ", "\x1c", "ß", "A", "un", "​", "'", "\r\n", "Straße", "İ", "é", "　"]
@@ -55,7 +55,7 @@ def test_automaton_of_few_merges():
     for n in range(7):
         for k in range(2**n):
             word = bytes(b"ab"[(k >> i) & 1] for i in range(n))
-            assert auto.path(word) == plain(word), word
+            assert [auto.label[arc] for arc in auto.path(word)] == plain(word), word
 
 
 def test_counts_are_the_library():
@@ -127,7 +127,23 @@ def test_a_long_run_takes_memory_by_its_length(run):
         tracemalloc.stop()
 
 
-def test_a_run_of_200_000_characters():
+@pytest.mark.parametrize("run", ["=", "etaoinshrdlu"])
+def test_a_run_of_1_000_000_characters(run):
     library, own = Tokenizer.from_file(BYTE), bpe.ByteBpe(BYTE)
-    text = "=" * 200_000
+    text = (run * (1_000_000 // len(run) + 1))[:1_000_000]
     assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_memories_are_bounded_by_bytes_on_texts_without_spaces():
+    """Long chunks are not remembered, short ones up to a number of bytes; cuts at marks leave counts as they are."""
+    r = random.Random(6)
+    texts = ["".join(r.choice("日本語漢字文章。、！abc'") for _ in range(r.choice([30, 3000, 40_000]))) for _ in range(60)]
+    library, count, own, words = Tokenizer.from_file(BYTE), token_counts._Counter(BYTE), bpe.ByteBpe(BYTE), packing.WordIds(WORD)
+    count.lengths.most = own.tails.most = own.heads.most = own.words.most = words.chunks.most = words.pieces.most = 20_000
+    for text, n in zip(texts, count(texts), strict=True):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert n == len(ids) and own.encode(text) == ids
+        words(text)
+    for memory in (count.lengths, own.heads, own.words, own.tails, words.chunks, words.pieces):
+        assert memory.held <= 20_000 and all(len(c) <= chunks.KEPT for c in memory)
+        assert sum(chunks.weight(c, v) for c, v in memory.items()) <= memory.held
