@@ -1,15 +1,19 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. Pass 1 judges each block alone: menus, notices and the like by where they stand,
-lists of links by link density, long blocks by the share of stop words; short blocks without a clear sign stay open. Pass 2
-lets open blocks inherit from the nearest decided neighbours. A marked article that holds enough of the page's good text moves the
-thresholds, down within and up outside; one that holds little, such as a teaser, is a block like others.
+A page is cut into blocks at block-level tags. Pass 1 judges each block alone by length, link density and the share of stop words:
+long blocks with enough stop words are good, lists of links and long blocks without are bad, short ones and headings stay open; what
+stands in menus, notices and the like is bad. Pass 2 lets open blocks inherit from the nearest decided neighbours.
+
+An article element is a prior: if its text as a whole has stop words and makes up enough of the page's good text, limits are lower
+within it and higher outside; one that holds little, such as a teaser, is a block like others. Listings and pages in languages
+without a list of stop words, which have next to none of them, are judged by length and links alone.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +40,14 @@ MARKED = re.compile(
     r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|menu|nav(?:bar|igation)?|breadcrumbs?|sidebar|side|widget|related|recommended|share|sharing|social|comments?|respond|disqus|footer|foot|masthead|site-header|page-header|topbar|toolbar|pagination|pager|tags?|copyright|legal|skip)(?:$|[-_\s\d])",
     re.I,
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^\"'>])*)(?:>|\Z)", re.S)
+#: A comment, a declaration or a tag. A quoted value that holds a < and ends in = has lost its closing quote; such a tag ends at its first >.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)"
+    r"(?:(?P<attrs>(?:\"[^\"<]*\"|\"[^\"<]*<[^\"]*(?<!=)\"|'[^'<]*'|'[^'<]*<[^']*(?<!=)'|[^\"'>])*+)(?:>|\Z)|(?P<broken>[^>]*)(?:>|\Z))",
+    re.S,
+)
+#: Open elements that a start tag ends (fixed values of HTML); each block-level one also ends an open p.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "option": ("option",)}
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Attributes with their values, what may hide an element, and styles that do.
 ATTRIBUTES = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -65,14 +76,17 @@ class Rules:
     stop_words: float = 0.2
     few_stop_words: float = 0.1
     links: float = 0.4
-    outside: float = 0.3  # stop words that a long block outside the marked article needs
-    share: float = 0.3  # of the page's good text, that an article holds which moves the thresholds
+    prior: float = 0.5  # what the limits of length and stop words are multiplied by within an article
+    outside: float = 0.3  # stop words that a long block outside the article needs
+    share: float = 0.3  # of the page's good text, that an article holds which moves the limits
+    unknown: float = 0.02  # of all words, below which the language has no list of stop words
 
 
 @dataclass
 class Block:
     text: str
     linked: float  # share of its characters within links
+    words: int
     stops: float  # share of its words that are stop words
     marked: bool  # stands in a menu, notice, advert and so on
     article: bool  # stands in the marked article
@@ -84,16 +98,33 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, marked here, article here
+    opened: Counter[str] = Counter()  # how many of each name are open
     marked = article = anchors = 0
     heading = ""
 
+    def close() -> str:
+        nonlocal marked, article, anchors
+        name, was_marked, was_article = stack.pop()
+        opened[name] -= 1
+        marked, article, anchors = marked - was_marked, article - was_article, anchors - (name == "a")
+        return name
+
+    def end_open(names: tuple[str, ...]) -> None:
+        """Closes the innermost block-level element, and what is open within it, if it is one of names."""
+        k = len(stack) - 1
+        while k >= 0 and stack[k][0] not in BLOCKS:
+            k -= 1
+        if k >= 0 and stack[k][0] in names:
+            while len(stack) > k:
+                close()
+
     def end_block() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
             words = re.findall(r"[^\W\d_]+", text.lower())
-            out.append(Block(text, min(1.0, linked / len(text)), sum(w in STOP_WORDS for w in words) / max(1, len(words)), marked > 0, article > 0, bool(heading)))
+            out.append(Block(text, min(1.0, linked / len(text)), len(words), sum(w in STOP_WORDS for w in words) / max(1, len(words)), marked > 0, article > 0, bool(heading)))
         linked = 0
 
     def add(raw: str) -> None:
@@ -112,7 +143,7 @@ def blocks_of(page: str) -> list[Block]:
             break
         add(page[at : m.start()])
         at = m.end()
-        name = (m["name"] or "").lower()
+        name, attrs = (m["name"] or "").lower(), m["attrs"] or m["broken"] or ""
         if not name:
             continue
         if m["close"]:
@@ -120,15 +151,11 @@ def blocks_of(page: str) -> list[Block]:
                 end_block()
             if name == heading:
                 heading = ""
-            if any(x[0] == name for x in stack):
-                while stack:
-                    was, was_marked, was_article = stack.pop()
-                    marked, article, anchors = marked - was_marked, article - was_article, anchors - (was == "a")
-                    if was == name:
-                        break
+            while opened[name] and close() != name:
+                pass
             continue
         if name in SKIPPED:
-            if m["attrs"].endswith("/"):
+            if attrs.endswith("/"):
                 continue
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             if name == "head" and not end:
@@ -139,19 +166,25 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in BLOCKS:
             end_block()
+            end_open(("p",))
+            for _ in ENDS.get(name, ()):
+                end_open(ENDS[name])
+            if name in ("p", "ul", "ol", "table"):
+                heading = ""
         elif name in ("br", "wbr", "img"):
             parts.append("" if name == "wbr" else " ")
-        if name in VOID or m["attrs"].endswith("/"):
+        if name in VOID or attrs.endswith("/"):
             continue
         if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
             heading = name
-        names = [next(filter(None, x), "") for x in NAMES.findall(m["attrs"])] if m["attrs"] else []
-        here = name in BOILERPLATE_TAGS and not (name == "header" and article) or any(MARKED.search(BESIDE.sub("", x)) or ROLES.match(x) for x in names) and name not in ("html", "body", "article", "main") or bool(m["attrs"]) and name not in ("html", "body") and is_hidden(m["attrs"])
+        names = [next(filter(None, x), "") for x in NAMES.findall(attrs)] if attrs else []
+        here = name in BOILERPLATE_TAGS and not (name == "header" and article) or any(MARKED.search(BESIDE.sub("", x)) or ROLES.match(x) for x in names) and name not in ("html", "body", "article", "main") or bool(attrs) and name not in ("html", "body") and is_hidden(attrs)
         main = name in ("article", "main")
         if name in ("article", "main") and any(re.search(r"(?:^|[-_\s])comments?(?:$|[-_\s\d])", x, re.I) for x in names):
             here, main = True, False
         if name == "a" or here or main or name in BLOCKS:
             stack.append((name, here, main))
+            opened[name] += 1
             marked, article, anchors = marked + here, article + main, anchors + (name == "a")
     end_block()
     return out
@@ -159,21 +192,26 @@ def blocks_of(page: str) -> list[Block]:
 
 def judge(blocks: list[Block], rules: Rules) -> list[str]:
     """GOOD or BAD for each block."""
-    plain = [b for b in blocks if not (b.marked or b.heading or b.linked > rules.links)]
-    within = sum(len(b.text) for b in plain if b.article)
-    outside = sum(len(b.text) for b in plain if not b.article and len(b.text) >= rules.short and b.stops >= rules.stop_words)
-    has_article = within > 0 and within >= rules.share * (within + outside)
+    plain = [b for b in blocks if not (b.marked or b.linked > rules.links)]
+    stops = lambda found: sum(b.stops * b.words for b in found) / max(1, sum(b.words for b in found))
+    need = 0.0 if stops(plain) < rules.unknown else rules.stop_words
+    inside = [b for b in plain if b.article]
+    within = sum(len(b.text) for b in inside)
+    outside = sum(len(b.text) for b in plain if not (b.article or b.heading) and len(b.text) >= rules.short and b.stops >= need)
+    prose = stops(inside) >= rules.few_stop_words  # else a listing, or a language without a list: length and links decide, if no other text is good
+    need_inside = need * rules.prior if prose else 0.0
+    has_article = within > 0 and within >= rules.share * (within + outside) and (stops(inside) >= need_inside if prose else not outside)
 
     def alone(b: Block) -> str:
         if b.marked or b.linked > rules.links:
             return BAD
         if has_article and not b.article:
-            return GOOD if len(b.text) >= rules.long and b.stops >= rules.outside and not b.heading else BAD
-        if len(b.text) < rules.short or b.heading:
+            return GOOD if len(b.text) >= rules.long and b.stops >= (rules.outside if need else 0.0) and not b.heading else BAD
+        if len(b.text) < rules.short * (rules.prior if has_article else 1.0) or b.heading:
             return OPEN
-        if has_article or b.stops >= rules.stop_words:
+        if b.stops >= (need_inside if has_article else need):
             return GOOD
-        return BAD if b.stops < rules.few_stop_words and len(b.text) < rules.long else OPEN
+        return BAD if b.stops < rules.few_stop_words and not has_article else OPEN
 
     first = [alone(b) for b in blocks]
     decided = [x != OPEN and not b.marked and (b.article or not has_article) for x, b in zip(first, blocks, strict=True)]

@@ -47,6 +47,58 @@ def test_hidden_elements_are_left_out(attrs):
     assert html.main_text(f"<body><div {attrs}><p>{STORY}</p></div><article><p>Seen. {STORY}</p></article></body>") == f"Seen. {STORY.strip()}"
 
 
+@pytest.mark.parametrize("rules", [{"stop_words": 0.99}, {"links": -1.0}, {"share": 1.1}])
+def test_limits_decide(spark, rules):
+    """Of the pages' texts, nearly all of which stand in one article, those change whose densities a limit turns down."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    plain, moved = [html.main_text(p) for p in pages], [html.main_text(p, html.Rules(**rules)) for p in pages]
+    assert sum(a != b for a, b in zip(plain, moved, strict=True)) > (0.1 if "share" in rules else 0.8) * len(pages)
+
+
+def test_density_decides_within_an_article():
+    noise = "Zxcv qwrt plkj mnbv hgfd tyui. " * 8
+    links = " ".join(f"<a href={i}>Story of the number {i} in the list</a>" for i in range(9))
+    page = f"<article><p>{STORY}</p><p>{links}</p><p>Short one.</p><p>{STORY}</p></article>"
+    assert html.main_text(page) == f"{STORY.strip()}\nShort one.\n{STORY.strip()}"
+    assert html.main_text(f"<article><p>{noise}</p></article><div><p>{STORY}</p></div>") == STORY.strip()
+    assert html.main_text("<article><p>日本語のテキストです。</p></article>") == "日本語のテキストです。"
+
+
+def brute_blocks(page: str) -> list[str]:
+    """The blocks of a page of p elements and menus, by hand."""
+    import html as h
+    import re
+
+    body = re.sub(r"(?s)<(head|script|style|nav|footer|aside|form)\b.*?</\1>|<!--.*?-->|<div class=\"ad\">.*?</div>", "", page)
+    return [x for part in re.split(r"</?(?:p|h1|article|body|html|div|ul|li)\b[^>]*>", body) if (x := " ".join(h.unescape(re.sub(r"<br>", " ", re.sub(r"<(?!br)[^>]*>", "", part))).split()))]
+
+
+def test_pages_by_brute_force(spark):
+    """On pages whose article is all that is left without menus and notices, the text is that article."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    held = 0
+    for p in pages:
+        article = p[p.index("<article") : p.index("</article>")]
+        if not any(x in article for x in ("<aside", "<form", "<nav", "class=", "<section", "<ul", "<table")):
+            held += 1
+            assert html.main_text(p) == "\n".join(brute_blocks(article)), p[:300]
+    assert held > 0.5 * len(pages)
+
+
+def test_broken_quotes_and_end_tags():
+    import time
+
+    assert html.main_text(f'<body><p class="x>{STORY}</p><p class="y">{STORY}</p></body>') == f"{STORY.strip()}\n{STORY.strip()}"
+    assert html.main_text(f'<body><p>{STORY}</p><p class="x>{STORY}') == f"{STORY.strip()}\n{STORY.strip()}"
+    assert html.main_text(f'<p title="a < b">{STORY}</p>') == STORY.strip()
+    assert html.main_text(f"<article><p>{STORY}<p>{STORY}<ul><li>One of the two.<li class=ad>Buy.<li>Two of the two.</ul></article>") == f"{STORY.strip()}\n{STORY.strip()}\nOne of the two.\nTwo of the two."
+    began = time.perf_counter()
+    html.main_text("<p>" * 16_000 + "</b></div>" * 16_000)
+    html.main_text("<div>" * 16_000 + "</b></p>" * 16_000)
+    html.main_text("<p>" + "<a>" * 16_000 + "<div></p>" * 16_000)
+    assert time.perf_counter() - began < 1.5
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "plain", "<!-- open", "<script>x", "<p>a</div></p></p>", "<a" * 1000, "&#x110000;&bogus;", "<p>" * 3000 + "x"])
 def test_broken_pages(page):
     assert isinstance(html.main_text(page), str)
