@@ -32,6 +32,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.keys import BUCKETS, meet, only
 from tessella.llm.scratch import written
 
 #: (least length of the shorter line, edits): lines below the first length are compared for equality only. None, which only the
@@ -56,9 +57,6 @@ _RANKS = 1023
 MIN_CHARS = 20
 #: Letters whose counts bound the edits from below, endings of words whose counts do, and bits of each count.
 LETTERS, ENDINGS, COUNT_BITS = "etaoinshrl", "estdnrayo.", 6
-BUCKETS = 1 << 18
-#: Rows of a key in a block of the key join, rows of which one is looked at to find keys with more, and the most such keys to broadcast.
-BLOCK, LOOKED_AT, MOST_HOT = 512, 16, 1 << 16
 #: Edits up to which the distance is taken by bit vectors; beyond, by the banded distance of Spark.
 NARROW = 3
 _LAST = (1 << 63) - 1
@@ -194,12 +192,6 @@ def _threshold(p: Column) -> Column:
     return F.call_function("levenshtein", p["x"], p["y"], p["k"])
 
 
-def _only(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """df's rows whose key's bucket is among the wanted keys' buckets: all that can match, and few more if few are wanted."""
-    bucket = F.pmod(F.col(key), F.lit(BUCKETS)).cast("int").alias("_b")
-    return df.withColumn("_b", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "_b", "left_semi").drop("_b")
-
-
 def _edits(shorter: Column, tolerance: tuple[tuple[int, int | None], ...]) -> Column:
     return reduce(lambda rule, t: F.when(shorter >= t[0], F.floor(shorter / PER).cast("int") if t[1] is None else F.lit(t[1])).otherwise(rule), tolerance, F.lit(0))
 
@@ -226,39 +218,20 @@ def _chunk_keys(line: Column, n: Column) -> Column:
     return let(F.sort_array(F.array_distinct(let(F.split(line, CUT), pairs))), chosen)
 
 
-def _meet(keyed: DataFrame, condition: Column, other: DataFrame | None = None) -> DataFrame:
-    """Rows of keyed (as a) with rows of other, or of itself (as b), of equal key and what the condition says. Keys of many rows,
-    of which a look at one row in LOOKED_AT tells, are dealt out: a row in its own block meets each block of the other side."""
-    b = keyed if other is None else other
-    looked = keyed.filter(F.pmod("h1", F.lit(LOOKED_AT)) == 0).groupBy("key").count().filter(F.col("count") * LOOKED_AT > BLOCK)
-    hot = written(looked.select("key", F.ceil(F.col("count") * LOOKED_AT / BLOCK).cast("int").alias("blocks")), "hot-keys")
-    n = hot.count()
-    if not n:
-        return keyed.alias("a").join(b.alias("b"), (F.col("a.key") == F.col("b.key")) & condition)
-    if n <= MOST_HOT:
-        hot = F.broadcast(hot)
-    own = F.pmod(F.xxhash64("h1"), F.coalesce("blocks", F.lit(1))).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
-    left = keyed.join(hot, "key", "left").withColumns({"i": own, "j": every}).drop("blocks")
-    right = b.join(hot, "key", "left").withColumns({"j": own, "i": every}).drop("blocks")
-    same = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("key", "i", "j")])
-    return left.alias("a").join(right.alias("b"), same & condition)
-
-
 def _met(leaders: DataFrame, tolerance: tuple[tuple[int, int | None], ...]) -> DataFrame:
     """(p, q): hashes h1 of lines that share a key and may be within the tolerance."""
     distance = _count_distance(F.col("a.c"), F.col("b.c"))
     by_word = leaders.filter("keys is not null").select("h1", "c", "n", F.explode("keys").alias("key"))
     edits = _word_edits(F.least("a.n", "b.n"))
-    pairs = [_meet(by_word, (F.col("a.h1") < F.col("b.h1")) & (F.abs(F.col("a.n") - F.col("b.n")) <= edits) & (distance <= 2 * edits))]
+    pairs = [meet(by_word, (F.col("a.h1") < F.col("b.h1")) & (F.abs(F.col("a.n") - F.col("b.n")) <= edits) & (distance <= 2 * edits))]
     short = leaders.filter(F.col("line").isNotNull() & (F.col("n") >= min(t[0] for t in tolerance)))
     near = distance <= 2 * _edits(F.col("a.n"), tolerance)  # a is the shorter
     once = (F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.h1") < F.col("b.h1"))
     keys = lambda k: short.select("h1", "c", "n", F.explode(_keys(F.col("line"), F.col("n"), tolerance)[k]).alias("key"))
-    pairs.append(_meet(keys(0), ((F.col("a.n") < F.col("b.n")) | (F.col("a.h1") < F.col("b.h1"))) & near, keys(1)))
+    pairs.append(meet(keys(0), ((F.col("a.n") < F.col("b.n")) | (F.col("a.h1") < F.col("b.h1"))) & near, keys(1)))
     if tolerance[-1][1] is None:
         grams = short.filter(F.col("n") >= tolerance[-1][0]).select("h1", "c", "n", F.explode(_gram_keys(F.col("line"), F.col("n"))).alias("key"))
-        pairs.append(_meet(grams, once & (F.col("b.n") - F.col("a.n") <= _edits(F.col("a.n"), tolerance)) & near))
+        pairs.append(meet(grams, once & (F.col("b.n") - F.col("a.n") <= _edits(F.col("a.n"), tolerance)) & near))
     found = reduce(DataFrame.union, [x.select(F.col("a.h1").alias("p"), F.col("b.h1").alias("q")) for x in pairs])
     return found.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
 
@@ -270,7 +243,7 @@ def similar_lines(leaders: DataFrame, lines: DataFrame, tolerance: tuple[tuple[i
     pairs = written(_met(leaders, tolerance), "line-pairs")
     wanted = pairs.select(F.explode(F.array("p", "q")).alias("h1")).distinct()
     places = leaders.join(wanted, "h1", "left_semi").select("h1", "h2", "at", "n", F.col("keys").isNotNull().alias("words"))
-    texts = written(_only(lines.select("h1", "at", "line"), "h1", wanted).join(places, ["h1", "at"]), "wanted-lines")
+    texts = written(only(lines.select("h1", "at", "line"), "h1", wanted).join(places, ["h1", "at"]), "wanted-lines")
     side = lambda new: texts.select(F.col("h1").alias(new), *(F.col(c).alias(f"{new}_{c}") for c in ("h2", "at", "line", "n", "words")))
     both = pairs.join(side("p"), "p").join(side("q"), "q").filter("p_words = q_words")
     shorter, line = F.least("p_n", "q_n"), (F.col("p_line"), F.col("q_line"))
@@ -312,7 +285,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     leaders = written(firsts, "first-lines")
     similar = written(similar_lines(leaders, lines, tolerance), "similar-lines")
     known = leaders.filter("times > 1").select("h1", "h2", F.col("at").alias("lead")).join(similar, ["h1", "h2"], "full")
-    gone = _only(lines.select("h1", "h2", "at"), "h1", known).join(known, ["h1", "h2"]).filter("first is not null or at <> lead")
+    gone = only(lines.select("h1", "h2", "at"), "h1", known).join(known, ["h1", "h2"]).filter("first is not null or at <> lead")
     per_doc = gone.groupBy("at.d", "at.t").agg(F.collect_set(F.struct(F.col("at.no").alias("no"), F.col("first").isNotNull().alias("similar"), F.coalesce("first", "lead")["d"].alias("doc"))).alias("gone"))
     per_doc = written(per_doc, "gone-lines")
     bucket = F.pmod("t", F.lit(BUCKETS)).cast("int").alias("b")

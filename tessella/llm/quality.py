@@ -7,6 +7,8 @@ it in repeated word windows). Everything happens within the row, so the plan is
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,35 +30,34 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, WORD_GAP), lambda w: w != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once: a lambda over an array of one."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def repeated_words(words: Column, window: int = 5) -> Column:
     """How many words lie in word windows that the text has twice or more.
 
     Equal windows are found by sorting (hash, position) pairs, and only in texts whose distinct hashes are fewer than their
     windows; the covered words then follow from the gaps between the sorted positions."""
-    n = F.size(words)
-    hashes = F.transform(F.sequence(F.lit(1), n - window + 1), lambda i: F.xxhash64(F.slice(words, i, window)))
-    pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - window + 1), lambda i: F.xxhash64(F.slice(words, i, window)))
 
     def positions(p: Column) -> Column:
         def twin(x: Column, k: Column) -> Column:
             return (F.get(p, k - 1)["h"] == x["h"]) | (F.get(p, k + 1)["h"] == x["h"])
 
-        return F.array_sort(F.transform(F.filter(p, lambda x, k: F.coalesce(twin(x, k), F.lit(False))), lambda x: x["i"]))
+        return F.sort_array(F.transform(F.filter(p, lambda x, k: F.coalesce(twin(x, k), F.lit(False))), lambda x: x["i"]))
 
     def covered(at: Column) -> Column:
         steps = F.zip_with(at, F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), lambda a, b: F.least(F.coalesce(b - a, F.lit(window)), F.lit(window)))
         return F.aggregate(steps, F.lit(0), lambda s, x: s + x)
 
-    def inline(value: Column, body) -> Column:
-        """body(value), with value computed once: a lambda over an array of one."""
-        return F.get(F.transform(F.array(value), body), F.lit(0))
-
-    some = inline(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(inline(_sorted(h), lambda p: inline(positions(p), covered))))
-    return F.when(n >= window + 1, some).otherwise(F.lit(0)).cast("long")
+    some = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(_sorted(h), lambda p: let(positions(p), covered))))
+    return F.when(F.size(words) >= window + 1, some).otherwise(F.lit(0)).cast("long")
 
 
 def _sorted(hashes: Column) -> Column:
-    return F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
 
 def failing_line(line: Column, min_words: int = 3) -> Column:
@@ -64,41 +65,42 @@ def failing_line(line: Column, min_words: int = 3) -> Column:
 
     "punctuation" is a line of min_words words or more that does not end a sentence; shorter lines without an end are taken for
     headings and stay."""
-    noisy = F.regexp_count(line, F.lit(NOISE)) * 2 > F.regexp_count(line, F.lit(WORD_GAP)) + 1
+    gaps = F.regexp_count(line, F.lit(WORD_GAP))
+    noisy = F.when(line.rlike(NOISE), F.regexp_count(line, F.lit(NOISE)) * 2 > gaps + 1).otherwise(False)
     return (
         F.when(line.rlike(BOILERPLATE), "boilerplate")
         .when(noisy, "noise")
         .when(line.rlike(NAVIGATION), "navigation")
-        .when(~line.rlike(CLOSED) & (F.regexp_count(line, F.lit(WORD_GAP)) + 1 >= min_words), "punctuation")
+        .when(~line.rlike(CLOSED) & (gaps + 1 >= min_words), "punctuation")
     )
 
 
 def clean_lines(text: Column) -> Column:
     """The lines of a text that pass, joined again; lines without words stay where they are."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~line.rlike(WORD) | failing_line(line).isNull()), "\n")
+    return F.array_join(F.filter(F.split(text, "\n"), lambda line: failing_line(line).isNull() | ~line.rlike(WORD)), "\n")
 
 
 def judge(docs: DataFrame, text_col: str = "text", min_words: int = 10, most_repeated: float = 0.2, most_lost: float = 0.5) -> DataFrame:
     """docs with clean_text (failing lines removed), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars,
     base_failed and kept.
 
-    base_failed: fewer than min_words words, or repeated windows cover more than most_repeated of them. kept: not base_failed,
+    base_failed: fewer than min_words words, or repeated windows cover more than most_repeated of them; such texts go whole, so
+    their lines are not judged and clean_text is the text. kept: not base_failed,
     and no more than most_lost of the words' characters stood in failing lines. A null text has no words, so it fails.
-    Repeated rows get equal results; columns of docs with these names are replaced."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = lambda: F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
+    Repeated rows get equal results; columns of docs with these names are replaced, all others stay, whatever their names."""
+    new = ("clean_text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "base_failed", "kept")
+    others = [c for c in docs.columns if c not in new]
+    row = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.struct(F.lit(0).alias("none"))
     chars = lambda x: F.length(F.regexp_replace(x, WORD_GAP, "")).cast("long")
-    out = docs.withColumn("_words", words_of(text)).withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": chars(text),
-        "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
-        "_lines": lines(),
-        "clean_text": clean_lines(text),
-        "n_repeat_words": repeated_words(F.col("_words")),
-    })
-    out = out.withColumns({
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "lost_chars": F.col("word_chars") - chars(F.col("clean_text")),
-        "base_failed": (F.col("n_words") < min_words) | (F.col("n_repeat_words") > most_repeated * F.col("n_words")),
-    })
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= most_lost * F.col("word_chars"))).drop("_words", "_lines")
+    out = docs.select(row.alias("row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
+    words = lambda: words_of(F.col("t"))
+    with_words = F.filter(F.split("t", "\n"), lambda line: line.rlike(WORD))
+    out = out.select("*", let(words(), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"))).alias("w"))
+    out = out.select("row", "t", "w.*", ((F.col("w.n_words") < min_words) | (F.col("w.n_repeat_words") > most_repeated * F.col("w.n_words"))).alias("base_failed"))
+    out = out.select(
+        "*", chars(F.col("t")).alias("word_chars"), F.regexp_count("t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        let(with_words, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), F.when(F.col("base_failed"), F.col("t")).otherwise(clean_lines(F.col("t"))).alias("clean_text"),
+    )
+    out = out.withColumn("lost_chars", F.col("word_chars") - F.when(F.col("clean_text") == F.col("t"), F.col("word_chars")).otherwise(chars(F.col("clean_text"))))
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= most_lost * F.col("word_chars")))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in others), *new)

@@ -13,7 +13,7 @@ pytest.importorskip("tessella.llm")
 import xxhash
 from pyspark.sql import functions as F
 
-from tessella.llm import components, lines, merkle, quality, simhash
+from tessella.llm import components, keys, lines, merkle, quality, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -109,6 +109,8 @@ def test_simhash(documents, odd, empty):
     for r in simhash.near_duplicates(documents).collect():
         assert r.fp % (1 << 64) == prints[r.doc_id] and r.component_id == find(r.doc_id)
     assert simhash.near_duplicates(odd).count() == 9 and simhash.near_duplicates(empty).count() == 0
+    assert simhash.near_copies(odd).count() == 8 and simhash.near_copies(empty).count() == 0
+    assert simhash.keep_first(odd).columns == odd.columns
 
 
 @pytest.mark.parametrize("block", [4, 256])
@@ -143,6 +145,46 @@ def test_links_connect_as_all_pairs_do(spark, block):
     assert groups([(x.u % (1 << 64), x.v % (1 << 64)) for x in found]) == groups(edges)
 
 
+def test_near_copies(spark, monkeypatch):
+    """Planted near copies of short and long texts, groups of them, exact copies and a line that all share, against all pairs."""
+    monkeypatch.setattr(keys, "BLOCK", 8)
+    monkeypatch.setattr(keys, "LOOKED_AT", 1)
+    monkeypatch.setattr(simhash, "COPIES", 3)
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(1, 7)))
+    rows = []
+    for size in (1, 4, 6, 12, 30, 80, 150, 170, 300, 900, 3000):
+        for _ in range(3):
+            base = [word() for _ in range(size)]
+            for edits in (0, 0, 1, size // 120, size // 60, size // 40, size // 25):
+                words = list(base)
+                for _ in range(edits):
+                    words[r.randrange(len(words))] = word()
+                rows.append((len(rows), "this line stands in each of the texts " + " ".join(words)))
+    r.shuffle(rows)
+    rows += [(None, rows[0][1]), (5000, None), (5001, ""), (5002, " ")]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows if i is not None and (w := WORD.findall((t or "").lower()) or [""])}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = 0
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                links += 1
+                if find(i) != find(j):
+                    root[max(find(i), find(j))] = min(find(i), find(j))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(docs).collect()}
+    assert links > 150 and got == {i: find(i) for i in sets}
+    left = [x.doc_id for x in simhash.keep_first(docs).collect()]
+    assert sorted(x for x in left if x is not None) == sorted({find(i) for i in sets}) and left.count(None) == 1
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)]
     out = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -235,8 +277,8 @@ def test_line_dedup(spark):
 @pytest.mark.parametrize("kind", ["prose", "few endings", "one word", "long words"])
 def test_line_dedup_by_words(spark, kind, monkeypatch):
     """Lines of 12 to 130 words with up to 8 % of their words changed, put in or left out; keys of four lines and more are dealt out in blocks."""
-    monkeypatch.setattr(lines, "BLOCK", 4)
-    monkeypatch.setattr(lines, "LOOKED_AT", 1)
+    monkeypatch.setattr(keys, "BLOCK", 4)
+    monkeypatch.setattr(keys, "LOOKED_AT", 1)
     r = random.Random(len(kind))
     letters = {"prose": "etaoinshrdlué,", "few endings": "aou", "one word": "x", "long words": "etaoinshrdlu"}[kind]
     word = lambda: "".join(r.choice(letters) for _ in range(1 if kind == "one word" else r.randint(11, 40) if kind == "long words" else r.randint(1, 6)))
