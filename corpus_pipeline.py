@@ -5,7 +5,7 @@ Every stage but the last takes and returns the columns of documents; n_chars fol
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import lines, packing, quality, secrets, simhash
@@ -13,34 +13,39 @@ from tessella.llm.queries import tokenizer
 from tessella.llm.scratch import written
 
 
-def _with_text(docs: DataFrame, out: DataFrame, text: str, *more: str) -> DataFrame:
-    """out's rows with the columns of docs, text replaced, and more columns."""
+def _packed(docs: DataFrame) -> DataFrame:
+    """The row in one struct beside text, source and doc_id, so that no column's name can clash with what an operator adds."""
+    own = [c for c in ("doc_id", "text", "source") if c in docs.columns]
+    return docs.select(*own, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def _unpacked(docs: DataFrame, text: str) -> list[Column]:
+    """The columns of docs from the packed row, with another text and its length."""
     new = {"text": F.col(text)} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
-    return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns), *more)
+    return [new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line-first rules keep, without their failing lines.
 
     A generator of one row or none takes the place of a filter: the optimizer would compute the rules once more to filter first."""
-    judged = quality.judge(docs)
-    kept = _with_text(docs, judged.select(*docs.columns, "clean_text", "kept"), "clean_text", "kept")
-    return kept.select(F.inline(F.when(F.col("kept"), F.array(F.struct(*docs.columns)))))
+    judged = quality.judge(_packed(docs))
+    return judged.select(F.inline(F.when(F.col("kept"), F.array(F.struct(*_unpacked(docs, "clean_text"))))))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier document, or an earlier place, has; a document goes once no word is left."""
-    return _with_text(docs, lines.dedup_lines(docs, min_chars=1).filter(F.col("text").rlike(quality.WORD)), "text")
+    return lines.dedup_lines(_packed(docs), min_chars=1).filter(F.col("text").rlike(quality.WORD)).select(*_unpacked(docs, "text"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates."""
-    return simhash.keep_first(docs)
+    """One document, that of the smallest id, of each group of near-duplicates: five words, a similarity of 0.8 or more."""
+    return simhash.keep_first(_packed(docs)).select("row.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a placeholder in place of each secret."""
-    return _with_text(docs, secrets.scan(docs, secrets.train(spark)), "redacted_text")
+    return secrets.scan(_packed(docs), secrets.train(spark)).select(*_unpacked(docs, "redacted_text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
