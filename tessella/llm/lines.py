@@ -5,8 +5,8 @@ on their hash. For the rest, first occurrences of lines meet on hashes of segmen
 verified by a banded bit-parallel edit distance.
 
 Lines of WORDS[0] words or more are compared by words. A line is cut into chunks after words of certain endings, which depends on
-nothing but the word before the cut; an edit of a word changes at most BROKEN pairs of neighbouring chunks. So a line with more than
-BROKEN pairs for each edit keeps one, and in any order of pairs one is among the first BROKEN * edits + 1 of either line: those are
+nothing but the word before the cut; an edit of a word changes at most BROKEN chunks. So a line with more than
+BROKEN chunks for each edit keeps one, and in any order of chunks one is among the first BROKEN * edits + 1 of either line: those are
 its segments. Two lines that both have too few chunks for that meet on least hashes of neighbouring runs of RUN words, as they share
 longer runs.
 
@@ -16,8 +16,8 @@ that the lengths bound. Keys carry the segment's number and the indexed length.
 characters, in few but long words, or in scripts without spaces), the longest passage that so many edits can't break is of q + w - 1
 characters or more, and both lines have the least hash of w neighbouring q-grams of that passage: they meet on such least hashes.
 
-Pairs that share a key must agree, up to two counts an edit, in how often some letters, or endings of words, occur - checked inside
-the join, so that lines with a common passage aren't paired. A key of many lines is dealt out in pairs of blocks.
+Pairs that share a key must agree in their chunks, of which each has a bit, or, up to two counts an edit, in how often some letters
+occur - checked inside the join, so that lines with a common passage aren't paired. A key of many lines is dealt out in pairs of blocks.
 
 A line's text is shuffled only to verify a pair; everything else travels as hashes. Where few rows of a table are
 wanted by key (lines to verify, documents to change), a broadcast set of at most BUCKETS hash buckets spares the others the
@@ -46,17 +46,17 @@ GRAMS = ((60, 9, 7), (200, 11, 8))
 #: of the shorter line's, one at least.
 WORDS = (13, 20)
 #: A chunk of words ends after a word that ends in one of these (fixed values; any choice is exact, this one cuts every few words).
-CUT = r" (?<=[nst.,;:!?] )"
-#: Pairs of neighbouring chunks that one edit of a word can break, and words of a run that lines without enough chunks share.
-BROKEN, RUN = 3, 6
+CUT = r" (?<=[st.,;:!?] )"
+#: Chunks that one edit of a word can break, and words of a run that lines without enough chunks share.
+BROKEN, RUN = 2, 6
 #: (least words of a line, runs of a window): lines of 13 words within the tolerance share 6 words in a row, lines of 20 share 9, from
 #: 40 on 13; so they share RUN + window - 1.
 RUN_WINDOWS = ((20, 4), (40, 8))
 _RANKS = 1023
 #: Lines shorter than this are not taken for duplicates unless min_chars says so, as the query and the pipeline do with 1.
 MIN_CHARS = 20
-#: Letters whose counts bound the edits from below, endings of words whose counts do, and bits of each count.
-LETTERS, ENDINGS, COUNT_BITS = "etaoinshrl", "estdnrayo.", 6
+#: Letters whose counts bound the edits from below, and bits of each count.
+LETTERS, COUNT_BITS = "etaoinshrl", 6
 #: Edits up to which the distance is taken by bit vectors; beyond, by the banded distance of Spark.
 NARROW = 3
 _LAST = (1 << 63) - 1
@@ -120,11 +120,11 @@ def _gram_keys(line: Column, n: Column) -> Column:
     return F.concat(*found)
 
 
-def _counts(line: Column, found: list[str]) -> Column:
-    """How often each text of `found` stands in a line, modulo 2^COUNT_BITS, packed in a long."""
+def _counts(line: Column) -> Column:
+    """Counts of LETTERS, each modulo 2^COUNT_BITS, packed in a long."""
     size, ring = F.octet_length(line), (1 << COUNT_BITS) - 1
-    count = lambda c: ((size - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) / len(c)).cast("long").bitwiseAND(F.lit(ring))
-    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(count(c), COUNT_BITS * k) for k, c in enumerate(found)])
+    count = lambda c: (size - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(ring))
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(count(c), COUNT_BITS * k) for k, c in enumerate(LETTERS)])
 
 
 def _count_distance(a: Column, b: Column) -> Column:
@@ -205,25 +205,26 @@ def _n_words(line: Column) -> Column:
 
 
 def _chunk_keys(line: Column, n: Column) -> Column:
-    """The keys of a line of n words: of its different pairs of neighbouring chunks the first, in the order of their lengths, the
-    longest first, as these are in few lines; all, and least hashes of its runs of words, if they are few."""
+    """The keys of a line of n words: of its different chunks the first, in the order of their lengths, the longest first, as these
+    are in few lines; all, and least hashes of its runs of words, if they are few. With them, a bit for each chunk by its hash."""
     enough = _word_edits(n) * BROKEN + 1
-    ranked = lambda a, b: (_RANKS - F.least(F.octet_length(a) + F.octet_length(b), F.lit(_RANKS))).cast("long")
-    key = lambda a, b: F.shiftleft(ranked(a, b), 53).bitwiseOR(F.shiftrightunsigned(F.xxhash64(a, b), 11))
-    pairs = lambda chunks: F.zip_with(F.slice(chunks, 1, F.size(chunks) - 1), F.slice(chunks, 2, F.size(chunks)), key)
+    rank = lambda c: (_RANKS - F.least(F.octet_length(c), F.lit(_RANKS))).cast("long")
+    ranked = F.transform(F.split(line, CUT), lambda c: F.shiftleft(rank(c), 53).bitwiseOR(F.shiftrightunsigned(F.xxhash64(c), 11)))
     hashes = lambda words: F.transform(F.sequence(F.lit(1), F.size(words) - (RUN - 1)), lambda i: F.xxhash64(F.lit(-2), F.slice(words, i, RUN)))
     window = reduce(lambda rule, w: F.when(n >= w[0], w[1]).otherwise(rule), RUN_WINDOWS, F.lit(1))
     least = lambda found: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(found) - (window - 1)), lambda i: F.array_min(F.slice(found, i, window))))
     chosen = lambda keys: F.when(F.size(keys) >= enough, F.slice(keys, F.lit(1), enough)).otherwise(F.concat(keys, let(let(F.split(line, " "), hashes), least)))
-    return let(F.sort_array(F.array_distinct(let(F.split(line, CUT), pairs))), chosen)
+    bits = lambda keys: F.aggregate(keys, F.lit(0).cast("long"), lambda s, k: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+    return let(F.sort_array(F.array_distinct(ranked)), lambda keys: F.struct(chosen(keys).alias("keys"), bits(keys).alias("bits")))
 
 
 def _met(leaders: DataFrame, tolerance: tuple[tuple[int, int | None], ...]) -> DataFrame:
     """(p, q): hashes h1 of lines that share a key and may be within the tolerance."""
     distance = _count_distance(F.col("a.c"), F.col("b.c"))
+    lacks = lambda x, y: F.bit_count(F.col(f"{x}.c").bitwiseAND(F.bitwise_not(f"{y}.c")))  # noqa: E731  chunks of x that y has not
     by_word = leaders.filter("keys is not null").select("h1", "c", "n", F.explode("keys").alias("key"))
     edits = _word_edits(F.least("a.n", "b.n"))
-    pairs = [meet(by_word, (F.col("a.h1") < F.col("b.h1")) & (F.abs(F.col("a.n") - F.col("b.n")) <= edits) & (distance <= 2 * edits))]
+    pairs = [meet(by_word, (F.col("a.h1") < F.col("b.h1")) & (F.abs(F.col("a.n") - F.col("b.n")) <= edits) & (lacks("a", "b") <= BROKEN * edits) & (lacks("b", "a") <= BROKEN * edits))]
     short = leaders.filter(F.col("line").isNotNull() & (F.col("n") >= min(t[0] for t in tolerance)))
     near = distance <= 2 * _edits(F.col("a.n"), tolerance)  # a is the shorter
     once = (F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.h1") < F.col("b.h1"))
@@ -276,13 +277,14 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     split = F.split("text", "\n")
     long_lines = F.filter(F.transform(split, lambda x, i: F.struct(i.alias("no"), F.btrim(x, F.lit(" \t\r\f\v")).alias("line"))), lambda s: F.length(s["line"]) >= min_chars)
     lines = keyed.select("d", "t", F.inline(long_lines)).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct("d", "t", "no").alias("at"), "line")
+    counted = F.transform(long_lines, lambda s: F.struct(s["no"].alias("no"), s["line"].alias("line"), _n_words(s["line"]).alias("words")))
     by_word = F.col("words") >= WORDS[0]
-    with_keys = lines.withColumn("words", _n_words(F.col("line"))).select(
-        "h1", "h2", "at", F.when(by_word, F.col("words")).otherwise(F.length("line")).alias("n"), F.when(by_word, _chunk_keys(F.col("line"), F.col("words"))).alias("keys"), F.when(~by_word, F.col("line")).alias("line"),
-        F.when(by_word, _counts(F.concat("line", F.lit(" ")), [f"{e} " for e in ENDINGS])).otherwise(_counts(F.col("line"), list(LETTERS))).alias("c"),
+    with_keys = keyed.select("d", "t", F.inline(counted)).select(
+        F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct("d", "t", "no").alias("at"), "words", F.when(by_word, _chunk_keys(F.col("line"), F.col("words"))).alias("k"), F.when(~by_word, F.col("line")).alias("line")
     )
-    firsts = with_keys.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("n", "c", "keys", "line")))
-    leaders = written(firsts, "first-lines")
+    firsts = with_keys.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("words", "k", "line")))
+    leaders = firsts.select("h1", "h2", "times", "at", F.coalesce(F.length("line"), "words").alias("n"), "k.keys", F.coalesce("k.bits", _counts(F.col("line"))).alias("c"), "line")
+    leaders = written(leaders, "first-lines")
     similar = written(similar_lines(leaders, lines, tolerance), "similar-lines")
     known = leaders.filter("times > 1").select("h1", "h2", F.col("at").alias("lead")).join(similar, ["h1", "h2"], "full")
     gone = only(lines.select("h1", "h2", "at"), "h1", known).join(known, ["h1", "h2"]).filter("first is not null or at <> lead")
