@@ -229,5 +229,6 @@ def encode_digests(docs: DataFrame, tokenizer_path: str, text_col: str = "text")
                 rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    out = docs.withColumn("_digest", digest(F.col(text_col)))
-    return out.withColumns({c: F.col(f"_digest.{c}") for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("_digest")
+    new = ("n_tokens", "ids_sha256", "decoded_sha256")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in new]
+    return docs.select(F.struct(*others).alias("row"), digest(F.col(f"`{text_col}`").cast("string")).alias("digest")).select("row.*", *(f"digest.{c}" for c in new))

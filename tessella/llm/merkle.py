@@ -1,19 +1,22 @@
-"""Document fingerprints: a Merkle tree over spans, paragraphs and sections, in DataFrame functions only.
+"""Document fingerprints: a Merkle tree over sentences, paragraphs and sections, in DataFrame functions only.
 
-Lines are paragraphs and SECTION paragraphs in a row make a section; a paragraph's leaves are its sentences, so that an edit in a text of one line still spares the other leaves. Every parent is the
-SHA-256 of its children's digests; the root tests equality, and where roots differ the sections, then the paragraphs, then the
-spans that differ locate the edit.
+Lines are paragraphs; a paragraph's leaves are its sentences, so that an edit in a text of one line still spares the other leaves. A
+section ends after a paragraph whose digest says so, one in SECTION, so that paragraphs put in or left out move no other section's
+bounds. Every parent is the SHA-256 of its children's digests; the root tests equality, and where roots differ the sections, then
+the paragraphs that the other tree lacks locate the edit.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Paragraphs of a section.
-SECTION = 8
+#: Paragraphs of a section, on average: 8, as a paragraph ends one if its digest ends in one of two of 16 digits.
+SECTION, SECTION_ENDS = 8, "[08]$"
 #: Bits of a packed leaf that hold its length.
-_LENGTH_BITS = 16
+_LENGTH_BITS = 26
 #: A sentence: up to a stop that white space follows, with that white space.
 _SENTENCE_END = r"(?<=[.!?…;:])(?=\s)"
 
@@ -23,21 +26,42 @@ def spans(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda p: F.split(p, _SENTENCE_END))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tree(text: Column) -> Column:
-    """struct<paragraphs array<string>, leaves array<bigint>>: the digest of each paragraph, and the distinct leaves.
+    """struct<paragraphs array<string>, leaves array<bigint>>: the digest of each paragraph, and the leaves, repeats included.
 
-    A leaf packs 48 bits of its span's hash with its length (up to 65,535), for likeness(). Null is the empty text."""
-    cut = spans(F.coalesce(text, F.lit("")))
+    A leaf packs 38 bits of its span's hash with its length (up to 2^26 code points), for likeness(); the second and later of equal leaves have the hash
+    of how many went before as well, so that sets of leaves compare as the bags they stand for. Null is the empty text."""
     digest = lambda parts: F.sha2(F.array_join(parts, "\x1f"), 256)
-    paragraphs = F.transform(cut, lambda p: digest(F.transform(p, lambda s: F.sha2(s, 256))))
-    leaves = F.filter(F.flatten(cut), lambda s: s != "")
-    packed = F.transform(leaves, lambda s: F.shiftleft(F.xxhash64(s), _LENGTH_BITS).bitwiseOR(F.least(F.length(s), F.lit(65535)).cast("long")))
-    return F.struct(paragraphs.alias("paragraphs"), F.array_distinct(packed).alias("leaves"))
+    most = (1 << _LENGTH_BITS) - 1
+    pack = lambda h, s: F.shiftleft(h, _LENGTH_BITS).bitwiseOR(F.least(F.length(s), F.lit(most)).cast("long"))
+
+    def numbered(bag: Column) -> Column:
+        again = lambda v, i: F.shiftleft(F.xxhash64(v, i + 1 - F.array_position(bag, v)), _LENGTH_BITS).bitwiseOR(v.bitwiseAND(F.lit(most)))
+        return F.transform(bag, lambda v, i: F.when(F.get(bag, i - 1) == v, again(v, i)).otherwise(v))
+
+    def both(cut: Column) -> Column:
+        packed = F.transform(F.filter(F.flatten(cut), lambda s: s != ""), lambda s: pack(F.xxhash64(s), s))
+        paragraphs = F.transform(cut, lambda p: digest(F.transform(p, lambda s: F.sha2(s, 256))))
+        return F.struct(paragraphs.alias("paragraphs"), let(F.sort_array(packed), numbered).alias("leaves"))
+
+    return let(spans(F.coalesce(text, F.lit(""))), both)
 
 
 def _sections(paragraphs: Column) -> Column:
-    starts = F.sequence(F.lit(1), F.size(paragraphs), F.lit(SECTION))
-    return F.transform(starts, lambda i: F.sha2(F.array_join(F.slice(paragraphs, i, SECTION), "\x1f"), 256))
+    """struct<digests array<string>, ends array<int>>: each section's digest, and the number of its last paragraph, from 1."""
+    n = F.size(paragraphs)
+    ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | F.get(paragraphs, i - 1).rlike(SECTION_ENDS))
+
+    def cut(at: Column) -> Column:
+        before = lambda k: F.coalesce(F.get(at, k - 1), F.lit(0))
+        return F.struct(F.transform(at, lambda end, k: F.sha2(F.array_join(F.slice(paragraphs, before(k) + 1, end - before(k)), "\x1f"), 256)).alias("digests"), at.alias("ends"))
+
+    return let(ends, cut)
 
 
 def root(sections: Column) -> Column:
@@ -45,24 +69,33 @@ def root(sections: Column) -> Column:
 
 
 def with_tree(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
-    """df with {prefix}paragraphs, {prefix}sections, {prefix}root and {prefix}leaves of text_col."""
-    out = df.withColumn("_tree", tree(F.col(text_col)))
-    out = out.withColumns({f"{prefix}paragraphs": F.col("_tree.paragraphs"), f"{prefix}leaves": F.col("_tree.leaves")}).drop("_tree")
+    """df with {prefix}paragraphs, {prefix}sections, {prefix}ends, {prefix}root and {prefix}leaves of text_col; columns of these names are replaced."""
+    out = df.withColumn(f"{prefix}leaves", tree(F.col(text_col)))
+    out = out.withColumns({f"{prefix}paragraphs": F.col(f"{prefix}leaves.paragraphs"), f"{prefix}leaves": F.col(f"{prefix}leaves.leaves")})
     out = out.withColumn(f"{prefix}sections", _sections(F.col(f"{prefix}paragraphs")))
+    out = out.withColumns({f"{prefix}ends": F.col(f"{prefix}sections.ends"), f"{prefix}sections": F.col(f"{prefix}sections.digests")})
     return out.withColumn(f"{prefix}root", root(F.col(f"{prefix}sections")))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of two trees' leaves: twice the length of the spans that both have, over the length of each one's; 1 if both have none."""
+    """Of two trees' leaves: twice the length of the spans that both have, each as often as in both, over the length of each one's; 1 if
+    both have none."""
     weigh = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v.bitwiseAND(F.lit((1 << _LENGTH_BITS) - 1)))
     total = weigh(a) + weigh(b)
     return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * weigh(F.array_intersect(a, b)) / F.when(total == 0, 1).otherwise(total))
 
 
 def differing(a: Column, b: Column) -> Column:
-    """Positions, from 0, at which two lists of digests differ or only one has an entry."""
-    longest = F.greatest(F.size(a), F.size(b))
-    return F.filter(F.transform(F.sequence(F.lit(0), longest), lambda i: i), lambda i: (i < longest) & ~F.get(a, i).eqNullSafe(F.get(b, i)))
+    """Positions in b, from 0, of digests that a lacks."""
+    at = lambda new: F.filter(F.transform(b, lambda d, i: F.when(F.array_contains(new, d), i)), lambda i: i.isNotNull())
+    return let(F.array_except(b, a), lambda new: F.when(F.size(new) > 0, at(new)).otherwise(F.array().cast("array<int>")))
+
+
+def differing_paragraphs(sections: Column, ends: Column, paragraphs: Column, other: Column) -> Column:
+    """Down the branches: of the sections at these positions, the positions of paragraphs, from 0, that the other tree lacks."""
+    first = lambda k: F.coalesce(F.get(ends, k - 1), F.lit(0))
+    places = F.flatten(F.transform(sections, lambda k: F.sequence(first(k), F.get(ends, k) - 1)))
+    return let(F.array_except(paragraphs, other), lambda new: F.filter(places, lambda i: F.array_contains(new, F.get(paragraphs, i))))
 
 
 def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", rows_a_bucket: int = 2000) -> DataFrame:
@@ -107,15 +140,16 @@ def edited(text: Column, following: Column) -> Column:
 
 def compare_with_edit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and
-    edited_sections and edited_paragraphs, the branches in which the two trees differ.
+    edited_section_list and edited_paragraph_list, where in the edited text the branches stand that the text's tree lacks.
 
-    Null texts are empty; a table of one row is its own successor; repeated rows are compared like others."""
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    Null texts are empty; a table of one row is its own successor; repeated rows are compared like others. Other columns are left out."""
+    plain = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     both = with_next(plain, ["text"])
     both = both.withColumns({"edited_text": edited(F.col("text"), F.col("next_text")), "next_leaves": tree(F.col("next_text"))["leaves"]})
     both = with_tree(with_tree(both, "text", ""), "edited_text", "edited_")
+    both = both.withColumn("edited_section_list", differing(F.col("sections"), F.col("edited_sections")))
     return both.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"), F.col("root").alias("fingerprint"), F.col("edited_root").alias("edited_fingerprint"),
         likeness(F.col("leaves"), F.col("edited_leaves")).alias("near_edited"), likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"),
-        differing(F.col("sections"), F.col("edited_sections")).alias("edited_section_list"), differing(F.col("paragraphs"), F.col("edited_paragraphs")).alias("edited_paragraph_list"),
+        "edited_section_list", differing_paragraphs(F.col("edited_section_list"), F.col("edited_ends"), F.col("edited_paragraphs"), F.col("paragraphs")).alias("edited_paragraph_list"),
     )

@@ -26,7 +26,7 @@ def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import merkle
 
     compared = merkle.compare_with_edit(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return compared.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return compared.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_section_list", "edited_paragraph_list")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

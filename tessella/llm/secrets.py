@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.scratch import shared_dir
+
 #: Labelled findings that the forest is fitted on, at most.
 FINDINGS = 4000
 TREES, DEPTH, SEED = 25, 6, 11
@@ -145,27 +148,15 @@ def seed_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, str, s
 Tree = list[tuple[int, float, int, int, float]]  # (feature or -1, threshold, left, right, vote)
 
 
-def _tree(lines: list[str]) -> Tree:
-    """A tree of pyspark.ml, as it prints itself, as a table of nodes."""
-    out: Tree = []
-    at = 0
-
-    def node() -> int:
-        nonlocal at
-        line = lines[at].strip()
-        at += 1
-        k = len(out)
-        if m := re.match(r"Predict: ([\d.]+)", line):
-            out.append((-1, 0.0, 0, 0, float(m[1])))
-            return k
-        m = re.match(r"If \(feature (\d+) <= ([-\d.Ee]+)\)", line)
-        out.append((int(m[1]), float(m[2]), 0, 0, 0.0))
-        left = node()
-        at += 1  # the matching Else
-        out[k] = (*out[k][:2], left, node(), 0.0)
-        return k
-
-    node()
+def _trees(spark: SparkSession, model) -> list[Tree]:
+    """The trees of a fitted forest as tables of nodes, from the table that the model saves of itself; a node's number is its place."""
+    path = f"{shared_dir(spark).rstrip('/')}/forest-{uuid.uuid4().hex}"
+    model.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").collect()  # a few thousand
+    out: list[Tree] = [[] for _ in range(TREES)]
+    for n in nodes:
+        leaf = n.leftChild < 0
+        out[n.treeID].append((-1, 0.0, 0, 0, n.prediction) if leaf else (n.split.featureIndex, n.split.leftCategoriesOrThreshold[0], n.leftChild, n.rightChild, 0.0))
     return out
 
 
@@ -174,11 +165,11 @@ def train(spark: SparkSession, findings: DataFrame | None = None, most: int = FI
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
-    rows = [tuple(r) for r in findings.select("value", "before", "after", "path", "label").orderBy(F.xxhash64("value", "before")).limit(most).collect()] if findings is not None else seed_findings(most)
+    rows = [tuple(r) for r in findings.select("value", "before", "after", "path", "label").orderBy(F.xxhash64("value", "before"), "value", "before", "after", "path", "label").limit(most).collect()] if findings is not None else seed_findings(most)
     data = spark.createDataFrame([(features(v or "", b or "", a or "", p or ""), float(y)) for v, b, a, p, y in rows], "x array<double>, label double")
     # Few cases and continuous features only: as many bins as keep the thresholds that reviewers would draw.
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, seed=SEED, featuresCol="features").fit(data.select(array_to_vector("x").alias("features"), "label").coalesce(2))
-    return [_tree([x for x in t.toDebugString.splitlines()[1:] if x.strip()]) for t in model.trees]
+    return _trees(spark, model)
 
 
 def votes(forest: list[Tree], x: list[float]) -> float:
@@ -194,7 +185,7 @@ def votes(forest: list[Tree], x: list[float]) -> float:
 
 def scan_text(text: str, path: str, forest: list[Tree]) -> list[tuple[int, int, float]]:
     """(start, end, votes) of each candidate."""
-    return [(a, b, votes(forest, features(text[a:b][:4096], text[max(0, a - 80) : a], text[b : b + 40], path))) for a, b in candidates(text)]
+    return [(a, b, votes(forest, features(text[a:b], text[max(0, a - 80) : a], text[b : b + 40], path))) for a, b in candidates(text)]
 
 
 def scan(docs: DataFrame, forest: list[Tree], text_col: str = "text", path_col: str = "source", least: float = 0.5) -> DataFrame:
@@ -218,5 +209,7 @@ def scan(docs: DataFrame, forest: list[Tree], text_col: str = "text", path_col:
             yield pd.DataFrame(rows, columns=["n_candidates", "secrets", "redacted_text"]).astype({"n_candidates": np.int32})
 
     path = F.col(path_col).cast("string") if path_col in docs.columns else F.lit("")
-    out = docs.withColumn("_scan", run(F.col(text_col).cast("string"), F.coalesce(path, F.lit(""))))
-    return out.withColumns({c: F.col(f"_scan.{c}") for c in ("n_candidates", "secrets", "redacted_text")}).drop("_scan")
+    new = ("n_candidates", "secrets", "redacted_text")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in new]
+    out = docs.select(F.struct(*others).alias("row"), run(F.col(f"`{text_col}`").cast("string"), F.coalesce(path, F.lit(""))).alias("scan"))
+    return out.select("row.*", *(f"scan.{c}" for c in new))

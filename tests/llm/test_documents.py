@@ -77,12 +77,40 @@ def test_merkle(documents, odd, empty):
     assert merkle.compare_with_edit(odd).count() == 9 and merkle.compare_with_edit(empty).count() == 0
 
 
+def bag(text: str) -> Counter:
+    """Sentences as the fingerprint cuts them, by hand: after a stop that white space follows."""
+    return Counter(x for line in text.split("\n") for x in re.split(r"(?<=[.!?…;:])(?=\s)", line) if x)
+
+
+def by_hand(a: str, b: str) -> float:
+    x, y = bag(a), bag(b)
+    size = lambda c: sum(len(k) * n for k, n in c.items())
+    return 2 * size(x & y) / (size(x) + size(y)) if x or y else 1.0
+
+
+def test_likeness_by_brute_force(spark, documents):
+    """Bags of sentences by their lengths, on documents and on texts that repeat one sentence; branches hold what the text lacks."""
+    docs = {r.doc_id: r.text for r in documents.collect()}
+    for k, text in enumerate(["Same one. " * 200, "Same one.", "Same one. " * 7 + "x" * 70_000, "", "a\n" * 9]):
+        docs[10_000 + k] = text
+    order = sorted(docs, reverse=True)
+    for r in merkle.compare_with_edit(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect():
+        text, after = docs[r.doc_id], docs[order[(order.index(r.doc_id) + 1) % len(order)]]
+        third = len(text) // 3
+        edited = text[: len(text) - third] + after[:third]
+        assert abs(r.near_next - by_hand(text, after)) < 1e-9 and abs(r.near_edited - by_hand(text, edited)) < 1e-9
+        paragraphs = {tuple(re.split(r"(?<=[.!?…;:])(?=\s)", x)) for x in text.split("\n")}
+        assert r.edited_paragraph_list == [i for i, x in enumerate(edited.split("\n")) if tuple(re.split(r"(?<=[.!?…;:])(?=\s)", x)) not in paragraphs]
+        assert bool(r.edited_section_list) >= bool(r.edited_paragraph_list)
+
+
 def test_merkle_locates_an_edit(spark):
-    a = "\n".join(f"Line {i} stays. It has two sentences." for i in range(20))
-    b = a.replace("Line 9 stays", "Line 9 goes")
-    one = merkle.with_tree(merkle.with_tree(spark.createDataFrame([(a, b)], "a string, b string"), "a", "a_"), "b", "b_")
-    got = one.select(merkle.differing(F.col("a_paragraphs"), F.col("b_paragraphs")).alias("p"), merkle.differing(F.col("a_sections"), F.col("b_sections")).alias("s"), merkle.likeness(F.col("a_leaves"), F.col("b_leaves")).alias("l")).first()
-    assert got.p == [9] and got.s == [1] and 0.9 < got.l < 1
+    """A changed line is one paragraph of one section; a line put in at the top changes no section but the first."""
+    a = "\n".join(f"Line {i} stays. It has two sentences." for i in range(60))
+    for b, p in ((a.replace("Line 9 stays", "Line 9 goes"), [9]), ("New line.\n" + a, [0])):
+        one = merkle.with_tree(merkle.with_tree(spark.createDataFrame([(a, b)], "a string, b string"), "a", "a_"), "b", "b_").withColumn("s", merkle.differing(F.col("a_sections"), F.col("b_sections")))
+        got = one.select("s", F.size("b_sections").alias("n"), merkle.differing_paragraphs(F.col("s"), F.col("b_ends"), F.col("b_paragraphs"), F.col("a_paragraphs")).alias("p"), merkle.likeness(F.col("a_leaves"), F.col("b_leaves")).alias("l")).first()
+        assert got.p == p and len(got.s) <= 2 < got.n and 0.9 < got.l < 1
 
 
 def simple_fingerprint(text: str) -> int:
