@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella.llm.scratch import written
 
 #: Hash buckets of a broadcast set, at most.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 #: Rows of a key in a block, rows of which one is looked at to find keys with more, and the most such keys to broadcast.
 BLOCK, LOOKED_AT, MOST_HOT = 512, 16, 1 << 16
 

@@ -20,7 +20,7 @@ Pairs that share a key must agree in their chunks, of which each has a bit, or,
 occur - checked inside the join, so that lines with a common passage aren't paired. A key of many lines is dealt out in pairs of blocks.
 
 A line's text is shuffled only to verify a pair; everything else travels as hashes. Where few rows of a table are
-wanted by key (lines to verify, documents to change), a broadcast set of at most BUCKETS hash buckets spares the others the
+wanted by key (lines to verify, documents to change), a broadcast set of a bounded number of hash buckets spares the others the
 shuffle; if all buckets are wanted it is a plain join.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.keys import BUCKETS, meet, only
-from tessella.llm.scratch import written
+from tessella.llm.scratch import discard, written
 
 #: (least length of the shorter line, edits): lines below the first length are compared for equality only. None, which only the
 #: last may have, is one edit for each PER characters of the shorter line: 5 %, as the steps before it are.
@@ -53,6 +53,8 @@ BROKEN, RUN = 2, 6
 #: 40 on 13; so they share RUN + window - 1.
 RUN_WINDOWS = ((20, 4), (40, 8))
 _RANKS = 1023
+#: Bits of a line's chunks, in the long that also holds its words, up to MOST_WORDS, and in another.
+_BITS, MOST_WORDS = (48, 64), (1 << 16) - 1
 #: Lines shorter than this are not taken for duplicates unless min_chars says so, as the query and the pipeline do with 1.
 MIN_CHARS = 20
 #: Letters whose counts bound the edits from below, and bits of each count.
@@ -214,17 +216,23 @@ def _chunk_keys(line: Column, n: Column) -> Column:
     window = reduce(lambda rule, w: F.when(n >= w[0], w[1]).otherwise(rule), RUN_WINDOWS, F.lit(1))
     least = lambda found: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(found) - (window - 1)), lambda i: F.array_min(F.slice(found, i, window))))
     chosen = lambda keys: F.when(F.size(keys) >= enough, F.slice(keys, F.lit(1), enough)).otherwise(F.concat(keys, let(let(F.split(line, " "), hashes), least)))
-    bits = lambda keys: F.aggregate(keys, F.lit(0).cast("long"), lambda s, k: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    return let(F.sort_array(F.array_distinct(ranked)), lambda keys: F.struct(chosen(keys).alias("keys"), bits(keys).alias("bits")))
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at)
+    place = lambda k: F.pmod(k, F.lit(sum(_BITS))).cast("int")
+    low = lambda keys: F.aggregate(keys, F.lit(0).cast("long"), lambda s, k: F.when(place(k) < _BITS[0], s.bitwiseOR(bit(place(k)))).otherwise(s))
+    high = lambda keys: F.aggregate(keys, F.lit(0).cast("long"), lambda s, k: F.when(place(k) >= _BITS[0], s.bitwiseOR(bit(place(k) - _BITS[0]))).otherwise(s))
+    return let(F.sort_array(F.array_distinct(ranked)), lambda keys: F.struct(chosen(keys).alias("keys"), low(keys).alias("low"), high(keys).alias("high")))
 
 
 def _met(leaders: DataFrame, tolerance: tuple[tuple[int, int | None], ...]) -> DataFrame:
     """(p, q): hashes h1 of lines that share a key and may be within the tolerance."""
     distance = _count_distance(F.col("a.c"), F.col("b.c"))
-    lacks = lambda x, y: F.bit_count(F.col(f"{x}.c").bitwiseAND(F.bitwise_not(f"{y}.c")))  # noqa: E731  chunks of x that y has not
-    by_word = leaders.filter("keys is not null").select("h1", "c", "n", F.explode("keys").alias("key"))
-    edits = _word_edits(F.least("a.n", "b.n"))
-    pairs = [meet(by_word, (F.col("a.h1") < F.col("b.h1")) & (F.abs(F.col("a.n") - F.col("b.n")) <= edits) & (lacks("a", "b") <= BROKEN * edits) & (lacks("b", "a") <= BROKEN * edits))]
+    by_word = leaders.filter("keys is not null").select("h1", F.shiftleft("c", 16).bitwiseOR(F.least("n", F.lit(MOST_WORDS)).cast("long")).alias("cn"), "high", F.explode("keys").alias("key"))
+    words = lambda x: F.col(f"{x}.cn").bitwiseAND(F.lit(MOST_WORDS))
+    part = lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
+    lacks = lambda x, y: part(F.shiftrightunsigned(f"{x}.cn", 16), F.shiftrightunsigned(f"{y}.cn", 16)) + part(F.col(f"{x}.high"), F.col(f"{y}.high"))  # noqa: E731  chunks of x that y has not
+    edits = _word_edits(F.least(words("a"), words("b")))
+    close = (F.abs(words("a") - words("b")) <= edits) & (lacks("a", "b") <= BROKEN * edits) & (lacks("b", "a") <= BROKEN * edits)
+    pairs = [meet(by_word, (F.col("a.h1") < F.col("b.h1")) & (close | (F.greatest(words("a"), words("b")) == MOST_WORDS)))]
     short = leaders.filter(F.col("line").isNotNull() & (F.col("n") >= min(t[0] for t in tolerance)))
     near = distance <= 2 * _edits(F.col("a.n"), tolerance)  # a is the shorter
     once = (F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.h1") < F.col("b.h1"))
@@ -244,7 +252,9 @@ def similar_lines(leaders: DataFrame, lines: DataFrame, tolerance: tuple[tuple[i
     pairs = written(_met(leaders, tolerance), "line-pairs")
     wanted = pairs.select(F.explode(F.array("p", "q")).alias("h1")).distinct()
     places = leaders.join(wanted, "h1", "left_semi").select("h1", "h2", "at", "n", F.col("keys").isNotNull().alias("words"))
-    texts = written(only(lines.select("h1", "at", "line"), "h1", wanted).join(places, ["h1", "at"]), "wanted-lines")
+    place = F.xxhash64("h1", "at").alias("place")
+    places = written(places.withColumn("place", place), "wanted-places")
+    texts = written(only(lines.select(place, F.col("line")), "place", places).join(places, "place"), "wanted-lines")
     side = lambda new: texts.select(F.col("h1").alias(new), *(F.col(c).alias(f"{new}_{c}") for c in ("h2", "at", "line", "n", "words")))
     both = pairs.join(side("p"), "p").join(side("q"), "q").filter("p_words = q_words")
     shorter, line = F.least("p_n", "q_n"), (F.col("p_line"), F.col("q_line"))
@@ -258,7 +268,10 @@ def similar_lines(leaders: DataFrame, lines: DataFrame, tolerance: tuple[tuple[i
     distance = F.when(~F.col("p_words") | most(*line) & most(*line[::-1]), distance)
     alike = both.withColumn("_k", allowed).withColumn("_d", distance).filter(F.col("_d") <= F.col("_k"))
     later = F.col("p_at") > F.col("q_at")
-    return alike.select(F.when(later, F.col("p")).otherwise(F.col("q")).alias("h1"), F.when(later, F.col("p_h2")).otherwise(F.col("q_h2")).alias("h2"), F.least("p_at", "q_at").alias("first")).groupBy("h1", "h2").agg(F.min("first").alias("first"))
+    found = alike.select(F.when(later, F.col("p")).otherwise(F.col("q")).alias("h1"), F.when(later, F.col("p_h2")).otherwise(F.col("q_h2")).alias("h2"), F.least("p_at", "q_at").alias("first"))
+    similar = written(found.groupBy("h1", "h2").agg(F.min("first").alias("first")), "similar-lines")
+    discard(pairs, places, texts)
+    return similar
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", tolerance: tuple[tuple[int, int | None], ...] = TOLERANCE, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -283,13 +296,14 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct("d", "t", "no").alias("at"), "words", F.when(by_word, _chunk_keys(F.col("line"), F.col("words"))).alias("k"), F.when(~by_word, F.col("line")).alias("line")
     )
     firsts = with_keys.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("words", "k", "line")))
-    leaders = firsts.select("h1", "h2", "times", "at", F.coalesce(F.length("line"), "words").alias("n"), "k.keys", F.coalesce("k.bits", _counts(F.col("line"))).alias("c"), "line")
+    leaders = firsts.select("h1", "h2", "times", "at", F.coalesce(F.length("line"), "words").alias("n"), "k.keys", F.coalesce("k.low", _counts(F.col("line"))).alias("c"), "k.high", "line")
     leaders = written(leaders, "first-lines")
-    similar = written(similar_lines(leaders, lines, tolerance), "similar-lines")
+    similar = similar_lines(leaders, lines, tolerance)
     known = leaders.filter("times > 1").select("h1", "h2", F.col("at").alias("lead")).join(similar, ["h1", "h2"], "full")
     gone = only(lines.select("h1", "h2", "at"), "h1", known).join(known, ["h1", "h2"]).filter("first is not null or at <> lead")
     per_doc = gone.groupBy("at.d", "at.t").agg(F.collect_set(F.struct(F.col("at.no").alias("no"), F.col("first").isNotNull().alias("similar"), F.coalesce("first", "lead")["d"].alias("doc"))).alias("gone"))
     per_doc = written(per_doc, "gone-lines")
+    discard(leaders, similar)
     bucket = F.pmod("t", F.lit(BUCKETS)).cast("int").alias("b")
     marks = F.broadcast(per_doc.select(bucket).distinct().withColumn("hit", F.lit(True)))
     marked = keyed.withColumn("b", bucket).join(marks, "b", "left")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.components import components
 from tessella.llm.keys import meet, only
-from tessella.llm.scratch import written
+from tessella.llm.scratch import discard, written
 
 #: Fingerprints of a cell beyond which it is dealt out in blocks of about this size.
 BLOCK = 256
@@ -238,6 +238,7 @@ def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     member = components(first.union(_verified(met, classes, docs, width, similarity))).withColumnRenamed("node", "same")
     rooted = classes.select("same", "first").join(member, "same", "left").withColumn("root", F.coalesce("root", "same"))
     named = written(rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("same", "component_id"), "copy-names")
+    discard(classes, first)
     return salted(prints.select("doc_id", "same"), named, "same").select("doc_id", "component_id")
 
 
