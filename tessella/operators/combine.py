@@ -13,6 +13,10 @@ from tessella.functions.scalar import ratio
 from tessella.operators.metrics import correlation
 
 
+#: The least deviation, and the least shrinkage, that weights are divided by (a fixed value).
+FLOOR = 1e-4
+
+
 def normalise(weights: dict[str, float]) -> dict[str, float]:
     total = sum(abs(w) for w in weights.values())
     return {k: (w / total if total > 0 else 1.0 / len(weights)) for k, w in weights.items()}
@@ -42,7 +46,25 @@ def weights(scheme: str, stats: dict[str, dict[str, float]], corr: np.ndarray |
         case "inverse_vol":
             w = sign / np.where(sd > 0, sd, np.inf)
         case "ridge_shrink":
+            var = sd**2
+            w = ic / (var + max(float(np.median(var[var > 0])) if (var > 0).any() else FLOOR, FLOOR))
+        case "diversified":
             w = np.linalg.solve(np.asarray(corr) + 0.25 * np.eye(len(names)), ic)
+        case "vol_balanced":
+            best = sorted(range(len(names)), key=lambda i: (-abs(ic[i]) / max(sd[i], FLOOR), names[i]))[: max(4, round(2 * len(names) ** 0.5))]
+            w = np.array([sign[i] / max(sd[i], FLOOR) if i in best else 0.0 for i in range(len(names))])
+        case "cluster_neutral":
+            clusters: list[list[int]] = []
+            for i in sorted(range(len(names)), key=lambda i: (-abs(ic[i]), names[i])):
+                home = next((c for c in clusters if any(abs(corr[i][j]) >= 0.7 for j in c)), None)
+                if home is None:
+                    clusters.append([i])
+                else:
+                    home.append(i)
+            w = np.zeros(len(names))
+            for c in clusters:
+                total = np.abs(ic[c]).sum()
+                w[c] = (ic[c] / total if total > 1e-12 else sign[c] / len(c)) / len(clusters)
         case "inverse_corr":
             w = sign / (1e-6 + np.abs(np.asarray(corr)).mean(axis=1))
         case "corr_pruned":
@@ -100,6 +122,13 @@ def lag_features(df: DataFrame, names: list[str], lags: int = 1, day: str = "dat
     return df.withColumns(new)
 
 
+def lag_tensor(df: DataFrame, names: list[str], steps: int = 8, day: str = "date") -> DataFrame:
+    """tensor: for each of the last `steps` days of the entity, the oldest first, the values of all names, 0 where missing."""
+    w = Window.partitionBy("security_id").orderBy(day)
+    step = lambda k: F.array(*(F.coalesce(F.lag(n, k).over(w), F.lit(0.0)) if k else F.coalesce(F.col(n), F.lit(0.0)) for n in names))
+    return df.withColumn("tensor", F.array(*(step(k) for k in range(steps - 1, -1, -1))))
+
+
 def fit_predict(train: DataFrame, test: DataFrame, features: list[str], target: str, model: str = "ridge", seed: int = 42) -> DataFrame:
     """test with pred, by a model of pyspark.ml: ridge, forest or boosted trees."""
     from pyspark.ml.feature import VectorAssembler

@@ -105,22 +105,50 @@ def rolling(per_day: DataFrame, value: str, n: int = 20, least: int = 10) -> Dat
     return per_day.withColumn(f"{value}_mean", F.when(F.count(value).over(w) >= least, F.avg(value).over(w)))
 
 
-def score(ic: Column, ir_: Column, tvr: Column, mode: str = "submission") -> tuple[Column, Column]:
-    """(passes the gates, score): max(0, ic - 0.0005 tvr) * sqrt(ir) * 100, or 0."""
+#: Largest weight, and mean over days of the day's largest, in ten-thousandths of a bar's book, that a signal must stay under (fixed values).
+MOST_WEIGHT, MOST_DAILY = 50.0, 20.0
+
+
+def unconcentrated() -> Column:
+    """Of a row of book(): whether no weight, long or short, is too large."""
+    c = F.col
+    inside = (c("max_weight") < MOST_WEIGHT) & (F.abs("min_weight") < MOST_WEIGHT) & (c("avg_daily_max") < MOST_DAILY) & (F.abs("avg_daily_min") < MOST_DAILY)
+    return F.coalesce(inside, F.lit(False))
+
+
+def score(ic: Column, ir_: Column, tvr: Column, spread: Column, mode: str = "submission") -> tuple[Column, Column]:
+    """(passes the gates, score): max(0, ic - 0.0005 tvr) * sqrt(ir) * 100, or 0. spread: whether the book is unconcentrated."""
     g = MODES[mode]
-    passes = F.coalesce((ic > g["ic"]) & (ir_ > g["ir"]) & (tvr < g["tvr"]), F.lit(False))
+    passes = F.coalesce((ic > g["ic"]) & (ir_ > g["ir"]) & (tvr < g["tvr"]) & spread, F.lit(False))
     value = F.greatest(ic - TVR_WEIGHT * tvr, F.lit(0.0)) * F.sqrt(F.greatest(ir_, F.lit(0.0))) * 100.0
     return passes, F.when(passes, value).otherwise(0.0)
 
 
 def evaluate(signal: DataFrame, alpha: str = "alpha", mode: str = "submission") -> DataFrame:
-    """One row: ic, ir, tvr, passes, score. official takes ic of the restricted alpha and turnover of the raw one, in raw units;
-    submission takes both of the restricted alpha, times 100, and leaves overnight changes out."""
+    """One row: ic, ir, tvr, unconcentrated, passes, score. official takes ic of the restricted alpha, turnover and book of the raw one, in
+    raw units; submission takes all of the restricted alpha, ic and turnover times 100, and leaves overnight changes out."""
     scale = MODES[mode]["scale"]
     signal = signal.withColumn("_ok", restricted(F.col(alpha), F.col("trading_restriction")))
+    held = "_ok" if mode == "submission" else alpha
     ics = daily(bar_ic(signal, "_ok"), "ic").agg((F.avg("ic") * scale).alias("ic"), ir("ic").alias("ir"))
-    turned = bar_turnover(signal, "_ok", overnight=False) if mode == "submission" else bar_turnover(signal, alpha)
-    tvr = daily_turnover(turned).agg((F.avg("tvr") * scale).alias("tvr"))
-    one = ics.join(F.broadcast(tvr))
-    passes, value = score(F.col("ic"), F.col("ir"), F.col("tvr"), mode)
-    return one.select("ic", "ir", "tvr", passes.alias("passes"), value.alias("score"))
+    tvr = daily_turnover(bar_turnover(signal, held, overnight=mode != "submission")).agg((F.avg("tvr") * scale).alias("tvr"))
+    one = ics.join(F.broadcast(tvr)).join(F.broadcast(book(signal, held).select(unconcentrated().alias("unconcentrated"))))
+    passes, value = score(F.col("ic"), F.col("ir"), F.col("tvr"), F.col("unconcentrated"), mode)
+    return one.select("ic", "ir", "tvr", "unconcentrated", passes.alias("passes"), value.alias("score"))
+
+
+def guarded_ic(signal: DataFrame, alpha: str = "alpha", resp: str = "resp", least: int = 20) -> DataFrame:
+    """Per day: the mean of 100 times the IC of the restricted alpha over the bars with `least` pairs or more."""
+    ok = signal.withColumn("_ok", restricted(F.col(alpha), F.col("trading_restriction")))
+    bars = bar_ic(ok, "_ok", resp).filter((F.col("n") >= least) & F.col("ic").isNotNull())
+    return bars.groupBy("date").agg((F.avg("ic") * 100.0).alias("ic"))
+
+
+def monthly_state(signal: DataFrame, alpha: str = "alpha", resp: str = "resp") -> DataFrame:
+    """Per month: mean daily IC, the market's mean return and mean size of it, in per cent, and its volatility over the 0.9 quantile of all
+    months' volatilities. Months are few: one task has their quantile."""
+    bars = signal.groupBy("date", "bar_idx").agg(correlation(alpha, resp).alias("ic"), F.avg(resp).alias("market"), F.stddev_samp(resp).alias("vol"))
+    days = bars.groupBy("date").agg(F.avg("ic").alias("ic"), F.avg("market").alias("market"), F.avg("vol").alias("vol"))
+    months = days.groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(F.avg("ic").alias("ic"), (F.avg("market") * 100).alias("market_ret"), F.avg("vol").alias("vol"), (F.avg(F.abs("market")) * 100).alias("market_abs_move"))
+    top = F.percentile("vol", F.lit(0.9)).over(Window.partitionBy())
+    return months.select("month", "ic", "market_ret", (F.col("vol") / (top + 1e-9)).alias("market_vol"), "market_abs_move")

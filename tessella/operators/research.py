@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.scalar import ratio
@@ -38,12 +38,16 @@ def coverage(signal: DataFrame, value: str = "alpha") -> DataFrame:
 
 
 def regimes(signal: DataFrame, alpha: str = "alpha", resp: str = "resp") -> DataFrame:
-    """Mean daily IC and days by regime: market up or down, volatility at or above its median or below."""
+    """Mean daily IC and days by regime: market up or down, trending or not (its size at or above the median), volatility at or above its
+    median or below. Days are few: one task has their medians. With an odd number of days a median is a day's own value, so
+    values are rounded to ten places before they are compared."""
     bars = signal.groupBy("date", "bar_idx").agg(correlation(alpha, resp).alias("ic"), F.avg(resp).alias("market"), F.stddev_samp(resp).alias("vol"))
-    days = bars.groupBy("date").agg(F.avg("ic").alias("ic"), F.avg("market").alias("market"), F.avg("vol").alias("vol"))
-    middle = days.agg(F.percentile("vol", F.lit(0.5)).alias("mid"))
-    flagged = days.join(F.broadcast(middle)).select("ic", F.explode(F.array(F.when(F.col("market") >= 0, "up").otherwise("down"), F.when(F.col("vol") >= F.col("mid"), "high_vol").otherwise("low_vol"))).alias("regime"))
-    return flagged.groupBy("regime").agg(F.avg("ic").alias("ic"), F.count("ic").alias("days"))
+    days = bars.groupBy("date").agg(F.avg("ic").alias("ic"), F.round(F.avg("market"), 10).alias("market"), F.round(F.avg("vol"), 10).alias("vol"))
+    middle = lambda c: F.percentile(c, F.lit(0.5)).over(Window.partitionBy())
+    known = days.select("ic", "market", "vol", middle(F.col("vol")).alias("mid_vol"), F.abs("market").alias("size"), middle(F.abs("market")).alias("mid_size"))
+    either = lambda test, yes, no: F.when(test, yes).otherwise(no)
+    flags = F.array(either(F.col("market") >= 0, "up", "down"), either(F.col("vol") >= F.col("mid_vol"), "high_vol", "low_vol"), either(F.col("size") >= F.col("mid_size"), "trend", "chop"))
+    return known.select("ic", F.explode(flags).alias("regime")).groupBy("regime").agg(F.avg("ic").alias("ic"), F.count("ic").alias("days"))
 
 
 def pairwise(signals: DataFrame, names: list[str], least: int = 20) -> DataFrame:
@@ -55,6 +59,34 @@ def pairwise(signals: DataFrame, names: list[str], least: int = 20) -> DataFrame
     return long.groupBy("a", "b").agg(F.avg("r").alias("corr"), F.count("r").alias("bars"))
 
 
+def pooled(signals: DataFrame, names: list[str], least: int = 200) -> DataFrame:
+    """(a, b, corr, n): correlation of two signals' z-scores by bar over all rows that have both; NULL below `least` such rows."""
+    w = Window.partitionBy("bar_idx")
+    z = signals.select(*(ratio(F.col(n) - F.avg(n).over(w), F.stddev_samp(n).over(w)).alias(n) for n in names))
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    one = z.agg(*(F.struct(correlation(a, b).alias("corr"), F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias("n")).alias(f"{a}|{b}") for a, b in pairs))
+    long = one.select(F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`.corr").alias("corr"), F.col(f"`{a}|{b}`.n").alias("n")) for a, b in pairs))))
+    return long.withColumn("corr", F.when(F.col("n") >= least, F.col("corr")))
+
+
+def neighbours(pairs: DataFrame, most: int = 12) -> DataFrame:
+    """Per signal its `most` most correlated others by size, numbered."""
+    both = pairs.select("a", "b", "corr").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")).filter("corr is not null")
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.abs("corr").desc(), "b"))
+    return both.withColumn("place", place).filter(F.col("place") <= most).select(F.col("a").alias("signal"), F.col("b").alias("other"), "corr", "place")
+
+
+def smoothed_turnover(smooth: DataFrame, names: list[str], resp: str = "resp") -> DataFrame:
+    """(smoother, tvr, ic): mean daily turnover and IC of each column, all in one pass over the panel."""
+    long = smooth.select("date", "bar_idx", "security_id", resp, F.inline(F.array(*(F.struct(F.lit(n).alias("smoother"), F.col(n).alias("alpha")) for n in names))))
+    entity = Window.partitionBy("smoother", "security_id").orderBy("bar_idx")
+    moved = long.withColumn("change", F.abs(F.col("alpha") - F.lag("alpha").over(entity)))
+    gross = F.coalesce(F.sum(F.abs("alpha")), F.lit(0.0))
+    bars = moved.groupBy("smoother", "date", "bar_idx").agg(ratio(F.coalesce(F.sum("change"), F.lit(0.0)), gross).alias("tvr"), correlation("alpha", resp).alias("ic"))
+    days = bars.groupBy("smoother", "date").agg(F.coalesce(F.sum("tvr"), F.lit(0.0)).alias("tvr"), F.avg("ic").alias("ic"))
+    return days.groupBy("smoother").agg(F.avg("tvr").alias("tvr"), F.avg("ic").alias("ic"))
+
+
 def prior_correlation(pairs: DataFrame, order: list[str]) -> DataFrame:
     """Per signal: mean, greatest and least correlation with the signals before it in order."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col("a"))

@@ -37,7 +37,7 @@ def _stats(days: DataFrame) -> dict[str, dict[str, float]]:
 def _combo(scheme: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         days = daily(spark, sf_dir)
-        corr = K.pooled_correlations(days, NAMES) if scheme in ("ridge_shrink", "inverse_corr", "corr_pruned") else None
+        corr = K.pooled_correlations(days, NAMES) if scheme in ("diversified", "inverse_corr", "corr_pruned", "cluster_neutral") else None
         return six(K.blend(days, K.weights(scheme, _stats(days), corr)).select("date", "security_id", "combo"))
 
     return query
@@ -47,14 +47,31 @@ _W = {
     "equal": "sign(ic)", "ic": "ic", "icir": "ic / nullif(std, 0)", "power": "sign(ic) * ic * ic", "inverse_vol": "sign(ic) / std",
     "topk": "CASE WHEN row_number() OVER (ORDER BY abs(ic) DESC, factor) <= 2 THEN sign(ic) ELSE 0 END", "softmax": "sign(ic) * exp((abs(ic) - max(abs(ic)) OVER ()) / 0.05)",
 }
-for _s in ("equal", "ic", "icir", "topk", "softmax", "power", "inverse_vol", "ridge_shrink", "inverse_corr", "corr_pruned"):
-    _sql = None
-    if _s in _W:
-        _top = " + ".join(f"coalesce({n}, 0) * (SELECT w FROM wn WHERE factor = '{n}')" for n in NAMES)
-        _low = " + ".join(f"CASE WHEN {n} IS NOT NULL THEN abs((SELECT w FROM wn WHERE factor = '{n}')) ELSE 0 END" for n in NAMES)
-        _sql = f"WITH {_DAY}, {_STATS}, w0 AS (SELECT factor, {_W[_s]} AS w FROM st), wn AS (SELECT factor, w / (SELECT sum(abs(w)) FROM w0) AS w FROM w0) SELECT date, security_id, round(({_top}) / nullif({_low}, 0), 6) + 0.0 AS combo FROM dd"
+_W |= {
+    "ridge_shrink": "ic / (std * std + greatest((SELECT quantile_cont(std * std, 0.5) FROM st WHERE std > 0), 1e-4))", "vol_balanced": "sign(ic) / greatest(std, 1e-4)",
+    "inverse_corr": "sign(ic) / (1e-6 + (1 + (SELECT sum(abs(c)) FROM pc WHERE a = factor)) / 3)",
+    "diversified": "CASE factor WHEN 'rev' THEN x1 WHEN 'mom' THEN x2 ELSE x3 END", "corr_pruned": "CASE WHEN kept THEN sign(ic) ELSE 0 END", "cluster_neutral": "ic / sum(abs(ic)) OVER (PARTITION BY home) / (SELECT count(DISTINCT home) FROM cl)",
+}
+_CORR = "pc AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, coalesce({corr_sql(a, b)}, 0) AS c FROM dd" for a in NAMES for b in NAMES if a != b) + ")"
+_C = lambda a, b: f"(SELECT c FROM pc WHERE a = '{a}' AND b = '{b}')"
+_I = lambda a: f"(SELECT ic FROM st WHERE factor = '{a}')"
+#: Cramer's rule for a symmetric 3 x 3 matrix of diagonal d and p, q, r beside it.
+_CRAMER = f"""k0 AS (SELECT 1.25 AS d, {_C('rev', 'mom')} AS p, {_C('rev', 'vol')} AS q, {_C('mom', 'vol')} AS r, {_I('rev')} AS u, {_I('mom')} AS v, {_I('vol')} AS w), k1 AS (SELECT *, d * (d * d - r * r) - p * (p * d - r * q) + q * (p * r - d * q) AS det FROM k0),
+k2 AS (SELECT (u * (d * d - r * r) - p * (v * d - r * w) + q * (v * r - d * w)) / det AS x1, (d * (v * d - r * w) - u * (p * d - r * q) + q * (p * w - v * q)) / det AS x2, (d * (d * w - v * r) - p * (p * w - v * q) + u * (p * r - d * q)) / det AS x3 FROM k1)"""
+_BY = "b0 AS (SELECT factor, row_number() OVER (ORDER BY abs(ic) DESC, factor) AS k FROM st), b1 AS (SELECT max(CASE WHEN k = 1 THEN factor END) AS f1, max(CASE WHEN k = 2 THEN factor END) AS f2, max(CASE WHEN k = 3 THEN factor END) AS f3 FROM b0), b2 AS (SELECT *, (SELECT abs(c) FROM pc WHERE a = f1 AND b = f2) AS c12, (SELECT abs(c) FROM pc WHERE a = f1 AND b = f3) AS c13, (SELECT abs(c) FROM pc WHERE a = f2 AND b = f3) AS c23 FROM b1)"
+_FROM = {
+    "inverse_corr": (_CORR, "st"), "diversified": (f"{_CORR}, {_CRAMER}", "st, k2"),
+    "corr_pruned": (f"{_CORR}, {_BY}, cl AS (SELECT st.factor, ic, CASE WHEN st.factor = f1 THEN true WHEN st.factor = f2 THEN c12 <= 0.7 ELSE c13 <= 0.7 AND (c12 > 0.7 OR c23 <= 0.7) END AS kept FROM st, b2)", "cl"),
+    "cluster_neutral": (f"{_CORR}, {_BY}, cl AS (SELECT st.factor, ic, CASE WHEN st.factor = f1 THEN 1 WHEN st.factor = f2 THEN CASE WHEN c12 >= 0.7 THEN 1 ELSE 2 END WHEN c13 >= 0.7 OR c12 >= 0.7 AND c23 >= 0.7 THEN 1 WHEN c12 < 0.7 AND c23 >= 0.7 THEN 2 ELSE 3 END AS home FROM st, b2)", "cl"),
+}
+for _s in _W:
+    _more, _from = _FROM.get(_s, ("", "st"))
+    _top = " + ".join(f"coalesce({n}, 0) * (SELECT w FROM wn WHERE factor = '{n}')" for n in NAMES)
+    _low = " + ".join(f"CASE WHEN {n} IS NOT NULL THEN abs((SELECT w FROM wn WHERE factor = '{n}')) ELSE 0 END" for n in NAMES)
+    _sql = f"WITH {_DAY}, {_STATS}, {_more + ',' if _more else ''} w0 AS (SELECT factor, {_W[_s]} AS w FROM {_from}), wn AS (SELECT factor, w / (SELECT sum(abs(w)) FROM w0) AS w FROM w0) SELECT date, security_id, round(({_top}) / nullif({_low}, 0), 6) + 0.0 AS combo FROM dd"
     add(f"combo_{_s}", _combo(_s), _sql)
 
+add("lag_tensor", lambda spark, d: six(K.lag_tensor(daily(spark, d), ["rev", "vol"], 3).select("date", "security_id", *(F.col("tensor")[k][j].alias(f"t{k}_{n}") for k in range(3) for j, n in enumerate(("rev", "vol"))))), f"WITH {_DAY} SELECT date, security_id, {round_sql({f't{k}_{n}': f'coalesce(lag({n}, {2 - k}) OVER w, 0)' for k in range(3) for n in ('rev', 'vol')})} FROM dd WINDOW w AS (PARTITION BY security_id ORDER BY date)")
 add("target_standardize", lambda spark, d: six(daily(spark, d).withColumn("target", K.standard_target(F.col("ret"))).select("date", "security_id", "target")), f"WITH {_DAY} SELECT date, security_id, round(coalesce(greatest(least((ret - avg(ret) OVER w) / nullif(stddev_samp(ret) OVER w, 0), 5), -5), 0), 6) + 0.0 AS target FROM dd WINDOW w AS (PARTITION BY date)")
 add("recency_weights", lambda spark, d: six(K.recency(daily(spark, d))), f"WITH {_DAY} SELECT date, round(0.75 + 0.5 * percent_rank() OVER (ORDER BY date), 6) + 0.0 AS weight FROM (SELECT DISTINCT date FROM dd)")
 add("lag_features", lambda spark, d: six(K.lag_features(daily(spark, d).select("date", "security_id", "rev"), ["rev"], 2)), f"WITH {_DAY} SELECT date, security_id, {round_sql({'rev': 'rev', 'rev__lag1': 'coalesce(lag(rev, 1) OVER w, 0)', 'rev__lag2': 'coalesce(lag(rev, 2) OVER w, 0)', 'rev__diff1': 'coalesce(rev - lag(rev, 1) OVER w, 0)', 'rev__mom2': 'coalesce(rev - lag(rev, 2) OVER w, 0)'})} FROM dd WINDOW w AS (PARTITION BY security_id ORDER BY date)")

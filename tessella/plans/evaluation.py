@@ -55,8 +55,10 @@ def _score_sql(mode: str) -> str:
     turn = _turn_in(OK_SQL) if mode == "submission" else _TURN
     ic = f"ci AS (SELECT date, bar_idx, {corr_sql('ok', 'resp')} AS ic FROM (SELECT *, {OK_SQL} AS ok FROM r) GROUP BY 1, 2), cd AS (SELECT date, avg(ic) AS ic FROM ci GROUP BY 1)"
     one = f"o AS (SELECT (SELECT avg(ic) * {g['scale']} FROM cd) AS ic, (SELECT {IR('ic')} FROM cd) AS ir, (SELECT avg(tvr) * {g['scale']} FROM td) AS tvr)"
-    ok = f"coalesce(ic > {g['ic']} AND ir > {g['ir']} AND tvr < {g['tvr']}, false)"
-    return f"WITH {RESEARCH}, {ic}, {turn}, {one} SELECT {round_sql({'ic': 'ic', 'ir': 'ir', 'tvr': 'tvr'})}, {ok} AS passes, round(CASE WHEN {ok} THEN greatest(ic - 0.0005 * tvr, 0) * sqrt(greatest(ir, 0)) * 100 ELSE 0 END, 6) + 0.0 AS score FROM o"
+    held = OK_SQL if mode == "submission" else "alpha"
+    book = f"bw AS (SELECT date, a / nullif(sum(abs(a)) {C}, 0) * 1e4 AS w FROM (SELECT *, {held} AS a FROM r)), bd AS (SELECT date, max(w) AS hi, min(w) AS lo FROM bw GROUP BY 1), bo AS (SELECT coalesce(max(hi) < 50 AND abs(min(lo)) < 50 AND avg(hi) < 20 AND abs(avg(lo)) < 20, false) AS unconcentrated FROM bd)"
+    ok = f"coalesce(ic > {g['ic']} AND ir > {g['ir']} AND tvr < {g['tvr']} AND unconcentrated, false)"
+    return f"WITH {RESEARCH}, {ic}, {turn}, {one}, {book} SELECT {round_sql({'ic': 'ic', 'ir': 'ir', 'tvr': 'tvr'})}, unconcentrated, {ok} AS passes, round(CASE WHEN {ok} THEN greatest(ic - 0.0005 * tvr, 0) * sqrt(greatest(ir, 0)) * 100 ELSE 0 END, 6) + 0.0 AS score FROM o, bo"
 
 
 for _mode in M.MODES:
@@ -88,8 +90,16 @@ _Q = {"mean": "avg(alpha)", "std": "stddev_samp(alpha)", "skew": "skewness(alpha
 add("alpha_distribution", q(R.distribution), f"WITH {RESEARCH} SELECT {round_sql(_Q | {'missing': 'avg(CAST(alpha IS NULL AS DOUBLE))', 'positive': 'avg(CAST(alpha > 0 AS DOUBLE))', 'inner': 'avg(CAST(abs(alpha) <= 0.5 AS DOUBLE))'})} FROM r".replace(" AS inner", ' AS "inner"'))
 add("alpha_histogram", lambda spark, d: R.histogram(signal(spark, d), "volume"), f"WITH {RESEARCH}, s AS (SELECT min(volume) AS lo, max(volume) AS hi FROM r) SELECT CAST(least(floor((volume - lo) / (hi - lo) * 20), 19) AS INT) AS bin, count(*) AS n FROM r, s WHERE volume IS NOT NULL GROUP BY 1")
 add("temporal_coverage", q(R.coverage), f"WITH {RESEARCH}, x AS (SELECT date, bar_idx, avg(alpha) AS mean, stddev_samp(alpha) AS std, avg(CAST(alpha IS NOT NULL AS DOUBLE)) AS coverage FROM r GROUP BY 1, 2) SELECT date, {round_sql({k: f'avg({k})' for k in ('mean', 'std', 'coverage')})} FROM x GROUP BY 1")
-add("regime_ic", q(R.regimes), f"""WITH {RESEARCH}, x AS (SELECT date, bar_idx, {corr_sql('alpha', 'resp')} AS ic, avg(resp) AS market, stddev_samp(resp) AS vol FROM r GROUP BY 1, 2), d AS (SELECT date, avg(ic) AS ic, avg(market) AS market, avg(vol) AS vol FROM x GROUP BY 1),
-f AS (SELECT ic, CASE WHEN market >= 0 THEN 'up' ELSE 'down' END AS regime FROM d UNION ALL SELECT ic, CASE WHEN vol >= (SELECT quantile_cont(vol, 0.5) FROM d) THEN 'high_vol' ELSE 'low_vol' END FROM d) SELECT regime, round(avg(ic), 6) + 0.0 AS ic, count(ic) AS days FROM f GROUP BY 1""")
+_DAYS_SQL = f"x AS (SELECT date, bar_idx, {corr_sql('alpha', 'resp')} AS ic, avg(resp) AS market, stddev_samp(resp) AS vol FROM r GROUP BY 1, 2)"
+add("regime_ic", q(R.regimes), f"""WITH {RESEARCH}, {_DAYS_SQL}, d AS (SELECT date, avg(ic) AS ic, round(avg(market), 10) AS market, round(avg(vol), 10) AS vol FROM x GROUP BY 1),
+f AS (SELECT ic, CASE WHEN market >= 0 THEN 'up' ELSE 'down' END AS regime FROM d UNION ALL SELECT ic, CASE WHEN vol >= (SELECT quantile_cont(vol, 0.5) FROM d) THEN 'high_vol' ELSE 'low_vol' END FROM d
+UNION ALL SELECT ic, CASE WHEN abs(market) >= (SELECT quantile_cont(abs(market), 0.5) FROM d) THEN 'trend' ELSE 'chop' END FROM d) SELECT regime, round(avg(ic), 6) + 0.0 AS ic, count(ic) AS days FROM f GROUP BY 1""")
+add("guarded_daily_ic", q(lambda s: M.guarded_ic(s, least=5)), f"WITH {RESEARCH}, gi AS (SELECT date, bar_idx, count(CASE WHEN ok IS NOT NULL AND resp IS NOT NULL THEN 1 END) AS n, {corr_sql('ok', 'resp')} AS ic FROM (SELECT *, {OK_SQL} AS ok FROM r) GROUP BY 1, 2) SELECT date, round(avg(ic) * 100, 6) + 0.0 AS ic FROM gi WHERE n >= 5 AND ic IS NOT NULL GROUP BY 1")
+add("monthly_market_state", q(M.monthly_state), f"""WITH {RESEARCH}, {_DAYS_SQL}, d AS (SELECT date, avg(ic) AS ic, avg(market) AS market, avg(vol) AS vol FROM x GROUP BY 1), m AS (SELECT strftime(date, '%Y-%m') AS month, avg(ic) AS ic, avg(market) * 100 AS market_ret, avg(vol) AS vol, avg(abs(market)) * 100 AS market_abs_move FROM d GROUP BY 1)
+SELECT month, {round_sql({'ic': 'ic', 'market_ret': 'market_ret', 'market_vol': 'vol / ((SELECT quantile_cont(vol, 0.9) FROM m) + 1e-9)', 'market_abs_move': 'market_abs_move'})} FROM m""")
+add("yearly_turnover", q(lambda s: M.daily_turnover(M.bar_turnover(s)).groupBy(F.year("date").alias("year")).agg(F.avg("tvr").alias("tvr"))), f"WITH {RESEARCH}, {_TURN} SELECT CAST(year(date) AS INT) AS year, round(avg(tvr), 6) + 0.0 AS tvr FROM td GROUP BY 1")
+add("positive_month_ratio", q(lambda s: M.by_month(M.daily(M.bar_ic(s), "ic"), "ic").agg(F.avg((F.col("ic") > 0).cast("double")).alias("positive"), F.count("*").alias("months"))), f"WITH {RESEARCH}, {IC}, m AS (SELECT strftime(date, '%Y-%m') AS month, avg(ic) AS ic FROM di GROUP BY 1) SELECT round(avg(CAST(ic > 0 AS DOUBLE)), 6) + 0.0 AS positive, count(*) AS months FROM m")
+add("extreme_share", q(lambda s: s.agg(F.avg((F.abs("alpha") > 0.45).cast("double")).alias("extreme"), F.count("alpha").alias("n"))), f"WITH {RESEARCH} SELECT round(avg(CAST(abs(alpha) > 0.45 AS DOUBLE)), 6) + 0.0 AS extreme, count(alpha) AS n FROM r")
 _THREE = {"rev": ALPHA, "mom": "pct_rank(delta(close_trade_px, 3))", "vol": "pct_rank(ts_mean(volume, 5))"}
 _THREE_SQL = f"""{PANEL}, s0 AS (SELECT *, -(close_trade_px / vwap - 1) AS x1, close_trade_px - lag(close_trade_px, 3) OVER (PARTITION BY security_id ORDER BY bar_idx) AS x2, avg(volume) {W(5)} AS x3 FROM p),
 s3 AS (SELECT security_id, bar_idx, date, {', '.join(f"({RANK.format(x=x, k='bar_idx')}) / count({x}) OVER (PARTITION BY bar_idx) - 0.5 AS {n}" for x, n in (('x1', 'rev'), ('x2', 'mom'), ('x3', 'vol')))} FROM s0)"""
@@ -110,18 +120,18 @@ def _low_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(chosen, 1)), "place int, signal string")
 
 
-add("low_corr_set", _low_corr)
+add("low_corr_set", _low_corr, f"""WITH {_THREE_SQL}, {_PAIRS}, c AS (SELECT a, b, coalesce(abs(corr), 0) <= 0.3 AS ok FROM pr), o AS (SELECT bool_and(ok) AS all_ok, bool_or(ok) AS any_ok, bool_or(ok AND a = 'rev' AND b = 'mom') AS rm, bool_or(ok AND a = 'rev' AND b = 'vol') AS rv FROM c),
+m AS (SELECT unnest(CASE WHEN all_ok THEN ['rev', 'mom', 'vol'] WHEN rm THEN ['rev', 'mom'] WHEN rv THEN ['rev', 'vol'] WHEN any_ok THEN ['mom', 'vol'] ELSE ['rev'] END) AS signal FROM o) SELECT CAST(row_number() OVER (ORDER BY CASE signal WHEN 'rev' THEN 1 WHEN 'mom' THEN 2 ELSE 3 END) AS INT) AS place, signal FROM m""")
+_ZP = "zz AS (SELECT " + ", ".join(f"({n} - avg({n}) OVER (PARTITION BY bar_idx)) / nullif(stddev_samp({n}) OVER (PARTITION BY bar_idx), 0) AS {n}" for n in ("rev", "mom", "vol")) + " FROM s3), zp AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {corr_sql(a, b)} AS corr, count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END) AS n FROM zz" for a, b in (("rev", "mom"), ("rev", "vol"), ("mom", "vol"))) + ")"
+add("pooled_corr_matrix", lambda spark, d: six(R.pooled(three(spark, d), list(_THREE))), f"WITH {_THREE_SQL}, {_ZP} SELECT a, b, round(CASE WHEN n >= 200 THEN corr END, 6) + 0.0 AS corr, n FROM zp")
+add("nearest_signals", lambda spark, d: six(R.neighbours(R.pooled(three(spark, d), list(_THREE)))), f"""WITH {_THREE_SQL}, {_ZP}, nb AS (SELECT a AS signal, b AS other, corr FROM zp WHERE n >= 200 UNION ALL SELECT b, a, corr FROM zp WHERE n >= 200)
+SELECT signal, other, round(corr, 6) + 0.0 AS corr, CAST(row_number() OVER (PARTITION BY signal ORDER BY abs(corr) DESC, other) AS INT) AS place FROM nb WHERE corr IS NOT NULL""")
 _SMOOTHERS = {"raw": "alpha", "ema3": "ts_ema(alpha, 3)", "mean3": "ts_mean(alpha, 3)", "ema8": "ts_ema(alpha, 8)", "extremes": "cs_extremes(alpha, 0.2)"}
 
 
 def _rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All smoothers of a signal in one pass, by turnover: the first with enough IC is the rescue."""
-    smooth = formula.evaluate(signal(spark, sf_dir), _SMOOTHERS)
-    out = None
-    for k in _SMOOTHERS:
-        one = M.daily_turnover(M.bar_turnover(smooth, k)).agg(F.avg("tvr").alias("tvr")).join(F.broadcast(M.daily(M.bar_ic(smooth, k), "ic").agg(F.avg("ic").alias("ic")))).select(F.lit(k).alias("smoother"), "tvr", "ic")
-        out = one if out is None else out.unionByName(one)
-    return six(out)
+    return six(R.smoothed_turnover(formula.evaluate(signal(spark, sf_dir), _SMOOTHERS), list(_SMOOTHERS)))
 
 
 add("tvr_rescue_rank", _rescue)

@@ -60,3 +60,34 @@ def drop_missing(df: DataFrame, columns: list[str]) -> DataFrame:
     for f in finite:
         df = df.filter(f)
     return df
+
+
+def write_submission(rows: DataFrame, path: str, files_a_day: int = 1) -> None:
+    """rows(date, datetime, security_id, alpha) as Parquet, a folder a day, each day's rows in order in files_a_day files."""
+    dealt = rows.withColumn("day", F.col("date")).repartition("day") if files_a_day == 1 else rows.withColumns({"day": F.col("date"), "_file": F.pmod(F.xxhash64("security_id"), F.lit(files_a_day))}).repartition("day", "_file").drop("_file")
+    dealt.sortWithinPartitions("day", "datetime", "security_id").write.mode("overwrite").partitionBy("day").parquet(path)
+
+
+def write_diagnostics(report: DataFrame, series: dict[str, DataFrame], path: str) -> None:
+    """A report of few rows as JSON, and each of its series as CSV beside it."""
+    report.coalesce(1).write.mode("overwrite").json(f"{path}/report")
+    for name, df in series.items():
+        write_csv(df, f"{path}/{name}")
+
+
+def write_documents(rows: DataFrame, path: str, version: str) -> None:
+    """A JSON document store: each write is a version beside the others."""
+    rows.write.mode("overwrite").json(f"{path}/version={version}")
+
+
+def read_documents(spark: SparkSession, path: str, schema: str, version: str | None = None) -> DataFrame:
+    """The documents of a version, or of the greatest there is."""
+    every = spark.read.schema(f"{schema}, version string").json(path)
+    latest = F.lit(version) if version is not None else every.agg(F.max("version").alias("v")).first()["v"]  # one value
+    return every.filter(F.col("version") == latest).drop("version")
+
+
+def file_statistics(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """One row: files, bytes and the newest change, from the listing alone; no file is read but for its name."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{fmt}").load(path).select("path", "length", "modificationTime")
+    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.max("modificationTime").alias("changed"))

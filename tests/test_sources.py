@@ -53,3 +53,36 @@ def test_upsert_is_repeatable(spark, tmp_path):
     write(row((2, 9)), 1)
     write(row((2, 9)), 1)
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t/v1")).collect()) == [(1, 1), (2, 9)]
+
+
+def test_upsert_settles_keys_within_a_batch(spark, tmp_path):
+    """The greatest by order counts; the last two versions stay."""
+    write = upsert_batches(str(tmp_path / "t"), ["k"], ["at"])
+    row = lambda *r: spark.createDataFrame(list(r), "k long, at long, v string")
+    write(row((1, 1, "a"), (1, 2, "b"), (2, 1, "c")), 0)
+    write(row((1, 3, "d"), (1, 1, "e")), 1)
+    write(row((3, 1, "f"), (3, 1, "f")), 2)
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t/v2")).collect()) == [(1, 3, "d"), (2, 1, "c"), (3, 1, "f")]
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["v1", "v2"]
+
+
+def test_missing_prices_open_no_bar(spark):
+    ticks = spark.sql("select 1L security_id, timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,cast(id as int)) ts, id event_id, if(id in (0, 3), null, cast(id as double)) price, 1.0D size from range(4)")
+    r = streaming_bars(ticks).first()
+    assert (r.open_trade_px, r.close_trade_px, r.trade_count) == (1.0, 2.0, 4)
+
+
+def test_sinks_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([("2024-01-02", "2024-01-02 01:00:00", 2, 0.5), ("2024-01-01", "2024-01-01 01:00:00", 1, -0.5)], "date string, datetime string, security_id long, alpha double")
+    tables.write_submission(rows, str(tmp_path / "s"))
+    assert sorted(p.name for p in (tmp_path / "s").glob("day=*")) == ["day=2024-01-01", "day=2024-01-02"]
+    assert spark.read.parquet(str(tmp_path / "s")).drop("day").exceptAll(rows).count() == 0
+    assert tables.file_statistics(spark, str(tmp_path / "s")).first().files == 2
+    tables.write_diagnostics(rows.limit(1), {"days": rows.select("date")}, str(tmp_path / "d"))
+    assert spark.read.json(str(tmp_path / "d/report")).count() == 1 and tables.read_csv(spark, str(tmp_path / "d/days"), "date string").count() == 2
+    for v, n in (("a", 1), ("b", 2)):
+        tables.write_documents(spark.range(n), str(tmp_path / "j"), v)
+    assert tables.read_documents(spark, str(tmp_path / "j"), "id long").count() == 2 and tables.read_documents(spark, str(tmp_path / "j"), "id long", "a").count() == 1
+    tables.append_json(spark.range(3), str(tmp_path / "log"))
+    tables.append_json(spark.range(3, 5), str(tmp_path / "log"))
+    assert [r.id for r in tables.recent_json(spark, str(tmp_path / "log"), "id long", [F.col("id").desc()], 2).collect()] == [4, 3]
