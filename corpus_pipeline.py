@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import lines, packing, quality, secrets, simhash
 from tessella.llm.queries import tokenizer
-from tessella.llm.scratch import written
+from tessella.llm.scratch import discard, written
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -61,6 +61,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if k:
+            discard(before)
+    packed = STAGES[-1][1](spark, docs, sf_dir)  # has written what it read
+    discard(docs)
+    return packed
