@@ -190,6 +190,22 @@ def word_distance(a: Column, b: Column, most: Column) -> Column:
     return F.when(d >= 0, d)
 
 
+def _codes(line: Column) -> Column:
+    """A text whose characters stand for the words of a line, by their hashes; different words may share one."""
+    code = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0x7000)) + 0x3000), 4, "0")  # noqa: E731  none of them a surrogate
+    return F.decode(F.unhex(F.array_join(F.transform(F.split(line, " "), code), "")), "UTF-16BE")
+
+
+def _coded_distance(p: str, q: str, most: Column) -> Column:
+    """The edit distance by words of columns {p}_line and {q}_line if it is at most `most`, else null, from their codes: a lower bound,
+    and where no two different words of the pair share a code the distance itself; else it is taken on the words."""
+    bound = F.call_function("levenshtein", F.col(f"{p}_codes"), F.col(f"{q}_codes"), most)
+    different = lambda c, part: F.size(F.array_union(F.split(f"{p}_{c}", part), F.split(f"{q}_{c}", part)))
+    own = different("codes", "") == different("line", " ")
+    narrow = banded_distance(F.col(f"{p}_line"), F.col(f"{q}_line"), NARROW, words=True)
+    return F.when(bound >= 0, F.when(own, bound).when(most <= NARROW, narrow).otherwise(word_distance(F.col(f"{p}_line"), F.col(f"{q}_line"), most)))
+
+
 def _threshold(p: Column) -> Column:
     return F.call_function("levenshtein", p["x"], p["y"], p["k"])
 
@@ -254,18 +270,15 @@ def similar_lines(leaders: DataFrame, lines: DataFrame, tolerance: tuple[tuple[i
     places = leaders.join(wanted, "h1", "left_semi").select("h1", "h2", "at", "n", F.col("keys").isNotNull().alias("words"))
     place = F.xxhash64("h1", "at").alias("place")
     places = written(places.withColumn("place", place), "wanted-places")
-    texts = written(only(lines.select(place, F.col("line")), "place", places).join(places, "place"), "wanted-lines")
-    side = lambda new: texts.select(F.col("h1").alias(new), *(F.col(c).alias(f"{new}_{c}") for c in ("h2", "at", "line", "n", "words")))
+    texts = only(lines.select(place, F.col("line")), "place", places).join(places, "place")
+    texts = written(texts.withColumn("codes", F.when(F.col("words"), _codes(F.col("line")))), "wanted-lines")
+    side = lambda new: texts.select(F.col("h1").alias(new), *(F.col(c).alias(f"{new}_{c}") for c in ("h2", "at", "line", "n", "words", "codes")))
     both = pairs.join(side("p"), "p").join(side("q"), "q").filter("p_words = q_words")
     shorter, line = F.least("p_n", "q_n"), (F.col("p_line"), F.col("q_line"))
     allowed = F.when(F.col("p_words"), _word_edits(shorter)).otherwise(_edits(shorter, tolerance))
     narrow = F.col("_k") <= NARROW
-    distance = (
-        F.when(F.col("p_words") & narrow, banded_distance(*line, NARROW, words=True)).when(F.col("p_words"), word_distance(*line, F.col("_k")))
-        .when(narrow, banded_distance(*line, NARROW)).otherwise(F.expr("nullif(levenshtein(p_line, q_line, _k), -1)"))
-    )
-    most = lambda a, b: F.size(F.array_except(F.split(a, " "), F.split(b, " "))) <= F.col("_k")  # noqa: E731  different words that the other lacks
-    distance = F.when(~F.col("p_words") | most(*line) & most(*line[::-1]), distance)
+    by_character = F.when(narrow, banded_distance(*line, NARROW)).otherwise(F.expr("nullif(levenshtein(p_line, q_line, _k), -1)"))
+    distance = F.when(F.col("p_words"), _coded_distance("p", "q", F.col("_k"))).otherwise(by_character)
     alike = both.withColumn("_k", allowed).withColumn("_d", distance).filter(F.col("_d") <= F.col("_k"))
     later = F.col("p_at") > F.col("q_at")
     found = alike.select(F.when(later, F.col("p")).otherwise(F.col("q")).alias("h1"), F.when(later, F.col("p_h2")).otherwise(F.col("q_h2")).alias("h2"), F.least("p_at", "q_at").alias("first"))
