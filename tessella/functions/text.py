@@ -49,7 +49,16 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def unit(a: Column) -> Column:
+    """A vector of length one, or of zeros."""
+    scaled = lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / F.when(n > 0, n)).otherwise(0.0))
+    return F.get(F.transform(F.array(F.sqrt(dot(a, a))), scaled), F.lit(0))  # the length is taken once
+
+
 def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm > 0, dot(a, b) / F.when(norm > 0, norm)).otherwise(0.0)

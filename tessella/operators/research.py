@@ -15,11 +15,12 @@ def distribution(signal: DataFrame, value: str = "alpha") -> DataFrame:
     n = F.count(x).cast("double")
     skew = F.skewness(x) * F.sqrt(n * (n - 1)) / F.when(n > 2, n - 2)
     kurt = (n - 1) / F.when(n > 3, (n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6)
-    quantiles = [F.percentile(x, F.lit(q)).alias(f"p{round(q * 100)}") for q in (0.01, 0.05, 0.5, 0.95, 0.99)]
-    return signal.agg(
-        F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), skew.alias("skew"), kurt.alias("kurt"), F.min(x).alias("min"), F.max(x).alias("max"), *quantiles,
+    at = (0.01, 0.05, 0.5, 0.95, 0.99)
+    one = signal.agg(
+        F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), skew.alias("skew"), kurt.alias("kurt"), F.min(x).alias("min"), F.max(x).alias("max"), F.percentile(x, F.array(*map(F.lit, at))).alias("_q"),
         F.avg(x.isNull().cast("double")).alias("missing"), F.avg((x > 0).cast("double")).alias("positive"), F.avg((F.abs(x) <= 0.5).cast("double")).alias("inner"),
     )
+    return one.select("*", *(F.col("_q")[k].alias(f"p{round(q * 100)}") for k, q in enumerate(at))).drop("_q")
 
 
 def histogram(signal: DataFrame, value: str = "alpha", bins: int = 20) -> DataFrame:

@@ -30,7 +30,7 @@ _FLOOR = "time_bucket(INTERVAL '15 minutes', ts)"
 add("resample_left", _resample(False), _resample_sql(_FLOOR))
 add("resample_right", _resample(True), _resample_sql(f"CASE WHEN {_FLOOR} = ts THEN ts ELSE {_FLOOR} + INTERVAL '15 minutes' END"))
 add("densify_grid", lambda spark, d: six(P.event_panel(spark, d).select("security_id", "datetime", "date", "bar_idx", *_BAR_FIELDS)), f"WITH {PANEL} SELECT security_id, datetime, date, bar_idx, {round_sql({f: f for f in _BAR_FIELDS})} FROM p")
-add("trading_days", lambda spark, d: P.event_panel(spark, d).select("date").distinct().filter(F.col("date").between("2024-01-05", "2024-01-20")), "SELECT DISTINCT CAST(ts AS DATE) AS date FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'")
+add("trading_days", lambda spark, d: P.read(spark, d, "events").filter((F.col("ts") >= "2024-01-05") & (F.col("ts") < "2024-01-21")).select(F.to_date("ts").alias("date")).distinct(), "SELECT DISTINCT CAST(ts AS DATE) AS date FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'")
 add("latest_days", lambda spark, d: P.read(spark, d, "events").select(F.to_date("ts").alias("date")).distinct().orderBy(F.desc("date")).limit(10), "SELECT DISTINCT CAST(ts AS DATE) AS date FROM events ORDER BY 1 DESC LIMIT 10")
 
 

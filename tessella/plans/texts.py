@@ -62,23 +62,24 @@ def _tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     weighed = tf.join(df, "w").select("item_id", "w", (F.col("tf") * F.col("idf")).alias("x"))
     norms = weighed.groupBy("item_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     unit = weighed.join(norms, "item_id").select("item_id", "w", (F.col("x") / F.col("norm")).alias("x"))
-    met = unit.filter(F.col("item_id") % 10 == 0).alias("q").join(unit.alias("d"), (F.col("q.w") == F.col("d.w")) & (F.col("q.item_id") != F.col("d.item_id")))
+    met = unit.filter(F.col("item_id") % 100 == 0).alias("q").join(unit.alias("d"), (F.col("q.w") == F.col("d.w")) & (F.col("q.item_id") != F.col("d.item_id")))
     sims = met.groupBy(F.col("q.item_id").alias("query"), F.col("d.item_id").alias("item")).agg(F.round(F.sum(F.col("q.x") * F.col("d.x")), 6).alias("cosine"))
     return best_per_group(sims, "query", [F.col("cosine").desc(), F.col("item")], 3)
 
 
 add("tfidf_topk", _tfidf, """WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM benchmark), tf AS (SELECT item_id, w, count(*) AS tf FROM w GROUP BY 1, 2), df AS (SELECT w, ln(((SELECT count(DISTINCT item_id) FROM w) + 1.0) / (count(*) + 1.0)) + 1 AS idf FROM tf GROUP BY 1),
-x AS (SELECT item_id, w, tf * idf AS x FROM tf JOIN df USING (w)), u AS (SELECT item_id, w, x / sqrt(sum(x * x) OVER (PARTITION BY item_id)) AS x FROM x), s AS (SELECT q.item_id AS query, d.item_id AS item, round(sum(q.x * d.x), 6) AS cosine FROM u q JOIN u d USING (w) WHERE q.item_id % 10 = 0 AND q.item_id <> d.item_id GROUP BY 1, 2)
+x AS (SELECT item_id, w, tf * idf AS x FROM tf JOIN df USING (w)), u AS (SELECT item_id, w, x / sqrt(sum(x * x) OVER (PARTITION BY item_id)) AS x FROM x), s AS (SELECT q.item_id AS query, d.item_id AS item, round(sum(q.x * d.x), 6) AS cosine FROM u q JOIN u d USING (w) WHERE q.item_id % 100 = 0 AND q.item_id <> d.item_id GROUP BY 1, 2)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, item) AS place FROM s) WHERE place <= 3""")
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _vectors(spark: SparkSession, sf_dir: str, block: int = 20_000) -> DataFrame:
     """For a stated set of query vectors (ids divisible by 100), the five most alike by cosine: the queries, 1 % of the rows, meet
-    the rows in blocks, each block keeps its best, and the best of those remain."""
-    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    q = e.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("block"))
-    blocks = e.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(8)).cast("int"))
-    sims = q.join(blocks, "block").filter("query <> vec_id").select("query", "block", "vec_id", F.round(X.cosine(F.col("v"), F.col("embedding")), 6).alias("cosine"))
+    the rows in blocks of about `block`, each block keeps its best, and the best of those remain. Vectors are normalised once."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", X.unit(F.col("embedding")).alias("v"))
+    n = max(8, -(-read(spark, sf_dir, "embeddings").count() // block))
+    q = e.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query"), F.col("v").alias("u"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+    blocks = e.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
+    sims = q.join(blocks, "block").filter("query <> vec_id").select("query", "block", "vec_id", F.round(X.dot(F.col("u"), F.col("v")), 6).alias("cosine"))
     order = [F.col("cosine").desc(), F.col("vec_id")]
     local = sims.withColumn("qb", F.struct("query", "block"))
     return best_per_group(best_per_group(local, "qb", order, 5).drop("place", "qb"), "query", order, 5).select("query", "vec_id", "cosine", "place")
@@ -89,17 +90,20 @@ add("vector_topk", _vectors, f"WITH s AS (SELECT q.vec_id AS query, d.vec_id, ro
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three signals of relevance scaled and blended; the best two of each language."""
+    """Three signals of relevance scaled and blended - likeness of vectors to the first one, shared terms, language; the best two of
+    each language. The query's vector is one row."""
     terms = ["license", "token", "the"]
-    d = read(spark, sf_dir, "documents").select("doc_id", "lang", F.lower("text").alias("t"), "n_chars")
+    e = read(spark, sf_dir, "embeddings")
+    asked = e.filter("vec_id = 0").select(F.col("embedding").alias("asked"))
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", F.lower("text").alias("t")).join(e.withColumnRenamed("vec_id", "doc_id"), "doc_id", "left").join(F.broadcast(asked))
     hits = sum(F.when(F.col("t").contains(w), 1.0).otherwise(0.0) for w in terms)
-    scored = d.select("doc_id", "lang", hits.alias("lex"), F.log1p("n_chars").alias("sem"))
+    scored = d.select("doc_id", "lang", hits.alias("lex"), F.coalesce(F.round(X.cosine(F.col("embedding"), F.col("asked")), 9), F.lit(0.0)).alias("sem"))
     span = scored.agg(F.min("sem").alias("lo"), F.max("sem").alias("hi"))
     score = 0.72 * (F.col("sem") - F.col("lo")) / (F.col("hi") - F.col("lo")) + 0.22 * F.col("lex") / len(terms) + 0.06 * (F.col("lang") == "en").cast("double")
     out = scored.join(F.broadcast(span)).select("doc_id", "lang", F.round(score, 6).alias("score"))
     return best_per_group(out, "lang", [F.col("score").desc(), F.col("doc_id")], 2)
 
 
-add("hybrid_retrieval", _hybrid, """WITH s AS (SELECT doc_id, lang, CAST(contains(lower(text), 'license') AS INT) + CAST(contains(lower(text), 'token') AS INT) + CAST(contains(lower(text), 'the') AS INT) AS lex, ln(1 + n_chars) AS sem FROM documents),
+add("hybrid_retrieval", _hybrid, """WITH s AS (SELECT doc_id, lang, CAST(contains(lower(text), 'license') AS INT) + CAST(contains(lower(text), 'token') AS INT) + CAST(contains(lower(text), 'the') AS INT) AS lex, coalesce(round(""" + f"{_DOT('embedding', 'asked')} / (sqrt({_DOT('embedding', 'embedding')}) * sqrt({_DOT('asked', 'asked')}))" + """, 9), 0) AS sem FROM documents LEFT JOIN embeddings ON vec_id = doc_id, (SELECT embedding AS asked FROM embeddings WHERE vec_id = 0)),
 x AS (SELECT doc_id, lang, round(0.72 * (sem - (SELECT min(sem) FROM s)) / ((SELECT max(sem) FROM s) - (SELECT min(sem) FROM s)) + 0.22 * lex / 3 + 0.06 * CAST(lang = 'en' AS DOUBLE), 6) AS score FROM s) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS place FROM x) WHERE place <= 2""")
 add("turn_counts", lambda spark, d: read(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.countDistinct("conv_id").alias("conversations")), "SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations FROM conversations GROUP BY 1")
