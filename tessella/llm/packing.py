@@ -34,7 +34,7 @@ class WordIds:
         tokenizer = load_tokenizer(path)
         self._whole = lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
         self.pieces = Memory(self._whole)
-        self.chunks = Memory(self._chunk, 2 * REMEMBERED)
+        self.chunks = Memory(self._chunk, 4 * REMEMBERED)
 
     def _chunk(self, chunk: str) -> bytes:
         if m := _PIECE.fullmatch(chunk):

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.chunks import LONG, MARKS, Memory, at_marks, balanced, head_and_words, load_tokenizer, per_worker
+from tessella.llm.chunks import LONG, MARKS, REMEMBERED, Memory, at_marks, balanced, head_and_words, load_tokenizer, per_worker
 
 #: Bytes of new chunks that go to the library at once.
 BATCH_BYTES = 1 << 16
@@ -20,7 +20,7 @@ BATCH_BYTES = 1 << 16
 
 class _Counter:
     def __init__(self, path: str):
-        self.lengths = Memory(lambda chunk: self.count([chunk])[0])  # a head as it is, a later chunk without its space: a tab in front of the former tells them apart
+        self.lengths = Memory(lambda chunk: self.count([chunk])[0], 3 * REMEMBERED)  # a head as it is, a later chunk without its space: a tab in front of the former tells them apart
         self.cut = False
         if path.endswith(".model"):
             import sentencepiece
