@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 
 from tessella.llm.chunks import per_worker
 
-#: Grams of a profile, of a document as of a language, and languages at most: with them the broadcast has at most 100 MB.
-SIZE = 500
+#: Grams of a profile, of a document as of a language, and languages at most: with them the broadcast has at most 240 MB.
+SIZE = 1000
 MOST_LANGUAGES = 10_000
 #: Grams that a task gathers before it counts them.
 GATHERED = 1 << 21
 UNKNOWN = "und"
+#: Stands for a word's bounds: a control character, so in no word, and not 0, which would make a pair equal to its second character.
+BOUND = 1
 
 
 def _classes() -> np.ndarray:
@@ -32,20 +34,20 @@ def _classes() -> np.ndarray:
 
 
 def words_of(text: str) -> np.ndarray:
-    """The lower-cased text's code points, with one 0 for each run of what belongs to no word, and at both ends; empty without a letter."""
+    """The lower-cased text's code points, with one BOUND for each run of what belongs to no word, and at both ends; empty without a letter."""
     classes = per_worker(("letters",), _classes)
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = classes[codes]
     if not (kind == 2).any():
         return np.empty(0, np.int64)
-    codes = np.concatenate(([0], np.where(kind > 0, codes, 0), [0])).astype(np.int64)
-    return codes[np.concatenate(([True], (codes[1:] != 0) | (codes[:-1] != 0)))]
+    codes = np.concatenate(([BOUND], np.where(kind > 0, codes, BOUND), [BOUND])).astype(np.int64)
+    return codes[np.concatenate(([True], (codes[1:] != BOUND) | (codes[:-1] != BOUND)))]
 
 
 def grams_of(words: np.ndarray) -> np.ndarray:
     """All grams of one, two and three characters as longs; a bound counts as a character at either end, but not between two words."""
     pairs = (words[:-1] << 21) | words[1:]
-    return np.concatenate((words[words > 0], pairs, ((pairs[:-1] << 21) | words[2:])[words[1:-1] > 0]))
+    return np.concatenate((words[words != BOUND], pairs, ((pairs[:-1] << 21) | words[2:])[words[1:-1] != BOUND]))
 
 
 def top(grams: np.ndarray, size: int) -> np.ndarray:
@@ -55,21 +57,27 @@ def top(grams: np.ndarray, size: int) -> np.ndarray:
 
 
 class Profiles:
-    """Ranks by gram and language. size is the penalty for a gram that a language's profile lacks."""
+    """All languages' ranked grams, by gram: places[starts[k]:starts[k + 1]] are the ranks of grams[k], in the languages at the same places of `of`.
+    size is the penalty for a gram that a language's profile lacks."""
 
     def __init__(self, ranked: dict[str, list[int]], size: int = SIZE):
         self.languages, self.size = sorted(ranked), size
-        self.grams = np.unique(np.array([g for x in ranked.values() for g in x], np.int64))
-        self.ranks = np.full((len(self.grams) + 1, len(self.languages)), -1, np.int32)  # the last row: a gram of no language
-        for k, language in enumerate(self.languages):
-            self.ranks[np.searchsorted(self.grams, ranked[language]), k] = np.arange(len(ranked[language]))
+        every = np.array([g for language in self.languages for g in ranked[language]], np.int64)
+        of = np.repeat(np.arange(len(self.languages)), [len(ranked[language]) for language in self.languages])
+        places = np.concatenate([np.arange(len(ranked[language])) for language in self.languages] or [np.empty(0, np.int64)])
+        order = np.argsort(every, kind="stable")
+        self.grams, starts = np.unique(every[order], return_index=True)
+        self.starts = np.append(starts, len(every))
+        self.of, self.places = of[order].astype(np.int32), places[order].astype(np.int32)
 
     def distances(self, own: np.ndarray) -> np.ndarray:
         """Out-of-place distance of a document's ranked grams to each language."""
         at = np.searchsorted(self.grams, own)
-        at[(at == len(self.grams)) | (self.grams[np.minimum(at, len(self.grams) - 1)] != own)] = len(self.grams)
-        ranks = self.ranks[at]
-        return np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(own))[:, None])).sum(0)
+        mine = np.flatnonzero((at < len(self.grams)) & (self.grams[np.minimum(at, len(self.grams) - 1)] == own))
+        first, n = self.starts[at[mine]], self.starts[at[mine] + 1] - self.starts[at[mine]]
+        entry = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        saved = self.size - np.abs(self.places[entry] - np.repeat(mine, n))
+        return len(own) * self.size - np.bincount(self.of[entry], saved, len(self.languages)).astype(np.int64)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The nearest language, of equally near ones the first by name, and 1 less the share of the largest possible distance."""
@@ -118,7 +126,7 @@ def _part(words: np.ndarray, last: bool) -> np.ndarray:
     pairs = (words[:-1] << 21) | words[1:]
     threes = (pairs[:-1] << 21) | words[2:]
     single = words[:own]
-    return np.concatenate((single[single > 0], pairs[:own], threes[:own][words[1 : 1 + min(own, len(threes))] > 0]))
+    return np.concatenate((single[single != BOUND], pairs[:own], threes[:own][words[1 : 1 + min(own, len(threes))] != BOUND]))
 
 
 def train(labelled: DataFrame, size: int = SIZE) -> Profiles:
