@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from tessella.functions.scalar import ratio
 from tessella.operators import cs
 
-#: Gates and weights of the two scoring modes (fixed values): ic in the mode's units, turnover in the mode's units.
+#: Gates and weights of the two scoring modes (fixed values): ic and turnover are times the scale.
 MODES = {
-    "official": {"ic": 0.006, "ir": 2.5, "tvr": 4.0, "scale": 1.0},
+    "official": {"ic": 0.006, "ir": 2.5, "tvr": 400.0, "scale": 1.0},
     "submission": {"ic": 0.6, "ir": 2.5, "tvr": 400.0, "scale": 100.0},
 }
 TVR_WEIGHT, YEAR = 0.0005, 252.0
@@ -124,17 +124,37 @@ def score(ic: Column, ir_: Column, tvr: Column, spread: Column, mode: str = "sub
     return passes, F.when(passes, value).otherwise(0.0)
 
 
-def evaluate(signal: DataFrame, alpha: str = "alpha", mode: str = "submission") -> DataFrame:
-    """One row: ic, ir, tvr, unconcentrated, passes, score. official takes ic of the restricted alpha, turnover and book of the raw one, in
-    raw units; submission takes all of the restricted alpha, ic and turnover times 100, and leaves overnight changes out."""
-    scale = MODES[mode]["scale"]
-    signal = signal.withColumn("_ok", restricted(F.col(alpha), F.col("trading_restriction")))
-    held = "_ok" if mode == "submission" else alpha
-    ics = daily(bar_ic(signal, "_ok"), "ic").agg((F.avg("ic") * scale).alias("ic"), ir("ic").alias("ir"))
-    tvr = daily_turnover(bar_turnover(signal, held, overnight=mode != "submission")).agg((F.avg("tvr") * scale).alias("tvr"))
-    one = ics.join(F.broadcast(tvr)).join(F.broadcast(book(signal, held).select(unconcentrated().alias("unconcentrated"))))
+def at_stamps(signal: DataFrame, stamps: list[str]) -> DataFrame:
+    """The bars at these times of day ("HH:mm:ss")."""
+    return signal.filter(F.date_format("datetime", "HH:mm:ss").isin(*stamps))
+
+
+def evaluate(signal: DataFrame, alpha: str = "alpha", mode: str = "submission", stamps: list[str] | None = None, by: list[str] | None = None, resp: str = "resp", units: float = 1e4) -> DataFrame:
+    """One row (for each value of `by`, if given): ic, ir, tvr, unconcentrated, passes, score. official takes ic of the restricted alpha, turnover and
+    book of the raw one; submission takes all of the restricted alpha, ic and turnover times 100, leaves overnight changes out, and looks at the
+    bars at `stamps` only, if given: before anything else, so that changes are from stamp to stamp.
+
+    The panel is shuffled once for the changes and once, as sums, by bar; days and the result follow from those."""
+    by, scale = by or [], MODES[mode]["scale"]
+    if stamps:
+        signal = at_stamps(signal, stamps)
+    ok = signal.withColumn("_ok", restricted(F.col(alpha), F.col("trading_restriction")))
+    held, entity = F.col("_ok" if mode == "submission" else alpha), Window.partitionBy(*by, "security_id").orderBy("bar_idx")
+    if mode == "submission":  # bars without any alpha are left out before changes are taken
+        ok = ok.withColumn("_present", F.count("_ok").over(Window.partitionBy(*by, "bar_idx")) > 0)
+        ok = ok.withColumn("_before", F.when(F.col("_present"), F.struct("date", "_ok"))).withColumn("_last", F.last("_before", ignorenulls=True).over(entity.rowsBetween(Window.unboundedPreceding, -1)))
+        change = F.when(F.col("_present") & (F.col("_last.date") == F.col("date")), F.abs(held - F.col("_last._ok")))
+    else:
+        change = F.abs(held - F.lag(held).over(entity))
+    gross = F.sum(F.abs(held))
+    bars = ok.withColumn("_change", change).groupBy(*by, "date", "bar_idx").agg(
+        correlation("_ok", resp).alias("ic"), ratio(F.coalesce(F.sum("_change"), F.lit(0.0)), gross).alias("tvr"), (ratio(F.max(held), gross) * units).alias("hi"), (ratio(F.min(held), gross) * units).alias("lo"),
+    )
+    days = bars.groupBy(*by, "date").agg(F.avg("ic").alias("ic"), F.coalesce(F.sum("tvr"), F.lit(0.0)).alias("tvr"), F.max("hi").alias("hi"), F.min("lo").alias("lo"))
+    most = (F.max("hi").alias("max_weight"), F.min("lo").alias("min_weight"), F.avg("hi").alias("avg_daily_max"), F.avg("lo").alias("avg_daily_min"))
+    one = days.groupBy(*by).agg((F.avg("ic") * scale).alias("ic"), ir("ic").alias("ir"), (F.avg("tvr") * scale).alias("tvr"), *most).withColumn("unconcentrated", unconcentrated())
     passes, value = score(F.col("ic"), F.col("ir"), F.col("tvr"), F.col("unconcentrated"), mode)
-    return one.select("ic", "ir", "tvr", "unconcentrated", passes.alias("passes"), value.alias("score"))
+    return one.select(*by, "ic", "ir", "tvr", "unconcentrated", passes.alias("passes"), value.alias("score"))
 
 
 def guarded_ic(signal: DataFrame, alpha: str = "alpha", resp: str = "resp", least: int = 20) -> DataFrame:

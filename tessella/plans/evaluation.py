@@ -50,19 +50,25 @@ add("rolling_ic", q(lambda s: M.rolling(M.daily(M.bar_ic(s), "ic"), "ic")), f"WI
 add("positive_ratio", q(lambda s: M.daily(M.bar_ic(s), "ic").agg(F.avg((F.col("ic") > 0).cast("double")).alias("positive"))), f"WITH {RESEARCH}, {IC} SELECT round(avg(CAST(ic > 0 AS DOUBLE)), 6) + 0.0 AS positive FROM di")
 
 
-def _score_sql(mode: str) -> str:
-    g = M.MODES[mode]
-    turn = _turn_in(OK_SQL) if mode == "submission" else _TURN
+#: Times of day of a submission on the hourly panel.
+STAMPS = ["01:00:00", "02:00:00", "03:00:00", "05:00:00", "06:00:00", "07:00:00"]
+
+
+def score_sql(mode: str, stage: str, held_sql: str = OK_SQL) -> str:
+    """The mode's row over a stage r0 like r, in literal numbers."""
+    inside = "strftime(datetime, '%H:%M:%S') IN ('01:00:00', '02:00:00', '03:00:00', '05:00:00', '06:00:00', '07:00:00')" if mode == "submission" else "true"
+    turn, scale, least = (_turn_in(OK_SQL), 100, 0.6) if mode == "submission" else (_TURN, 1, 0.006)
     ic = f"ci AS (SELECT date, bar_idx, {corr_sql('ok', 'resp')} AS ic FROM (SELECT *, {OK_SQL} AS ok FROM r) GROUP BY 1, 2), cd AS (SELECT date, avg(ic) AS ic FROM ci GROUP BY 1)"
-    one = f"o AS (SELECT (SELECT avg(ic) * {g['scale']} FROM cd) AS ic, (SELECT {IR('ic')} FROM cd) AS ir, (SELECT avg(tvr) * {g['scale']} FROM td) AS tvr)"
-    held = OK_SQL if mode == "submission" else "alpha"
+    one = f"o AS (SELECT (SELECT avg(ic) * {scale} FROM cd) AS ic, (SELECT {IR('ic')} FROM cd) AS ir, (SELECT avg(tvr) * {scale} FROM td) AS tvr)"
+    held = held_sql if mode == "submission" else "alpha"
     book = f"bw AS (SELECT date, a / nullif(sum(abs(a)) {C}, 0) * 1e4 AS w FROM (SELECT *, {held} AS a FROM r)), bd AS (SELECT date, max(w) AS hi, min(w) AS lo FROM bw GROUP BY 1), bo AS (SELECT coalesce(max(hi) < 50 AND abs(min(lo)) < 50 AND avg(hi) < 20 AND abs(avg(lo)) < 20, false) AS unconcentrated FROM bd)"
-    ok = f"coalesce(ic > {g['ic']} AND ir > {g['ir']} AND tvr < {g['tvr']} AND unconcentrated, false)"
-    return f"WITH {RESEARCH}, {ic}, {turn}, {one}, {book} SELECT {round_sql({'ic': 'ic', 'ir': 'ir', 'tvr': 'tvr'})}, unconcentrated, {ok} AS passes, round(CASE WHEN {ok} THEN greatest(ic - 0.0005 * tvr, 0) * sqrt(greatest(ir, 0)) * 100 ELSE 0 END, 6) + 0.0 AS score FROM o, bo"
+    ok = f"coalesce(ic > {least} AND ir > 2.5 AND tvr < 400 AND unconcentrated, false)"
+    return f"WITH {stage}, r AS (SELECT * FROM r0 WHERE {inside}), {ic}, {turn}, {one}, {book} SELECT {round_sql({'ic': 'ic', 'ir': 'ir', 'tvr': 'tvr'})}, unconcentrated, {ok} AS passes, round(CASE WHEN {ok} THEN greatest(ic - 0.0005 * tvr, 0) * sqrt(greatest(ir, 0)) * 100 ELSE 0 END, 6) + 0.0 AS score FROM o, bo"
 
 
-for _mode in M.MODES:
-    add(f"score_{_mode}", q(lambda s, m=_mode: M.evaluate(s, mode=m)), _score_sql(_mode))
+_R0 = RESEARCH.replace("r AS (SELECT security_id, datetime", "r0 AS (SELECT security_id, datetime")
+add("score_official", q(lambda s: M.evaluate(s, mode="official")), score_sql("official", _R0))
+add("score_submission", q(lambda s: M.evaluate(s, stamps=STAMPS)), score_sql("submission", _R0))
 
 DAYS = "dy AS (SELECT date, security_id, round(avg(alpha), 10) AS pred, avg(resp) AS ret FROM r GROUP BY 1, 2 HAVING avg(alpha) IS NOT NULL AND avg(resp) IS NOT NULL)"
 BASK = "bk AS (SELECT *, least(greatest(1, floor(n * 0.2)), floor(n / 2)) AS size FROM (SELECT *, count(*) OVER (PARTITION BY date) AS n, row_number() OVER (PARTITION BY date ORDER BY pred, security_id) AS k FROM dy)), sd AS (SELECT *, CASE WHEN k <= size THEN -1 WHEN k > n - size THEN 1 ELSE 0 END AS side FROM bk)"
@@ -135,9 +141,6 @@ def _rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("tvr_rescue_rank", _rescue)
-STAMPS = ["01:00:00", "02:00:00", "03:00:00", "05:00:00", "06:00:00", "07:00:00"]
-
-
 def _submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = signal(spark, sf_dir)
     return submit.submission(s, P.universe(s), STAMPS)

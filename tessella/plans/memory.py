@@ -16,10 +16,10 @@ from tessella.sources.panel import read
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as ideas: balance as quality, orders as uses, finished orders as passes."""
     orders = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("used"), F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("passed"))
-    return read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", (F.col("c_acctbal").cast("double") / 10000).alias("quality")).join(orders, "c_custkey", "left")
+    return read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", (F.col("c_acctbal").cast("double") / 1000).alias("quality")).join(orders, "c_custkey", "left")
 
 
-_CU = "cu AS (SELECT c_custkey, c_mktsegment, CAST(c_acctbal AS DOUBLE) / 10000 AS quality, used, passed FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS used, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS passed FROM orders GROUP BY 1) ON o_custkey = c_custkey)"
+_CU = "cu AS (SELECT c_custkey, c_mktsegment, CAST(c_acctbal AS DOUBLE) / 1000 AS quality, used, passed FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS used, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS passed FROM orders GROUP BY 1) ON o_custkey = c_custkey)"
 _EFF = "coalesce(quality, 0) * 0.5 + coalesce(passed, 0) / greatest(coalesce(used, 0), 1) * 0.5 + CASE WHEN coalesce(used, 0) = 0 THEN 0.08 ELSE 0 END"
 add("effective_score", lambda spark, d: six(_customers(spark, d).select("c_custkey", Y.effective_score(F.col("quality"), F.col("used"), F.col("passed")).alias("score"))), f"WITH {_CU} SELECT c_custkey, round({_EFF}, 6) + 0.0 AS score FROM cu")
 add("recent_outcomes", lambda spark, d: Y.recent_outcomes(read(spark, d, "orders"), "o_orderpriority", "o_orderstatus", F.col("o_orderkey").desc(), 80), "SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM (SELECT * FROM orders ORDER BY o_orderkey DESC LIMIT 80) GROUP BY 1, 2")

@@ -62,10 +62,54 @@ def test_no_look_ahead(series):
         assert run(series.filter("bar_idx <= 5"), f) == whole[:5]
 
 
-@pytest.mark.parametrize(("ic", "ir", "tvr", "score"), [(2.1324, 5.5736, 55.6497, 496.8581), (1.6654, 24.2608, 691.6246, 0.0), (1.7912, 28.2852, 714.9574, 0.0)])
-def test_golden_scores(spark, ic, ir, tvr, score):
-    _, value = metrics.score(F.lit(ic), F.lit(ir), F.lit(tvr))
-    assert spark.range(1).select(value).first()[0] == pytest.approx(score, abs=0.02)
+@pytest.mark.parametrize(("ic", "ir", "tvr", "spread", "score"), [(2.1324, 5.5736, 55.6497, True, 496.8581), (1.6654, 24.2608, 691.6246, True, 0.0), (1.7912, 28.2852, 714.9574, True, 0.0), (2.1324, 5.5736, 55.6497, False, 0.0)])
+def test_golden_scores(spark, ic, ir, tvr, spread, score):
+    passes, value = metrics.score(F.lit(ic), F.lit(ir), F.lit(tvr), F.lit(spread))
+    row = spark.range(1).select(passes, value).first()
+    assert row[1] == pytest.approx(score, abs=0.02) and row[0] == (score > 0)
+
+
+@pytest.mark.parametrize(("mode", "ic", "tvr", "passes"), [("official", 0.007, 5.0, True), ("official", 0.007, 399.0, True), ("official", 0.007, 400.0, False), ("official", 0.006, 5.0, False), ("submission", 0.61, 399.0, True), ("submission", 0.61, 400.0, False), ("submission", 0.6, 5.0, False)])
+def test_gates(spark, mode, ic, tvr, passes):
+    assert spark.range(1).select(metrics.score(F.lit(ic), F.lit(2.6), F.lit(tvr), F.lit(True), mode)[0]).first()[0] == passes
+
+
+def _book(spark, weight_of, hours=range(24), days=4, entities=300):
+    """A panel whose alpha predicts resp well, but for a little noise."""
+    rows = []
+    for d in range(days):
+        for h in hours:
+            for i in range(entities):
+                x = weight_of(i, d, h)
+                rows.append((i, d * 24 + h, f"2024-01-0{d + 1} {h:02d}:00:00", x, x + ((i * 31 + h * 7 + d * 5) % 13 - 6) * 0.3, 0))
+    df = spark.createDataFrame(rows, "security_id long, bar_idx long, datetime string, alpha double, resp double, trading_restriction int")
+    return df.withColumn("datetime", F.col("datetime").cast("timestamp")).withColumn("date", F.to_date("datetime"))
+
+
+def test_official_turnover_is_not_a_ratio(spark):
+    """24 bars of changes as large as the book: a raw turnover over 4 a day, which only a gate of 400 lets pass."""
+    row = metrics.evaluate(_book(spark, lambda i, d, h: ((i + h * 17) % 300 - 149.5) / 300), mode="official").first()
+    assert 4 < row.tvr < 400 and row.unconcentrated is False  # 300 entities: a weight of over 50 ten-thousandths
+    row = metrics.evaluate(_book(spark, lambda i, d, h: 1.0 if (i + h * (1 + d)) % 2 else -1.0, entities=700), mode="official").first()
+    assert 4 < row.tvr < 400 and row.unconcentrated and row.passes and row.score > 0
+
+
+def test_submission_looks_at_stamps_only(spark):
+    """Between the stamps the book turns around; at the stamps it stands still."""
+    book = _book(spark, lambda i, d, h: (1.0 if i % 2 else -1.0) * (1 if h in (1, 2, 3) else -1), entities=40)
+    stamps = ["01:00:00", "02:00:00", "03:00:00"]
+    assert metrics.evaluate(book).first().tvr > 0
+    row = metrics.evaluate(book, stamps=stamps).first()
+    assert row.tvr == 0 and row.ic == pytest.approx(metrics.evaluate(book.filter("hour(datetime) in (1, 2, 3)")).first().ic)
+
+
+def test_scores_by_run(spark):
+    one, two = _book(spark, lambda i, d, h: (i % 7 - 3) / 10, range(3)), _book(spark, lambda i, d, h: (i * h % 5 - 2) / 10, range(3))
+    both = one.withColumn("run", F.lit("a")).union(two.withColumn("run", F.lit("b")))
+    for mode in metrics.MODES:
+        rows = {r.run: r for r in metrics.evaluate(both, mode=mode, by=["run"]).collect()}
+        for run, alone in (("a", one), ("b", two)):
+            assert tuple(rows[run])[1:] == pytest.approx(tuple(metrics.evaluate(alone, mode=mode).first()))
 
 
 def test_restriction(spark):
