@@ -22,6 +22,11 @@ b AS (SELECT security_id, datetime, arg_min(price, ts) AS open_trade_px, max(pri
 PANEL = f"""{BARS},
 g AS (SELECT s.security_id, d.datetime, d.bar_idx FROM (SELECT DISTINCT security_id FROM b) s, (SELECT datetime, row_number() OVER (ORDER BY datetime) AS bar_idx FROM (SELECT DISTINCT datetime FROM b)) d),
 p AS (SELECT g.security_id, g.datetime, CAST(g.datetime AS DATE) AS date, g.bar_idx, open_trade_px, high_trade_px, low_trade_px, close_trade_px, trade_count, volume, dvolume, vwap FROM g LEFT JOIN b USING (security_id, datetime))"""
+#: The dense monthly panel of parts, with the label.
+PARTS = """m0 AS (SELECT CAST(l_partkey AS BIGINT) AS security_id, date_trunc('month', l_shipdate) AS datetime, CAST(sum(l_quantity) AS DOUBLE) AS volume, CAST(max(l_extendedprice / l_quantity) AS DOUBLE) AS high_trade_px,
+  CAST(min(l_extendedprice / l_quantity) AS DOUBLE) AS low_trade_px, CAST(count(*) AS DOUBLE) AS trade_count FROM lineitem GROUP BY 1, 2),
+p AS (SELECT s.security_id, d.datetime, CAST(d.datetime AS DATE) AS date, d.bar_idx, volume, high_trade_px, low_trade_px, trade_count, avg(volume) OVER (e ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) / nullif(avg(volume) OVER (e ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 0) - 1 AS resp
+  FROM (SELECT DISTINCT security_id FROM m0) s CROSS JOIN (SELECT datetime, row_number() OVER (ORDER BY datetime) AS bar_idx FROM (SELECT DISTINCT datetime FROM m0)) d LEFT JOIN m0 USING (security_id, datetime) WINDOW e AS (PARTITION BY s.security_id ORDER BY d.bar_idx))"""
 RANK = "CASE WHEN {x} IS NOT NULL THEN rank() OVER (PARTITION BY {k} ORDER BY {x} NULLS LAST) + (count({x}) OVER (PARTITION BY {k}, {x}) - 1) / 2.0 END"
 #: A research panel: alpha is the centred rank of the reversal against vwap.
 RESEARCH = f"""{PANEL},
@@ -70,4 +75,4 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formula.evaluate(P.research_panel(spark, sf_dir).drop("resp_raw"), {"alpha": ALPHA})
 
 
-from tessella.plans import combination, evaluation, expressions, library, memory, relations, research, texts  # noqa: E402, F401  they fill the tables above
+from tessella.plans import combination, evaluation, expressions, library, memory, models, relations, research, spans, texts  # noqa: E402, F401  they fill the tables above

@@ -91,6 +91,20 @@ def lineitem_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return densify(rows.withColumn("date", F.to_date("datetime")))
 
 
+def part_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The monthly panel of line items by part, dense: as many entities as parts. Sums of whole numbers, counts and extremes only, so no value hangs on
+    the order of its rows. resp: the change of the mean volume over three bars, three bars ahead."""
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    month = F.date_trunc("month", F.col("l_shipdate")).cast("timestamp_ntz")
+    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").cast("long").alias("security_id"), month.alias("datetime")).agg(
+        F.sum("l_quantity").cast("double").alias("volume"), F.max(price).cast("double").alias("high_trade_px"), F.min(price).cast("double").alias("low_trade_px"), F.count("*").cast("double").alias("trade_count")
+    )
+    dense = densify(rows.withColumn("date", F.to_date("datetime")))
+    bars_of = Window.partitionBy("security_id").orderBy("bar_idx")
+    later = F.avg("volume").over(bars_of.rowsBetween(1, 3))
+    return dense.withColumn("resp", ratio(later, F.avg("volume").over(bars_of.rowsBetween(-2, 0))) - 1.0)
+
+
 def with_label(panel: DataFrame, ahead: int = 24, field: str = "close_trade_px") -> DataFrame:
     """resp: the field's change over the next `ahead` bars."""
     later = F.lead(field, ahead).over(Window.partitionBy("security_id").orderBy("bar_idx"))
