@@ -1 +1,114 @@
+"""Models over six signals of the monthly panel of parts, whose entities are as many as parts: each month is a day of the models."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.dsl import formula
+from tessella.operators import combine as K
+from tessella.operators import models as D
+from tessella.plans.catalogue import PARTS, RANK, W, add, round_sql, six
+from tessella.plans.evaluation import corr_sql
+from tessella.sources import panel as P
+
+SIX = {
+    "size": "pct_rank(volume)", "many": "pct_rank(ts_sum(trade_count, 3))", "wide": "pct_rank(high_trade_px - low_trade_px)", "trend": "pct_rank(ts_mean(volume, 3) - ts_mean(volume, 12))",
+    "high": "pct_rank(ts_max(high_trade_px, 6))", "calm": "pct_rank(-ts_max(volume, 6))",
+}
+NAMES = list(SIX)
+_RAW = {"size": "volume", "many": f"sum(trade_count) {W(3)}", "wide": "high_trade_px - low_trade_px", "trend": f"avg(volume) {W(3)} - avg(volume) {W(12)}", "high": f"max(high_trade_px) {W(6)}", "calm": f"-(max(volume) {W(6)})"}
+_PCT = lambda x, k: f"({RANK.format(x=x, k=k)}) / nullif(count({x}) OVER (PARTITION BY {k}), 0) - 0.5"
+#: sx: date, day, n_days, security_id, the six signals, resp and target of the parts that a month has.
+SIX_SQL = f"""{PARTS}, x0 AS (SELECT *, {', '.join(f'{s} AS x_{n}' for n, s in _RAW.items())} FROM p), x1 AS (SELECT *, {', '.join(f"{_PCT(f'x_{n}', 'bar_idx')} AS {n}" for n in NAMES)} FROM x0),
+sx AS (SELECT date, dense_rank() OVER (ORDER BY date) - 1 AS day, security_id, {', '.join(f'round({n}, 12) AS {n}' for n in NAMES)}, resp,
+  CASE WHEN resp IS NOT NULL THEN coalesce(greatest(least((resp - avg(resp) OVER (PARTITION BY date)) / nullif(stddev_samp(resp) OVER (PARTITION BY date), 0), 5), -5), 0) END AS target FROM x1 WHERE volume IS NOT NULL)"""
+
+
+def six_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, day, n_days, security_id, six signals, resp, target) of the parts that a month has."""
+    made = formula.evaluate(P.part_panel(spark, sf_dir).withColumnRenamed("resp", "ahead"), SIX).filter("volume is not null")
+    rows = made.select("date", "security_id", *(F.round(n, 12).alias(n) for n in NAMES), F.col("ahead").alias("resp"))
+    return D.day_index(rows.withColumn("target", F.when(F.col("resp").isNotNull(), K.standard_target(F.col("resp")))))
+
+
+def ridge_sql(k: int, x: str, rows: str, windows: str, penalty: float) -> str:
+    """bw(w, b0, b): ridges of k features by window. rows: a stage with day, target and the list x; windows: a stage with w, f and l, the days it is trained on."""
+    return f"""z AS (SELECT day, list_concat(list_concat([1.0::DOUBLE], {x}), [target]) AS z, 1 + 0.25 * least(abs(target), 3) AS g FROM {rows} WHERE target IS NOT NULL),
+md AS (SELECT day, i, j, sum(g * z[i + 1] * z[j + 1]) AS m FROM z, unnest(range({k + 2})) AS a(i), unnest(range({k + 2})) AS c(j) GROUP BY 1, 2, 3),
+mw AS (SELECT w, i, j, sum(m * CASE WHEN l > f THEN 0.75 + 0.5 * (day - f) / (l - f) ELSE 1 END) AS m FROM md JOIN {windows} ON day BETWEEN f AND l GROUP BY 1, 2, 3),
+m1 AS (SELECT a.w, a.i, a.j, n.m AS n, c.m / n.m AS mi, d.m / n.m AS mj, a.m / n.m - c.m / n.m * d.m / n.m AS v FROM mw a JOIN mw n ON n.w = a.w AND n.i = 0 AND n.j = 0 JOIN mw c ON c.w = a.w AND c.i = 0 AND c.j = a.i JOIN mw d ON d.w = a.w AND d.i = 0 AND d.j = a.j WHERE a.i > 0 AND a.j > 0),
+mf AS (SELECT w, i, v <= 1e-12 AS flat FROM m1 WHERE i = j AND i <= {k}),
+m2 AS (SELECT m1.w, m1.i, m1.j, CASE WHEN mf.flat OR coalesce(mg.flat, false) THEN CASE WHEN m1.i = m1.j THEN 1 ELSE 0 END WHEN m1.i = m1.j THEN v * (1 + {penalty} / n) ELSE v END AS v FROM m1 JOIN mf ON mf.w = m1.w AND mf.i = m1.i LEFT JOIN mf mg ON mg.w = m1.w AND mg.i = m1.j WHERE m1.i <= {k}),
+mr AS (SELECT w, i, list(v ORDER BY j) AS r FROM m2 GROUP BY 1, 2), ml AS (SELECT w, list(r ORDER BY i) AS m FROM mr GROUP BY 1),
+gj AS (SELECT w, 0 AS j, m FROM ml UNION ALL SELECT w, j + 1, list_transform(m, lambda y, r: CASE WHEN r = j + 1 THEN list_transform(y, lambda v: v / m[j + 1][j + 1]) ELSE list_transform(y, lambda v, c: v - y[j + 1] / m[j + 1][j + 1] * m[j + 1][c]) END) FROM gj WHERE j < {k}),
+bs AS (SELECT w, list_transform(m, lambda y: y[{k + 1}]) AS b FROM gj WHERE j = {k}),
+bm AS (SELECT w, list(mi ORDER BY i) AS mx FROM m1 WHERE j = 1 AND i <= {k} GROUP BY 1), by_ AS (SELECT w, mi AS my FROM m1 WHERE i = {k + 1} AND j = 1),
+bw AS (SELECT bs.w, my - list_sum(list_transform(list_zip(b, mx), lambda t: t[1] * t[2])) AS b0, b FROM bs JOIN bm ON bm.w = bs.w JOIN by_ ON by_.w = bs.w)"""
+
+
+_DOT = "list_sum(list_transform(list_zip(b, {x}), lambda t: t[1] * t[2]))"
+_ALPHA = _PCT("q", "date")
+_XS = f"[{', '.join(f'coalesce({n}, 0)' for n in NAMES)}]"
+_WINDOWS = D.WalkForward(36, 6, 9)
+
+
+def _prequential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = six_signals(spark, sf_dir).na.fill(0.0, NAMES)
+    return six(D.normalised(D.prequential(rows, NAMES, _WINDOWS)).select("date", "security_id", "pred", "alpha"))
+
+
+add("prequential_ridge", _prequential, f"""WITH RECURSIVE {SIX_SQL}, xs AS (SELECT *, {_XS} AS x FROM sx), wi AS (SELECT w, greatest(0, w * 6 - 36) AS f, w * 6 - 1 AS l FROM unnest(range(CAST(ceil((SELECT max(day) + 1 FROM sx) / 6.0) AS BIGINT))) AS u(w)), wt AS (SELECT * FROM wi WHERE l - f + 1 >= 20),
+{ridge_sql(6, 'x', 'xs', 'wt', 2.0)}, pr AS (SELECT date, security_id, avg(CASE WHEN b IS NULL THEN list_sum(x) / 6 ELSE b0 + {_DOT.format(x='x')} END) AS pred FROM xs JOIN wi ON day >= wi.w * 6 AND day < wi.w * 6 + 9 LEFT JOIN bw ON bw.w = wi.w GROUP BY 1, 2)
+SELECT date, security_id, round(pred, 6) + 0.0 AS pred, round({_ALPHA}, 6) + 0.0 AS alpha FROM (SELECT *, round(pred, 10) AS q FROM pr)""")
+
+_SPLIT, _STEPS, _MOST = 60, 3, 2
+
+
+def _tensor(spark: SparkSession, sf_dir: str):
+    rows = six_signals(spark, sf_dir)
+    names = D.strongest(rows.filter(F.col("day") < _SPLIT), NAMES, _MOST)
+    made, features = D.tensor_columns(rows, names, _STEPS)
+    return (*D.fixed(made, features, _SPLIT, 4.0), features)
+
+
+def _tensor_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return six(D.normalised(_tensor(spark, sf_dir)[0]).select("date", "security_id", "pred", "alpha"))
+
+
+def _tensor_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, model, features = _tensor(spark, sf_dir)
+    rows = D.folded(model, features, NAMES) if model is not None else {}
+    return six(spark.createDataFrame(list(rows.items()), "factor string, importance double"))
+
+
+_TENSOR_SQL = f"""WITH RECURSIVE {SIX_SQL}, it AS ({' UNION ALL '.join(f"SELECT '{n}' AS factor, date, {corr_sql(n, 'resp')} AS ic FROM sx WHERE day < {_SPLIT} GROUP BY date" for n in NAMES)}),
+ch AS (SELECT factor, row_number() OVER (ORDER BY round(abs(avg(ic)), 12) DESC, avg(ic) / stddev_samp(ic) DESC, factor) AS k FROM it GROUP BY 1 QUALIFY k <= {_MOST}),
+lo AS (SELECT date, day, security_id, k, v, resp, target FROM ({' UNION ALL '.join(f"SELECT date, day, security_id, '{n}' AS factor, {n} AS v, resp, target FROM sx" for n in NAMES)}) JOIN ch USING (factor)),
+zr AS (SELECT *, coalesce(greatest(least((v - avg(v) OVER e) / nullif(stddev_samp(v) OVER e, 0), 5), -5), 0) AS z, coalesce((CASE WHEN v IS NOT NULL THEN rank() OVER (PARTITION BY date, k ORDER BY v NULLS LAST) + (count(v) OVER (PARTITION BY date, k, v) - 1) / 2.0 END) / nullif(count(v) OVER e, 0) - 0.5, 0) AS r FROM lo WINDOW e AS (PARTITION BY date, k)),
+lz AS (SELECT date, day, security_id, target, k, s, CASE s {' '.join(f"WHEN {s} THEN {'coalesce(lag(z, ' + str(s) + ') OVER w, 0)' if s else 'z'}" for s in range(_STEPS))} END AS z, CASE s {' '.join(f"WHEN {s} THEN {'coalesce(lag(r, ' + str(s) + ') OVER w, 0)' if s else 'r'}" for s in range(_STEPS))} END AS r FROM zr, unnest(range({_STEPS})) AS u(s) WINDOW w AS (PARTITION BY security_id, k, s ORDER BY date)),
+xs AS (SELECT date, day, security_id, any_value(target) AS target, list(v ORDER BY s, c, k) AS x FROM (SELECT date, day, security_id, target, k, s, 0 AS c, z AS v FROM lz UNION ALL SELECT date, day, security_id, target, k, s, 1, r FROM lz) GROUP BY 1, 2, 3),
+wt AS (SELECT 1 AS w, 0 AS f, {_SPLIT - 1} AS l), {ridge_sql(2 * _MOST * _STEPS, 'x', 'xs', 'wt', 4.0)}"""
+add("lag_tensor_ridge", _tensor_ridge, f"{_TENSOR_SQL} SELECT date, security_id, round(pred, 6) + 0.0 AS pred, round({_ALPHA}, 6) + 0.0 AS alpha FROM (SELECT *, round(pred, 10) AS q FROM (SELECT date, security_id, b0 + {_DOT.format(x='x')} AS pred FROM xs, bw WHERE day >= {_SPLIT}))")
+add("lag_tensor_importance", _tensor_importance, f"""{_TENSOR_SQL}, im AS (SELECT ((i // 1) % {_MOST}) + 1 AS k, sum(abs(b[i + 1])) AS v FROM bw, unnest(range({2 * _MOST * _STEPS})) AS u(i) GROUP BY 1)
+SELECT factor, round(coalesce(v / (SELECT sum(v) FROM im), 0), 6) + 0.0 AS importance FROM (SELECT unnest({NAMES}) AS factor) LEFT JOIN ch USING (factor) LEFT JOIN im USING (k)""")
+
+
+def _attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.model_frame(six_signals(spark, sf_dir), NAMES)
+    pred, _ = D.attention_stack(rows, NAMES, _SPLIT, 12, [D.Attention()])
+    return six(D.normalised(pred).select("date", "security_id", "pred", "alpha"))
+
+
+def _causal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two decaying attentions the one that scores best on the last year before the split; the factors' prior is of the days before that year."""
+    signals = six_signals(spark, sf_dir)
+    rows = D.model_frame(signals, NAMES)
+    seen = signals.filter(F.col("day") < _SPLIT - 12)
+    configs = [D.causal(seen, NAMES, seed=seed, heads=heads, temperature=t, penalty=p, decay=d, prior_strength=s) for seed, heads, t, p, d, s in ((51, 8, 0.75, 1.6, 0.62, 0.15), (52, 8, 0.95, 2.2, 0.78, 0.25))]
+    pred, _ = D.attention_stack(rows, NAMES, _SPLIT, 12, configs)
+    return six(D.normalised(pred).select("date", "security_id", "pred", "alpha"))
+
+
+add("attention_ridge", _attention)
+add("causal_attention_ridge", _causal)
