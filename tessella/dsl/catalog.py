@@ -42,6 +42,8 @@ for _name, _build, _aliases in (
     ("ts_ema", ts.ema, ()), ("ts_argmax", ts.argmax, ()), ("ts_argmin", ts.argmin, ()), ("ts_minmax_norm", ts.minmax_norm, ()), ("ts_zscore", ts.zscore, ()), ("ts_rank", ts.rank, ()), ("ts_decay_linear", ts.decay_linear, ("decay_linear",)),
 ):
     register(_name, "ts", _build, 1, _N, aliases=_aliases)
+for _name, _build in (("ts_ewm", ts.ewm), ("ts_mean2", ts.mean_of_two), ("ts_zscore2", ts.zscore_of_two)):
+    register(_name, "ts", _build, 1, _N)
 register("lag", "ts", ts.lag, 1, _N, (1,), aliases=("delay",))
 register("delta", "ts", ts.delta, 1, _N, (1,))
 register("ts_pct_change", "ts", ts.pct_change, 1, _N, (1,))
@@ -102,6 +104,10 @@ for _name, _build in (("signed_log", S.signed_log), ("log", S.log), ("sqrt", S.s
     register(_name, "scalar", _build)
 
 
+register("fill_zero", "scalar", S.fill_zero)
+register("twelve", "scalar", S.twelve)
+
+
 def _native(name: str):
     from pyspark.sql import functions as F
 

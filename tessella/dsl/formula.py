@@ -159,9 +159,10 @@ def _check(node: ast.expr, out: Report, known: set[str]) -> int:
                 if window <= 0 or window != int(window):
                     out.errors.append(f"{name}: the window must be a positive whole number")
                     return 0
-                from tessella.operators.ts import ema_reach
+                from tessella.operators.ts import ema_reach, ewm_reach
 
-                back = int(window) if name in ("lag", "delta", "ts_pct_change") else ema_reach(window) if name == "ts_ema" else int(window) - 1
+                reach = {"ts_ema": ema_reach, "ts_ewm": ewm_reach}.get(name)
+                back = int(window) if name in ("lag", "delta", "ts_pct_change") else reach(window) if reach else int(window) - 1
             return back + max(_check(a, out, known) for a in series)
     out.errors.append(f"not allowed here: {ast.unparse(node)}")
     return 0

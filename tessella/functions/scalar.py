@@ -28,6 +28,15 @@ def safe_div(a: Column, b: Column) -> Column:
     return a / F.when(b == 0, F.lit(EPS)).otherwise(b)
 
 
+def fill_zero(x: Column) -> Column:
+    return F.coalesce(x, F.lit(0.0))
+
+
+def twelve(x: Column) -> Column:
+    """Rounded to twelve places: what differs by the order of summation only becomes equal."""
+    return F.round(x, 12)
+
+
 def signed_power(x: Column, p: float) -> Column:
     powered = F.signum(x) * F.pow(F.abs(x), F.lit(float(p)))
     return F.when(x == 0, F.when(x.isNotNull(), F.lit(0.0 if p >= 0 else None))).otherwise(powered)

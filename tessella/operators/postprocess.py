@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 
 from tessella.dsl.formula import evaluate
 
-#: Templates: each step is a formula of x.
+#: Templates (fixed values): each step is a formula of x.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "stable_low_turnover": ("mad_winsorize(x, 5)", "pct_rank(x)", "ts_ema(x, 5)", "weight_cap(x, 0.2)"),
-    "aggressive_high_ic": ("cs_winsorize(x, 0.01)", "cs_zscore(x)", "weight_cap(x, 0.3)"),
+    "stable_low_turnover": ("mad_winsorize(x, 5)", "cs_demean(cs_rank(x))", "ts_ewm(x, 4)", "weight_cap(x, 0.01)"),
+    "aggressive_high_ic": ("mad_winsorize(x, 5)", "cs_zscore(x)", "ts_ewm(x, 2)", "weight_cap(x, 0.05)"),
     "rank_clip": ("pct_rank(x)", "clip(x, -1, 1)"),
     "zscore_clip": ("zclip(x)", "clip(x, -1, 1)"),
 }

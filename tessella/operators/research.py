@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.scalar import ratio
-from tessella.operators.metrics import correlation
+from tessella.operators.metrics import correlation, evaluate
 
 
 def distribution(signal: DataFrame, value: str = "alpha") -> DataFrame:
@@ -77,15 +77,29 @@ def neighbours(pairs: DataFrame, most: int = 12) -> DataFrame:
     return both.withColumn("place", place).filter(F.col("place") <= most).select(F.col("a").alias("signal"), F.col("b").alias("other"), "corr", "place")
 
 
-def smoothed_turnover(smooth: DataFrame, names: list[str], resp: str = "resp") -> DataFrame:
-    """(smoother, tvr, ic): mean daily turnover and IC of each column, all in one pass over the panel."""
-    long = smooth.select("date", "bar_idx", "security_id", resp, F.inline(F.array(*(F.struct(F.lit(n).alias("smoother"), F.col(n).alias("alpha")) for n in names))))
-    entity = Window.partitionBy("smoother", "security_id").orderBy("bar_idx")
-    moved = long.withColumn("change", F.abs(F.col("alpha") - F.lag("alpha").over(entity)))
-    gross = F.coalesce(F.sum(F.abs("alpha")), F.lit(0.0))
-    bars = moved.groupBy("smoother", "date", "bar_idx").agg(ratio(F.coalesce(F.sum("change"), F.lit(0.0)), gross).alias("tvr"), correlation("alpha", resp).alias("ic"))
-    days = bars.groupBy("smoother", "date").agg(F.coalesce(F.sum("tvr"), F.lit(0.0)).alias("tvr"), F.avg("ic").alias("ic"))
-    return days.groupBy("smoother").agg(F.avg("tvr").alias("tvr"), F.avg("ic").alias("ic"))
+#: Ways to lower a signal's turnover, each ranked anew (fixed values), and what a rescued signal must keep.
+SMOOTHERS = {"ema_10": "pct_rank(ts_ewm(alpha, 10))", "persistence_02": "pct_rank(ts_ema(alpha, 9))", "extremes_q20": "pct_rank(fill_zero(cs_extremes(alpha, 0.2)))", "rolling_15": "pct_rank(ts_mean(alpha, 15))"}
+MOST_TVR, LEAST_IC = 380.0, 0.10
+
+
+def rescue(signal: DataFrame, stamps: list[str] | None = None, smoothers: dict[str, str] | None = None, most_tvr: float = MOST_TVR, least_ic: float = LEAST_IC) -> tuple[DataFrame, DataFrame]:
+    """(one row a smoother: estimate, place, ic, ir, tvr, fits, chosen; the signal with a column for each smoother). Smoothers are tried from the lowest estimated
+    turnover on (mean over all bars of changes over sizes, in ten-thousandths), and the first whose submission keeps tvr and ic within the limits is chosen.
+    All are evaluated in one pass, as groups of the same rows."""
+    from tessella.dsl import formula
+
+    smoothers = smoothers or SMOOTHERS
+    smooth = formula.evaluate(signal, smoothers)
+    each = F.array(*(F.struct(F.lit(n).alias("smoother"), F.col(n).alias("_x")) for n in smoothers))
+    long = smooth.select("date", "datetime", "bar_idx", "security_id", "resp", "trading_restriction", F.inline(each)).withColumnRenamed("_x", "alpha")
+    change = F.abs(F.col("alpha") - F.lag("alpha").over(Window.partitionBy("smoother", "security_id").orderBy("bar_idx")))
+    bars = long.withColumn("_c", change).groupBy("smoother", "bar_idx").agg(ratio(F.coalesce(F.sum("_c"), F.lit(0.0)), F.sum(F.abs("alpha"))).alias("r"))
+    estimates = bars.groupBy("smoother").agg(F.round(F.coalesce(F.avg("r"), F.lit(0.9999)) * 1e4, 6).alias("estimate"))
+    found = estimates.join(evaluate(long, by=["smoother"], stamps=stamps).select("smoother", "ic", "ir", "tvr"), "smoother")
+    fits = F.coalesce((F.col("tvr") <= most_tvr) & (F.col("ic") >= least_ic), F.lit(False))
+    order = Window.orderBy("estimate", "smoother")  # a row a smoother
+    placed = found.withColumns({"fits": fits, "place": F.row_number().over(order)})
+    return placed.withColumn("chosen", F.col("fits") & (F.sum(F.col("fits").cast("int")).over(order) == 1)), smooth
 
 
 def prior_correlation(pairs: DataFrame, order: list[str]) -> DataFrame:

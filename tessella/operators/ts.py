@@ -163,3 +163,27 @@ def ema(x: Column, span: float) -> Column:
         return F.struct(y.alias("y"), F.when(v.isNull() & s["y"].isNotNull(), w).otherwise(1.0).alias("w"))
 
     return F.aggregate(_slots(x, ema_reach(span)), start, step)["y"]
+
+
+def ewm_reach(span: float, tiny: float = 1e-13) -> int:
+    """Twice the bars after which a weight is below `tiny`: so a mean that is carried over a gap of half as many is still whole."""
+    return 2 * max(1, math.ceil(math.log(tiny) / math.log(1.0 - 2.0 / (span + 1.0)))) if span > 1 else 2
+
+
+def ewm(x: Column, span: float) -> Column:
+    """Adjusted exponentially weighted mean: the values' sum over the weights' sum, each weight (1 - alpha) to the bars since, alpha = 2 / (span + 1). Weights
+    are of the values that are there; carried over gaps."""
+    keep = 1.0 - 2.0 / (span + 1.0)
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
+    fold = lambda s, slot: F.struct((s["n"] * keep + F.coalesce(slot["v"], F.lit(0.0))).alias("n"), (s["d"] * keep + F.when(slot["v"].isNotNull(), 1.0).otherwise(0.0)).alias("d"))
+    return F.aggregate(_slots(x, ewm_reach(span)), start, fold, lambda s: ratio(s["n"], s["d"]))
+
+
+def mean_of_two(x: Column, n: int) -> Column:
+    """Mean of the window once it has two values."""
+    return _at_least(x, n, 2, F.avg(x).over(last(n)))
+
+
+def zscore_of_two(x: Column, n: int) -> Column:
+    """Distance to that mean over the sample deviation, which is at least a little."""
+    return (x - mean_of_two(x, n)) / (std(x, n) + 1e-8)

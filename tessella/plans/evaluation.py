@@ -132,15 +132,44 @@ _ZP = "zz AS (SELECT " + ", ".join(f"({n} - avg({n}) OVER (PARTITION BY bar_idx)
 add("pooled_corr_matrix", lambda spark, d: six(R.pooled(three(spark, d), list(_THREE))), f"WITH {_THREE_SQL}, {_ZP} SELECT a, b, round(CASE WHEN n >= 200 THEN corr END, 6) + 0.0 AS corr, n FROM zp")
 add("nearest_signals", lambda spark, d: six(R.neighbours(R.pooled(three(spark, d), list(_THREE)))), f"""WITH {_THREE_SQL}, {_ZP}, nb AS (SELECT a AS signal, b AS other, corr FROM zp WHERE n >= 200 UNION ALL SELECT b, a, corr FROM zp WHERE n >= 200)
 SELECT signal, other, round(corr, 6) + 0.0 AS corr, CAST(row_number() OVER (PARTITION BY signal ORDER BY abs(corr) DESC, other) AS INT) AS place FROM nb WHERE corr IS NOT NULL""")
-_SMOOTHERS = {"raw": "alpha", "ema3": "ts_ema(alpha, 3)", "mean3": "ts_mean(alpha, 3)", "ema8": "ts_ema(alpha, 8)", "extremes": "cs_extremes(alpha, 0.2)"}
+_SHADOW = f"""f0 AS MATERIALIZED (SELECT security_id, bar_idx, alpha AS x FROM r0),
+ew(security_id, bar_idx, n, d, y, w) AS (SELECT security_id, bar_idx, coalesce(x, 0)::DOUBLE, CASE WHEN x IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END, x, 1.0::DOUBLE FROM f0 WHERE bar_idx = 1 UNION ALL
+  SELECT f.security_id, f.bar_idx, e.n * (9/11.0) + coalesce(f.x, 0), e.d * (9/11.0) + CASE WHEN f.x IS NULL THEN 0 ELSE 1 END,
+  CASE WHEN e.y IS NULL THEN f.x WHEN f.x IS NULL THEN e.y ELSE (e.w * 0.8 * e.y + f.x * 0.2) / (e.w * 0.8 + 0.2) END, CASE WHEN f.x IS NULL AND e.y IS NOT NULL THEN e.w * 0.8 ELSE 1.0 END FROM ew e JOIN f0 f ON f.security_id = e.security_id AND f.bar_idx = e.bar_idx + 1),
+s1 AS (SELECT r0.*, round(n / nullif(d, 0), 12) AS a1, round(y, 12) AS a2, CASE WHEN alpha <= quantile_cont(alpha, 0.2) {C} OR alpha >= quantile_cont(alpha, 0.8) {C} THEN alpha ELSE 0 END AS a3, round(avg(alpha) {W(15)}, 12) AS a4 FROM r0 JOIN ew USING (security_id, bar_idx))"""
+_SMOOTH = {"ema_10": "a1", "persistence_02": "a2", "extremes_q20": "a3", "rolling_15": "a4"}
+_LONG = "lg AS (" + " UNION ALL ".join(f"SELECT '{n}' AS smoother, date, datetime, bar_idx, security_id, resp, trading_restriction, ({RANK.format(x=a, k='bar_idx')}) / count({a}) {C} - 0.5 AS alpha FROM s1" for n, a in _SMOOTH.items()) + ")"
+_RESCUE_SQL = f"""WITH RECURSIVE {_R0}, {_SHADOW}, {_LONG}, eb AS (SELECT smoother, bar_idx, coalesce(sum(c), 0) / nullif(sum(abs(alpha)), 0) AS r FROM (SELECT *, abs(alpha - lag(alpha) OVER (PARTITION BY smoother, security_id ORDER BY bar_idx)) AS c FROM lg) GROUP BY 1, 2), es AS (SELECT smoother, round(avg(r) * 1e4, 6) AS estimate FROM eb GROUP BY 1),
+sl AS (SELECT *, {OK_SQL} AS ok FROM lg WHERE strftime(datetime, '%H:%M:%S') IN {tuple(STAMPS)}), sp AS (SELECT * FROM (SELECT *, count(ok) OVER (PARTITION BY smoother, bar_idx) AS present FROM sl) WHERE present > 0),
+sc AS (SELECT smoother, date, bar_idx, CASE WHEN lag(date) OVER e = date THEN abs(ok - lag(ok) OVER e) END AS ch, ok FROM sp WINDOW e AS (PARTITION BY smoother, security_id ORDER BY bar_idx)),
+st AS (SELECT smoother, avg(tvr) * 100 AS tvr FROM (SELECT smoother, date, coalesce(sum(tvr), 0) AS tvr FROM (SELECT smoother, date, bar_idx, coalesce(sum(ch), 0) / nullif(sum(abs(ok)), 0) AS tvr FROM sc GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1),
+si AS (SELECT smoother, avg(ic) * 100 AS ic, {IR('ic')} AS ir FROM (SELECT smoother, date, avg(ic) AS ic FROM (SELECT smoother, date, bar_idx, {corr_sql('ok', 'resp')} AS ic FROM sl GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1),
+fo AS (SELECT smoother, estimate, ic, ir, tvr, coalesce(tvr <= 380 AND ic >= 0.10, false) AS fits, CAST(row_number() OVER (ORDER BY estimate, smoother) AS INT) AS place FROM es JOIN st USING (smoother) JOIN si USING (smoother)),
+fc AS (SELECT *, fits AND sum(CAST(fits AS INT)) OVER (ORDER BY place) = 1 AS chosen FROM fo)"""
+
+
+def _rounded(s: DataFrame) -> dict[str, str]:
+    """The smoothers, with what is ranked rounded to twelve places, so that ties don't hang on the order of summation."""
+    return {n: f.replace("pct_rank(", "pct_rank(twelve(", 1) + ")" for n, f in R.SMOOTHERS.items()}
+
+
+def _rescue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    s = signal(spark, sf_dir)
+    return R.rescue(s, STAMPS, _rounded(s))
+
+
+def _rescued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signal by the first smoother that keeps turnover and IC within the limits; no row if none does."""
+    table, smooth = _rescue(spark, sf_dir)
+    chosen = table.filter("chosen").select("smoother").first()
+    out = smooth.select("security_id", "bar_idx", F.col(chosen.smoother if chosen else "alpha").alias("alpha"))
+    return six(out if chosen else out.filter("false"))
 
 
-def _rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All smoothers of a signal in one pass, by turnover: the first with enough IC is the rescue."""
-    return six(R.smoothed_turnover(formula.evaluate(signal(spark, sf_dir), _SMOOTHERS), list(_SMOOTHERS)))
+add("tvr_rescue_rank", lambda spark, d: six(_rescue(spark, d)[0]), f"{_RESCUE_SQL} SELECT smoother, place, fits, chosen, {round_sql({k: k for k in ('estimate', 'ic', 'ir', 'tvr')})} FROM fc")
+add("tvr_rescued_signal", _rescued, f"{_RESCUE_SQL} SELECT security_id, bar_idx, round(alpha, 6) + 0.0 AS alpha FROM lg JOIN fc USING (smoother) WHERE chosen")
 
 
-add("tvr_rescue_rank", _rescue)
 def _submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = signal(spark, sf_dir)
     return submit.submission(s, P.universe(s), STAMPS)
