@@ -75,4 +75,4 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formula.evaluate(P.research_panel(spark, sf_dir).drop("resp_raw"), {"alpha": ALPHA})
 
 
-from tessella.plans import combination, evaluation, expressions, library, memory, models, relations, research, spans, texts  # noqa: E402, F401  they fill the tables above
+from tessella.plans import combination, evaluation, expressions, ideas, library, memory, models, relations, research, spans, texts  # noqa: E402, F401  they fill the tables above
