@@ -53,6 +53,9 @@ def weights(scheme: str, stats: dict[str, dict[str, float]], corr: np.ndarray |
         case "vol_balanced":
             best = sorted(range(len(names)), key=lambda i: (-abs(ic[i]) / max(sd[i], FLOOR), names[i]))[: max(4, round(2 * len(names) ** 0.5))]
             w = np.array([sign[i] / max(sd[i], FLOOR) if i in best else 0.0 for i in range(len(names))])
+        case "top_ic":
+            best = sorted(range(len(names)), key=lambda i: (-abs(ic[i]), names[i]))[: max(4, round(2 * len(names) ** 0.5))]
+            w = np.array([sign[i] if i in best else 0.0 for i in range(len(names))])
         case "cluster_neutral":
             clusters: list[list[int]] = []
             for i in sorted(range(len(names)), key=lambda i: (-abs(ic[i]), names[i])):
@@ -78,6 +81,28 @@ def weights(scheme: str, stats: dict[str, dict[str, float]], corr: np.ndarray |
     return normalise(dict(zip(names, map(float, w), strict=True)))
 
 
+#: How many of the best signals, and which powers of their ICs, are tried (fixed values).
+TOPS, POWERS = (4, 8, 12, 16, 24, 32), (0.5, 1.0, 1.5, 2.0)
+
+
+def validated(kind: str, fit: dict[str, dict[str, float]], seen: dict[str, dict[str, float]]) -> dict[str, float]:
+    """Weights by statistics of the fitting days, chosen by those of the validation days: topk (how many of the signals of largest IC there, by the sum of
+    these) or power (of the fitted ICs, by the weighted IC there). The first of equals."""
+    names, best, most = list(fit), {}, -float("inf")
+    ic = lambda stats, n: stats[n]["ic"] or 0.0
+    ranked = sorted(names, key=lambda n: (-abs(ic(seen, n)), n))
+    for option in sorted({min(len(names), k) for k in (*TOPS, len(names))}) if kind == "topk" else POWERS:
+        if kind == "topk":
+            raw = {n: float(np.sign(ic(fit, n))) if n in ranked[:option] else 0.0 for n in names}
+            value = sum(abs(ic(seen, n)) for n in ranked[:option])
+        else:
+            raw = {n: float(np.sign(ic(fit, n))) * abs(ic(fit, n)) ** option for n in names}
+            value = sum(w * ic(seen, n) for n, w in normalise(raw).items())
+        if value > most:
+            best, most = normalise(raw), value
+    return best
+
+
 def blend(df: DataFrame, given: dict[str, float], name: str = "combo") -> DataFrame:
     """The weighted sum over the weights of the signals that are present; NULL where none is."""
     use = {k: w for k, w in given.items() if w}

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tessella.dsl import formula
 from tessella.operators import combine as K
+from tessella.operators import fusion as U
 from tessella.operators import models as D
+from tessella.operators import research as R
 from tessella.plans.catalogue import PARTS, RANK, W, add, round_sql, six
 from tessella.plans.evaluation import corr_sql
 from tessella.sources import panel as P
@@ -112,3 +114,70 @@ def _causal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("attention_ridge", _attention)
 add("causal_attention_ridge", _causal)
+
+# --- six signals in one: weights by statistics of fitting and validation days
+_FIT, _SEEN = 48, 60
+_ICS = "iq AS (" + " UNION ALL ".join(f"SELECT '{n}' AS factor, date, day, {corr_sql(n, 'resp')} AS ic FROM sx WHERE day < {_SEEN} GROUP BY date, day" for n in NAMES) + f"), fs AS (SELECT factor, avg(ic) AS ic, stddev_samp(ic) AS sd FROM iq WHERE day < {_FIT} GROUP BY 1), vs AS (SELECT factor, avg(ic) AS vic FROM iq WHERE day >= {_FIT} GROUP BY 1), fv AS (SELECT * FROM fs JOIN vs USING (factor))"
+_SIX_W = {
+    "top_ic": "wr AS (SELECT factor, CASE WHEN row_number() OVER (ORDER BY abs(ic) DESC, factor) <= 5 THEN sign(ic) ELSE 0 END AS w FROM fv)",
+    "vol_balanced": "wr AS (SELECT factor, CASE WHEN row_number() OVER (ORDER BY abs(ic) / greatest(sd, 1e-4) DESC, factor) <= 5 THEN sign(ic) / greatest(sd, 1e-4) ELSE 0 END AS w FROM fv)",
+    "val_topk": "rv AS (SELECT *, row_number() OVER (ORDER BY abs(vic) DESC, factor) AS k FROM fv), tk AS (SELECT n, sum(abs(vic)) AS v FROM rv, unnest([4, 6]) AS u(n) WHERE k <= n GROUP BY 1 ORDER BY v DESC, n LIMIT 1), wr AS (SELECT factor, CASE WHEN k <= n THEN sign(ic) ELSE 0 END AS w FROM rv, tk)",
+    "val_power": "pw AS (SELECT factor, q, sign(ic) * pow(abs(ic), q) AS w, vic FROM fv, unnest([0.5, 1.0, 1.5, 2.0]) AS u(q)), bp AS (SELECT q, sum(w * vic) / sum(abs(w)) AS v FROM pw GROUP BY 1 ORDER BY v DESC, q LIMIT 1), wr AS (SELECT factor, w FROM pw JOIN bp USING (q))",
+}
+_BLEND = "wn AS (SELECT factor, w / (SELECT sum(abs(w)) FROM wr) AS w FROM wr), wv AS (SELECT " + ", ".join(f"(SELECT w FROM wn WHERE factor = '{n}') AS w_{n}" for n in NAMES) + ")"
+_TOP, _LOW = " + ".join(f"coalesce({n}, 0) * w_{n}" for n in NAMES), " + ".join(f"CASE WHEN {n} IS NOT NULL THEN abs(w_{n}) ELSE 0 END" for n in NAMES)
+
+
+def _stats(rows: DataFrame) -> dict[str, dict[str, float]]:
+    found = {r.factor: r.asDict() for r in R.factor_stats(rows, NAMES, "resp").collect()}  # one row a signal
+    return {n: found.get(n, {"ic": None, "std": None, "icir": None}) for n in NAMES}
+
+
+def _six_combo(kind: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = six_signals(spark, sf_dir)
+        fit = _stats(rows.filter(F.col("day") < _FIT))
+        weights = K.weights(kind, fit) if not kind.startswith("val_") else K.validated(kind.removeprefix("val_"), fit, _stats(rows.filter((F.col("day") >= _FIT) & (F.col("day") < _SEEN))))
+        return six(K.blend(rows, weights).select("date", "security_id", "combo"))
+
+    return query
+
+
+for _k, _w in _SIX_W.items():
+    add(f"combo_six_{_k}", _six_combo(_k), f"WITH {SIX_SQL}, {_ICS}, {_w}, {_BLEND} SELECT date, security_id, round(({_TOP}) / nullif({_LOW}, 0), 6) + 0.0 AS combo FROM sx, wv")
+
+# --- fusion, over the validation days; the six signals stand for six models' outputs
+_ANCHORS = {"calm", "trend", "wide"}
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> list[dict]:
+    rows = six_signals(spark, sf_dir)
+    return U.fuse(rows.filter((F.col("day") >= _FIT) & (F.col("day") < _SEEN)), NAMES, _ANCHORS, most=3)
+
+
+def _fusion_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(c["name"], n, w, c["proxy"], c["penalty"], c["objective"], c["chosen"]) for c in _fused(spark, sf_dir) for n, w in c["weights"].items()]
+    return six(spark.createDataFrame(rows, "way string, model string, weight double, proxy double, penalty double, objective double, chosen boolean"))
+
+
+def _fusion_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = next(c for c in _fused(spark, sf_dir) if c["chosen"])
+    return six(K.blend(six_signals(spark, sf_dir).filter(F.col("day") >= _SEEN), best["weights"]).select("date", "security_id", "combo"))
+
+
+_PAIRED = [(a, b) for a in NAMES for b in NAMES if a != b]
+_MEAN_C = lambda who, of: f"(SELECT avg(abs(c)) FROM pc WHERE a = {who} AND b IN ({of}))"
+_FUSION_SQL = f"""WITH {SIX_SQL}, va AS (SELECT * FROM sx WHERE day >= {_FIT} AND day < {_SEEN}), lo AS ({' UNION ALL '.join(f"SELECT '{n}' AS model, date, security_id, {n} AS x, resp FROM va" for n in NAMES)}),
+ld AS (SELECT model, date, {corr_sql('x', 'resp')} AS ic, coalesce(sum(ch), 0) / nullif(sum(abs(x)), 0) AS tvr FROM (SELECT *, abs(x - lag(x) OVER (PARTITION BY model, security_id ORDER BY date)) AS ch FROM lo) GROUP BY 1, 2),
+sc AS (SELECT model, greatest(avg(ic) * 100 - 0.0005 * avg(tvr) * 100, 0) * sqrt(greatest(coalesce(CASE WHEN stddev_samp(ic) > 0 THEN avg(ic) / stddev_samp(ic) * sqrt(252) END, 0), 0)) * 100 AS s FROM ld GROUP BY 1),
+pc AS ({' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, coalesce({corr_sql(a, b)}, 0) AS c FROM va" for a, b in _PAIRED)}),
+w1 AS (SELECT 'softmax' AS way, model, exp((s - (SELECT max(s) FROM sc)) / 4500) AS w FROM sc), w2 AS (SELECT 'inverse_corr' AS way, model, s / (SELECT sum(s) FROM sc) / greatest(0.20, {_MEAN_C('model', "SELECT model FROM sc")}) AS w FROM sc),
+g1 AS (SELECT model FROM sc ORDER BY s DESC, model LIMIT 1), g2 AS (SELECT model FROM sc WHERE model NOT IN (SELECT model FROM g1) ORDER BY s * (1 - 0.55 * {_MEAN_C('model', 'SELECT model FROM g1')}) DESC, s DESC, model LIMIT 1), gs AS (SELECT model FROM g1 UNION ALL SELECT model FROM g2),
+g3 AS (SELECT model FROM sc WHERE model NOT IN (SELECT model FROM gs) ORDER BY s * (1 - 0.55 * {_MEAN_C('model', 'SELECT model FROM gs')}) DESC, s DESC, model LIMIT 1), gg AS (SELECT model FROM gs UNION ALL SELECT model FROM g3),
+w3 AS (SELECT 'greedy_diversity' AS way, model, greatest(s * (1 - 0.35 * {_MEAN_C('model', 'SELECT model FROM gg')}), 0) AS w FROM sc WHERE model IN (SELECT model FROM gg)),
+an AS (SELECT model, s, model IN ('calm', 'trend', 'wide') AS k FROM sc), w4 AS (SELECT 'anchored_stack' AS way, model, s * CASE WHEN k THEN 1.35 ELSE 1 END AS w FROM an QUALIFY row_number() OVER (PARTITION BY k ORDER BY s DESC, model) <= CASE WHEN k THEN 2 ELSE 3 END),
+ww AS (SELECT way, model, w / (CASE WHEN sum(w) OVER (PARTITION BY way) = 0 THEN 1 ELSE sum(w) OVER (PARTITION BY way) END) AS w FROM (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3 UNION ALL SELECT * FROM w4)),
+wp AS (SELECT x.way, sum(abs(c) * x.w * y.w) AS penalty FROM ww x JOIN ww y ON x.way = y.way AND x.model < y.model JOIN pc ON a = x.model AND b = y.model GROUP BY 1), wx AS (SELECT way, sum(w * s) AS proxy FROM ww JOIN sc USING (model) GROUP BY 1),
+wo AS (SELECT *, proxy * (1 - 0.45 * penalty) AS objective FROM wx JOIN wp USING (way)), wc AS (SELECT *, row_number() OVER (ORDER BY objective DESC) = 1 AS chosen FROM wo)"""
+add("fusion_candidates", _fusion_table, f"{_FUSION_SQL} SELECT way, model, {round_sql({'weight': 'w', 'proxy': 'proxy', 'penalty': 'penalty', 'objective': 'objective'})}, chosen FROM ww JOIN wc USING (way)")
+add("fusion_blend", _fusion_blend, f"{_FUSION_SQL}, wv AS (SELECT {', '.join(f"coalesce((SELECT w FROM ww JOIN wc USING (way) WHERE chosen AND model = '{n}'), 0) AS w_{n}" for n in NAMES)}) SELECT date, security_id, round(({_TOP}) / nullif({_LOW}, 0), 6) + 0.0 AS combo FROM sx, wv WHERE day >= {_SEEN}")
