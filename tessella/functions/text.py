@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ast
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,3 +66,24 @@ def unit(a: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm > 0, dot(a, b) / F.when(norm > 0, norm)).otherwise(0.0)
+
+
+def _literal(texts: pd.Series) -> pd.Series:
+    def parse(t: str | None) -> str | None:
+        try:
+            return json.dumps(ast.literal_eval(t.strip())) if t is not None else None
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            return None
+
+    return texts.map(parse)
+
+
+def tolerant_json(x: Column) -> Column:
+    """struct(json, how, corrupt): a text as JSON, or else as a Python literal made JSON. how: json, literal, corrupt or empty; corrupt: the text itself where neither works.
+    No text is lost. Only what isn't JSON goes to Python."""
+    literal = F.pandas_udf(_literal, "string")
+    parsed = F.to_json(F.try_parse_json(x))
+    blank = x.isNull() | (F.trim(x) == "")
+    other = literal(F.when(parsed.isNull() & ~blank, x))
+    how = F.when(blank, "empty").when(parsed.isNotNull(), "json").when(other.isNotNull(), "literal").otherwise("corrupt")
+    return F.struct(F.when(~blank, F.coalesce(parsed, other)).alias("json"), how.alias("how"), F.when(how == "corrupt", x).alias("corrupt"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators import metrics
+
 
 def submission(alpha: DataFrame, universe: DataFrame, stamps: list[str]) -> DataFrame:
     """date x stamps x the day's universe, alpha clipped to [-1, 1] and 0 where missing; stamps are HH:mm:ss. The stamps are a
@@ -34,3 +36,27 @@ def compliance(signal: DataFrame, alpha: str = "alpha", bound: float = 100.0) ->
     one = signal.agg(F.count("*").alias("rows"), F.avg(a.isNull().cast("double")).alias("missing"), F.count(F.when(F.abs(a) > bound, 1)).alias("unbounded"), F.countDistinct(a).alias("distinct_values"), (F.max(F.abs(a)) / F.sum(F.abs(a))).alias("largest_share"))
     out = one.join(F.broadcast(days))
     return out.withColumn("compliant", (F.col("rows") > 0) & (F.col("unbounded") == 0) & (F.col("distinct_values") > 1) & (F.col("coverage") > 0.95) & (F.col("missing") < 0.5) & (F.col("largest_share") < 0.1))
+
+
+def read_exports(spark: SparkSession, *paths: str, run: str = r"([^/]+)/[^/]+$") -> DataFrame:
+    """All stored submissions below the paths in one scan, with run_id by `run` from each file's path: its folder, unless told otherwise."""
+    rows = spark.read.option("recursiveFileLookup", "true").schema("date string, datetime string, security_id long, alpha float").parquet(*paths)
+    return rows.withColumn("run_id", F.regexp_extract(F.col("_metadata.file_path"), run, 1))
+
+
+def recheck(exports: DataFrame, panel: DataFrame) -> DataFrame:
+    """(run_id, ic, ir, tvr, unconcentrated, passes, score) of many stored submissions(run_id, datetime, security_id, alpha) against a panel's labels and restrictions, all in
+    one pass: rows meet by stamp and entity, what follows is grouped by run. A submission has the day's universe at each of its stamps."""
+    alpha = exports.select("run_id", F.col("datetime").cast("timestamp_ntz").alias("datetime"), "security_id", F.col("alpha").cast("double").alias("alpha"))
+    labels = panel.select("date", F.col("datetime").cast("timestamp_ntz").alias("datetime"), "bar_idx", "security_id", "resp", "trading_restriction")
+    return metrics.evaluate(alpha.join(labels, ["datetime", "security_id"]), by=["run_id"])
+
+
+def updated(library: DataFrame, found: DataFrame) -> DataFrame:
+    """library(run_id, passes, score, ...) after a recheck: runs get their new figures and the status ok; those whose submission is gone pass no more and get the status
+    recompute_error; new runs are added. Other columns of the library stay."""
+    new = found.select("run_id", *(F.col(c).alias(f"_{c}") for c in ("ic", "ir", "tvr", "passes", "score")), F.lit(True).alias("_seen"))
+    both = library.join(new, "run_id", "full")
+    seen = F.coalesce("_seen", F.lit(False))
+    out = both.withColumns({"passes": F.when(seen, F.col("_passes")).otherwise(False), "score": F.when(seen, F.col("_score")).otherwise(0.0), "status": F.when(seen, "ok").otherwise("recompute_error"), **{c: F.col(f"_{c}") for c in ("ic", "ir", "tvr")}})
+    return out.drop("_ic", "_ir", "_tvr", "_passes", "_score", "_seen")

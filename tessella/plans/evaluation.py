@@ -183,3 +183,38 @@ d AS (SELECT date, count(DISTINCT datetime) AS bars FROM sb GROUP BY 1), x AS (S
 SELECT *, duplicates + out_of_bounds + nulls + missing_days = 0 AND NOT constant AND min_bars = {len(STAMPS)} AND max_bars = {len(STAMPS)} AS ready FROM x""")
 add("data_compliance", q(submit.compliance), f"""WITH {RESEARCH}, o AS (SELECT count(*) AS rows, avg(CAST(alpha IS NULL AS DOUBLE)) AS missing, count(CASE WHEN abs(alpha) > 100 THEN 1 END) AS unbounded, count(DISTINCT alpha) AS distinct_values, max(abs(alpha)) / sum(abs(alpha)) AS largest_share, (SELECT avg(CAST(n > 0 AS DOUBLE)) FROM (SELECT date, count(alpha) AS n FROM r GROUP BY 1)) AS coverage FROM r)
 SELECT rows, unbounded, distinct_values, {round_sql({k: k for k in ('missing', 'largest_share', 'coverage')})}, rows > 0 AND unbounded = 0 AND distinct_values > 1 AND coverage > 0.95 AND missing < 0.5 AND largest_share < 0.1 AS compliant FROM o""")
+
+
+# --- many stored submissions at once
+def by_run_sql(src: str, key: str) -> str:
+    """Stages st (turnover), si (ic, ir) and bo (book) of submissions in src, by key."""
+    return f"""sl AS (SELECT *, {OK_SQL} AS ok FROM {src}), sp AS (SELECT * FROM (SELECT *, count(ok) OVER (PARTITION BY {key}, bar_idx) AS present FROM sl) WHERE present > 0),
+sc AS (SELECT {key}, date, bar_idx, CASE WHEN lag(date) OVER e = date THEN abs(ok - lag(ok) OVER e) END AS ch, ok FROM sp WINDOW e AS (PARTITION BY {key}, security_id ORDER BY bar_idx)),
+sb AS (SELECT {key}, date, bar_idx, coalesce(sum(ch), 0) / nullif(sum(abs(ok)), 0) AS tvr, max(ok) / nullif(sum(abs(ok)), 0) * 1e4 AS hi, min(ok) / nullif(sum(abs(ok)), 0) * 1e4 AS lo FROM sc GROUP BY 1, 2, 3),
+sd AS (SELECT {key}, date, coalesce(sum(tvr), 0) AS tvr, max(hi) AS hi, min(lo) AS lo FROM sb GROUP BY 1, 2), st AS (SELECT {key}, avg(tvr) * 100 AS tvr, coalesce(max(hi) < 50 AND abs(min(lo)) < 50 AND avg(hi) < 20 AND abs(avg(lo)) < 20, false) AS unconcentrated FROM sd GROUP BY 1),
+si AS (SELECT {key}, avg(ic) * 100 AS ic, {IR('ic')} AS ir FROM (SELECT {key}, date, avg(ic) AS ic FROM (SELECT {key}, date, bar_idx, {corr_sql('ok', 'resp')} AS ic FROM sl GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+def _exports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(submissions of three signals, the panel)."""
+    panel = formula.evaluate(P.research_panel(spark, sf_dir).withColumnRenamed("resp", "ahead"), _THREE).withColumnRenamed("ahead", "resp")
+    inside = P.universe(panel)
+    runs = [submit.submission(panel.withColumn("alpha", F.col(n)), inside, STAMPS).withColumn("run_id", F.lit(n)) for n in _THREE]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2]), panel
+
+
+def _recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library of four runs after a recheck of the three whose submissions are there."""
+    exports, panel = _exports(spark, sf_dir)
+    library = spark.createDataFrame([("rev", 1, True, 9.0), ("mom", 1, False, 0.0), ("gone", 2, True, 5.0)], "run_id string, generation int, passes boolean, score double")
+    return six(submit.updated(library, submit.recheck(exports, panel)))
+
+
+_OK_RUN = "coalesce(ic > 0.6 AND ir > 2.5 AND tvr < 400 AND unconcentrated, false)"
+add("reevaluate_exports", _recheck, f"""WITH {_THREE_SQL}, r0 AS (SELECT p.security_id, p.datetime, p.date, p.bar_idx, lead(close_trade_px, 24) OVER (PARTITION BY p.security_id ORDER BY p.bar_idx) / nullif(close_trade_px, 0) - 1 AS resp,
+  CASE WHEN (p.security_id * 7 + hour(datetime) * 3 + day(datetime)) % 11 IN (1, 2, 3) THEN (p.security_id * 7 + hour(datetime) * 3 + day(datetime)) % 11 ELSE 0 END AS trading_restriction, rev, mom, vol FROM p JOIN s3 USING (security_id, bar_idx)),
+u AS (SELECT DISTINCT date, security_id FROM p WHERE (security_id + day(date)) % 10 <> 0), sx AS (SELECT r0.* FROM r0 JOIN u ON u.date = r0.date AND u.security_id = r0.security_id WHERE strftime(datetime, '%H:%M:%S') IN {tuple(STAMPS)}),
+lx AS ({' UNION ALL '.join(f"SELECT '{n}' AS run_id, date, datetime, bar_idx, security_id, resp, trading_restriction, CAST(CAST(coalesce(greatest(least({n}, 1), -1), 0) AS FLOAT) AS DOUBLE) AS alpha FROM sx" for n in _THREE)}), {by_run_sql('lx', 'run_id')},
+fo AS (SELECT run_id, ic, ir, tvr, {_OK_RUN} AS passes, CASE WHEN {_OK_RUN} THEN greatest(ic - 0.0005 * tvr, 0) * sqrt(greatest(ir, 0)) * 100 ELSE 0 END AS score FROM si JOIN st USING (run_id)),
+li AS (SELECT * FROM (VALUES ('rev', 1), ('mom', 1), ('gone', 2)) AS t(run_id, generation))
+SELECT run_id, generation, coalesce(passes, false) AS passes, round(coalesce(score, 0), 6) + 0.0 AS score, CASE WHEN passes IS NULL THEN 'recompute_error' ELSE 'ok' END AS status, {round_sql({k: k for k in ('ic', 'ir', 'tvr')})} FROM li FULL JOIN fo USING (run_id)""")

@@ -181,3 +181,18 @@ wp AS (SELECT x.way, sum(abs(c) * x.w * y.w) AS penalty FROM ww x JOIN ww y ON x
 wo AS (SELECT *, proxy * (1 - 0.45 * penalty) AS objective FROM wx JOIN wp USING (way)), wc AS (SELECT *, row_number() OVER (ORDER BY objective DESC) = 1 AS chosen FROM wo)"""
 add("fusion_candidates", _fusion_table, f"{_FUSION_SQL} SELECT way, model, {round_sql({'weight': 'w', 'proxy': 'proxy', 'penalty': 'penalty', 'objective': 'objective'})}, chosen FROM ww JOIN wc USING (way)")
 add("fusion_blend", _fusion_blend, f"{_FUSION_SQL}, wv AS (SELECT {', '.join(f"coalesce((SELECT w FROM ww JOIN wc USING (way) WHERE chosen AND model = '{n}'), 0) AS w_{n}" for n in NAMES)}) SELECT date, security_id, round(({_TOP}) / nullif({_LOW}, 0), 6) + 0.0 AS combo FROM sx, wv WHERE day >= {_SEEN}")
+
+
+# --- correlations as signals arrive
+def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four signals first, then two: the pairs of the first, and those that the others bring."""
+    from tessella.streaming import correlations as Q
+
+    rows = six_signals(spark, sf_dir)
+    long = lambda names: Q.z_scores(rows.select("date", "security_id", F.inline(F.array(*(F.struct(F.lit(n).alias("signal"), F.col(n).alias("alpha")) for n in names)))))
+    first, then = long(NAMES[:4]), long(NAMES[4:])
+    return six(Q.new_pairs(first, first.filter("false")).unionByName(Q.new_pairs(then, first)))
+
+
+_ZS = ", ".join(f"({n} - avg({n}) OVER e) / nullif(stddev_samp({n}) OVER e, 0) AS {n}" for n in NAMES)
+add("incremental_correlation", _arriving, f"WITH {SIX_SQL}, zz AS (SELECT date, {_ZS} FROM sx WINDOW e AS (PARTITION BY date)), zp AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {corr_sql(a, b)} AS corr, count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END) AS n FROM zz" for a in NAMES for b in NAMES if a < b) + ") SELECT a, b, round(CASE WHEN n >= 200 THEN corr END, 6) + 0.0 AS corr, n FROM zp")

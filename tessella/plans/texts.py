@@ -107,3 +107,15 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("hybrid_retrieval", _hybrid, """WITH s AS (SELECT doc_id, lang, CAST(contains(lower(text), 'license') AS INT) + CAST(contains(lower(text), 'token') AS INT) + CAST(contains(lower(text), 'the') AS INT) AS lex, coalesce(round(""" + f"{_DOT('embedding', 'asked')} / (sqrt({_DOT('embedding', 'embedding')}) * sqrt({_DOT('asked', 'asked')}))" + """, 9), 0) AS sem FROM documents LEFT JOIN embeddings ON vec_id = doc_id, (SELECT embedding AS asked FROM embeddings WHERE vec_id = 0)),
 x AS (SELECT doc_id, lang, round(0.72 * (sem - (SELECT min(sem) FROM s)) / ((SELECT max(sem) FROM s) - (SELECT min(sem) FROM s)) + 0.22 * lex / 3 + 0.06 * CAST(lang = 'en' AS DOUBLE), 6) AS score FROM s) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS place FROM x) WHERE place <= 2""")
 add("turn_counts", lambda spark, d: read(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.countDistinct("conv_id").alias("conversations")), "SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations FROM conversations GROUP BY 1")
+
+
+def _tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other event's props as they are, a quarter as a Python literal with a flag, and a quarter cut short."""
+    events = read(spark, sf_dir, "events").select("event_id", "props")
+    literal = F.concat(F.lit("{'flag': True, 'k': "), F.get_json_object("props", "$.k"), F.lit("}"))
+    text = F.when(F.col("event_id") % 4 == 1, literal).when(F.col("event_id") % 4 == 3, F.substring("props", 1, 4)).otherwise(F.col("props"))
+    got = events.withColumn("r", X.tolerant_json(text))
+    return got.select("event_id", "r.how", F.get_json_object("r.json", "$.k").cast("double").alias("k"), F.get_json_object("r.json", "$.flag").alias("flag"), "r.corrupt")
+
+
+add("tolerant_parse", _tolerant, "SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'literal' WHEN 3 THEN 'corrupt' ELSE 'json' END AS how, CASE WHEN event_id % 4 <> 3 THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS k, CASE WHEN event_id % 4 = 1 THEN 'true' END AS flag, CASE WHEN event_id % 4 = 3 THEN substr(props, 1, 4) END AS corrupt FROM events")
