@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags. Pass 1 judges each block alone by length, link density and the share of stop words:
 long blocks with enough stop words are good, lists of links and long blocks without are bad, short ones and headings stay open; what
-stands in menus, notices and the like is bad. Pass 2 lets open blocks inherit from the nearest decided neighbours.
+stands in menus, notices and the like, by its elements or by names that mean nothing else, is bad; a name that may mean something
+else raises the limits. Pass 2 lets open blocks inherit from the nearest decided neighbours.
 
 An article element is a prior: if its text as a whole has stop words and makes up enough of the page's good text, limits are lower
 within it and higher outside; one that holds little, such as a teaser, is a block like others. Listings and pages in languages
@@ -35,10 +36,14 @@ STOP_WORDS = frozenset(
     "au aux avec ce ces cette dans de des du elle en est et eu il ils je la le les leur lui mais ne nos nous on ont ou par pas plus pour qu que qui sa se ses son sont sur un une vos vous à été être "
     "al como con de del desde el ella en entre era es esta este fue ha hay la las le lo los más mi muy no nos o para pero por que se ser si sin sobre su sus también un una y ya".split()
 )
-#: Words of class and id names that mark what is not the main text.
-MARKED = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|menu|nav(?:bar|igation)?|breadcrumbs?|sidebar|side|widget|related|recommended|share|sharing|social|comments?|respond|disqus|footer|foot|masthead|site-header|page-header|topbar|toolbar|pagination|pager|tags?|copyright|legal|skip)(?:$|[-_\s\d])",
-    re.I,
+#: Words of class and id names that mark what is not the main text, and words that stand beside them without saying more.
+MARKS = frozenset(
+    "ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar side widget related recommended "
+    "share sharing social comment comments respond disqus footer foot masthead topbar toolbar pagination pager tag tags copyright legal skip".split()
+)
+NEUTRAL = frozenset(
+    "site page post posts entry article main content global primary secondary box wrap wrapper container holder list lists item items block blocks section area zone slot unit bar top bottom left right inner outer upper lower header head title text link links button buttons btn icon icons group row col column "
+    "panel fixed sticky mobile desktop small large big js ui wp id form info meta to".split()
 )
 #: A comment, a declaration or a tag. A quoted value that holds a < and ends in = has lost its closing quote; such a tag ends at its first >.
 TOKEN = re.compile(
@@ -53,12 +58,29 @@ NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 ATTRIBUTES = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 HIDING = re.compile(r"hidden|display", re.I)
 UNSEEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+#: Such names in two words.
+HEADERS = re.compile(r"(?:^|[-_\s])(?:site|page)[-_]header(?:$|[-_\s\d])", re.I)
 #: Names that only say what the page also has.
 BESIDE = re.compile(r"(?:has|with|no|without)-[\w-]+", re.I)
 ROLES = re.compile(r"^(?:navigation|banner|contentinfo|complementary|search|dialog|alert)$", re.I)
 GOOD, BAD, OPEN = "good", "bad", "open"
 
 
+def marks(names: str) -> tuple[bool, bool]:
+    """(marked, in doubt) by a class or id attribute: marked if a name of it consists of marks and neutral words, such as cookie-notice or site-footer; in doubt if one has a mark
+    beside a word that may say something else, such as tag-news or market-share."""
+    doubt = False
+    if HEADERS.search(names):
+        return True, False
+    for name in BESIDE.sub("", names).lower().split():
+        words = [w.strip("0123456789") for w in re.split(r"[-_]+", name)]
+        if not MARKS.isdisjoint(words):
+            if all(not w or w in MARKS or w in NEUTRAL for w in words):
+                return True, False
+            doubt = True
+    return False, doubt
+
+
 def is_hidden(attrs: str) -> bool:
     """Whether a tag's attributes hide its element: hidden, aria-hidden=true or a style; class names never do."""
     if not HIDING.search(attrs):
@@ -80,6 +102,7 @@ class Rules:
     outside: float = 0.3  # stop words that a long block outside the article needs
     share: float = 0.3  # of the page's good text, that an article holds which moves the limits
     unknown: float = 0.02  # of all words, below which the language has no list of stop words
+    doubt: float = 2.0  # what the limit of a short block is multiplied by where a name raises a doubt; stop words must be as many as outside an article
 
 
 @dataclass
@@ -89,6 +112,7 @@ class Block:
     words: int
     stops: float  # share of its words that are stop words
     marked: bool  # stands in a menu, notice, advert and so on
+    doubt: bool  # stands in an element whose name may mean that, or not
     article: bool  # stands in the marked article
     heading: bool
 
@@ -97,16 +121,16 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, marked here, article here
+    stack: list[tuple[str, bool, bool, bool]] = []  # open elements: name, marked, in doubt, article here
     opened: Counter[str] = Counter()  # how many of each name are open
-    marked = article = anchors = 0
+    marked = doubt = article = anchors = 0
     heading = ""
 
     def close() -> str:
-        nonlocal marked, article, anchors
-        name, was_marked, was_article = stack.pop()
+        nonlocal marked, doubt, article, anchors
+        name, was_marked, was_doubt, was_article = stack.pop()
         opened[name] -= 1
-        marked, article, anchors = marked - was_marked, article - was_article, anchors - (name == "a")
+        marked, doubt, article, anchors = marked - was_marked, doubt - was_doubt, article - was_article, anchors - (name == "a")
         return name
 
     def end_open(names: tuple[str, ...]) -> None:
@@ -124,7 +148,7 @@ def blocks_of(page: str) -> list[Block]:
         parts.clear()
         if text:
             words = re.findall(r"[^\W\d_]+", text.lower())
-            out.append(Block(text, min(1.0, linked / len(text)), len(words), sum(w in STOP_WORDS for w in words) / max(1, len(words)), marked > 0, article > 0, bool(heading)))
+            out.append(Block(text, min(1.0, linked / len(text)), len(words), sum(w in STOP_WORDS for w in words) / max(1, len(words)), marked > 0, doubt > 0, article > 0, bool(heading)))
         linked = 0
 
     def add(raw: str) -> None:
@@ -178,14 +202,16 @@ def blocks_of(page: str) -> list[Block]:
         if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
             heading = name
         names = [next(filter(None, x), "") for x in NAMES.findall(attrs)] if attrs else []
-        here = name in BOILERPLATE_TAGS and not (name == "header" and article) or any(MARKED.search(BESIDE.sub("", x)) or ROLES.match(x) for x in names) and name not in ("html", "body", "article", "main") or bool(attrs) and name not in ("html", "body") and is_hidden(attrs)
+        found = [marks(x) for x in names] if name not in ("html", "body", "article", "main") else []
+        here = name in BOILERPLATE_TAGS and not (name == "header" and article) or any(m for m, _ in found) or bool(found) and any(ROLES.match(x) for x in names) or bool(attrs) and name not in ("html", "body") and is_hidden(attrs)
+        unsure = not here and any(d for _, d in found)
         main = name in ("article", "main")
         if name in ("article", "main") and any(re.search(r"(?:^|[-_\s])comments?(?:$|[-_\s\d])", x, re.I) for x in names):
             here, main = True, False
-        if name == "a" or here or main or name in BLOCKS:
-            stack.append((name, here, main))
+        if name == "a" or here or unsure or main or name in BLOCKS:
+            stack.append((name, here, unsure, main))
             opened[name] += 1
-            marked, article, anchors = marked + here, article + main, anchors + (name == "a")
+            marked, doubt, article, anchors = marked + here, doubt + unsure, article + main, anchors + (name == "a")
     end_block()
     return out
 
@@ -207,8 +233,10 @@ def judge(blocks: list[Block], rules: Rules) -> list[str]:
             return BAD
         if has_article and not b.article:
             return GOOD if len(b.text) >= rules.long and b.stops >= (rules.outside if need else 0.0) and not b.heading else BAD
-        if len(b.text) < rules.short * (rules.prior if has_article else 1.0) or b.heading:
+        if len(b.text) < rules.short * (rules.doubt if b.doubt else rules.prior if has_article else 1.0) or b.heading:
             return OPEN
+        if b.doubt:
+            return GOOD if b.stops >= (rules.outside if need else 0.0) else BAD
         if b.stops >= (need_inside if has_article else need):
             return GOOD
         return BAD if b.stops < rules.few_stop_words and not has_article else OPEN

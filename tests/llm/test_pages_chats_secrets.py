@@ -47,6 +47,21 @@ def test_hidden_elements_are_left_out(attrs):
     assert html.main_text(f"<body><div {attrs}><p>{STORY}</p></div><article><p>Seen. {STORY}</p></article></body>") == f"Seen. {STORY.strip()}"
 
 
+@pytest.mark.parametrize("names", ["post tag-news", "market-share report", "legal-news", "side-by-side", "post-7 hentry category-a tag-b", "skip-logic", "social-science"])
+def test_names_in_doubt_leave_it_to_density(names):
+    story = STORY[:168].strip()
+    assert html.main_text(f'<body><div class="{names}"><p>{story}</p></div></body>') == story
+    assert html.main_text(f'<body><article><div id="{names}"><p>{story}</p><p>Short.</p></div></article></body>') == f"{story}\nShort."
+    links = " ".join(f"<a href={i}>Story of the number {i} in the list</a>" for i in range(9))
+    noise = "Zxcv qwrt plkj mnbv hgfd tyui. " * 8
+    assert html.main_text(f'<body><div class="{names}"><p>{links}</p><p>{noise}</p></div><article><p>{STORY}</p></article></body>') == STORY.strip()
+
+
+@pytest.mark.parametrize("names", ["ad", "ad-box", "main-menu", "cookie-notice", "site-footer", "page_header", "sidebar", "post-tags", "share-buttons top", "comments", "comment-12", "widget_area", "x related-posts", "skip-to-content"])
+def test_names_that_mean_nothing_else(names):
+    assert html.main_text(f'<body><div class="{names}"><p>{STORY}</p></div><div><p>Kept. {STORY}</p></div></body>') == f"Kept. {STORY.strip()}"
+
+
 @pytest.mark.parametrize("rules", [{"stop_words": 0.99}, {"links": -1.0}, {"share": 1.1}])
 def test_limits_decide(spark, rules):
     """Of the pages' texts, nearly all of which stand in one article, those change whose densities a limit turns down."""
