@@ -92,7 +92,7 @@ def sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def char_grams(text: Column, least: int = 3, most: int = 5) -> Column:
-    """All character n-grams of a lower-cased text, spaces squeezed, within it."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")
-    cut = lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(*(cut(n) for n in range(least, most + 1)))
+    """All character n-grams of the words of a lower-cased text, each word with a space before and behind it; a padded word no longer than n counts once, whole."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+    cut = lambda w, n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.flatten(F.transform(F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" "))), lambda w: F.concat(*(cut(w, n) for n in range(least, most + 1)))))

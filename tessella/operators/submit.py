@@ -18,24 +18,33 @@ def submission(alpha: DataFrame, universe: DataFrame, stamps: list[str]) -> Data
     return out.select(F.date_format("date", "yyyy-MM-dd").alias("date"), F.concat_ws(" ", F.date_format("date", "yyyy-MM-dd"), "stamp").alias("datetime"), "security_id", clipped.cast("float").alias("alpha"))
 
 
-def sanity(rows: DataFrame, days: DataFrame, bars_a_day: int) -> DataFrame:
-    """One row of counts that a submission(date, datetime, security_id, alpha) must have at zero, and its bars per day."""
+def sanity(rows: DataFrame, days: DataFrame, bars_a_day: int, universe: DataFrame | None = None, stamps: list[str] | None = None) -> DataFrame:
+    """One row of counts that a submission(date, datetime, security_id, alpha) must have at zero, and its bars per day. outside: rows of an entity that the day's universe lacks, or of
+    a time that is no stamp; 0 if neither is given."""
     repeated = rows.groupBy("date", "datetime", "security_id").count().filter("count > 1").agg(F.count("*").alias("duplicates"))
     per_day = rows.groupBy("date").agg(F.countDistinct("datetime").alias("bars"))
     spans = per_day.agg(F.min("bars").alias("min_bars"), F.max("bars").alias("max_bars"))
     missing = days.select(F.date_format("date", "yyyy-MM-dd").alias("date")).distinct().join(per_day, "date", "left_anti").agg(F.count("*").alias("missing_days"))
+    placed = rows.withColumn("_in", F.substring("datetime", 12, 8).isin(*stamps) if stamps else F.lit(True))
+    if universe is not None:
+        known = universe.filter("eq_univ").select(F.date_format("date", "yyyy-MM-dd").alias("date"), "security_id").distinct().withColumn("_known", F.lit(True))
+        placed = placed.join(known, ["date", "security_id"], "left").withColumn("_in", F.col("_in") & F.coalesce("_known", F.lit(False)))
+    outside = placed.agg(F.count(F.when(~F.col("_in"), 1)).alias("outside"))
     own = rows.agg(F.count("*").alias("rows"), F.count(F.when(F.abs("alpha") > 1, 1)).alias("out_of_bounds"), F.count(F.when(F.col("alpha").isNull(), 1)).alias("nulls"), (F.countDistinct("alpha") <= 1).alias("constant"))
-    out = own.join(F.broadcast(repeated)).join(F.broadcast(spans)).join(F.broadcast(missing))
-    return out.withColumn("ready", (F.col("duplicates") + F.col("out_of_bounds") + F.col("nulls") + F.col("missing_days") == 0) & ~F.col("constant") & (F.col("min_bars") == bars_a_day) & (F.col("max_bars") == bars_a_day))
+    out = own.join(F.broadcast(repeated)).join(F.broadcast(spans)).join(F.broadcast(missing)).join(F.broadcast(outside))
+    return out.withColumn("ready", (F.col("duplicates") + F.col("out_of_bounds") + F.col("nulls") + F.col("missing_days") + F.col("outside") == 0) & ~F.col("constant") & (F.col("min_bars") == bars_a_day) & (F.col("max_bars") == bars_a_day))
 
 
 def compliance(signal: DataFrame, alpha: str = "alpha", bound: float = 100.0) -> DataFrame:
-    """One row: shares and counts that a usable signal keeps within bounds."""
+    """One row: shares and counts that a usable signal keeps within bounds; off_grid: rows whose minute is no quarter of an hour."""
     a = F.col(alpha)
     days = signal.groupBy("date").agg(F.count(a).alias("n")).agg(F.avg((F.col("n") > 0).cast("double")).alias("coverage"))
-    one = signal.agg(F.count("*").alias("rows"), F.avg(a.isNull().cast("double")).alias("missing"), F.count(F.when(F.abs(a) > bound, 1)).alias("unbounded"), F.countDistinct(a).alias("distinct_values"), (F.max(F.abs(a)) / F.sum(F.abs(a))).alias("largest_share"))
+    one = signal.agg(
+        F.count("*").alias("rows"), F.avg(a.isNull().cast("double")).alias("missing"), F.count(F.when(F.abs(a) > bound, 1)).alias("unbounded"), F.countDistinct(a).alias("distinct_values"), (F.max(F.abs(a)) / F.sum(F.abs(a))).alias("largest_share"),
+        F.count(F.when(~F.minute("datetime").isin(0, 15, 30, 45), 1)).alias("off_grid"),
+    )
     out = one.join(F.broadcast(days))
-    return out.withColumn("compliant", (F.col("rows") > 0) & (F.col("unbounded") == 0) & (F.col("distinct_values") > 1) & (F.col("coverage") > 0.95) & (F.col("missing") < 0.5) & (F.col("largest_share") < 0.1))
+    return out.withColumn("compliant", (F.col("rows") > 0) & (F.col("off_grid") == 0) & (F.col("unbounded") == 0) & (F.col("distinct_values") > 1) & (F.col("coverage") > 0.95) & (F.col("missing") < 0.5) & (F.col("largest_share") < 0.1))
 
 
 def read_exports(spark: SparkSession, *paths: str, run: str = r"([^/]+)/[^/]+$") -> DataFrame:

@@ -100,7 +100,6 @@ _DAYS_SQL = f"x AS (SELECT date, bar_idx, {corr_sql('alpha', 'resp')} AS ic, avg
 add("regime_ic", q(R.regimes), f"""WITH {RESEARCH}, {_DAYS_SQL}, d AS (SELECT date, avg(ic) AS ic, round(avg(market), 10) AS market, round(avg(vol), 10) AS vol FROM x GROUP BY 1),
 f AS (SELECT ic, CASE WHEN market >= 0 THEN 'up' ELSE 'down' END AS regime FROM d UNION ALL SELECT ic, CASE WHEN vol >= (SELECT quantile_cont(vol, 0.5) FROM d) THEN 'high_vol' ELSE 'low_vol' END FROM d
 UNION ALL SELECT ic, CASE WHEN abs(market) >= (SELECT quantile_cont(abs(market), 0.5) FROM d) THEN 'trend' ELSE 'chop' END FROM d) SELECT regime, round(avg(ic), 6) + 0.0 AS ic, count(ic) AS days FROM f GROUP BY 1""")
-add("guarded_daily_ic", q(lambda s: M.guarded_ic(s, least=5)), f"WITH {RESEARCH}, gi AS (SELECT date, bar_idx, count(CASE WHEN ok IS NOT NULL AND resp IS NOT NULL THEN 1 END) AS n, {corr_sql('ok', 'resp')} AS ic FROM (SELECT *, {OK_SQL} AS ok FROM r) GROUP BY 1, 2) SELECT date, round(avg(ic) * 100, 6) + 0.0 AS ic FROM gi WHERE n >= 5 AND ic IS NOT NULL GROUP BY 1")
 add("monthly_market_state", q(M.monthly_state), f"""WITH {RESEARCH}, {_DAYS_SQL}, d AS (SELECT date, avg(ic) AS ic, avg(market) AS market, avg(vol) AS vol FROM x GROUP BY 1), m AS (SELECT strftime(date, '%Y-%m') AS month, avg(ic) AS ic, avg(market) * 100 AS market_ret, avg(vol) AS vol, avg(abs(market)) * 100 AS market_abs_move FROM d GROUP BY 1)
 SELECT month, {round_sql({'ic': 'ic', 'market_ret': 'market_ret', 'market_vol': 'vol / ((SELECT quantile_cont(vol, 0.9) FROM m) + 1e-9)', 'market_abs_move': 'market_abs_move'})} FROM m""")
 add("yearly_turnover", q(lambda s: M.daily_turnover(M.bar_turnover(s)).groupBy(F.year("date").alias("year")).agg(F.avg("tvr").alias("tvr"))), f"WITH {RESEARCH}, {_TURN} SELECT CAST(year(date) AS INT) AS year, round(avg(tvr), 6) + 0.0 AS tvr FROM td GROUP BY 1")
@@ -178,11 +177,12 @@ def _submission(spark: SparkSession, sf_dir: str) -> DataFrame:
 _UNIVERSE = "(SELECT DISTINCT date, security_id FROM r WHERE (security_id + day(date)) % 10 <> 0)"
 _GRID = f"sb AS (SELECT strftime(u.date, '%Y-%m-%d') AS date, strftime(u.date, '%Y-%m-%d') || ' ' || s.stamp AS datetime, u.security_id, CAST(coalesce(greatest(least(alpha, 1), -1), 0) AS FLOAT) AS alpha FROM {_UNIVERSE} u CROSS JOIN (SELECT unnest({STAMPS}) AS stamp) s LEFT JOIN r ON r.date = u.date AND r.security_id = u.security_id AND strftime(r.datetime, '%H:%M:%S') = s.stamp)"
 add("submission_grid", lambda spark, d: six(_submission(spark, d)), f"WITH {RESEARCH}, {_GRID} SELECT date, datetime, security_id, round(alpha, 6) + 0.0 AS alpha FROM sb")
-add("sanity_report", lambda spark, d: submit.sanity(_submission(spark, d), P.event_panel(spark, d), len(STAMPS)), f"""WITH {RESEARCH}, {_GRID}, o AS (SELECT count(*) AS rows, count(CASE WHEN abs(alpha) > 1 THEN 1 END) AS out_of_bounds, count(*) - count(alpha) AS nulls, count(DISTINCT alpha) <= 1 AS constant FROM sb),
-d AS (SELECT date, count(DISTINCT datetime) AS bars FROM sb GROUP BY 1), x AS (SELECT *, (SELECT count(*) FROM (SELECT 1 FROM sb GROUP BY date, datetime, security_id HAVING count(*) > 1)) AS duplicates, (SELECT min(bars) FROM d) AS min_bars, (SELECT max(bars) FROM d) AS max_bars, (SELECT count(DISTINCT date) FROM p WHERE strftime(date, '%Y-%m-%d') NOT IN (SELECT date FROM d)) AS missing_days FROM o)
-SELECT *, duplicates + out_of_bounds + nulls + missing_days = 0 AND NOT constant AND min_bars = {len(STAMPS)} AND max_bars = {len(STAMPS)} AS ready FROM x""")
-add("data_compliance", q(submit.compliance), f"""WITH {RESEARCH}, o AS (SELECT count(*) AS rows, avg(CAST(alpha IS NULL AS DOUBLE)) AS missing, count(CASE WHEN abs(alpha) > 100 THEN 1 END) AS unbounded, count(DISTINCT alpha) AS distinct_values, max(abs(alpha)) / sum(abs(alpha)) AS largest_share, (SELECT avg(CAST(n > 0 AS DOUBLE)) FROM (SELECT date, count(alpha) AS n FROM r GROUP BY 1)) AS coverage FROM r)
-SELECT rows, unbounded, distinct_values, {round_sql({k: k for k in ('missing', 'largest_share', 'coverage')})}, rows > 0 AND unbounded = 0 AND distinct_values > 1 AND coverage > 0.95 AND missing < 0.5 AND largest_share < 0.1 AS compliant FROM o""")
+add("sanity_report", lambda spark, d: submit.sanity(_submission(spark, d), P.event_panel(spark, d), len(STAMPS), P.universe(signal(spark, d)), STAMPS), f"""WITH {RESEARCH}, {_GRID}, o AS (SELECT count(*) AS rows, count(CASE WHEN abs(alpha) > 1 THEN 1 END) AS out_of_bounds, count(*) - count(alpha) AS nulls, count(DISTINCT alpha) <= 1 AS constant FROM sb),
+d AS (SELECT date, count(DISTINCT datetime) AS bars FROM sb GROUP BY 1), x AS (SELECT *, (SELECT count(*) FROM (SELECT 1 FROM sb GROUP BY date, datetime, security_id HAVING count(*) > 1)) AS duplicates, (SELECT min(bars) FROM d) AS min_bars, (SELECT max(bars) FROM d) AS max_bars, (SELECT count(DISTINCT date) FROM p WHERE strftime(date, '%Y-%m-%d') NOT IN (SELECT date FROM d)) AS missing_days,
+  (SELECT count(*) FROM sb WHERE substr(datetime, 12) NOT IN {tuple(STAMPS)} OR (date, security_id) NOT IN (SELECT (strftime(date, '%Y-%m-%d'), security_id) FROM {_UNIVERSE})) AS outside FROM o)
+SELECT *, duplicates + out_of_bounds + nulls + missing_days + outside = 0 AND NOT constant AND min_bars = {len(STAMPS)} AND max_bars = {len(STAMPS)} AS ready FROM x""")
+add("data_compliance", q(submit.compliance), f"""WITH {RESEARCH}, o AS (SELECT count(*) AS rows, avg(CAST(alpha IS NULL AS DOUBLE)) AS missing, count(CASE WHEN abs(alpha) > 100 THEN 1 END) AS unbounded, count(DISTINCT alpha) AS distinct_values, max(abs(alpha)) / sum(abs(alpha)) AS largest_share, count(CASE WHEN minute(datetime) NOT IN (0, 15, 30, 45) THEN 1 END) AS off_grid, (SELECT avg(CAST(n > 0 AS DOUBLE)) FROM (SELECT date, count(alpha) AS n FROM r GROUP BY 1)) AS coverage FROM r)
+SELECT rows, unbounded, distinct_values, off_grid, {round_sql({k: k for k in ('missing', 'largest_share', 'coverage')})}, rows > 0 AND off_grid = 0 AND unbounded = 0 AND distinct_values > 1 AND coverage > 0.95 AND missing < 0.5 AND largest_share < 0.1 AS compliant FROM o""")
 
 
 # --- many stored submissions at once

@@ -84,20 +84,6 @@ def _stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("daily_onto_stamps", _stamped, f"WITH {RESEARCH}, d AS (SELECT date, security_id, avg(alpha) AS alpha FROM r GROUP BY 1, 2) SELECT date, security_id, datetime, round(coalesce(d.alpha, 0), 6) + 0.0 AS alpha FROM r LEFT JOIN d USING (date, security_id)")
 add("source_timeline", lambda spark, d: read(spark, d, "orders").groupBy("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.max(F.col("o_totalprice").cast("double")).alias("b")).select("o_orderpriority", "month", F.expr("max(b) over (partition by o_orderpriority order by month)").alias("best")), "SELECT o_orderpriority, month, max(b) OVER (PARTITION BY o_orderpriority ORDER BY month) AS best FROM (SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS month, max(CAST(o_totalprice AS DOUBLE)) AS b FROM orders GROUP BY 1, 2)")
-add("model_outputs_joined", lambda spark, d: six(_models(spark, d)), f"WITH {RESEARCH}, {DAYS}, m AS (SELECT date, security_id, pred, pred * pred AS second, -pred AS third FROM dy) SELECT a.date, a.security_id, {round_sql({'blend': '(a.pred + b.second + c.third) / 3'})} FROM m a JOIN m b ON a.date = b.date AND a.security_id = b.security_id AND b.pred > -0.3 JOIN m c ON a.date = c.date AND a.security_id = c.security_id AND c.pred < 0.3")
-
-
-def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three models' predictions, inner-joined by day and entity: only what all have is blended."""
-    from tessella.operators import portfolio as PF
-
-    days = PF.daily_frame(signal(spark, sf_dir)).select("date", "security_id", "pred")
-    second = days.filter("pred > -0.3").select("date", "security_id", (F.col("pred") * F.col("pred")).alias("second"))
-    third = days.filter("pred < 0.3").select("date", "security_id", (-F.col("pred")).alias("third"))
-    joined = days.join(second, ["date", "security_id"]).join(third, ["date", "security_id"])
-    return joined.select("date", "security_id", ((F.col("pred") + F.col("second") + F.col("third")) / 3).alias("blend"))
-
-
 add("deterministic_sample", lambda spark, d: Y.sample(read(spark, d, "customer").select("c_custkey"), "c_custkey", 40), "SELECT c_custkey FROM customer ORDER BY md5('42:' || CAST(c_custkey AS VARCHAR)), c_custkey LIMIT 40")
 add("next_generation", lambda spark, d: read(spark, d, "lineitem").groupBy("l_orderkey").agg((F.coalesce(F.max("l_linenumber"), F.lit(0)) + 1).alias("generation")).groupBy("generation").agg(F.count("*").alias("n")), "SELECT generation, count(*) AS n FROM (SELECT l_orderkey, coalesce(max(l_linenumber), 0) + 1 AS generation FROM lineitem GROUP BY 1) GROUP BY 1")
 
@@ -115,8 +101,7 @@ def _char_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_per_group(sims, "query", [F.col("cosine").desc(), F.col("item")], 3)
 
 
-_T = "regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')"
-add("char_tfidf_topk", _char_tfidf, "WITH t AS (SELECT item_id, " + _T + " AS t FROM benchmark), g AS (" + " UNION ALL ".join(f"SELECT item_id, substring(t, i, {n}) AS g FROM t, unnest(range(1, length(t) - {n - 2})) AS u(i)" for n in (3, 4, 5)) + """), tf AS (SELECT item_id, g, count(*) AS tf FROM g GROUP BY 1, 2), df AS (SELECT g, ln(((SELECT count(DISTINCT item_id) FROM g) + 1.0) / (count(*) + 1.0)) + 1 AS idf FROM tf GROUP BY 1),
+add("char_tfidf_topk", _char_tfidf, "WITH w AS (SELECT item_id, ' ' || unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '')) || ' ' AS t FROM benchmark), g AS (" + " UNION ALL ".join(f"SELECT item_id, substring(t, i, {n}) AS g FROM w, unnest(range(1, length(t) - {n - 2})) AS u(i)" for n in (3, 4, 5)) + """), tf AS (SELECT item_id, g, count(*) AS tf FROM g GROUP BY 1, 2), df AS (SELECT g, ln(((SELECT count(DISTINCT item_id) FROM g) + 1.0) / (count(*) + 1.0)) + 1 AS idf FROM tf GROUP BY 1),
 x AS (SELECT item_id, g, tf * idf AS x FROM tf JOIN df USING (g)), u AS (SELECT item_id, g, x / sqrt(sum(x * x) OVER (PARTITION BY item_id)) AS x FROM x), s AS (SELECT q.item_id AS query, d.item_id AS item, round(sum(q.x * d.x), 6) AS cosine FROM u q JOIN u d USING (g) WHERE q.item_id % 100 = 0 AND q.item_id <> d.item_id GROUP BY 1, 2)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, item) AS place FROM s) WHERE place <= 3""")
 _CALLS = "(SELECT event_type, count(*) AS calls, sum(CAST(length(props) AS BIGINT)) AS n FROM events GROUP BY 1)"

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from tessella.dsl import formula
 from tessella.operators import combine as K
 from tessella.operators import fusion as U
+from tessella.operators import metrics as M
 from tessella.operators import models as D
 from tessella.operators import research as R
 from tessella.plans.catalogue import PARTS, RANK, W, add, round_sql, six
 from tessella.plans.evaluation import corr_sql
+from tessella.plans.relations import OK_SQL
 from tessella.sources import panel as P
 
 SIX = {
@@ -196,3 +198,35 @@ def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ZS = ", ".join(f"({n} - avg({n}) OVER e) / nullif(stddev_samp({n}) OVER e, 0) AS {n}" for n in NAMES)
 add("incremental_correlation", _arriving, f"WITH {SIX_SQL}, zz AS (SELECT date, {_ZS} FROM sx WINDOW e AS (PARTITION BY date)), zp AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {corr_sql(a, b)} AS corr, count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END) AS n FROM zz" for a in NAMES for b in NAMES if a < b) + ") SELECT a, b, round(CASE WHEN n >= 200 THEN corr END, 6) + 0.0 AS corr, n FROM zp")
+
+
+# --- what several models say, where all of them say something
+def _outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ridge, a blend and the plain mean of the ranks of one day's parts, inner-joined; the ridge leaves out the weakest fifth, the blend what it has no weight for."""
+    rows = six_signals(spark, sf_dir)
+    ridge, _ = D.fixed(rows.na.fill(0.0, NAMES), NAMES, _SPLIT, 2.0)
+    ranked = D.normalised(ridge).filter("alpha > -0.3").select("date", "security_id", F.col("alpha").alias("ridge"))
+    late = rows.filter(F.col("day") >= _SPLIT)
+    weights = K.weights("top_ic", _stats(rows.filter(F.col("day") < _FIT)))
+    blend = K.blend(late, weights).filter("combo is not null").select("date", "security_id", F.col("combo").alias("blend"))
+    plain = late.filter(" and ".join(f"{n} is not null" for n in NAMES)).select("date", "security_id", (sum((F.col(n) for n in NAMES), F.lit(0.0)) / len(NAMES)).alias("plain"))
+    keys = ["date", "security_id"]
+    joined = ranked.join(blend, keys).join(plain, keys)
+    return six(joined.withColumn("mean", (F.col("ridge") + F.col("blend") + F.col("plain")) / 3.0))
+
+
+add("model_outputs_joined", _outputs, f"""WITH RECURSIVE {SIX_SQL}, {_ICS}, {_SIX_W['top_ic']}, {_BLEND}, xs AS (SELECT *, {_XS} AS x FROM sx), wt AS (SELECT 1 AS w, 0 AS f, {_SPLIT - 1} AS l), {ridge_sql(6, 'x', 'xs', 'wt', 2.0)},
+pr AS (SELECT date, security_id, {_ALPHA} AS ridge FROM (SELECT *, round(b0 + {_DOT.format(x='x')}, 10) AS q FROM xs, bw WHERE day >= {_SPLIT})),
+bl AS (SELECT date, security_id, ({_TOP}) / nullif({_LOW}, 0) AS blend, ({' + '.join(NAMES)}) / 6 AS plain FROM sx, wv WHERE day >= {_SPLIT})
+SELECT date, security_id, {round_sql({'ridge': 'ridge', 'blend': 'blend', 'plain': 'plain', 'mean': '(ridge + blend + plain) / 3'})} FROM pr JOIN bl USING (date, security_id) WHERE ridge > -0.3 AND blend IS NOT NULL AND plain IS NOT NULL""")
+add("pairwise_corr_guarded", lambda spark, d: six(R.pairwise(six_signals(spark, d).withColumnRenamed("day", "bar_idx"), NAMES)), f"WITH {SIX_SQL}, pb AS (SELECT day, {', '.join(f'CASE WHEN count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END) >= 20 THEN {corr_sql(a, b)} END AS {a}_{b}' for i, a in enumerate(NAMES) for b in NAMES[i + 1:])} FROM sx GROUP BY 1) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(avg({a}_{b}), 6) + 0.0 AS corr, count({a}_{b}) AS bars FROM pb" for i, a in enumerate(NAMES) for b in NAMES[i + 1:]))
+
+
+def _guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The guard of twenty pairs a bar, on months of parts."""
+    panel = P.with_restriction(P.part_panel(spark, sf_dir)).withColumnRenamed("resp", "ahead")
+    return six(M.guarded_ic(formula.evaluate(panel, {"alpha": SIX["size"]}).withColumnRenamed("ahead", "resp")))
+
+
+add("guarded_daily_ic", _guarded, f"""WITH {PARTS}, ga AS (SELECT *, {_PCT('volume', 'bar_idx')} AS alpha, CASE WHEN (security_id * 7 + hour(datetime) * 3 + day(datetime)) % 11 IN (1, 2, 3) THEN (security_id * 7 + hour(datetime) * 3 + day(datetime)) % 11 ELSE 0 END AS trading_restriction FROM p),
+gi AS (SELECT date, bar_idx, count(CASE WHEN ok IS NOT NULL AND resp IS NOT NULL THEN 1 END) AS n, {corr_sql('ok', 'resp')} AS ic FROM (SELECT *, {OK_SQL} AS ok FROM ga) GROUP BY 1, 2) SELECT date, round(avg(ic) * 100, 6) + 0.0 AS ic FROM gi WHERE n >= 20 AND ic IS NOT NULL GROUP BY 1""")

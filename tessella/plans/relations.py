@@ -96,4 +96,14 @@ def _outer_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("signal_outer_blend", _outer_blend, f"WITH {RESEARCH}, a AS (SELECT security_id, bar_idx, alpha AS a FROM r WHERE alpha > 0.1), bb AS (SELECT security_id, bar_idx, volume / 100.0 AS b FROM r WHERE volume > 20) SELECT security_id, bar_idx, round(a, 6) + 0.0 AS a, round(b, 6) + 0.0 AS b, round((coalesce(a, 0) + coalesce(b, 0)) / (CAST(a IS NOT NULL AS INT) + CAST(b IS NOT NULL AS INT)), 6) + 0.0 AS blend FROM a FULL JOIN bb USING (security_id, bar_idx)")
 add("missing_days_anti", lambda spark, d: P.read(spark, d, "orders").select(F.to_date("o_orderdate").alias("date")).distinct().join(P.read(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct(), "date", "left_anti"), "SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE CAST(o_orderdate AS DATE) NOT IN (SELECT CAST(l_shipdate AS DATE) FROM lineitem WHERE l_shipdate IS NOT NULL)")
 add("duplicate_semi", lambda spark, d: P.read(spark, d, "customer").join(P.read(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").groupBy("c_nationkey").agg(F.count("*").alias("n")), "SELECT c_nationkey, count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) GROUP BY 1")
-add("parent_generation", lambda spark, d: P.read(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("generation")).join(P.read(spark, d, "events").select("user_id", "event_type").distinct(), "user_id").groupBy("event_type").agg((F.max("generation") + 1).alias("generation")), "SELECT event_type, max(generation) + 1 AS generation FROM (SELECT DISTINCT user_id, event_type FROM events) e JOIN (SELECT user_id, count(*) AS generation FROM events GROUP BY 1) g USING (user_id) GROUP BY 1")
+
+
+def _generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ideas name their parents in an array; an idea's generation is one more than the latest of those that are known, or 0."""
+    docs = P.read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.array(F.col("doc_id") - 7, F.col("doc_id") - 20)).when(F.col("doc_id") % 3 == 1, F.array(F.col("doc_id") + 1)).alias("parents"), F.floor(F.col("n_chars") / 1000).alias("generation"))
+    born = docs.select("doc_id", F.explode("parents").alias("parent")).join(docs.select(F.col("doc_id").alias("parent"), "generation"), "parent").groupBy("doc_id").agg(F.max("generation").alias("latest"), F.count("*").alias("known"))
+    return docs.select("doc_id").join(born, "doc_id", "left").select("doc_id", F.coalesce(F.col("latest") + 1, F.lit(0)).alias("generation"), F.coalesce("known", F.lit(0)).alias("known"))
+
+
+add("parent_generation", _generations, """WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN [doc_id - 7, doc_id - 20] WHEN 1 THEN [doc_id + 1] END AS parents, n_chars // 1000 AS generation FROM documents),
+b AS (SELECT x.doc_id, max(d.generation) AS latest, count(*) AS known FROM (SELECT doc_id, unnest(parents) AS parent FROM d) x JOIN d ON d.doc_id = x.parent GROUP BY 1) SELECT d.doc_id, coalesce(latest + 1, 0) AS generation, coalesce(known, 0) AS known FROM d LEFT JOIN b USING (doc_id)""")

@@ -119,3 +119,18 @@ def _tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("tolerant_parse", _tolerant, "SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'literal' WHEN 3 THEN 'corrupt' ELSE 'json' END AS how, CASE WHEN event_id % 4 <> 3 THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS k, CASE WHEN event_id % 4 = 1 THEN 'true' END AS flag, CASE WHEN event_id % 4 = 3 THEN substr(props, 1, 4) END AS corrupt FROM events")
+
+
+def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expressions made of the parts' names and sizes, a few of which look ahead."""
+    from tessella.dsl import audit as A
+
+    part = read(spark, sf_dir, "part")
+    size = F.col("p_partkey") % 13 - 3
+    text = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("DELAY(close_trade_px, "), size.cast("string"), F.lit(")"))).when(F.col("p_partkey") % 7 == 0, F.lit("ts_mean(Lead (volume, 1), 3) - resp")).otherwise(F.lit("ts_mean(volume, 5)"))
+    return part.select("p_partkey", A.audit(text).alias("errors"), A.parameters(F.create_map(F.lit("n"), size, F.lit("m"), F.lit(1).cast("long"))).alias("sizes"))
+
+
+add("token_audit", _audit, """WITH t AS (SELECT p_partkey, p_partkey % 13 - 3 AS n, lower(replace(CASE WHEN p_partkey % 5 = 0 THEN 'DELAY(close_trade_px, ' || (p_partkey % 13 - 3) || ')' WHEN p_partkey % 7 = 0 THEN 'ts_mean(Lead (volume, 1), 3) - resp' ELSE 'ts_mean(volume, 5)' END, ' ', '')) AS x FROM part)
+SELECT p_partkey, list_filter([CASE WHEN contains(x, 'resp') THEN 'forbidden: resp' END, CASE WHEN contains(x, 'trading_restriction') THEN 'forbidden: trading_restriction' END, CASE WHEN contains(x, 'lead(') THEN 'forbidden: lead(' END, CASE WHEN contains(x, 'future_') THEN 'forbidden: future_' END, CASE WHEN regexp_matches(x, 'delay\\([^)]*,-\\d+') THEN 'negative delay' END], lambda e: e IS NOT NULL) AS errors,
+CASE WHEN n <= 0 THEN ['not above zero: n'] ELSE [] END AS sizes FROM t""")
