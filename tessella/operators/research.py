@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.scalar import ratio
-from tessella.operators.metrics import correlation, evaluate
+from tessella.operators.metrics import bar_ic, by_month, correlation, daily, evaluate, rolling
 
 
 def distribution(signal: DataFrame, value: str = "alpha") -> DataFrame:
@@ -140,3 +140,38 @@ def factor_stats(daily: DataFrame, factors: list[str], resp: str = "ret") -> Dat
     long = per_day.select(F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f).alias("ic")) for f in factors))).alias("x")).select("x.*")
     out = long.groupBy("factor").agg(F.avg("ic").alias("ic"), F.stddev_samp("ic").alias("std"))
     return out.withColumns({"icir": ratio(F.col("ic"), F.col("std")), "sign": F.signum("ic"), "abs_ic": F.abs("ic")})
+
+
+#: Gates of a card and their labels (fixed values).
+GATES = {"IC predictive power": "ic > 0.6", "IR consistency": "ir > 2.5", "TVR turnover": "tvr < 400", "position concentration": "unconcentrated"}
+
+
+def card(signal: DataFrame, others: list[str], stamps: list[str] | None = None, alpha: str = "alpha", resp: str = "resp") -> DataFrame:
+    """One nested row about a signal: status, metrics, distribution, monthly (month, ic), rolling (date, ic_mean, of 20 days once 5 are there), regimes (regime, ic, days), redundancy (other, corr, size: the
+    mean correlation by bar with each of the columns `others`, the largest first, at most 12) and gate_notes. Each part is an aggregation of the panel; the row is as large as there are days."""
+    metrics_ = evaluate(signal, alpha, stamps=stamps)
+    notes = F.array(*(F.concat(F.lit(f"{label}: "), F.when(F.expr(test), "pass").otherwise("fail")) for label, test in GATES.items()))
+    out = metrics_.select(F.when(F.col("passes"), "PASS").otherwise("REJECTED").alias("status"), F.struct("ic", "ir", "tvr", "score").alias("metrics"), notes.alias("gate_notes"))
+    days = daily(bar_ic(signal, alpha, resp), "ic")
+    month = by_month(days, "ic")
+    parts = {
+        "distribution": distribution(signal, alpha).select(F.struct("mean", "std", "skew", "kurt", "min", "max", "missing", "positive", "inner").alias("v")),
+        "monthly": month.agg(F.array_sort(F.collect_list(F.struct("month", "ic"))).alias("v")), "rolling": rolling(days, "ic", 20, 5).agg(F.array_sort(F.collect_list(F.struct("date", "ic_mean"))).alias("v")),
+        "regimes": regimes(signal, alpha, resp).agg(F.array_sort(F.collect_list(F.struct("regime", "ic", "days"))).alias("v")),
+        "redundancy": neighbours(pairwise(signal, [alpha, *others]).filter((F.col("a") == alpha) | (F.col("b") == alpha))).filter(F.col("signal") == alpha).agg(F.array_sort(F.collect_list(F.struct("place", "other", "corr"))).alias("v")),
+    }
+    for name, part in parts.items():
+        out = out.join(F.broadcast(part.select(F.col("v").alias(name))))  # single rows
+    return out
+
+
+def card_rows(row: DataFrame) -> DataFrame:
+    """A card as rows (section, name, value, note)."""
+    line = lambda section, name, value=None, note=None: F.struct(F.lit(section).alias("section"), name.cast("string").alias("name"), (F.lit(None) if value is None else value).cast("double").alias("value"), (F.lit(None) if note is None else note).cast("string").alias("note"))
+    single = lambda section, fields: F.array(*(line(section, F.lit(f), F.col(f"{section}.{f}")) for f in fields))
+    every = F.concat(
+        F.array(line("status", F.lit("status"), None, F.col("status"))), single("metrics", ("ic", "ir", "tvr", "score")), single("distribution", ("mean", "std", "skew", "kurt", "min", "max", "missing", "positive", "inner")),
+        F.transform("monthly", lambda x: line("monthly", x["month"], x["ic"])), F.transform("rolling", lambda x: line("rolling", x["date"], x["ic_mean"])), F.transform("regimes", lambda x: line("regimes", x["regime"], x["ic"])),
+        F.transform("redundancy", lambda x: line("redundancy", x["other"], x["corr"])), F.transform("gate_notes", lambda x: line("gate_notes", F.split(x, ": ")[0], None, F.split(x, ": ")[1])),
+    )
+    return row.select(F.inline(every))

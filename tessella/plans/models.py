@@ -12,7 +12,7 @@ from tessella.operators import metrics as M
 from tessella.operators import models as D
 from tessella.operators import research as R
 from tessella.plans.catalogue import PARTS, RANK, W, add, round_sql, six
-from tessella.plans.evaluation import corr_sql
+from tessella.plans.evaluation import by_run_sql, corr_sql
 from tessella.plans.relations import OK_SQL
 from tessella.sources import panel as P
 
@@ -230,3 +230,25 @@ def _guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("guarded_daily_ic", _guarded, f"""WITH {PARTS}, ga AS (SELECT *, {_PCT('volume', 'bar_idx')} AS alpha, CASE WHEN (security_id * 7 + hour(datetime) * 3 + day(datetime)) % 11 IN (1, 2, 3) THEN (security_id * 7 + hour(datetime) * 3 + day(datetime)) % 11 ELSE 0 END AS trading_restriction FROM p),
 gi AS (SELECT date, bar_idx, count(CASE WHEN ok IS NOT NULL AND resp IS NOT NULL THEN 1 END) AS n, {corr_sql('ok', 'resp')} AS ic FROM (SELECT *, {OK_SQL} AS ok FROM ga) GROUP BY 1, 2) SELECT date, round(avg(ic) * 100, 6) + 0.0 AS ic FROM gi WHERE n >= 20 AND ic IS NOT NULL GROUP BY 1""")
+
+
+# --- a signal's card, on months of parts: five other signals stand beside it
+def _card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = P.with_restriction(P.part_panel(spark, sf_dir)).withColumnRenamed("resp", "ahead")
+    signals = formula.evaluate(panel, {n: f for n, f in SIX.items() if n != "size"} | {"alpha": SIX["size"]}).withColumnRenamed("ahead", "resp").filter("volume is not null")
+    names = [n for n in NAMES if n != "size"]
+    return six(R.card_rows(R.card(signals.withColumns({n: F.round(n, 12) for n in [*names, "alpha"]}), names)))
+
+
+_CS = ", ".join(f"round({_PCT(f'x_{n}', 'bar_idx')}, 12) AS {'alpha' if n == 'size' else n}" for n in NAMES)
+_REG = f"x AS (SELECT date, bar_idx, {corr_sql('alpha', 'resp')} AS ic, avg(resp) AS market, stddev_samp(resp) AS vol FROM r GROUP BY 1, 2), dg AS (SELECT date, avg(ic) AS ic, round(avg(market), 10) AS market, round(avg(vol), 10) AS vol FROM x GROUP BY 1)"
+_DIST = {"mean": "avg(alpha)", "std": "stddev_samp(alpha)", "skew": "skewness(alpha)", "kurt": "kurtosis(alpha)", "min": "min(alpha)", "max": "max(alpha)", "missing": "avg(CAST(alpha IS NULL AS DOUBLE))", "positive": "avg(CAST(alpha > 0 AS DOUBLE))", "inner": "avg(CAST(abs(alpha) <= 0.5 AS DOUBLE))"}
+add("factor_card", _card, f"""WITH {PARTS}, x0 AS (SELECT *, {', '.join(f'{s} AS x_{n}' for n, s in _RAW.items())}, CASE WHEN (security_id * 7 + hour(datetime) * 3 + day(datetime)) % 11 IN (1, 2, 3) THEN (security_id * 7 + hour(datetime) * 3 + day(datetime)) % 11 ELSE 0 END AS trading_restriction FROM p),
+r AS (SELECT * FROM (SELECT security_id, date, datetime, bar_idx, resp, volume, trading_restriction, 'one' AS run, {_CS} FROM x0) WHERE volume IS NOT NULL), {by_run_sql('r', 'run')}, {_REG},
+me AS (SELECT ic, ir, tvr, unconcentrated, coalesce(ic > 0.6 AND ir > 2.5 AND tvr < 400 AND unconcentrated, false) AS passes FROM si JOIN st USING (run)), ms AS (SELECT *, CASE WHEN passes THEN greatest(ic - 0.0005 * tvr, 0) * sqrt(greatest(ir, 0)) * 100 ELSE 0 END AS score FROM me),
+fl AS (SELECT ic, CASE WHEN market >= 0 THEN 'up' ELSE 'down' END AS regime FROM dg UNION ALL SELECT ic, CASE WHEN vol >= (SELECT quantile_cont(vol, 0.5) FROM dg) THEN 'high_vol' ELSE 'low_vol' END FROM dg UNION ALL SELECT ic, CASE WHEN abs(market) >= (SELECT quantile_cont(abs(market), 0.5) FROM dg) THEN 'trend' ELSE 'chop' END FROM dg),
+pb AS (SELECT bar_idx, {', '.join(f'CASE WHEN count(CASE WHEN alpha IS NOT NULL AND {n} IS NOT NULL THEN 1 END) >= 20 THEN {corr_sql("alpha", n)} END AS {n}' for n in NAMES[1:])} FROM r GROUP BY 1),
+al AS (SELECT 'status' AS section, 'status' AS name, NULL::DOUBLE AS value, CASE WHEN passes THEN 'PASS' ELSE 'REJECTED' END AS note FROM ms {' '.join(f"UNION ALL SELECT 'metrics', '{k}', {k}, NULL FROM ms" for k in ('ic', 'ir', 'tvr', 'score'))} {' '.join(f"UNION ALL SELECT 'distribution', '{k}', {v}, NULL FROM r" for k, v in _DIST.items())}
+UNION ALL SELECT 'monthly', strftime(date, '%Y-%m'), avg(ic), NULL FROM dg GROUP BY 2 UNION ALL SELECT 'rolling', strftime(date, '%Y-%m-%d'), CASE WHEN count(ic) OVER w >= 5 THEN avg(ic) OVER w END, NULL FROM dg WINDOW w AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)
+UNION ALL SELECT 'regimes', regime, avg(ic), NULL FROM fl GROUP BY 2 {' '.join(f"UNION ALL SELECT 'redundancy', '{n}', avg({n}), NULL FROM pb HAVING avg({n}) IS NOT NULL" for n in NAMES[1:])}
+{' '.join(f"UNION ALL SELECT 'gate_notes', '{k}', NULL, CASE WHEN {v} THEN 'pass' ELSE 'fail' END FROM ms" for k, v in R.GATES.items())}) SELECT section, name, round(value, 6) + 0.0 AS value, note FROM al""")
