@@ -4,13 +4,14 @@ A line is a duplicate if an earlier line (by doc_id, then position) is equal to
 on their hash. For the rest, first occurrences of lines meet on hashes of segments, are filtered by counts inside the join, and are
 verified by a banded bit-parallel edit distance.
 
-Lines of WORDS[0] words or more are compared by words. A line is cut into chunks after words of certain endings, which depends on
+Two lines that both have WORDS[0] words or more are compared by words, all others by characters. For words, a line is cut into chunks after words of certain endings, which depends on
 nothing but the word before the cut; an edit of a word changes at most BROKEN chunks. So a line with more than
 BROKEN chunks for each edit keeps one, and in any order of chunks one is among the first BROKEN * edits + 1 of either line: those are
 its segments. Two lines that both have too few chunks for that meet on least hashes of neighbouring runs of RUN words, as they share
 longer runs.
 
-Shorter lines are compared by characters. Up to three edits, each line indexes the edits-plus-one segments of its text and probes
+By characters meet the shorter lines, and with them those lines of WORDS[0] words or more from which so few edits as their length allows can lead below
+WORDS[0]. Up to three edits, each line indexes the edits-plus-one segments of its text and probes
 the substrings of lines up to the tolerance shorter that could match a segment: with so few edits one segment survives, at a place
 that the lengths bound. Keys carry the segment's number and the indexed length. Where the edits follow the length (one for each PER
 characters, in few but long words, or in scripts without spaces), the longest passage that so many edits can't break is of q + w - 1
@@ -42,8 +43,8 @@ PER = 20
 #: (least length of the shorter line, bytes of a gram q, grams of a window w): m characters with m // PER edits have an unbroken
 #: passage of ceil((m - m // PER) / (m // PER + 1)) characters, 15 from 60 on and 18 from 200 on, which is q + w - 1.
 GRAMS = ((60, 9, 7), (200, 11, 8))
-#: (least words of a line, words for each edit): from so many words on, what single spaces part, lines are compared by words: 5 %
-#: of the shorter line's, one at least.
+#: (least words of both lines, words for each edit): if both have so many words, what single spaces part, they are compared by words: 5 %
+#: of the shorter line's, one at least. If either has fewer, by characters.
 WORDS = (13, 20)
 #: A chunk of words ends after a word that ends in one of these (fixed values; any choice is exact, this one cuts every few words).
 CUT = r" (?<=[st.,;:!?] )"
@@ -242,43 +243,44 @@ def _chunk_keys(line: Column, n: Column) -> Column:
 def _met(leaders: DataFrame, tolerance: tuple[tuple[int, int | None], ...]) -> DataFrame:
     """(p, q): hashes h1 of lines that share a key and may be within the tolerance."""
     distance = _count_distance(F.col("a.c"), F.col("b.c"))
-    by_word = leaders.filter("keys is not null").select("h1", F.shiftleft("c", 16).bitwiseOR(F.least("n", F.lit(MOST_WORDS)).cast("long")).alias("cn"), "high", F.explode("keys").alias("key"))
+    by_word = leaders.filter("keys is not null").select("h1", F.shiftleft("low", 16).bitwiseOR(F.least("words", F.lit(MOST_WORDS)).cast("long")).alias("cn"), "high", F.explode("keys").alias("key"))
     words = lambda x: F.col(f"{x}.cn").bitwiseAND(F.lit(MOST_WORDS))
     part = lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
     lacks = lambda x, y: part(F.shiftrightunsigned(f"{x}.cn", 16), F.shiftrightunsigned(f"{y}.cn", 16)) + part(F.col(f"{x}.high"), F.col(f"{y}.high"))  # noqa: E731  chunks of x that y has not
     edits = _word_edits(F.least(words("a"), words("b")))
     close = (F.abs(words("a") - words("b")) <= edits) & (lacks("a", "b") <= BROKEN * edits) & (lacks("b", "a") <= BROKEN * edits)
     pairs = [meet(by_word, (F.col("a.h1") < F.col("b.h1")) & (close | (F.greatest(words("a"), words("b")) == MOST_WORDS)))]
-    short = leaders.filter(F.col("line").isNotNull() & (F.col("n") >= min(t[0] for t in tolerance)))
-    near = distance <= 2 * _edits(F.col("a.n"), tolerance)  # a is the shorter
+    short = leaders.filter(F.col("line").isNotNull() & (F.col("chars") >= min(t[0] for t in tolerance))).withColumns({"n": F.col("chars"), "few": F.col("keys").isNull()})
+    near = (F.col("a.few") | F.col("b.few")) & (distance <= 2 * _edits(F.col("a.n"), tolerance))  # a is the shorter
     once = (F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.h1") < F.col("b.h1"))
-    keys = lambda k: short.select("h1", "c", "n", F.explode(_keys(F.col("line"), F.col("n"), tolerance)[k]).alias("key"))
+    keys = lambda k: short.select("h1", "c", "n", "few", F.explode(_keys(F.col("line"), F.col("n"), tolerance)[k]).alias("key"))
     pairs.append(meet(keys(0), ((F.col("a.n") < F.col("b.n")) | (F.col("a.h1") < F.col("b.h1"))) & near, keys(1)))
     if tolerance[-1][1] is None:
-        grams = short.filter(F.col("n") >= tolerance[-1][0]).select("h1", "c", "n", F.explode(_gram_keys(F.col("line"), F.col("n"))).alias("key"))
+        grams = short.filter(F.col("n") >= tolerance[-1][0]).select("h1", "c", "n", "few", F.explode(_gram_keys(F.col("line"), F.col("n"))).alias("key"))
         pairs.append(meet(grams, once & (F.col("b.n") - F.col("a.n") <= _edits(F.col("a.n"), tolerance)) & near))
     found = reduce(DataFrame.union, [x.select(F.col("a.h1").alias("p"), F.col("b.h1").alias("q")) for x in pairs])
     return found.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
 
 
 def similar_lines(leaders: DataFrame, lines: DataFrame, tolerance: tuple[tuple[int, int | None], ...] = TOLERANCE) -> DataFrame:
-    """leaders(h1, h2, at struct<d, t, no>, n, c, keys, line): the distinct lines, with their words and keys or their characters and
-    text, whichever rule they are under; lines(h1, at, line): all -> (h1, h2, first): lines with an earlier line (a smaller `at`)
+    """leaders(h1, h2, at struct<d, t, no>, words, chars, keys, low, high, c, line): the distinct lines, with keys and chunks' bits if they are compared by words and letters' counts and
+    text if they are compared by characters; lines(h1, at, line): all -> (h1, h2, first): lines with an earlier line (a smaller `at`)
     within the tolerance of the shorter one, and where the earliest such line stands."""
     pairs = written(_met(leaders, tolerance), "line-pairs")
     wanted = pairs.select(F.explode(F.array("p", "q")).alias("h1")).distinct()
-    places = leaders.join(wanted, "h1", "left_semi").select("h1", "h2", "at", "n", F.col("keys").isNotNull().alias("words"))
+    places = leaders.join(wanted, "h1", "left_semi").select("h1", "h2", "at", "chars", "words")
     place = F.xxhash64("h1", "at").alias("place")
     places = written(places.withColumn("place", place), "wanted-places")
     texts = only(lines.select(place, F.col("line")), "place", places).join(places, "place")
-    texts = written(texts.withColumn("codes", F.when(F.col("words"), _codes(F.col("line")))), "wanted-lines")
-    side = lambda new: texts.select(F.col("h1").alias(new), *(F.col(c).alias(f"{new}_{c}") for c in ("h2", "at", "line", "n", "words", "codes")))
-    both = pairs.join(side("p"), "p").join(side("q"), "q").filter("p_words = q_words")
-    shorter, line = F.least("p_n", "q_n"), (F.col("p_line"), F.col("q_line"))
-    allowed = F.when(F.col("p_words"), _word_edits(shorter)).otherwise(_edits(shorter, tolerance))
+    texts = written(texts.withColumn("codes", F.when(F.col("words") >= WORDS[0], _codes(F.col("line")))), "wanted-lines")
+    side = lambda new: texts.select(F.col("h1").alias(new), *(F.col(c).alias(f"{new}_{c}") for c in ("h2", "at", "line", "chars", "words", "codes")))
+    words = F.least("p_words", "q_words")
+    both = pairs.join(side("p"), "p").join(side("q"), "q").withColumn("_by_word", words >= WORDS[0])
+    line = (F.col("p_line"), F.col("q_line"))
+    allowed = F.when(F.col("_by_word"), _word_edits(words)).otherwise(_edits(F.least("p_chars", "q_chars"), tolerance))
     narrow = F.col("_k") <= NARROW
     by_character = F.when(narrow, banded_distance(*line, NARROW)).otherwise(F.expr("nullif(levenshtein(p_line, q_line, _k), -1)"))
-    distance = F.when(F.col("p_words"), _coded_distance("p", "q", F.col("_k"))).otherwise(by_character)
+    distance = F.when(F.col("_by_word"), _coded_distance("p", "q", F.col("_k"))).otherwise(by_character)
     alike = both.withColumn("_k", allowed).withColumn("_d", distance).filter(F.col("_d") <= F.col("_k"))
     later = F.col("p_at") > F.col("q_at")
     found = alike.select(F.when(later, F.col("p")).otherwise(F.col("q")).alias("h1"), F.when(later, F.col("p_h2")).otherwise(F.col("q_h2")).alias("h2"), F.least("p_at", "q_at").alias("first"))
@@ -305,11 +307,12 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     lines = keyed.select("d", "t", F.inline(long_lines)).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct("d", "t", "no").alias("at"), "line")
     counted = F.transform(long_lines, lambda s: F.struct(s["no"].alias("no"), s["line"].alias("line"), _n_words(s["line"]).alias("words")))
     by_word = F.col("words") >= WORDS[0]
+    may_be_fewer = F.col("words") - (WORDS[0] - 1) <= _edits(F.length("line"), tolerance)  # each edit can join two words
     with_keys = keyed.select("d", "t", F.inline(counted)).select(
-        F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct("d", "t", "no").alias("at"), "words", F.when(by_word, _chunk_keys(F.col("line"), F.col("words"))).alias("k"), F.when(~by_word, F.col("line")).alias("line")
+        F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct("d", "t", "no").alias("at"), "words", F.when(by_word, _chunk_keys(F.col("line"), F.col("words"))).alias("k"), F.when(~by_word | may_be_fewer, F.col("line")).alias("line")
     )
     firsts = with_keys.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("words", "k", "line")))
-    leaders = firsts.select("h1", "h2", "times", "at", F.coalesce(F.length("line"), "words").alias("n"), "k.keys", F.coalesce("k.low", _counts(F.col("line"))).alias("c"), "k.high", "line")
+    leaders = firsts.select("h1", "h2", "times", "at", "words", F.length("line").alias("chars"), "k.keys", "k.low", "k.high", _counts(F.col("line")).alias("c"), "line")
     leaders = written(leaders, "first-lines")
     similar = similar_lines(leaders, lines, tolerance)
     known = leaders.filter("times > 1").select("h1", "h2", F.col("at").alias("lead")).join(similar, ["h1", "h2"], "full")

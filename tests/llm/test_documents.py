@@ -260,11 +260,9 @@ def test_banded_distance(spark, most):
 
 
 def alike(x: str, y: str, edits=lambda n: n // 20 if n >= 20 else 0) -> bool:
-    """The rule of two different lines: by words from 13 words on, else by characters."""
+    """The rule of two different lines: by words if both have 13 or more, else by characters."""
     v, w = x.split(" "), y.split(" ")
-    if (len(v) < 13) != (len(w) < 13):
-        return False
-    if len(v) < 13:
+    if min(len(v), len(w)) < 13:
         most = edits(min(len(x), len(y)))
         return abs(len(x) - len(y)) <= most and 0 < most and distance(x, y) <= most
     most = max(1, min(len(v), len(w)) // 20)
@@ -302,6 +300,26 @@ def test_line_dedup(spark):
     assert held_against(got, docs, edits=lambda n: 2 if n >= 40 else 1 if n >= 20 else 0) > 20
 
 
+def test_line_dedup_across_the_rules(spark):
+    """Lines of 9 to 18 words with typing errors, spaces put in and left out, and words left out: those of 13 words meet those of 12."""
+    r = random.Random(12)
+    texts = []
+    for size in range(9, 17):
+        for longest in (6, 12):
+            base = " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(3, longest))) for _ in range(size))
+            for _ in range(7):
+                line = list(base)
+                for _ in range(r.randint(0, 4)):
+                    at = r.randrange(1, len(line) - 1)
+                    line[at : at + r.choice([0, 1, 1])] = r.choice([[" "], [" "], [], ["x"]])
+                texts.append(" ".join("".join(line).split()))
+            texts.append(base.rsplit(" ", 1)[0])
+    docs = list(enumerate(texts))
+    across = sum(alike(x, y) and (len(x.split(" ")) < 13) != (len(y.split(" ")) < 13) for i, x in enumerate(texts) for y in texts[:i])
+    got = {x.doc_id: (x.text, x.n_equal, x.n_similar) for x in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert across > 10 and held_against(got, docs) > 20
+
+
 @pytest.mark.parametrize("kind", ["prose", "few endings", "one word", "long words"])
 def test_line_dedup_by_words(spark, kind, monkeypatch):
     """Lines of 12 to 130 words with up to 8 % of their words changed, put in or left out; keys of four lines and more are dealt out in blocks."""
