@@ -21,12 +21,14 @@ def only(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return df.withColumn("_b", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "_b", "left_semi").drop("_b")
 
 
-def meet(keyed: DataFrame, condition: Column, other: DataFrame | None = None) -> DataFrame:
+def meet(keyed: DataFrame, condition: Column, other: DataFrame | None = None, used: list[DataFrame] | None = None) -> DataFrame:
     """Rows of keyed(key, h1, ...), as a, with rows of other, or of itself, as b, of equal key and what the condition says. Keys of many rows,
-    of which a look at one row in LOOKED_AT tells, are dealt out: a row in its own block meets each block of the other side."""
+    of which a look at one row in LOOKED_AT tells, are dealt out: a row in its own block meets each block of the other side. What was written for this, and can go once the result has been, is added to used."""
     b = keyed if other is None else other
     looked = keyed.filter(F.pmod("h1", F.lit(LOOKED_AT)) == 0).groupBy("key").count().filter(F.col("count") * LOOKED_AT > BLOCK)
     hot = written(looked.select("key", F.ceil(F.col("count") * LOOKED_AT / BLOCK).cast("int").alias("blocks")), "hot-keys")
+    if used is not None:
+        used.append(hot)
     n = hot.count()
     if not n:
         return keyed.alias("a").join(b.alias("b"), (F.col("a.key") == F.col("b.key")) & condition)

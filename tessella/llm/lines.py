@@ -240,8 +240,8 @@ def _chunk_keys(line: Column, n: Column) -> Column:
     return let(F.sort_array(F.array_distinct(ranked)), lambda keys: F.struct(chosen(keys).alias("keys"), low(keys).alias("low"), high(keys).alias("high")))
 
 
-def _met(leaders: DataFrame, tolerance: tuple[tuple[int, int | None], ...]) -> DataFrame:
-    """(p, q): hashes h1 of lines that share a key and may be within the tolerance."""
+def _met(leaders: DataFrame, tolerance: tuple[tuple[int, int | None], ...], used: list[DataFrame]) -> DataFrame:
+    """(p, q): hashes h1 of lines that share a key and may be within the tolerance. Tables that this reads are added to used."""
     distance = _count_distance(F.col("a.c"), F.col("b.c"))
     by_word = leaders.filter("keys is not null").select("h1", F.shiftleft("low", 16).bitwiseOR(F.least("words", F.lit(MOST_WORDS)).cast("long")).alias("cn"), "high", F.explode("keys").alias("key"))
     words = lambda x: F.col(f"{x}.cn").bitwiseAND(F.lit(MOST_WORDS))
@@ -249,15 +249,15 @@ def _met(leaders: DataFrame, tolerance: tuple[tuple[int, int | None], ...]) -> D
     lacks = lambda x, y: part(F.shiftrightunsigned(f"{x}.cn", 16), F.shiftrightunsigned(f"{y}.cn", 16)) + part(F.col(f"{x}.high"), F.col(f"{y}.high"))  # noqa: E731  chunks of x that y has not
     edits = _word_edits(F.least(words("a"), words("b")))
     close = (F.abs(words("a") - words("b")) <= edits) & (lacks("a", "b") <= BROKEN * edits) & (lacks("b", "a") <= BROKEN * edits)
-    pairs = [meet(by_word, (F.col("a.h1") < F.col("b.h1")) & (close | (F.greatest(words("a"), words("b")) == MOST_WORDS)))]
+    pairs = [meet(by_word, (F.col("a.h1") < F.col("b.h1")) & (close | (F.greatest(words("a"), words("b")) == MOST_WORDS)), used=used)]
     short = leaders.filter(F.col("line").isNotNull() & (F.col("chars") >= min(t[0] for t in tolerance))).withColumns({"n": F.col("chars"), "few": F.col("keys").isNull()})
     near = (F.col("a.few") | F.col("b.few")) & (distance <= 2 * _edits(F.col("a.n"), tolerance))  # a is the shorter
     once = (F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.h1") < F.col("b.h1"))
     keys = lambda k: short.select("h1", "c", "n", "few", F.explode(_keys(F.col("line"), F.col("n"), tolerance)[k]).alias("key"))
-    pairs.append(meet(keys(0), ((F.col("a.n") < F.col("b.n")) | (F.col("a.h1") < F.col("b.h1"))) & near, keys(1)))
+    pairs.append(meet(keys(0), ((F.col("a.n") < F.col("b.n")) | (F.col("a.h1") < F.col("b.h1"))) & near, keys(1), used))
     if tolerance[-1][1] is None:
         grams = short.filter(F.col("n") >= tolerance[-1][0]).select("h1", "c", "n", "few", F.explode(_gram_keys(F.col("line"), F.col("n"))).alias("key"))
-        pairs.append(meet(grams, once & (F.col("b.n") - F.col("a.n") <= _edits(F.col("a.n"), tolerance)) & near))
+        pairs.append(meet(grams, once & (F.col("b.n") - F.col("a.n") <= _edits(F.col("a.n"), tolerance)) & near, used=used))
     found = reduce(DataFrame.union, [x.select(F.col("a.h1").alias("p"), F.col("b.h1").alias("q")) for x in pairs])
     return found.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
 
@@ -266,7 +266,9 @@ def similar_lines(leaders: DataFrame, lines: DataFrame, tolerance: tuple[tuple[i
     """leaders(h1, h2, at struct<d, t, no>, words, chars, keys, low, high, c, line): the distinct lines, with keys and chunks' bits if they are compared by words and letters' counts and
     text if they are compared by characters; lines(h1, at, line): all -> (h1, h2, first): lines with an earlier line (a smaller `at`)
     within the tolerance of the shorter one, and where the earliest such line stands."""
-    pairs = written(_met(leaders, tolerance), "line-pairs")
+    hot: list[DataFrame] = []
+    pairs = written(_met(leaders, tolerance, hot), "line-pairs")
+    discard(*hot)
     wanted = pairs.select(F.explode(F.array("p", "q")).alias("h1")).distinct()
     places = leaders.join(wanted, "h1", "left_semi").select("h1", "h2", "at", "chars", "words")
     place = F.xxhash64("h1", "at").alias("place")

@@ -103,7 +103,8 @@ def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", rows_
 
     Ids are cut into ranges at their quantiles, so one shuffle brings neighbours together, whatever the ids' gaps, and the rows next
     to a range's end travel with it. Rows of equal ids follow one another by their text's
-    hash; null ids come last. Ids that repeat much can't be parted by ranges and share a task."""
+    hash; null ids come last. Ids that repeat much can't be parted by ranges and share a task. There are 5000 ranges at the most: beyond
+    5000 * rows_a_bucket rows they grow, and with them the largest task."""
     count = docs.count()
     buckets = max(1, min(5000, count // rows_a_bucket))
     cuts = docs.select(F.percentile_approx(id_col, [k / buckets for k in range(1, buckets)] or [0.5], 20 * buckets).alias("q")).first()["q"]

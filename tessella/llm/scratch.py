@@ -60,6 +60,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes what written() has written, once nothing that is still to run reads it."""
     for t in tables:
-        context = t.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(t._written_to)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        remove(t.sparkSession, t._written_to)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -3,6 +3,10 @@
 The forest sees a candidate's length, character transitions and dictionary coverage, the document's path and the neighbouring
 words. pyspark.ml trains it on labelled findings (at most FINDINGS of them); its trees, a few thousand numbers, then go with the
 scoring function, so a scan is one pass over the texts without a shuffle: scan -> Arrow -> project.
+
+What is no candidate can't be found. Candidates are runs of 16 key-like characters or more; values of 8 characters or more that are assigned to a
+secret's name, of which at most 40 characters may follow before the = or :; words of 8 or more after "bearer"; passwords of at most 200 characters
+in URLs whose login has at most 200; and private key blocks of any length.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.scratch import shared_dir
+from tessella.llm.scratch import remove, shared_dir
 
 #: Labelled findings that the forest is fitted on, at most.
 FINDINGS = 4000
@@ -153,6 +157,7 @@ def _trees(spark: SparkSession, model) -> list[Tree]:
     path = f"{shared_dir(spark).rstrip('/')}/forest-{uuid.uuid4().hex}"
     model.write().save(path)
     nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").collect()  # a few thousand
+    remove(spark, path)
     out: list[Tree] = [[] for _ in range(TREES)]
     for n in nodes:
         leaf = n.leftChild < 0

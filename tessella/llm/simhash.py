@@ -25,8 +25,8 @@ from tessella.llm.components import components
 from tessella.llm.keys import meet, only
 from tessella.llm.scratch import discard, written
 
-#: Fingerprints of a cell beyond which it is dealt out in blocks of about this size.
-BLOCK = 256
+#: Fingerprints of a cell beyond which it is dealt out in blocks of about this size, and times as many beyond which its visitors are, too.
+BLOCK, VISITED = 256, 16
 SEED = 42
 #: Shingles of a sample, samples of a text, and bits in which the SimHashes of texts of similarity 0.8 differ at most (10 +- 3).
 SAMPLE, GROUPS, FAR = 5, 32, 22
@@ -101,17 +101,20 @@ def links(points: DataFrame, most: int = 3, block: int = BLOCK) -> DataFrame:
     if most > 3:
         raise ValueError("the two halves' grids find pairs of up to 3 differing bits")
     cells = _cells(points)
-    hot = cells.filter("home").groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    homes = F.count(F.when(F.col("home"), 1))
+    hot = cells.groupBy("cell").agg(homes.alias("homes"), F.count("*").alias("members")).filter((F.col("homes") > block) | (F.col("homes") > 0) & (F.col("members") > VISITED * block))
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= most
     pair = (F.col("a.cell") == F.col("b.cell")) & near & (~F.col("b.home") | (F.col("a.fp") < F.col("b.fp")))
     cool = cells.join(hot, "cell", "left_anti")
     plain = cool.filter("home").alias("a").join(cool.alias("b"), pair).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    dealt = cells.join(hot, "cell").withColumn("k", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    lefts = dealt.filter("home").select("cell", "fp", F.lit(True).alias("left"), F.col("k").alias("i"), every.alias("j"))
-    rights = dealt.select("cell", "fp", F.lit(False).alias("left"), every.alias("i"), F.col("k").alias("j"))
+    # Homes are dealt out in rows of blocks, members in columns: a block of the product has about `block` of each.
+    rows, columns = (F.ceil(F.col(c) / block).cast("int") for c in ("homes", "members"))
+    dealt = cells.join(hot, "cell")
+    own = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    lefts = dealt.filter("home").select("cell", "fp", F.lit(True).alias("left"), own(rows).alias("i"), every(columns).alias("j"))
+    rights = dealt.select("cell", "fp", F.lit(False).alias("left"), every(rows).alias("i"), own(columns).alias("j"))
     forest = lefts.unionByName(rights).groupBy("cell", "i", "j").applyInPandas(lambda pdf: _forest(pdf, most), "u long, v long")
     return plain.unionByName(forest)
 
@@ -201,8 +204,8 @@ def _shingle_set(text: Column, width: int) -> Column:
     return of(text)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Of pairs(p, q) of classes: (u, v), those whose sets of shingles have the Jaccard similarity. Only texts in pairs are read in full."""
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
+    """Of pairs(p, q) of classes: (u, v), those whose sets of shingles have the Jaccard similarity, and the tables that this reads. Only texts in pairs are read in full."""
     pairs = written(pairs.distinct(), "copy-pairs")
     ends = classes.select("same", F.col("first").alias("doc_id"), "n").join(pairs.select(F.explode(F.array("p", "q")).alias("same")).distinct(), "same")
     wanted = written(ends, "copy-ends")
@@ -210,7 +213,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     sets = written(sets.groupBy("same").agg(F.min(F.when(F.size("set") == F.col("n"), F.col("set"))).alias("set")), "copy-sets")  # an id may repeat
     both = pairs.join(sets.select(F.col("same").alias("p"), F.col("set").alias("x")), "p").join(sets.select(F.col("same").alias("q"), F.col("set").alias("y")), "q")
     common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select(F.col("p").alias("u"), F.col("q").alias("v"))
+    return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select(F.col("p").alias("u"), F.col("q").alias("v")), [pairs, wanted, sets]
 
 
 def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -229,13 +232,18 @@ def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     heads = lambda end: points.select(F.col("fp").alias(end), F.col("head").alias(f"{end}_head"))
     near = links(points.select("fp")).join(heads("u"), "u").join(heads("v"), "v").select(F.col("u_head").alias("p"), F.col("v_head").alias("q"))
     beside = classes.select("fp", "same").join(points, "fp").filter("same <> head").select(F.col("head").alias("p"), F.col("same").alias("q"))
-    first = written(_verified(near.union(beside), classes, docs, width, similarity), "copy-links")
+    alike, read = _verified(near.union(beside), classes, docs, width, similarity)
+    first = written(alike, "copy-links")
+    discard(*read)
     joined = components(first).withColumnRenamed("node", "same")
     keyed = classes.join(joined, "same", "left").select(F.col("same").alias("h1"), "n", "fp", F.coalesce("root", "same").alias("root"), F.explode("keys").alias("key"))
     sizes = (F.col("a.n") >= similarity * F.col("b.n")) & (F.col("b.n") >= similarity * F.col("a.n"))
     bits = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= FAR
-    met = meet(keyed, (F.col("a.h1") < F.col("b.h1")) & (F.col("a.root") != F.col("b.root")) & sizes & bits).select(F.col("a.h1").alias("p"), F.col("b.h1").alias("q"))
-    member = components(first.union(_verified(met, classes, docs, width, similarity))).withColumnRenamed("node", "same")
+    hot: list[DataFrame] = []
+    met = meet(keyed, (F.col("a.h1") < F.col("b.h1")) & (F.col("a.root") != F.col("b.root")) & sizes & bits, used=hot).select(F.col("a.h1").alias("p"), F.col("b.h1").alias("q"))
+    alike, read = _verified(met, classes, docs, width, similarity)
+    member = components(first.union(alike)).withColumnRenamed("node", "same")  # has read them when it returns
+    discard(*hot, *read)
     rooted = classes.select("same", "first").join(member, "same", "left").withColumn("root", F.coalesce("root", "same"))
     named = written(rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("same", "component_id"), "copy-names")
     discard(classes, first)

@@ -141,9 +141,10 @@ def test_simhash(documents, odd, empty):
     assert simhash.keep_first(odd).columns == odd.columns
 
 
-@pytest.mark.parametrize("block", [4, 256])
-def test_links_connect_as_all_pairs_do(spark, block):
-    """Chains and balls around common centres; small blocks deal cells out."""
+@pytest.mark.parametrize(("block", "visited"), [(4, 16), (256, 16), (8, 1), (30, 1)])
+def test_links_connect_as_all_pairs_do(spark, block, visited, monkeypatch):
+    """Chains and balls around common centres; small blocks deal cells out, those of few homes and many visitors too."""
+    monkeypatch.setattr(simhash, "VISITED", visited)
     r = random.Random(block)
     centres = [r.getrandbits(64) for _ in range(6)]
     points = set()
@@ -300,6 +301,22 @@ def test_line_dedup(spark):
     assert held_against(got, docs, edits=lambda n: 2 if n >= 40 else 1 if n >= 20 else 0) > 20
 
 
+def test_no_table_is_left(spark, documents, tmp_path):
+    """But for what the returned frames read."""
+    import os
+
+    from tessella.llm import scratch, secrets
+
+    folder = scratch.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = lines.dedup_lines(documents)
+    kept = simhash.keep_first(documents)
+    secrets.train(spark)
+    names = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before if not os.path.isdir(f"{folder}/{x}") or "-" in x}
+    named = {x for x in names if x in ("hot-keys", "copy-pairs", "copy-ends", "copy-sets", "forest", "line-pairs", "wanted-places", "wanted-lines", "similar-lines", "first-lines", "copy-classes", "copy-links")}
+    assert not named and out.count() == 200 and kept.count() > 100
+
+
 def test_line_dedup_across_the_rules(spark):
     """Lines of 9 to 18 words with typing errors, spaces put in and left out, and words left out: those of 13 words meet those of 12."""
     r = random.Random(12)
