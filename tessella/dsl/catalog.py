@@ -42,8 +42,9 @@ for _name, _build, _aliases in (
     ("ts_ema", ts.ema, ()), ("ts_argmax", ts.argmax, ()), ("ts_argmin", ts.argmin, ()), ("ts_minmax_norm", ts.minmax_norm, ()), ("ts_zscore", ts.zscore, ()), ("ts_rank", ts.rank, ()), ("ts_decay_linear", ts.decay_linear, ("decay_linear",)),
 ):
     register(_name, "ts", _build, 1, _N, aliases=_aliases)
-for _name, _build in (("ts_ewm", ts.ewm), ("ts_mean2", ts.mean_of_two), ("ts_zscore2", ts.zscore_of_two)):
+for _name, _build in (("ts_ewm_at", ts.ewm_at), ("ts_mean2", ts.mean_of_two), ("ts_zscore2", ts.zscore_of_two)):
     register(_name, "ts", _build, 1, _N)
+register("ts_carry", "ts", ts.carry)
 register("lag", "ts", ts.lag, 1, _N, (1,), aliases=("delay",))
 register("delta", "ts", ts.delta, 1, _N, (1,))
 register("ts_pct_change", "ts", ts.pct_change, 1, _N, (1,))
@@ -66,6 +67,7 @@ MACROS: dict[str, tuple[tuple[str, ...], str]] = {
     "cs_scale": (("x",), "cs_share(cs_demean(x))"),
     "cs_neutralize": (("x", "y"), "cs_demean(x) - cs_beta(cs_demean(x), cs_demean(y)) * cs_demean(y)"),
     "mad_winsorize": (("x", "k"), "clamp_to(x, cs_median(x), k * (cs_median(abs(x - cs_median(x))) + 0.00000001))"),
+    "ts_ewm": (("x", "n"), "ts_carry(ts_ewm_at(x, n))"),
     # Derived fields
     "ret_1": ((), "ts_pct_change(close_trade_px, 1)"),
     "range_pct": ((), "div(high_trade_px - low_trade_px, close_trade_px)"),

@@ -18,6 +18,8 @@ from tessella.functions.scalar import ge, gt, le, lt, ratio
 from tessella.functions.scalar import eq as eq_
 from tessella.sources.panel import FIELDS
 
+#: The look-back of what may look back to the first bar.
+ENDLESS = 1 << 40
 #: Fields that hold the future.
 FORBIDDEN = ("resp", "trading_restriction")
 _COMPARE = {ast.Gt: gt, ast.GtE: ge, ast.Lt: lt, ast.LtE: le, ast.Eq: eq_}
@@ -92,7 +94,7 @@ class Report:
     warnings: list[str] = field(default_factory=list)
     fields: set[str] = field(default_factory=set)
     functions: set[str] = field(default_factory=set)
-    look_back: int = 0  # bars before the current one that the value depends on
+    look_back: int = 0  # bars before the current one that the value depends on, ENDLESS if there is no bound
 
     @property
     def valid(self) -> bool:
@@ -161,9 +163,11 @@ def _check(node: ast.expr, out: Report, known: set[str]) -> int:
                     return 0
                 from tessella.operators.ts import ema_reach, ewm_reach
 
-                reach = {"ts_ema": ema_reach, "ts_ewm": ewm_reach}.get(name)
+                reach = {"ts_ema": ema_reach, "ts_ewm_at": ewm_reach}.get(name)
                 back = int(window) if name in ("lag", "delta", "ts_pct_change") else reach(window) if reach else int(window) - 1
-            return back + max(_check(a, out, known) for a in series)
+            if name == "ts_carry":
+                back = ENDLESS
+            return min(ENDLESS, back + max(_check(a, out, known) for a in series))
     out.errors.append(f"not allowed here: {ast.unparse(node)}")
     return 0
 

@@ -166,17 +166,22 @@ def ema(x: Column, span: float) -> Column:
 
 
 def ewm_reach(span: float, tiny: float = 1e-13) -> int:
-    """Twice the bars after which a weight is below `tiny`: so a mean that is carried over a gap of half as many is still whole."""
-    return 2 * max(1, math.ceil(math.log(tiny) / math.log(1.0 - 2.0 / (span + 1.0)))) if span > 1 else 2
+    """Bars after which a weight is below `tiny`."""
+    return max(2, math.ceil(math.log(tiny) / math.log(1.0 - 2.0 / (span + 1.0)))) if span > 1 else 2
 
 
-def ewm(x: Column, span: float) -> Column:
-    """Adjusted exponentially weighted mean: the values' sum over the weights' sum, each weight (1 - alpha) to the bars since, alpha = 2 / (span + 1). Weights
-    are of the values that are there; carried over gaps."""
+def ewm_at(x: Column, span: float) -> Column:
+    """Adjusted exponentially weighted mean where there is a value: the values' sum over the weights' sum, each weight (1 - alpha) to the bars since, alpha = 2 /
+    (span + 1). Weights are of the values that are there."""
     keep = 1.0 - 2.0 / (span + 1.0)
     start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
     fold = lambda s, slot: F.struct((s["n"] * keep + F.coalesce(slot["v"], F.lit(0.0))).alias("n"), (s["d"] * keep + F.when(slot["v"].isNotNull(), 1.0).otherwise(0.0)).alias("d"))
-    return F.aggregate(_slots(x, ewm_reach(span)), start, fold, lambda s: ratio(s["n"], s["d"]))
+    return F.when(x.isNotNull(), F.aggregate(_slots(x, ewm_reach(span)), start, fold, lambda s: ratio(s["n"], s["d"])))
+
+
+def carry(x: Column) -> Column:
+    """The last value that is there, however long ago."""
+    return F.last(x, ignorenulls=True).over(_entity().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def mean_of_two(x: Column, n: int) -> Column:

@@ -16,7 +16,7 @@ from tessella.sources import panel as P
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-BARS = """t AS (SELECT user_id % 20 AS security_id, ts, value + 1 AS price, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0) AS size, date_trunc('hour', ts) AS datetime FROM events),
+BARS = """t AS (SELECT user_id AS security_id, ts, value + 1 AS price, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0) AS size, date_trunc('hour', ts) AS datetime FROM events),
 b AS (SELECT security_id, datetime, arg_min(price, ts) AS open_trade_px, max(price) AS high_trade_px, min(price) AS low_trade_px, arg_max(price, ts) AS close_trade_px,
   CAST(count(*) AS DOUBLE) AS trade_count, sum(size) AS volume, sum(price * size) AS dvolume, CASE WHEN sum(size) > 0 THEN sum(price * size) / sum(size) END AS vwap FROM t GROUP BY 1, 2)"""
 PANEL = f"""{BARS},

@@ -47,7 +47,7 @@ add("position_stats", q(M.positions), f"WITH {RESEARCH}, x AS (SELECT date, bar_
 add("monthly_ic", q(lambda s: M.by_month(M.daily(M.bar_ic(s), "ic"), "ic")), f"WITH {RESEARCH}, {IC} SELECT strftime(date, '%Y-%m') AS month, round(avg(ic), 6) + 0.0 AS ic, round({IR('ic')}, 6) + 0.0 AS ir, count(ic) AS n FROM di GROUP BY 1")
 add("yearly_ic", q(lambda s: M.by_year(M.daily(M.bar_ic(s), "ic"), "ic")), f"WITH {RESEARCH}, {IC} SELECT CAST(year(date) AS INT) AS year, round(avg(ic), 6) + 0.0 AS ic, round({IR('ic')}, 6) + 0.0 AS ir FROM di GROUP BY 1")
 add("rolling_ic", q(lambda s: M.rolling(M.daily(M.bar_ic(s), "ic"), "ic")), f"WITH {RESEARCH}, {IC} SELECT date, round(ic, 6) + 0.0 AS ic, round(CASE WHEN count(ic) OVER w >= 10 THEN avg(ic) OVER w END, 6) + 0.0 AS ic_mean FROM di WINDOW w AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
-add("positive_ratio", q(lambda s: M.daily(M.bar_ic(s), "ic").agg(F.avg((F.col("ic") > 0).cast("double")).alias("positive"))), f"WITH {RESEARCH}, {IC} SELECT round(avg(CAST(ic > 0 AS DOUBLE)), 6) + 0.0 AS positive FROM di")
+add("positive_ratio", q(lambda s: M.daily(M.bar_ic(s), "ic").agg(F.avg((F.round("ic", 12) > 0).cast("double")).alias("positive"))), f"WITH {RESEARCH}, {IC} SELECT round(avg(CAST(round(ic, 12) > 0 AS DOUBLE)), 6) + 0.0 AS positive FROM di")
 
 
 #: Times of day of a submission on the hourly panel.

@@ -22,7 +22,7 @@ def _resample(right: bool):
 
 
 def _resample_sql(stamp: str) -> str:
-    return f"""WITH t AS (SELECT user_id % 20 AS security_id, ts, value + 1 AS price, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0) AS size, {stamp} AS datetime FROM events)
+    return f"""WITH t AS (SELECT user_id AS security_id, ts, value + 1 AS price, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0) AS size, {stamp} AS datetime FROM events)
 SELECT security_id, datetime, {round_sql({'open_trade_px': 'arg_min(price, ts)', 'high_trade_px': 'max(price)', 'low_trade_px': 'min(price)', 'close_trade_px': 'arg_max(price, ts)', 'trade_count': 'CAST(count(*) AS DOUBLE)', 'volume': 'sum(size)', 'dvolume': 'sum(price * size)', 'vwap': 'CASE WHEN sum(size) > 0 THEN sum(price * size) / sum(size) END'})} FROM t GROUP BY 1, 2"""
 
 

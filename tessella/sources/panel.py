@@ -22,8 +22,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_ticks(events: DataFrame, entities: int | None = 20) -> DataFrame:
-    """Events as ticks: price = value + 1, size = the number k of props; entities folds the users into so many."""
+def event_ticks(events: DataFrame, entities: int | None = None) -> DataFrame:
+    """Events as ticks: price = value + 1, size = the number k of props; entities, if given, folds the users into so many."""
     who = F.pmod("user_id", F.lit(entities)) if entities else F.col("user_id")
     size = F.coalesce(F.get_json_object("props", "$.k").cast("double"), F.lit(0.0))
     return events.select(who.cast("long").alias("security_id"), F.col("ts"), "event_id", (clean(F.col("value")) + 1.0).alias("price"), size.alias("size"))
@@ -75,7 +75,7 @@ def densify(panel: DataFrame) -> DataFrame:
     return grid.join(panel.drop("date"), ["security_id", "datetime"], "left").withColumn("date", F.to_date("datetime"))
 
 
-def event_panel(spark: SparkSession, sf_dir: str, entities: int | None = 20) -> DataFrame:
+def event_panel(spark: SparkSession, sf_dir: str, entities: int | None = None) -> DataFrame:
     """The hourly panel of events, dense."""
     ticks = event_ticks(read(spark, sf_dir, "events"), entities)
     return densify(with_mid(bars(ticks, hour_of(F.col("ts")))))
@@ -122,5 +122,5 @@ def universe(panel: DataFrame) -> DataFrame:
     return panel.select("date", "security_id").distinct().withColumn("eq_univ", F.pmod(F.col("security_id") + F.dayofmonth("date"), F.lit(10)) != 0)
 
 
-def research_panel(spark: SparkSession, sf_dir: str, entities: int | None = 20) -> DataFrame:
+def research_panel(spark: SparkSession, sf_dir: str, entities: int | None = None) -> DataFrame:
     return with_restriction(with_label(event_panel(spark, sf_dir, entities)))

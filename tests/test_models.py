@@ -211,8 +211,17 @@ def test_callable(panel):
 
 
 def test_bad_formula(panel):
-    with pytest.raises(formula.FormulaError):
-        S.evaluate(panel, {"x": "ts_mean(nothing, 3)"})
+    for bad in ("ts_mean(nothing, 3)", "ts_ewm(volume, 3)"):  # an unknown field; a value that is carried without end
+        with pytest.raises(formula.FormulaError):
+            S.evaluate(panel, {"x": bad})
+
+
+def test_adjusted_means_are_carried(spark):
+    rows = [(1, b, 4.0 if b == 0 else 1.0 if b == 3 else None) for b in range(200)]
+    df = spark.createDataFrame(rows, "security_id long, bar_idx long, x double")
+    out = [r.y for r in formula.evaluate(df, {"y": "ts_ewm(x, 2)"}).orderBy("bar_idx").collect()]
+    expected = pd.Series([r[2] for r in rows], dtype=float).ewm(span=2).mean()
+    assert np.allclose(out, expected)
 
 
 def test_panel_grows_with_the_table(spark):
