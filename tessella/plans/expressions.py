@@ -75,16 +75,18 @@ SELECT f.security_id, f.bar_idx, CASE WHEN e.y IS NULL THEN f.x WHEN f.x IS NULL
 FROM e JOIN f ON f.security_id = e.security_id AND f.bar_idx = e.bar_idx + 1) SELECT security_id, bar_idx, round(y, 6) + 0.0 AS e FROM e""")
 
 
-def _postprocess(template: str):
+def _postprocess(template: str, given: str | None = None):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        raw = formula.evaluate(P.event_panel(spark, sf_dir), {"alpha": D})
+        raw = formula.evaluate(P.event_panel(spark, sf_dir), {"alpha": given or D})
         return six(postprocess.postprocess(raw, template).select("security_id", "bar_idx", "alpha"))
 
     return query
 
 
 add("postprocess_rank_clip", _postprocess("rank_clip"), f"WITH {PANEL} SELECT security_id, bar_idx, {round_sql({'alpha': f'({cr(d)}) / count({d}) {C} - 0.5'})} FROM p")
-_MAD = f"(SELECT *, {clamp(d, f'm - 5 * (quantile_cont(abs({d} - m), 0.5) {C} + 1e-8)', f'm + 5 * (quantile_cont(abs({d} - m), 0.5) {C} + 1e-8)')} AS x FROM (SELECT *, {qc(d, 0.5)} AS m FROM p))"
+#: A signal that most entities have at most bars: deviations of few values would be noise, which the last step would scale to one.
+_DAY = f"ts_mean({c}, 24)"
+_MAD = f"(SELECT *, {clamp('rw', f'm - 5 * (quantile_cont(abs(rw - m), 0.5) {C} + 1e-8)', f'm + 5 * (quantile_cont(abs(rw - m), 0.5) {C} + 1e-8)')} AS x FROM (SELECT *, {qc('rw', 0.5)} AS m FROM (SELECT *, avg({c}) {W(24)} AS rw FROM p)))"
 
 
 def _adjusted(given: str, span: int) -> str:
@@ -94,9 +96,9 @@ def _adjusted(given: str, span: int) -> str:
 SELECT f.security_id, f.bar_idx, e.n * {keep} + coalesce(f.y, 0), e.d * {keep} + CASE WHEN f.y IS NULL THEN 0 ELSE 1 END FROM ad e JOIN yy f ON f.security_id = e.security_id AND f.bar_idx = e.bar_idx + 1), aw AS (SELECT security_id, bar_idx, n / nullif(d, 0) AS y FROM ad)"""
 
 
-add("postprocess_aggressive", _postprocess("aggressive_high_ic"), f"""WITH RECURSIVE {PANEL}, {_adjusted(f"SELECT security_id, bar_idx, (x - avg(x) {C}) / (stddev_pop(x) {C} + 1e-8) AS y FROM {_MAD}", 2)}
+add("postprocess_aggressive", _postprocess("aggressive_high_ic", _DAY), f"""WITH RECURSIVE {PANEL}, {_adjusted(f"SELECT security_id, bar_idx, (x - avg(x) {C}) / (stddev_pop(x) {C} + 1e-8) AS y FROM {_MAD}", 2)}
 SELECT security_id, bar_idx, {round_sql({'alpha': clamp('w', '-0.05', '0.05')})} FROM (SELECT *, y / nullif(sum(abs(y)) {C}, 0) AS w FROM aw)""")
-add("postprocess_stable", _postprocess("stable_low_turnover"), f"""WITH RECURSIVE {PANEL}, {_adjusted(f"SELECT security_id, bar_idx, u - avg(u) {C} AS y FROM (SELECT *, {unit('x')} AS u FROM {_MAD})", 4)}
+add("postprocess_stable", _postprocess("stable_low_turnover", _DAY), f"""WITH RECURSIVE {PANEL}, {_adjusted(f"SELECT security_id, bar_idx, u - avg(u) {C} AS y FROM (SELECT *, {unit('x')} AS u FROM {_MAD})", 4)}
 SELECT security_id, bar_idx, {round_sql({'alpha': clamp('w', '-0.01', '0.01')})} FROM (SELECT *, y / nullif(sum(abs(y)) {C}, 0) AS w FROM aw)""")
 formulas("shadow_smoothers", {"m": (f"ts_mean2({c}, 4)", f"CASE WHEN count({c}) {W(4)} >= 2 THEN avg({c}) {W(4)} END"), "z": (f"ts_zscore2({c}, 4)", f"({c} - CASE WHEN count({c}) {W(4)} >= 2 THEN avg({c}) {W(4)} END) / (CASE WHEN count({c}) {W(4)} >= 2 THEN stddev_samp({c}) {W(4)} END + 1e-8)")})
 add("ts_ewm", lambda spark, sf_dir: six(formula.evaluate(P.event_panel(spark, sf_dir), {"e": f"ts_ewm({c}, 5)"}).select("security_id", "bar_idx", "e")), f"WITH RECURSIVE {PANEL}, {_adjusted(f'SELECT security_id, bar_idx, {c} AS y FROM p', 5)} SELECT security_id, bar_idx, round(y, 6) + 0.0 AS e FROM aw")
