@@ -8,6 +8,7 @@ it in repeated word windows). Everything happens within the row, so the plan is
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,16 +19,35 @@ WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[^#*$%&|<>]"
 #: Line endings that close a sentence, closing quotes and brackets included.
 CLOSED = r"[.!?:;…。！？][\"'»”’)\]]*\s*$"
-#: Menus and trails: items parted by bars, arrows or bullets.
-NAVIGATION = r"(?i)(\S\s*[|»›>•·]\s*\S.*[|»›>•·])|^\s*(home|menu|login|log in|sign in|sign up|next|previous|back to top|skip to content|share|tweet)\s*$"
-#: Phrases of notices and footers.
-BOILERPLATE = r"(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|accept (all )?cookies|enable javascript|copyright (©|\(c\))|subscribe to our newsletter|click here to)"
+#: Menus and trails: items parted by bars, arrows or bullets, or one item alone (fixed values, in the corpus's languages).
+BARS = "|»›>•·"
+TRAIL = rf"\S\s*[{BARS}]\s*\S.*[{BARS}]"
+MENU = (
+    r"(?i)^\s*(home|menu|login|log in|sign in|sign up|next|previous|back to top|skip to content|share|tweet"
+    r"|startseite|men[üÜ]|anmelden|registrieren|weiter|zur[üÜ]ck|teilen"
+    r"|accueil|connexion|s'inscrire|suivant|pr[éÉ]c[éÉ]dent|partager"
+    r"|inicio|men[úÚ]|iniciar sesi[óÓ]n|registrarse|siguiente|anterior|compartir)\s*$"
+)
+#: The longest item of MENU has fewer characters.
+MENU_CHARS = 20
+#: Phrases of notices and footers (fixed values, in the corpus's languages).
+BOILERPLATE = (
+    r"(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|accept (all )?cookies|enable javascript|copyright (©|\(c\))|subscribe to our newsletter|click here to"
+    r"|alle rechte vorbehalten|datenschutz(erkl[äÄ]rung|bestimmungen)|nutzungsbedingungen|cookies (akzeptieren|zulassen)|newsletter abonnieren"
+    r"|tous droits r[éÉ]serv[éÉ]s|politique de confidentialit[éÉ]|conditions (g[éÉ]n[éÉ]rales )?d'utilisation|accepter (tous )?les cookies"
+    r"|todos los derechos reservados|pol[íÍ]tica de (privacidad|cookies)|t[éÉ]rminos (de uso|y condiciones)|aceptar (todas )?(las )?cookies)"
+)
+#: Each phrase has one of these, in lower case: a line without them needs no look for phrases.
+BOILERPLATE_HINTS = ("rights res", "terms of", "privacy pol", "cookie", "javascript", "copyright", "newsletter", "click here", "rechte vorb", "datenschutz", "nutzungsb", "droits r", "confidentialit", "d'utilisation", "derechos res", "tica de ", "rminos ")
+#: What rules take for white space at the ends of a line.
+SPACES = " \t\n\x0b\f\r"
 #: A word that ends in a run of symbols.
 NOISE = r"[#*$%&!|<>~^=_]{2,}(\s|$)"
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, WORD_GAP), lambda w: w != "")
+    bare = F.btrim(text, F.lit(SPACES))
+    return F.when(bare != "", F.split(bare, WORD_GAP)).otherwise(F.array().cast("array<string>"))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -38,9 +58,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def repeated_words(words: Column, window: int = 5) -> Column:
     """How many words lie in word windows that the text has twice or more.
 
-    Equal windows are found by sorting (hash, position) pairs, and only in texts whose distinct hashes are fewer than their
-    windows; the covered words then follow from the gaps between the sorted positions."""
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - window + 1), lambda i: F.xxhash64(F.slice(words, i, window)))
+    Words are hashed once, windows from their words' hashes. Equal windows are found by sorting (hash, position) pairs, and only in texts whose
+    distinct hashes are fewer than their windows; the covered words then follow from the gaps between the sorted positions."""
+    windows = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - window), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(window))))
+    hashes = let(F.transform(words, lambda w: F.xxhash64(w)), windows)
 
     def positions(p: Column) -> Column:
         def twin(x: Column, k: Column) -> Column:
@@ -67,11 +88,15 @@ def failing_line(line: Column, min_words: int = 3) -> Column:
     headings and stay."""
     gaps = F.regexp_count(line, F.lit(WORD_GAP))
     noisy = F.when(line.rlike(NOISE), F.regexp_count(line, F.lit(NOISE)) * 2 > gaps + 1).otherwise(False)
+    some = lambda found: reduce(lambda a, b: a | b, found)
+    boilerplate = let(F.lower(line), lambda low: some(low.contains(hint) for hint in BOILERPLATE_HINTS)) & line.rlike(BOILERPLATE)
+    navigation = some(line.contains(bar) for bar in BARS) & line.rlike(TRAIL) | (F.length(F.btrim(line, F.lit(SPACES))) < MENU_CHARS) & line.rlike(MENU)
+    closed = F.substring(line, -1, 1).isin(*".!?") | line.rlike(CLOSED)
     return (
-        F.when(line.rlike(BOILERPLATE), "boilerplate")
+        F.when(boilerplate, "boilerplate")
         .when(noisy, "noise")
-        .when(line.rlike(NAVIGATION), "navigation")
-        .when(~line.rlike(CLOSED) & (gaps + 1 >= min_words), "punctuation")
+        .when(navigation, "navigation")
+        .when(~closed & (gaps + 1 >= min_words), "punctuation")
     )
 
 
@@ -95,10 +120,11 @@ def judge(docs: DataFrame, text_col: str = "text", min_words: int = 10, most_rep
     out = docs.select(row.alias("row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
     words = lambda: words_of(F.col("t"))
     with_words = F.filter(F.split("t", "\n"), lambda line: line.rlike(WORD))
-    out = out.select("*", let(words(), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"))).alias("w"))
+    counts = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words"))
+    out = out.select("*", let(words(), counts).alias("w"))
     out = out.select("row", "t", "w.*", ((F.col("w.n_words") < min_words) | (F.col("w.n_repeat_words") > most_repeated * F.col("w.n_words"))).alias("base_failed"))
     out = out.select(
-        "*", chars(F.col("t")).alias("word_chars"), F.regexp_count("t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        "*", F.regexp_count("t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         let(with_words, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), F.when(F.col("base_failed"), F.col("t")).otherwise(clean_lines(F.col("t"))).alias("clean_text"),
     )
     out = out.withColumn("lost_chars", F.col("word_chars") - F.when(F.col("clean_text") == F.col("t"), F.col("word_chars")).otherwise(chars(F.col("clean_text"))))

@@ -124,7 +124,7 @@ def _quality_sql() -> str:
     gap, word = text(q.WORD_GAP), text(q.WORD)
     gaps = f"len(regexp_extract_all(l, {gap})) + 1"
     fails = (
-        f"regexp_matches(l, {text(q.BOILERPLATE)}) OR len(regexp_extract_all(l, {text(q.NOISE)})) * 2 > {gaps} OR regexp_matches(l, {text(q.NAVIGATION)}) "
+        f"regexp_matches(l, {text(q.BOILERPLATE)}) OR len(regexp_extract_all(l, {text(q.NOISE)})) * 2 > {gaps} OR regexp_matches(l, {text(q.TRAIL)}) OR regexp_matches(l, {text(q.MENU)}) "
         f"OR (NOT regexp_matches(l, {text(q.CLOSED)}) AND {gaps} >= 3)"
     )
     chars = lambda x: f"length(regexp_replace({x}, {gap}, '', 'g'))"

@@ -44,6 +44,31 @@ def test_line_rules(spark):
     assert {r.x: r.r for r in out} == rule
 
 
+def test_line_rules_in_each_language(spark):
+    phrases = [
+        "Tous droits réservés à l'éditeur.", "TOUS DROITS RÉSERVÉS à l'éditeur.", "Voir notre politique de confidentialité.", "Alle Rechte vorbehalten, auch die der Übersetzung.", "Es gilt die Datenschutzerklärung.",
+        "Todos los derechos reservados por ley.", "Lea la POLÍTICA DE PRIVACIDAD antes.", "Acepte los términos de uso, por favor.", "See the Terms of Use first.", "COPYRIGHT (C) by the owner.",
+    ]
+    menus = ["Startseite", "  Zurück ", "ZURÜCK", "Accueil\r", "Précédent", "Iniciar sesión", " " * 40 + "Skip to content"]
+    prose = ["La politique a changé depuis hier.", "Der Weg führte weiter und zurück.", "El término medio es mejor.", "Die Rechte der Kinder sind wichtig.", "They served tea and cookies to all.", "Zurück zur Natur"]
+    cases = {**dict.fromkeys(phrases, "boilerplate"), **dict.fromkeys(menus, "navigation"), **dict.fromkeys(prose[:-1], None), prose[-1]: "punctuation"}
+    out = spark.createDataFrame([(x,) for x in cases], "x string").select("x", quality.failing_line(F.col("x")).alias("r")).collect()
+    assert {r.x: r.r for r in out} == cases
+
+
+def test_every_phrase_has_its_hint():
+    """The hints are a filter before the pattern: no alternative may be without one."""
+    plain = re.sub(r"\[(.)[^\]]*\]", r"\1", quality.BOILERPLATE.removeprefix("(?i)(").removesuffix(")")).replace("\\", "")
+    depth, parts = 0, [""]
+    for ch in plain:
+        depth += (ch == "(") - (ch == ")")
+        if ch == "|" and depth == 0:
+            parts.append("")
+        else:
+            parts[-1] += ch
+    assert len(parts) > 15 and all(any(hint in part for hint in quality.BOILERPLATE_HINTS) for part in (p.replace("(use|service)", "use") for p in parts))
+
+
 def test_quality_keeps_good_labels(spark, documents):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     out = quality.judge(documents).join(labels, "doc_id").filter("not base_failed").select("kept", "quality").collect()
