@@ -134,6 +134,24 @@ def recency(days: DataFrame) -> DataFrame:
     return days.select("date").distinct().withColumn("weight", 0.75 + 0.5 * F.percent_rank().over(Window.orderBy("date")))
 
 
+def training_weights(days: DataFrame, target: str) -> DataFrame:
+    """days with train_weight: the day's recency (1 if there is one day only) times one and a quarter of the target's size up to three; a null target adds nothing."""
+    recent = recency(days).withColumn("_several", F.count("*").over(Window.partitionBy()) > 1)
+    size = 1.0 + 0.25 * F.least(F.coalesce(F.abs(target), F.lit(0.0)), F.lit(3.0))
+    joined = days.join(recent.withColumnRenamed("weight", "_recency"), "date")
+    return joined.withColumn("train_weight", size * F.when(F.col("_several"), F.col("_recency")).otherwise(1.0)).drop("_several", "_recency")
+
+
+def input_correlations(rows: DataFrame, pred: str, names: list[str], scores: DataFrame, least: int = 200) -> DataFrame:
+    """(factor, corr, abs_corr, pairs, score, place): the pooled correlation of a prediction with each input that has `least` pairs at least, placed by its size, then
+    score, then name, the greatest first. scores has (factor, score), a row each. One pass over rows for all inputs; what follows has a row an input."""
+    pairs = lambda n: F.count(F.when(F.col(pred).isNotNull() & F.col(n).isNotNull(), 1))
+    one = rows.agg(*(F.struct(F.lit(n).alias("factor"), correlation(pred, n).alias("corr"), pairs(n).alias("pairs")).alias(n) for n in names))
+    found = one.select(F.inline(F.array(*names))).filter((F.col("pairs") >= least) & F.col("corr").isNotNull()).join(scores, "factor", "left")
+    order = [F.desc("abs_corr"), F.desc_nulls_last("score"), F.desc("factor")]
+    return found.withColumn("abs_corr", F.round(F.abs("corr"), 10)).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
 def lag_features(df: DataFrame, names: list[str], lags: int = 1, day: str = "date") -> DataFrame:
     """name__lag{k}, name__diff1 and name__mom2 over the entity's own days, missing as 0."""
     w = Window.partitionBy("security_id").orderBy(day)

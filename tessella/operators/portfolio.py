@@ -80,3 +80,29 @@ def spread(days: DataFrame, q: float = 0.2) -> DataFrame:
     """Per day: mean return of the top and bottom baskets, and their difference."""
     top, low = F.avg(F.when(F.col("side") == 1, F.col("ret"))), F.avg(F.when(F.col("side") == -1, F.col("ret")))
     return baskets(days, q).groupBy("date").agg(F.avg("pred").alias("pred"), F.avg("ret").alias("ret"), top.alias("top"), low.alias("bottom"), (top - low).alias("spread"))
+
+
+def comparison(days: DataFrame, q: float = 0.2, least: int = 20) -> DataFrame:
+    """Per day of (date, security_id, pred, ret): the means of both, their spreads between the top and bottom q of the predictions, IC and rank IC
+    (0 where undefined), the profit of a book of one long and one short, and mean and spread of the predictions brought to the returns' mean and deviation over all days.
+
+    Days of fewer than `least` entities are 0 throughout. One shuffle by day; what follows has a row a day."""
+    ranked = baskets(days, q).withColumns({"_p": cs.average_rank(F.col("pred"), "date"), "_r": cs.average_rank(F.col("ret"), "date")})
+    side = lambda k, c: F.avg(F.when(F.col("side") == k, F.col(c)))
+    gap = lambda c: side(1, c) - side(-1, c)
+    book = F.sum(F.col("side") / F.col("_size") * F.col("ret"))
+    made = {
+        "mean_prediction": F.avg("pred"), "mean_return": F.avg("ret"), "predicted_spread": gap("pred"), "realized_spread": gap("ret"), "ic": correlation("pred", "ret"),
+        "rank_ic": correlation("_p", "_r"), "pnl": book,
+    }
+    by_day = ranked.groupBy("date").agg(F.count("*").alias("_n"), *(v.alias(c) for c, v in made.items()))
+    by_day = by_day.select("date", *(F.when(F.col("_n") >= least, F.coalesce(c, F.lit(0.0))).otherwise(0.0).alias(c) for c in made))
+    return by_day.withColumns({"mean_prediction_aligned": _aligned("mean_prediction", "mean_return"), "predicted_spread_aligned": _aligned("predicted_spread", "realized_spread")})
+
+
+def _aligned(source: str, target: str) -> Column:
+    """source with the mean and sample deviation of target over all rows, which are few; target's mean where source is constant."""
+    w = Window.partitionBy()
+    sd = F.stddev_samp(source).over(w)
+    scaled = (F.col(source) - F.avg(source).over(w)) * F.coalesce(F.stddev_samp(target).over(w), F.lit(0.0)) / sd
+    return F.when(sd > 0, scaled).otherwise(0.0) + F.avg(target).over(w)

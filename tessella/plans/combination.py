@@ -74,6 +74,10 @@ for _s in _W:
 add("lag_tensor", lambda spark, d: six(K.lag_tensor(daily(spark, d), ["rev", "vol"], 3).select("date", "security_id", *(F.col("tensor")[k][j].alias(f"t{k}_{n}") for k in range(3) for j, n in enumerate(("rev", "vol"))))), f"WITH {_DAY} SELECT date, security_id, {round_sql({f't{k}_{n}': f'coalesce(lag({n}, {2 - k}) OVER w, 0)' for k in range(3) for n in ('rev', 'vol')})} FROM dd WINDOW w AS (PARTITION BY security_id ORDER BY date)")
 add("target_standardize", lambda spark, d: six(daily(spark, d).withColumn("target", K.standard_target(F.col("ret"))).select("date", "security_id", "target")), f"WITH {_DAY} SELECT date, security_id, round(coalesce(greatest(least((ret - avg(ret) OVER w) / nullif(stddev_samp(ret) OVER w, 0), 5), -5), 0), 6) + 0.0 AS target FROM dd WINDOW w AS (PARTITION BY date)")
 add("recency_weights", lambda spark, d: six(K.recency(daily(spark, d))), f"WITH {_DAY} SELECT date, round(0.75 + 0.5 * percent_rank() OVER (ORDER BY date), 6) + 0.0 AS weight FROM (SELECT DISTINCT date FROM dd)")
+_TARGET = "coalesce(greatest(least((ret - avg(ret) OVER w) / nullif(stddev_samp(ret) OVER w, 0), 5), -5), 0)"
+add("training_weights", lambda spark, d: six(K.training_weights(daily(spark, d).withColumn("target", K.standard_target(F.col("ret"))), "target").select("date", "security_id", "train_weight")), f"""WITH {_DAY}, tg AS (SELECT date, security_id, {_TARGET} AS y FROM dd WINDOW w AS (PARTITION BY date)),
+rc AS (SELECT date, 0.75 + 0.5 * percent_rank() OVER (ORDER BY date) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM dd))
+SELECT date, security_id, round((1 + 0.25 * least(abs(y), 3)) * CASE WHEN n > 1 THEN r ELSE 1 END, 6) + 0.0 AS train_weight FROM tg JOIN rc USING (date)""")
 add("lag_features", lambda spark, d: six(K.lag_features(daily(spark, d).select("date", "security_id", "rev"), ["rev"], 2)), f"WITH {_DAY} SELECT date, security_id, {round_sql({'rev': 'rev', 'rev__lag1': 'coalesce(lag(rev, 1) OVER w, 0)', 'rev__lag2': 'coalesce(lag(rev, 2) OVER w, 0)', 'rev__diff1': 'coalesce(rev - lag(rev, 1) OVER w, 0)', 'rev__mom2': 'coalesce(rev - lag(rev, 2) OVER w, 0)'})} FROM dd WINDOW w AS (PARTITION BY security_id ORDER BY date)")
 add("combo_turnover", lambda spark, d: six(_combo_turnover(daily(spark, d))), f"WITH {_DAY}, x AS (SELECT date, rev, abs(rev - lag(rev) OVER (PARTITION BY security_id ORDER BY date)) AS ch FROM dd) SELECT date, round(coalesce(sum(ch), 0) / nullif(sum(abs(rev)), 0) * 100, 6) + 0.0 AS tvr FROM x GROUP BY 1")
 
@@ -90,6 +94,20 @@ def _combo_turnover(days: DataFrame) -> DataFrame:
 add("model_input_correlation", lambda spark, d: six(daily(spark, d).agg(*(correlation(n, "ret").alias(n) for n in NAMES))), f"WITH {_DAY} SELECT {round_sql({n: corr_sql(n, 'ret') for n in NAMES})} FROM dd")
 
 
+def _ranked_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the blend by IC over its deviation goes with each of its inputs."""
+    days = daily(spark, sf_dir)
+    stats = _stats(days)
+    scores = spark.createDataFrame([(n, s["abs_ic"]) for n, s in stats.items()], "factor string, score double")
+    return six(K.input_correlations(K.blend(days, K.weights("icir", stats, None)), "combo", NAMES, scores))
+
+
+_BLEND = " + ".join(f"coalesce({n}, 0) * (SELECT w FROM wn WHERE factor = '{n}')" for n in NAMES), " + ".join(f"CASE WHEN {n} IS NOT NULL THEN abs((SELECT w FROM wn WHERE factor = '{n}')) ELSE 0 END" for n in NAMES)
+add("model_inputs_ranked", _ranked_inputs, f"""WITH {_DAY}, {_STATS}, w0 AS (SELECT factor, {_W['icir']} AS w FROM st), wn AS (SELECT factor, w / (SELECT sum(abs(w)) FROM w0) AS w FROM w0), cb AS (SELECT *, ({_BLEND[0]}) / nullif({_BLEND[1]}, 0) AS combo FROM dd),
+pc AS ({" UNION ALL ".join(f"SELECT '{n}' AS factor, {corr_sql('combo', n)} AS corr, count(CASE WHEN combo IS NOT NULL AND {n} IS NOT NULL THEN 1 END) AS pairs FROM cb" for n in NAMES)})
+SELECT factor, {round_sql({'corr': 'corr', 'abs_corr': 'abs(corr)', 'score': 'abs(ic)'})}, pairs, CAST(row_number() OVER (ORDER BY round(abs(corr), 10) DESC, abs(ic) DESC, factor DESC) AS INT) AS place FROM pc JOIN st USING (factor) WHERE pairs >= 200 AND corr IS NOT NULL""")
+
+
 def _oos(model: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         feats = [f"{n}{s}" for n in NAMES for s in ("", "__lag1", "__diff1")]

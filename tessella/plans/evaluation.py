@@ -90,6 +90,15 @@ add("rank_weight_backtest", q(lambda s: PF.summary(PF.pnl(PF.rank_weighted(days(
 _CUTS = {"train": "2024-01-12", "validation": "2024-01-20"}
 add("split_metrics", q(lambda s: PF.split_metrics(days(s), _CUTS)), f"""WITH {RESEARCH}, {DAYS}, rk AS (SELECT *, {RANK.format(x='pred', k='date')} AS rp, {RANK.format(x='ret', k='date')} AS rr FROM dy), pd AS (SELECT date, {corr_sql('pred', 'ret')} AS ic, {corr_sql('rp', 'rr')} AS rank_ic, sum((pred - ret) ** 2) AS se, count(*) AS n FROM rk GROUP BY 1)
 SELECT CASE WHEN date <= DATE '2024-01-12' THEN 'train' WHEN date <= DATE '2024-01-20' THEN 'validation' ELSE 'test' END AS split, {round_sql({'ic': 'avg(ic)', 'rank_ic': 'avg(rank_ic)', 'mse': 'sum(se) / sum(n)'})} FROM pd GROUP BY 1""")
+_GAP = lambda c: f"avg(CASE WHEN side = 1 THEN {c} END) - avg(CASE WHEN side = -1 THEN {c} END)"
+_COMPARED = {
+    "mean_prediction": "avg(pred)", "mean_return": "avg(ret)", "predicted_spread": _GAP("pred"), "realized_spread": _GAP("ret"), "ic": corr_sql("pred", "ret"), "rank_ic": corr_sql("pr", "rr"),
+    "pnl": "sum(side * 1.0 / size * ret)",
+}
+_ALIGN = lambda x, y: f"CASE WHEN stddev_samp({x}) OVER () > 0 THEN ({x} - avg({x}) OVER ()) * coalesce(stddev_samp({y}) OVER (), 0) / stddev_samp({x}) OVER () ELSE 0 END + avg({y}) OVER ()"
+add("prediction_comparison", q(lambda s: PF.comparison(days(s))), f"""WITH {RESEARCH}, {DAYS}, {BASK}, rk AS (SELECT *, {RANK.format(x="pred", k="date")} AS pr, {RANK.format(x="ret", k="date")} AS rr FROM sd),
+dc AS (SELECT date, {', '.join(f'CASE WHEN count(*) >= 20 THEN coalesce({v}, 0) ELSE 0 END AS {c}' for c, v in _COMPARED.items())} FROM rk GROUP BY 1)
+SELECT date, {round_sql({c: c for c in _COMPARED} | {'mean_prediction_aligned': _ALIGN('mean_prediction', 'mean_return'), 'predicted_spread_aligned': _ALIGN('predicted_spread', 'realized_spread')})} FROM dc""")
 add("quintile_spread_curve", q(lambda s: PF.spread(days(s))), f"WITH {RESEARCH}, {DAYS}, {BASK} SELECT date, {round_sql({'pred': 'avg(pred)', 'ret': 'avg(ret)', 'top': 'avg(CASE WHEN side = 1 THEN ret END)', 'bottom': 'avg(CASE WHEN side = -1 THEN ret END)', 'spread': 'avg(CASE WHEN side = 1 THEN ret END) - avg(CASE WHEN side = -1 THEN ret END)'})} FROM sd GROUP BY 1")
 
 _Q = {"mean": "avg(alpha)", "std": "stddev_samp(alpha)", "skew": "skewness(alpha)", "kurt": "kurtosis(alpha)", "min": "min(alpha)", "max": "max(alpha)"} | {f"p{round(x * 100)}": f"quantile_cont(alpha, {x})" for x in (0.01, 0.05, 0.5, 0.95, 0.99)}

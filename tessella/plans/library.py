@@ -29,6 +29,10 @@ _O = "SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice
 add("paged_sorted_list", lambda spark, d: L.page(_orders(spark, d), _by(), 2, 25), f"{_O} ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50")
 add("best_per_family_topk", lambda spark, d: L.diversified(_orders(spark, d), "o_orderpriority", _by(), 20), f"SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) = 1 AS f FROM ({_O})) ORDER BY f DESC, o_totalprice DESC, o_orderkey LIMIT 20")
 add("balanced_source_topk", lambda spark, d: L.best_per_group(_orders(spark, d), "o_orderpriority", _by(), 5), f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS place FROM ({_O})) WHERE place <= 5")
+_SOURCES = ["1-URGENT", "3-MEDIUM", "9-NONE"]
+add("balanced_fill_topk", lambda spark, d: L.balanced(_orders(spark, d), "o_orderpriority", _by(), 20, _SOURCES), f"""WITH g AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS p, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS r FROM ({_O})),
+c AS (SELECT *, CASE WHEN p <= 7 AND o_orderpriority = '1-URGENT' THEN 1 WHEN p <= 7 AND o_orderpriority = '3-MEDIUM' THEN 2 ELSE 3 END AS s FROM g)
+SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, CAST(row_number() OVER (ORDER BY s, r) AS INT) AS place FROM c QUALIFY place <= 20""")
 _month = lambda: F.date_format("o_orderdate", "yyyy-MM")
 _price = lambda spark, d: read(spark, d, "orders").withColumn("p", F.col("o_totalprice").cast("double"))
 _RUN = "SELECT step, CAST(sum(n) OVER (ORDER BY step) AS BIGINT) AS tested, max(b) OVER (ORDER BY step) AS best FROM (SELECT strftime(o_orderdate, '%Y-%m') AS step, count(*) AS n, max(CAST(o_totalprice AS DOUBLE)) AS b FROM orders GROUP BY 1)"
