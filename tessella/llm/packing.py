@@ -9,6 +9,7 @@ nothing is shuffled. Only the last sequence is shorter than the window.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,22 +24,35 @@ from tessella.llm.scratch import written
 
 #: Bytes of ids that a task holds before it hands them on.
 HELD = 16 << 20
-_PIECE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
+#: The printable characters by which byte-level models spell bytes: printable Latin-1 ones for themselves, all others from 256 on.
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_OTHERS = [b for b in range(256) if b not in _OWN]
+SPELT = {b: 256 + k for k, b in enumerate(_OTHERS)}
+#: A word and the ASCII marks after it, which every pre-tokenizer of this kind takes together.
+_PIECE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 
 class WordIds:
     """Encodes texts with a tokenizer that drops white space and lower-cases: each chunk between spaces stands for itself, and a
-    word and the stops after it are separate pieces. The ids are little-endian unsigned 32-bit bytes."""
+    word and the marks after it are separate pieces. The ids are little-endian unsigned 32-bit bytes. A word of lower-case letters goes to the
+    tokenizer's model at once, as its normalizer and pre-tokenizer leave it as it is but for the spelling of its bytes."""
 
     def __init__(self, path: str):
         tokenizer = load_tokenizer(path)
         self._whole = lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        self.pieces = Memory(self._whole)
+        self._tokens = tokenizer.model.tokenize
+        self.pieces = Memory(self._letters)
+        self.stops = Memory(self._whole)
         self.chunks = Memory(self._chunk, 4 * REMEMBERED)
 
+    def _letters(self, word: str) -> bytes:
+        spelt = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(SPELT)
+        ids = [t.id for t in self._tokens(spelt)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _chunk(self, chunk: str) -> bytes:
         if m := _PIECE.fullmatch(chunk):
-            return self.pieces[m[1].lower()] + (self.pieces[m[2]] if m[2] else b"")
+            return self.pieces[m[1].lower()] + (self.stops[m[2]] if m[2] else b"")
         return self._whole(chunk) if chunk else b""
 
     def __call__(self, text: str) -> bytes:
