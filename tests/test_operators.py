@@ -121,3 +121,9 @@ def test_low_correlation_set():
     pairs = [("a", "b", 0.9), ("a", "c", 0.9), ("b", "c", 0.1), ("a", "d", None)]
     assert research.low_correlation_set(pairs, {"a": 9.0, "b": 2.0, "c": 1.0}) == ["b", "c"]
     assert math.isclose(sum(len(x) for x in research.low_correlation_set([], {"q": 1.0})), 1)
+
+
+def test_exponential_mean_is_carried_over_any_gap(spark):
+    rows = [(1, b, 4.0 if b == 0 else 7.0 if b in (300, 301) else None) for b in range(400)]
+    df = spark.createDataFrame(rows, "security_id long, bar_idx long, x double")
+    assert run(df, "ts_ema(x, 5)")[100:] == [4.0] * 200 + [pytest.approx(7.0)] * 100
