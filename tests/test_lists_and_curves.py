@@ -101,3 +101,8 @@ def test_inputs_are_ranked_and_thin_ones_go(spark):
     out = combine.input_correlations(frame, "pred", ["a", "b", "c", "thin", "flat"], scores).orderBy("place").collect()
     assert [x.factor for x in out] == ["b", "a", "c"] and out[0].corr == pytest.approx(-1.0) and out[2].score is None
     assert math.isclose(out[2].corr, statistics.correlation([x[0] for x in rows], [x[3] for x in rows]), abs_tol=1e-9)
+
+
+def test_comparison_of_a_day_with_one_entity(spark):
+    days = spark.createDataFrame([("2024-01-01", 1, 0.5, 0.1), ("2024-01-02", 1, 0.1, 0.2), ("2024-01-02", 2, 0.3, 0.4)], "date string, security_id long, pred double, ret double")
+    assert [(r.date, r.pnl) for r in portfolio.comparison(days, least=1).orderBy("date").collect()] == [("2024-01-01", 0.0), ("2024-01-02", pytest.approx(0.2))]
