@@ -226,3 +226,18 @@ def test_adjusted_means_are_carried(spark):
 
 def test_panel_grows_with_the_table(spark):
     assert P.part_panel(spark, SF).select("security_id").distinct().count() == 200
+
+
+def test_callable_gets_many_spans_in_one_call(panel):
+    def factor(rows: pd.DataFrame) -> pd.Series:
+        return rows.groupby("group", sort=False)["volume"].rolling(3, min_periods=1).sum()
+
+    whole = formula.evaluate(panel, {"y": "ts_sum(volume, 3)"}).orderBy("security_id", "bar_idx").toPandas().y
+    out = S.callable_factor(panel.coalesce(1), factor, 2, ["volume"], bars=4, many=True).coalesce(1).orderBy("security_id", "bar_idx").toPandas().alpha
+    assert np.allclose(out.to_numpy(dtype=float), whole.to_numpy(dtype=float), equal_nan=True)
+
+
+def test_wide_features_stay_in_their_task(spark, days):
+    rows = D.model_frame(days.withColumn("n_days", F.lit(40)), NAMES)
+    pred, _ = D.attention_stack(rows, NAMES, 30, 5, [D.Attention(heads=3)])
+    assert "attention__" not in pred._jdf.queryExecution().optimizedPlan().toString()
