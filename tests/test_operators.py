@@ -127,3 +127,13 @@ def test_exponential_mean_is_carried_over_any_gap(spark):
     rows = [(1, b, 4.0 if b == 0 else 7.0 if b in (300, 301) else None) for b in range(400)]
     df = spark.createDataFrame(rows, "security_id long, bar_idx long, x double")
     assert run(df, "ts_ema(x, 5)")[100:] == [4.0] * 200 + [pytest.approx(7.0)] * 100
+
+
+def test_search_ranks_only_values(spark):
+    from tessella.operators import candidates
+
+    rows = [(i, b, float(i * b % 5), None if b % 2 else float(i), None, float(i)) for i in range(4) for b in range(4)]
+    df = spark.createDataFrame(rows, "security_id long, bar_idx long, volume double, vwap double, dvolume double, resp double").withColumn("date", F.lit("2024-01-01").cast("date"))
+    out = candidates.search(df, {"a__1": "vwap", "b__1": "dvolume"})
+    assert {(r.candidate, r.sign): (r.ic, r.days) for r in out.collect()} == {("a__1", 1): (pytest.approx(1.0), 1), ("a__1", -1): (pytest.approx(-1.0), 1), ("b__1", 1): (None, 0), ("b__1", -1): (None, 0)}
+    assert "isnotnull(x" in out._jdf.queryExecution().optimizedPlan().toString()
