@@ -7,8 +7,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.operators import cs
 from tessella.dsl import formula
-from tessella.operators import metrics, research
+from tessella.operators import cs, metrics, research
 
 
 @pytest.fixture(scope="module")
@@ -137,3 +138,17 @@ def test_search_ranks_only_values(spark):
     out = candidates.search(df, {"a__1": "vwap", "b__1": "dvolume"})
     assert {(r.candidate, r.sign): (r.ic, r.days) for r in out.collect()} == {("a__1", 1): (pytest.approx(1.0), 1), ("a__1", -1): (pytest.approx(-1.0), 1), ("b__1", 1): (None, 0), ("b__1", -1): (None, 0)}
     assert "isnotnull(x" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranks_by_ranges_of_values(spark):
+    """Bars cut into ranges, with ties, nulls, zeros of both signs and values without end, have the ranks of whole bars; no window is over a bar."""
+    odd = [None, 0.0, -0.0, float("inf"), float("-inf"), float("nan"), 5e-324, -5e-324, 1e308]
+    rows = [(b, i, odd[i] if i < len(odd) else 7.0 if i % 3 == 0 else ((i * 37 + (b or 0)) % 101 - 50) / 7, None if i % 4 else float(i % 5)) for b in (1, 2, None) for i in range(240)]
+    df = spark.createDataFrame(rows, "bar_idx long, security_id long, x double, y double")
+    given = {"a": (cs.pct_rank_centred, F.col("x")), "b": (cs.rank, F.col("y") * 2), "c": (cs.average_rank, F.col("x") - F.col("y"))}
+    whole = df.withColumns({n: how(x) for n, (how, x) in given.items()})
+    parts = cs.ranked(df, given, most=16, task=100)
+    assert parts.columns == whole.columns
+    assert sorted(map(repr, parts.collect())) == sorted(map(repr, whole.collect()))
+    plan = parts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 3 and plan.count("_dealt") >= 3
