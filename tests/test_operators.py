@@ -152,3 +152,18 @@ def test_ranks_by_ranges_of_values(spark):
     assert sorted(map(repr, parts.collect())) == sorted(map(repr, whole.collect()))
     plan = parts._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 3 and plan.count("_dealt") >= 3
+
+
+def test_a_large_grid_is_dealt_out(spark, tmp_path, monkeypatch):
+    """Few entities of many bars are not one task's: tasks follow the grid's rows."""
+    from tessella.sources import panel as P
+
+    path = str(tmp_path / "bars.parquet")
+    spark.range(40).selectExpr("id as security_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(id % 20 as int)) as datetime", "cast(id as double) as volume").write.parquet(path)
+    bars = spark.read.parquet(path).withColumn("date", F.to_date("datetime"))
+    whole = sorted(map(repr, P.densify(bars).collect()))
+    monkeypatch.setattr(P, "SMALL", 10)
+    monkeypatch.setattr(P, "TASK", 100)
+    dealt = P.densify(bars)
+    assert dealt.rdd.getNumPartitions() == 8
+    assert sorted(map(repr, dealt.collect())) == whole and len(whole) == 800
