@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,17 +76,53 @@ x AS (SELECT item_id, w, tf * idf AS x FROM tf JOIN df USING (w)), u AS (SELECT
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, item) AS place FROM s) WHERE place <= 3""")
 
 
-def _vectors(spark: SparkSession, sf_dir: str, block: int = 20_000) -> DataFrame:
-    """For a stated set of query vectors (ids divisible by 100), the five most alike by cosine: the queries, 1 % of the rows, meet
-    the rows in blocks of about `block`, each block keeps its best, and the best of those remain. Vectors are normalised once."""
-    e = read(spark, sf_dir, "embeddings").select("vec_id", X.unit(F.col("embedding")).alias("v"))
-    n = max(8, -(-read(spark, sf_dir, "embeddings").count() // block))
-    q = e.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query"), F.col("v").alias("u"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
-    blocks = e.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
-    sims = q.join(blocks, "block").filter("query <> vec_id").select("query", "block", "vec_id", F.round(X.dot(F.col("u"), F.col("v")), 6).alias("cosine"))
-    order = [F.col("cosine").desc(), F.col("vec_id")]
-    local = sims.withColumn("qb", F.struct("query", "block"))
-    return best_per_group(best_per_group(local, "qb", order, 5).drop("place", "qb"), "query", order, 5).select("query", "vec_id", "cosine", "place")
+def nearest(queries: pd.DataFrame, rows: pd.DataFrame, k: int = 5, at_once: int = 64) -> list[tuple[int, int, float | None]]:
+    """(query, vec_id, cosine): of each query(query, u) the k rows(vec_id, v) of another id and the largest dot product to six places, the smaller id first of equals. NaN is
+    the largest; a vector that is missing or of another length has a cosine of NULL, which comes last."""
+    rows = rows.sort_values("vec_id", kind="stable")
+    ids, size = rows["vec_id"].to_numpy(np.int64), lambda vectors: np.array([-1 if v is None else len(v) for v in vectors], np.int64)
+    long, asked = size(rows["v"]), size(queries["u"])
+    out: list[tuple[int, int, float | None]] = []
+    for n in np.unique(asked):
+        whose = queries[asked == n]
+        same = (long == n) & (n >= 0)
+        near, far = ids[same], ids[~same]
+        vectors = np.array(rows["v"].to_numpy()[same].tolist(), np.float64).reshape(len(near), max(n, 0)).T
+        for begin in range(0, len(whose), at_once):
+            part = whose.iloc[begin : begin + at_once]
+            likes = np.array(part["u"].tolist(), np.float64) @ vectors if len(near) else np.empty((len(part), 0))
+            likes[np.isnan(likes)] = np.inf
+            for query, row in zip(part["query"], likes, strict=True):
+                row[near == query] = -np.inf
+                kth = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                found = np.flatnonzero((row >= kth - 2e-6) & (row > -np.inf))  # what may round to the same
+                cosine = np.sign(row[found]) * np.floor(np.abs(row[found]) * 1e6 + 0.5) / 1e6 + 0.0
+                best = np.lexsort((found, -cosine))[:k]
+                out += [(int(query), int(near[found[i]]), math.nan if cosine[i] == np.inf else float(cosine[i])) for i in best]
+                out += [(int(query), int(i), None) for i in far[far != query][: k - len(best)]]
+    return out
+
+
+def _vectors(spark: SparkSession, sf_dir: str, block: int = 20_000, asked: int = 2_000) -> DataFrame:
+    """For a stated set of query vectors (ids divisible by 100), the five most alike by cosine: the queries, 1 % of the rows, in blocks of about `asked`, meet
+    the rows in blocks of about `block`, each pair of blocks keeps its best by a product of matrices, and the best of those remain. Vectors are normalised once."""
+    import pyarrow as pa
+
+    e = read(spark, sf_dir, "embeddings").select("vec_id", X.unit(F.col("embedding")).alias("v")).filter("vec_id is not null")
+    count = read(spark, sf_dir, "embeddings").count()
+    n, m = max(8, -(-count // block)), max(1, -(-count // (100 * asked)))
+    own = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    q = e.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query"), F.col("v").alias("u"), own(m).alias("asked"), every(n).alias("block"))
+    blocks = e.select("vec_id", "v", own(n).alias("block"), every(m).alias("asked"))
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = nearest(a.to_pandas(), b.to_pandas())
+        return pa.table([pa.array([r[c] for r in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query", "vec_id", "cosine"])  # NaN is no NULL
+
+    pairs = q.repartition(n * m, "block", "asked").groupBy("block", "asked").cogroup(blocks.repartition(n * m, "block", "asked").groupBy("block", "asked"))
+    local = pairs.applyInArrow(best, "query long, vec_id long, cosine double")
+    return best_per_group(local, "query", [F.col("cosine").desc(), F.col("vec_id")], 5).select("query", "vec_id", "cosine", "place")
 
 
 _DOT = lambda a, b: f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: CAST({a}[i] AS DOUBLE) * {b}[i]))"

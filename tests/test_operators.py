@@ -167,3 +167,20 @@ def test_a_large_grid_is_dealt_out(spark, tmp_path, monkeypatch):
     dealt = P.densify(bars)
     assert dealt.rdd.getNumPartitions() == 8
     assert sorted(map(repr, dealt.collect())) == whole and len(whole) == 800
+
+
+def test_nearest_vectors_as_by_plain_products(spark, tmp_path):
+    """vector_topk with copies, missing, short, NULL and NaN components has the rows of plain products, over several blocks of queries and rows."""
+    from tessella.functions import text as X
+    from tessella.plans import texts
+
+    odd = {3: None, 5: [1.0, 2.0], 200: None, 300: [1.0], 7: [1.0, None, 2.0], 8: [0.0, 0.0, 0.0], 9: [float("nan"), 1.0, 1.0]}
+    rows = [(i, odd.get(i, [float(i % 7) - 3.0, float(i % 5), 1.0 + i % 3]), i % 2) for i in range(601)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    e = spark.read.parquet(str(tmp_path / "embeddings.parquet")).select("vec_id", X.unit(F.col("embedding")).alias("v"))
+    met = e.filter("vec_id % 100 = 0").selectExpr("vec_id as query", "v as u").join(e, F.col("query") != F.col("vec_id")).select("query", "vec_id", F.round(X.dot(F.col("u"), F.col("v")), 6).alias("cosine"))
+    met.createOrReplaceTempView("met")
+    want = spark.sql("select * from (select *, row_number() over (partition by query order by cosine desc, vec_id) as place from met) where place <= 5")
+    got = texts._vectors(spark, str(tmp_path), block=50, asked=2)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # pairs don't become rows
