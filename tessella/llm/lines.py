@@ -17,7 +17,7 @@ that the lengths bound. Keys carry the segment's number and the indexed length.
 characters, in few but long words, or in scripts without spaces), the longest passage that so many edits can't break is of q + w - 1
 characters or more, and both lines have the least hash of w neighbouring q-grams of that passage: they meet on such least hashes.
 
-Pairs that share a key must agree in their chunks, of which each has a bit, or, up to two counts an edit, in how often some letters
+Pairs that share a key must agree, up to two bits or counts an edit, in the parity of their words, each of which flips one of 128 bits, or in how often some letters
 occur - checked inside the join, so that lines with a common passage aren't paired. A key of many lines is dealt out in pairs of blocks.
 
 A line's text is shuffled only to verify a pair; everything else travels as hashes. Where few rows of a table are
@@ -54,8 +54,6 @@ BROKEN, RUN = 2, 6
 #: 40 on 13; so they share RUN + window - 1.
 RUN_WINDOWS = ((20, 4), (40, 8))
 _RANKS = 1023
-#: Bits of a line's chunks, in the long that also holds its words, up to MOST_WORDS, and in another.
-_BITS, MOST_WORDS = (48, 64), (1 << 16) - 1
 #: Lines shorter than this are not taken for duplicates unless min_chars says so, as the query and the pipeline do with 1.
 MIN_CHARS = 20
 #: Letters whose counts bound the edits from below, and bits of each count.
@@ -225,7 +223,7 @@ def _n_words(line: Column) -> Column:
 
 def _chunk_keys(line: Column, n: Column) -> Column:
     """The keys of a line of n words: of its different chunks the first, in the order of their lengths, the longest first, as these
-    are in few lines; all, and least hashes of its runs of words, if they are few. With them, a bit for each chunk by its hash."""
+    are in few lines; all, and least hashes of its runs of words, if they are few."""
     enough = _word_edits(n) * BROKEN + 1
     rank = lambda c: (_RANKS - F.least(F.octet_length(c), F.lit(_RANKS))).cast("long")
     ranked = F.transform(F.split(line, CUT), lambda c: F.shiftleft(rank(c), 53).bitwiseOR(F.shiftrightunsigned(F.xxhash64(c), 11)))
@@ -233,23 +231,24 @@ def _chunk_keys(line: Column, n: Column) -> Column:
     window = reduce(lambda rule, w: F.when(n >= w[0], w[1]).otherwise(rule), RUN_WINDOWS, F.lit(1))
     least = lambda found: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(found) - (window - 1)), lambda i: F.array_min(F.slice(found, i, window))))
     chosen = lambda keys: F.when(F.size(keys) >= enough, F.slice(keys, F.lit(1), enough)).otherwise(F.concat(keys, let(let(F.split(line, " "), hashes), least)))
-    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at)
-    place = lambda k: F.pmod(k, F.lit(sum(_BITS))).cast("int")
-    low = lambda keys: F.aggregate(keys, F.lit(0).cast("long"), lambda s, k: F.when(place(k) < _BITS[0], s.bitwiseOR(bit(place(k)))).otherwise(s))
-    high = lambda keys: F.aggregate(keys, F.lit(0).cast("long"), lambda s, k: F.when(place(k) >= _BITS[0], s.bitwiseOR(bit(place(k) - _BITS[0]))).otherwise(s))
-    return let(F.sort_array(F.array_distinct(ranked)), lambda keys: F.struct(chosen(keys).alias("keys"), low(keys).alias("low"), high(keys).alias("high")))
+    return let(F.sort_array(F.array_distinct(ranked)), chosen)
+
+
+def _parities(line: Column) -> Column:
+    """Struct of two longs of which each word of a line flips a bit. An edit replaces a word, so two bits, or puts one in or leaves it out, so one."""
+    flip = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h)  # noqa: E731  the shift takes its lowest bits
+    half = lambda hashes, own: F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: F.when(own(h), s.bitwiseXOR(flip(h))).otherwise(s))
+    return let(F.transform(F.split(line, " "), lambda w: F.hash(w)), lambda hashes: F.struct(half(hashes, lambda h: h >= 0).alias("low"), half(hashes, lambda h: h < 0).alias("high")))
 
 
 def _met(leaders: DataFrame, tolerance: tuple[tuple[int, int | None], ...], used: list[DataFrame]) -> DataFrame:
     """(p, q): hashes h1 of lines that share a key and may be within the tolerance. Tables that this reads are added to used."""
     distance = _count_distance(F.col("a.c"), F.col("b.c"))
-    by_word = leaders.filter("keys is not null").select("h1", F.shiftleft("low", 16).bitwiseOR(F.least("words", F.lit(MOST_WORDS)).cast("long")).alias("cn"), "high", F.explode("keys").alias("key"))
-    words = lambda x: F.col(f"{x}.cn").bitwiseAND(F.lit(MOST_WORDS))
-    part = lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
-    lacks = lambda x, y: part(F.shiftrightunsigned(f"{x}.cn", 16), F.shiftrightunsigned(f"{y}.cn", 16)) + part(F.col(f"{x}.high"), F.col(f"{y}.high"))  # noqa: E731  chunks of x that y has not
-    edits = _word_edits(F.least(words("a"), words("b")))
-    close = (F.abs(words("a") - words("b")) <= edits) & (lacks("a", "b") <= BROKEN * edits) & (lacks("b", "a") <= BROKEN * edits)
-    pairs = [meet(by_word, (F.col("a.h1") < F.col("b.h1")) & (close | (F.greatest(words("a"), words("b")) == MOST_WORDS)), used=used)]
+    by_word = leaders.filter("keys is not null").select("h1", "words", "low", "high", F.explode("keys").alias("key"))
+    flipped = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in ("low", "high")])
+    longer = F.abs(F.col("a.words") - F.col("b.words"))  # so many edits flip one bit only
+    close = longer + F.greatest(flipped, longer) <= 2 * _word_edits(F.least("a.words", "b.words"))
+    pairs = [meet(by_word, (F.col("a.h1") < F.col("b.h1")) & close, used=used)]
     short = leaders.filter(F.col("line").isNotNull() & (F.col("chars") >= min(t[0] for t in tolerance))).withColumns({"n": F.col("chars"), "few": F.col("keys").isNull()})
     near = (F.col("a.few") | F.col("b.few")) & (distance <= 2 * _edits(F.col("a.n"), tolerance))  # a is the shorter
     once = (F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.h1") < F.col("b.h1"))
@@ -263,7 +262,7 @@ def _met(leaders: DataFrame, tolerance: tuple[tuple[int, int | None], ...], used
 
 
 def similar_lines(leaders: DataFrame, lines: DataFrame, tolerance: tuple[tuple[int, int | None], ...] = TOLERANCE) -> DataFrame:
-    """leaders(h1, h2, at struct<d, t, no>, words, chars, keys, low, high, c, line): the distinct lines, with keys and chunks' bits if they are compared by words and letters' counts and
+    """leaders(h1, h2, at struct<d, t, no>, words, chars, keys, low, high, c, line): the distinct lines, with keys and words' parities if they are compared by words and letters' counts and
     text if they are compared by characters; lines(h1, at, line): all -> (h1, h2, first): lines with an earlier line (a smaller `at`)
     within the tolerance of the shorter one, and where the earliest such line stands."""
     hot: list[DataFrame] = []
@@ -311,10 +310,10 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     by_word = F.col("words") >= WORDS[0]
     may_be_fewer = F.col("words") - (WORDS[0] - 1) <= _edits(F.length("line"), tolerance)  # each edit can join two words
     with_keys = keyed.select("d", "t", F.inline(counted)).select(
-        F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct("d", "t", "no").alias("at"), "words", F.when(by_word, _chunk_keys(F.col("line"), F.col("words"))).alias("k"), F.when(~by_word | may_be_fewer, F.col("line")).alias("line")
+        F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct("d", "t", "no").alias("at"), "words", F.when(by_word, _chunk_keys(F.col("line"), F.col("words"))).alias("keys"), F.when(by_word, _parities(F.col("line"))).alias("k"), F.when(~by_word | may_be_fewer, F.col("line")).alias("line")
     )
-    firsts = with_keys.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("words", "k", "line")))
-    leaders = firsts.select("h1", "h2", "times", "at", "words", F.length("line").alias("chars"), "k.keys", "k.low", "k.high", _counts(F.col("line")).alias("c"), "line")
+    firsts = with_keys.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("words", "keys", "k", "line")))
+    leaders = firsts.select("h1", "h2", "times", "at", "words", F.length("line").alias("chars"), "keys", "k.low", "k.high", _counts(F.col("line")).alias("c"), "line")
     leaders = written(leaders, "first-lines")
     similar = similar_lines(leaders, lines, tolerance)
     known = leaders.filter("times > 1").select("h1", "h2", F.col("at").alias("lead")).join(similar, ["h1", "h2"], "full")

@@ -415,3 +415,21 @@ def test_short_lines_of_the_query_and_the_pipeline(spark, tmp_path):
     out = {r.doc_id: (r.n_equal, r.n_chars_left) for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()}
     assert out == {1: (0, 11), 2: (1, 5), 3: (1, 0)}
     assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {1: "Head.\n\nOne.", 2: "\nTwo."}
+
+
+def test_lines_beyond_the_tolerance_do_not_meet(spark, monkeypatch):
+    """Lines of 100 words, each with four words of a common text replaced: eight edits lie between most, beyond the five allowed, so they must not be paired one and all."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 7)))
+    base, texts, met = [word() for _ in range(100)], [], []
+    for _ in range(40):
+        words = list(base)
+        for at in r.sample(range(100), 4):
+            words[at] = word()
+        texts.append(" ".join(words))
+    own = lines.written
+    monkeypatch.setattr(lines, "written", lambda df, name: met.append(own(df, name)) or met[-1].persist().count() and met[-1] if name == "line-pairs" else own(df, name))
+    docs = list(enumerate(texts))
+    got = {x.doc_id: (x.text, x.n_equal, x.n_similar) for x in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    held_against(got, docs)
+    assert met[0].count() < 40 * 39 // 2 // 10
