@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,22 +22,37 @@ def only(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return df.withColumn("_b", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "_b", "left_semi").drop("_b")
 
 
-def meet(keyed: DataFrame, condition: Column, other: DataFrame | None = None, used: list[DataFrame] | None = None) -> DataFrame:
-    """Rows of keyed(key, h1, ...), as a, with rows of other, or of itself, as b, of equal key and what the condition says. Keys of many rows,
-    of which a look at one row in LOOKED_AT tells, are dealt out: a row in its own block meets each block of the other side. What was written for this, and can go once the result has been, is added to used."""
+def meet(keyed: DataFrame, condition: Column, other: DataFrame | None = None, used: list[DataFrame] | None = None, settle: Callable | None = None) -> DataFrame:
+    """(p, q): h1 of rows of keyed(key, h1, ...), as a, and of rows of other, or of itself, as b, of equal key and what the condition says. Keys of many rows,
+    of which a look at one row in LOOKED_AT tells, are dealt out: a row in its own block meets each block of the other side; all others meet in one exchange, which
+    both sides of a join with itself share. settle(rows of such keys, with their number of blocks) -> (rows, condition) may leave out pairs of these. What was written for this, and can go once
+    the result has been, is added to used."""
     b = keyed if other is None else other
+    pair = (F.col("a.h1").alias("p"), F.col("b.h1").alias("q"))
     looked = keyed.filter(F.pmod("h1", F.lit(LOOKED_AT)) == 0).groupBy("key").count().filter(F.col("count") * LOOKED_AT > BLOCK)
     hot = written(looked.select("key", F.ceil(F.col("count") * LOOKED_AT / BLOCK).cast("int").alias("blocks")), "hot-keys")
     if used is not None:
         used.append(hot)
     n = hot.count()
     if not n:
-        return keyed.alias("a").join(b.alias("b"), (F.col("a.key") == F.col("b.key")) & condition)
+        return keyed.alias("a").join(b.alias("b"), (F.col("a.key") == F.col("b.key")) & condition).select(*pair)
     if n <= MOST_HOT:
         hot = F.broadcast(hot)
-    own = F.pmod(F.xxhash64("h1"), F.coalesce("blocks", F.lit(1))).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
-    left = keyed.join(hot, "key", "left").withColumns({"i": own, "j": every}).drop("blocks")
-    right = b.join(hot, "key", "left").withColumns({"j": own, "i": every}).drop("blocks")
+    cool = [x.join(hot.select("key"), "key", "left_anti") for x in (keyed, b)]
+    met = cool[0].alias("a").join(cool[1].alias("b"), (F.col("a.key") == F.col("b.key")) & condition).select(*pair)
+    left, right = (x.join(hot, "key") for x in (keyed, b))
+    if settle is not None:
+        left, condition = settle(left)
+        right = left
+    left = left.withColumns({"i": own_block(), "j": every_block()})
+    right = right.withColumns({"j": own_block(), "i": every_block()})
     same = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("key", "i", "j")])
-    return left.alias("a").join(right.alias("b"), same & condition)
+    return met.union(left.alias("a").join(right.alias("b"), same & condition).select(*pair))
+
+
+def own_block() -> Column:
+    return F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int")
+
+
+def every_block() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

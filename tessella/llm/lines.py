@@ -30,10 +30,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.keys import BUCKETS, meet, only
+from tessella.llm.keys import BUCKETS, every_block, meet, only, own_block
 from tessella.llm.scratch import discard, written
 
 #: (least length of the shorter line, edits): lines below the first length are compared for equality only. None, which only the
@@ -50,9 +50,12 @@ WORDS = (13, 20)
 CUT = r" (?<=[st.,;:!?] )"
 #: Chunks that one edit of a word can break, and words of a run that lines without enough chunks share.
 BROKEN, RUN = 2, 6
-#: (least words of a line, runs of a window): lines of 13 words within the tolerance share 6 words in a row, lines of 20 share 9, from
-#: 40 on 13; so they share RUN + window - 1.
-RUN_WINDOWS = ((20, 4), (40, 8))
+#: Runs of a window: lines of 40 words or more within the tolerance share 13 words in a row, RUN + WINDOW - 1.
+WINDOW = 8
+#: (least words of the shorter line, words of a half): where one edit is allowed, two lines share their first or their last words of that number, which is half of the shorter line's at most.
+HALVES = ((13, 6), (17, 8), (24, 12))
+#: Earliest lines of a key of many lines that all its lines meet first; a line meets the others only as far as they may be earlier than what it has found.
+PIVOTS = 32
 _RANKS = 1023
 #: Lines shorter than this are not taken for duplicates unless min_chars says so, as the query and the pipeline do with 1.
 MIN_CHARS = 20
@@ -176,7 +179,7 @@ def banded_distance(a: Column, b: Column, most: int, words: bool = False) -> Col
     long_enough = (size(a) > most) & (F.abs(size(a) - size(b)) <= most)
     short = F.lit(None).cast("int") if words else F.when(F.length(a) <= most, F.levenshtein(a, b))
     d = F.when(long_enough, let(F.struct(parts(a).alias("x"), parts(b).alias("y")), run)).otherwise(short)
-    return F.when(d <= most, d)
+    return let(d, lambda d: F.when(d <= most, d))
 
 
 def word_distance(a: Column, b: Column, most: Column) -> Column:
@@ -191,8 +194,8 @@ def word_distance(a: Column, b: Column, most: Column) -> Column:
 
 def _codes(line: Column) -> Column:
     """A text whose characters stand for the words of a line, by their hashes; different words may share one."""
-    code = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0x7000)) + 0x3000), 4, "0")  # noqa: E731  none of them a surrogate
-    return F.decode(F.unhex(F.array_join(F.transform(F.split(line, " "), code), "")), "UTF-16BE")
+    code = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xF0000)) + 0x10000), 8, "0")  # noqa: E731  past the surrogates
+    return F.decode(F.unhex(F.array_join(F.transform(F.split(line, " "), code), "")), "UTF-32")
 
 
 def _coded_distance(p: str, q: str, most: Column) -> Column:
@@ -221,15 +224,31 @@ def _n_words(line: Column) -> Column:
     return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
+def _half_keys(line: Column, n: Column) -> Column:
+    """The keys of a line of n words for pairs of one edit: its first and its last words, for its own length class and that of a line a word shorter."""
+
+    def halves(m: Column) -> Column:
+        h = reduce(lambda rule, c: F.when(m >= c[0], c[1]).otherwise(rule), HALVES, F.lit(None).cast("int"))
+        return F.array(F.xxhash64(F.lit(-3), h, F.call_function("substring_index", line, F.lit(" "), h)), F.xxhash64(F.lit(-4), h, F.call_function("substring_index", line, F.lit(" "), -h)))
+
+    two = lambda m: (m >= WORDS[0]) & (m < 2 * WORDS[1])
+    begins = n.isin(*(least for least, _ in HALVES[1:]))  # with other halves than a line a word shorter has
+    return F.when(two(n) & ~begins, halves(n)).when(two(n), F.concat(halves(n), halves(n - 1))).otherwise(halves(n - 1))
+
+
+def _word_keys(line: Column, n: Column) -> Column:
+    many = 2 * WORDS[1]  # words from which more than one edit is allowed
+    return F.when(n < many, _half_keys(line, n)).when(n == many, F.concat(_half_keys(line, n), _chunk_keys(line, n))).otherwise(_chunk_keys(line, n))
+
+
 def _chunk_keys(line: Column, n: Column) -> Column:
-    """The keys of a line of n words: of its different chunks the first, in the order of their lengths, the longest first, as these
+    """The keys of a line of n words for pairs of two edits or more: of its different chunks the first, in the order of their lengths, the longest first, as these
     are in few lines; all, and least hashes of its runs of words, if they are few."""
     enough = _word_edits(n) * BROKEN + 1
     rank = lambda c: (_RANKS - F.least(F.octet_length(c), F.lit(_RANKS))).cast("long")
     ranked = F.transform(F.split(line, CUT), lambda c: F.shiftleft(rank(c), 53).bitwiseOR(F.shiftrightunsigned(F.xxhash64(c), 11)))
     hashes = lambda words: F.transform(F.sequence(F.lit(1), F.size(words) - (RUN - 1)), lambda i: F.xxhash64(F.lit(-2), F.slice(words, i, RUN)))
-    window = reduce(lambda rule, w: F.when(n >= w[0], w[1]).otherwise(rule), RUN_WINDOWS, F.lit(1))
-    least = lambda found: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(found) - (window - 1)), lambda i: F.array_min(F.slice(found, i, window))))
+    least = lambda found: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(found) - (WINDOW - 1)), lambda i: F.array_min(F.slice(found, i, WINDOW))))
     chosen = lambda keys: F.when(F.size(keys) >= enough, F.slice(keys, F.lit(1), enough)).otherwise(F.concat(keys, let(let(F.split(line, " "), hashes), least)))
     return let(F.sort_array(F.array_distinct(ranked)), chosen)
 
@@ -241,14 +260,33 @@ def _parities(line: Column) -> Column:
     return let(F.transform(F.split(line, " "), lambda w: F.hash(w)), lambda hashes: F.struct(half(hashes, lambda h: h >= 0).alias("low"), half(hashes, lambda h: h < 0).alias("high")))
 
 
-def _met(leaders: DataFrame, tolerance: tuple[tuple[int, int | None], ...], used: list[DataFrame]) -> DataFrame:
-    """(p, q): hashes h1 of lines that share a key and may be within the tolerance. Tables that this reads are added to used."""
+def _met(leaders: DataFrame, tolerance: tuple[tuple[int, int | None], ...], used: list[DataFrame], alike: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+    """(p, q): hashes h1 of lines that share a key and may be within the tolerance; and what alike() has found of pairs that are left out for that, if any. Tables that these read are added to used."""
+    found: list[DataFrame] = []
     distance = _count_distance(F.col("a.c"), F.col("b.c"))
-    by_word = leaders.filter("keys is not null").select("h1", "words", "low", "high", F.explode("keys").alias("key"))
+    by_word = leaders.filter("keys is not null").select("h1", "at", "words", "low", "high", F.explode("keys").alias("key"))
     flipped = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in ("low", "high")])
     longer = F.abs(F.col("a.words") - F.col("b.words"))  # so many edits flip one bit only
     close = longer + F.greatest(flipped, longer) <= 2 * _word_edits(F.least("a.words", "b.words"))
-    pairs = [meet(by_word, (F.col("a.h1") < F.col("b.h1")) & close, used=used)]
+
+    def settle(rows: DataFrame) -> tuple[DataFrame, Column]:
+        """The rows, with the document in which the earliest line found for a line stands (before that, its own), when all lines have met the earliest of their keys; and which pairs are left."""
+        rows = written(rows, "hot-rows")
+        order = Window.partitionBy("key").orderBy("at", "h1")
+        pivots = written(rows.withColumn("no", F.row_number().over(order)).filter(F.col("no") <= PIVOTS), "pivots")
+        first = pivots.withColumn("i", every_block()).alias("a").join(rows.withColumn("i", own_block()).alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.at") < F.col("b.at")) & close)
+        star = written(first.select(F.col("a.h1").alias("p"), F.col("b.h1").alias("q")).distinct(), "pivot-pairs")
+        found.append(alike(star))
+        bound = found[0].groupBy("h1").agg(F.min("first")["d"].alias("bound"))
+        leads = pivots.select("key", "h1", F.lit(True).alias("lead"))
+        known = rows.join(bound, "h1", "left").join(leads, ["key", "h1"], "left")
+        known = written(known.select("key", "h1", "words", "low", "high", "blocks", F.col("at.d").alias("d"), F.coalesce("bound", "at.d").alias("bound"), F.coalesce("lead", F.lit(False)).alias("lead")), "hot-bounds")
+        discard(rows, pivots, star)
+        used.append(known)
+        useful = lambda x, y: (F.col(f"{x}.d") <= F.col(f"{y}.bound")) & ~(F.col(f"{x}.lead") & (F.col(f"{x}.d") < F.col(f"{y}.d")))  # noqa: E731  x is earlier, and y has not met it
+        return known, (F.col("a.h1") < F.col("b.h1")) & close & (useful("a", "b") | useful("b", "a"))
+
+    pairs = [meet(by_word, (F.col("a.h1") < F.col("b.h1")) & close, used=used, settle=settle)]
     short = leaders.filter(F.col("line").isNotNull() & (F.col("chars") >= min(t[0] for t in tolerance))).withColumns({"n": F.col("chars"), "few": F.col("keys").isNull()})
     near = (F.col("a.few") | F.col("b.few")) & (distance <= 2 * _edits(F.col("a.n"), tolerance))  # a is the shorter
     once = (F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.h1") < F.col("b.h1"))
@@ -257,23 +295,33 @@ def _met(leaders: DataFrame, tolerance: tuple[tuple[int, int | None], ...], used
     if tolerance[-1][1] is None:
         grams = short.filter(F.col("n") >= tolerance[-1][0]).select("h1", "c", "n", "few", F.explode(_gram_keys(F.col("line"), F.col("n"))).alias("key"))
         pairs.append(meet(grams, once & (F.col("b.n") - F.col("a.n") <= _edits(F.col("a.n"), tolerance)) & near, used=used))
-    found = reduce(DataFrame.union, [x.select(F.col("a.h1").alias("p"), F.col("b.h1").alias("q")) for x in pairs])
-    return found.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
+    met = reduce(DataFrame.union, pairs)
+    return met.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct(), found[0] if found else None
 
 
 def similar_lines(leaders: DataFrame, lines: DataFrame, tolerance: tuple[tuple[int, int | None], ...] = TOLERANCE) -> DataFrame:
     """leaders(h1, h2, at struct<d, t, no>, words, chars, keys, low, high, c, line): the distinct lines, with keys and words' parities if they are compared by words and letters' counts and
     text if they are compared by characters; lines(h1, at, line): all -> (h1, h2, first): lines with an earlier line (a smaller `at`)
     within the tolerance of the shorter one, and where the earliest such line stands."""
-    hot: list[DataFrame] = []
-    pairs = written(_met(leaders, tolerance, hot), "line-pairs")
-    discard(*hot)
+    used: list[DataFrame] = []
+    met, settled = _met(leaders, tolerance, used, lambda pairs: written(_alike(pairs, leaders, lines, tolerance, used), "settled-lines"))
+    pairs = written(met, "line-pairs")
+    found = _alike(pairs, leaders, lines, tolerance, used)
+    found = found if settled is None else found.union(settled)
+    similar = written(found.groupBy("h1", "h2").agg(F.min("first").alias("first")), "similar-lines")
+    discard(pairs, *used, *([] if settled is None else [settled]))
+    return similar
+
+
+def _alike(pairs: DataFrame, leaders: DataFrame, lines: DataFrame, tolerance: tuple[tuple[int, int | None], ...], used: list[DataFrame]) -> DataFrame:
+    """(h1, h2, first) of the later line of each of pairs(p, q) that is within the tolerance, and where the earlier one stands. Tables that this reads are added to used."""
     wanted = pairs.select(F.explode(F.array("p", "q")).alias("h1")).distinct()
     places = leaders.join(wanted, "h1", "left_semi").select("h1", "h2", "at", "chars", "words")
-    place = F.xxhash64("h1", "at").alias("place")
+    place = F.xxhash64("at").alias("place")
     places = written(places.withColumn("place", place), "wanted-places")
     texts = only(lines.select(place, F.col("line")), "place", places).join(places, "place")
     texts = written(texts.withColumn("codes", F.when(F.col("words") >= WORDS[0], _codes(F.col("line")))), "wanted-lines")
+    used += [places, texts]
     side = lambda new: texts.select(F.col("h1").alias(new), *(F.col(c).alias(f"{new}_{c}") for c in ("h2", "at", "line", "chars", "words", "codes")))
     words = F.least("p_words", "q_words")
     both = pairs.join(side("p"), "p").join(side("q"), "q").withColumn("_by_word", words >= WORDS[0])
@@ -284,10 +332,7 @@ def similar_lines(leaders: DataFrame, lines: DataFrame, tolerance: tuple[tuple[i
     distance = F.when(F.col("_by_word"), _coded_distance("p", "q", F.col("_k"))).otherwise(by_character)
     alike = both.withColumn("_k", allowed).withColumn("_d", distance).filter(F.col("_d") <= F.col("_k"))
     later = F.col("p_at") > F.col("q_at")
-    found = alike.select(F.when(later, F.col("p")).otherwise(F.col("q")).alias("h1"), F.when(later, F.col("p_h2")).otherwise(F.col("q_h2")).alias("h2"), F.least("p_at", "q_at").alias("first"))
-    similar = written(found.groupBy("h1", "h2").agg(F.min("first").alias("first")), "similar-lines")
-    discard(pairs, places, texts)
-    return similar
+    return alike.select(F.when(later, F.col("p")).otherwise(F.col("q")).alias("h1"), F.when(later, F.col("p_h2")).otherwise(F.col("q_h2")).alias("h2"), F.least("p_at", "q_at").alias("first"))
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", tolerance: tuple[tuple[int, int | None], ...] = TOLERANCE, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -310,7 +355,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     by_word = F.col("words") >= WORDS[0]
     may_be_fewer = F.col("words") - (WORDS[0] - 1) <= _edits(F.length("line"), tolerance)  # each edit can join two words
     with_keys = keyed.select("d", "t", F.inline(counted)).select(
-        F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct("d", "t", "no").alias("at"), "words", F.when(by_word, _chunk_keys(F.col("line"), F.col("words"))).alias("keys"), F.when(by_word, _parities(F.col("line"))).alias("k"), F.when(~by_word | may_be_fewer, F.col("line")).alias("line")
+        F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct("d", "t", "no").alias("at"), "words", F.when(by_word, _word_keys(F.col("line"), F.col("words"))).alias("keys"), F.when(by_word, _parities(F.col("line"))).alias("k"), F.when(~by_word | may_be_fewer, F.col("line")).alias("line")
     )
     firsts = with_keys.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("words", "keys", "k", "line")))
     leaders = firsts.select("h1", "h2", "times", "at", "words", F.length("line").alias("chars"), "keys", "k.low", "k.high", _counts(F.col("line")).alias("c"), "line")

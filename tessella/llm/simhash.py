@@ -240,7 +240,7 @@ def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     sizes = (F.col("a.n") >= similarity * F.col("b.n")) & (F.col("b.n") >= similarity * F.col("a.n"))
     bits = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= FAR
     hot: list[DataFrame] = []
-    met = meet(keyed, (F.col("a.h1") < F.col("b.h1")) & (F.col("a.root") != F.col("b.root")) & sizes & bits, used=hot).select(F.col("a.h1").alias("p"), F.col("b.h1").alias("q"))
+    met = meet(keyed, (F.col("a.h1") < F.col("b.h1")) & (F.col("a.root") != F.col("b.root")) & sizes & bits, used=hot)
     alike, read = _verified(met, classes, docs, width, similarity)
     member = components(first.union(alike)).withColumnRenamed("node", "same")  # has read them when it returns
     discard(*hot, *read)

@@ -433,3 +433,29 @@ def test_lines_beyond_the_tolerance_do_not_meet(spark, monkeypatch):
     got = {x.doc_id: (x.text, x.n_equal, x.n_similar) for x in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     held_against(got, docs)
     assert met[0].count() < 40 * 39 // 2 // 10
+
+
+def test_a_group_of_near_copies_does_not_meet_one_and_all(spark, monkeypatch):
+    """Copies of a line of 50 words with one word replaced, all within the tolerance of each other, in keys that are dealt out: each meets the earliest, not all others."""
+    for name, value in (("BLOCK", 4), ("LOOKED_AT", 1)):
+        monkeypatch.setattr(keys, name, value)
+    monkeypatch.setattr(lines, "PIVOTS", 2)
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 7)))
+    base, texts, met = [word() for _ in range(50)], [], {}
+    for _ in range(60):
+        words = list(base)
+        words[r.randrange(50)] = word()
+        texts.append(" ".join(words))
+    own = lines.written
+
+    def counted(df, name):
+        table = own(df, name)
+        met[name] = met.get(name, 0) + table.count()
+        return table
+
+    monkeypatch.setattr(lines, "written", counted)
+    docs = list(enumerate(texts))
+    got = {x.doc_id: (x.text, x.n_equal, x.n_similar) for x in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert held_against(got, docs) > 50
+    assert met.get("pivot-pairs", 0) + met["line-pairs"] < 60 * 59 // 2 // 3
