@@ -10,7 +10,7 @@ of them down to bytes, and then stands in a table of arcs.
 A path of arcs that spells a word is its BPE encoding and there is only one. Arcs carry many bytes, so a second table, compiled
 beforehand from the arcs' labels, takes one step for each byte: its nodes are the labels' beginnings, and each knows the longest label
 that ends there. Encoding takes that step, then the longest such label that the state at its start has as an arc; the last arc of
-each beginning of the word is kept, by position in long words, so that time and memory follow the length. Decoding emits arc labels.
+each beginning of the word is kept by position, so that time and memory follow the length. Decoding emits arc labels.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from tessella.llm.chunks import REMEMBERED, Memory, head_and_words, per_worker
 
 #: Words as the byte-level pre-tokenizer cuts them (a fixed value of this family of tokenizers).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Arcs between tokens, and beginnings of words of SHORT bytes or fewer, that a worker remembers before it starts anew.
-TABLE, SHORT = 500_000, 40
+#: Arcs between tokens that a worker remembers before it starts anew.
+TABLE = 500_000
 _EVER = 1 << 60
 
 
@@ -53,7 +53,7 @@ class MergeAutomaton:
         for k, (u, v) in enumerate(merges):
             self._gadget(k, u, v)
         self.table: dict[int, bool] = {}
-        self.after: dict[bytes, tuple[int, int]] = {}
+        self.sizes = [len(t) for t in self.label]
         self.ids = [vocab.get(t, -1) for t in self.label]
         self._compile()
 
@@ -120,46 +120,16 @@ class MergeAutomaton:
         return known
 
     def path(self, word: bytes) -> list[int]:
-        """The arcs that spell word. Words share beginnings, so those of short ones are kept: the last arc of their paths, and their nodes."""
-        if len(word) > SHORT:
-            return self._long_path(word)
-        after, step, fall, longest, shorter, label, table = self.after, self.step, self.fall, self.longest, self.shorter, self.label, self.table
-        if len(after) >= TABLE:
-            after.clear()
-        n = known = len(word)
-        while known and word[:known] not in after:
-            known -= 1
-        node = after[word[:known]][1] if known else 0
-        for end in range(known + 1, n + 1):
-            byte = word[end - 1]
-            while (new := step.get(node << 8 | byte)) is None:
-                node = fall[node]
-            node = new
-            arc = longest[node]
-            while start := end - len(label[arc]):
-                state = after[word[:start]][0]
-                allowed = table.get(state << 32 | arc)
-                if allowed or allowed is None and self.follows(state, arc):
-                    break
-                arc = shorter[arc]
-            after[word[:end]] = arc, node
-        out = []
-        while n:
-            out.append(arc := after[word[:n]][0])
-            n -= len(label[arc])
-        return out[::-1]
-
-    def _long_path(self, word: bytes) -> list[int]:
-        """As path(), with the last arcs in a list by position: time and memory follow the length."""
-        step, fall, longest, shorter, label, table = self.step, self.fall, self.longest, self.shorter, self.label, self.table
+        """The arcs that spell word. The last arc of the path to each place stands in a list, so time and memory follow the length."""
+        step, fall, longest, shorter, sizes, table = self.step.get, self.fall, self.longest, self.shorter, self.sizes, self.table.get
         last, node = [-1], 0
         for end, byte in enumerate(word, 1):
-            while (new := step.get(node << 8 | byte)) is None:
+            while (new := step(node << 8 | byte)) is None:
                 node = fall[node]
             node = new
             arc = longest[node]
-            while start := end - len(label[arc]):
-                allowed = table.get(last[start] << 32 | arc)
+            while start := end - sizes[arc]:
+                allowed = table(last[start] << 32 | arc)
                 if allowed or allowed is None and self.follows(last[start], arc):
                     break
                 arc = shorter[arc]
@@ -167,7 +137,7 @@ class MergeAutomaton:
         out, end = [], len(word)
         while end:
             out.append(arc := last[end])
-            end -= len(label[arc])
+            end -= sizes[arc]
         return out[::-1]
 
     def encode(self, word: bytes) -> list[int]:

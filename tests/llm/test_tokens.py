@@ -147,3 +147,13 @@ def test_memories_are_bounded_by_bytes_on_texts_without_spaces():
     for memory in (count.lengths, own.heads, own.words, own.tails, words.chunks, words.pieces):
         assert memory.held <= 20_000 and all(len(c) <= chunks.KEPT for c in memory)
         assert sum(map(chunks.weight, memory)) <= memory.held
+
+
+def test_a_word_leaves_no_beginnings_behind():
+    """Encoding a word keeps arcs between tokens only, and its path spells it."""
+    from tessella.llm import bpe
+
+    made = bpe.MergeAutomaton({b"a": 0, b"b": 1, b"ab": 2, b"abab": 3}, [(b"a", b"b"), (b"ab", b"ab")])
+    sizes = lambda: {k: len(v) for k, v in vars(made).items() if isinstance(v, dict) and k != "table"}
+    before = sizes()
+    assert made.encode(b"ababab") == [3, 2] and made.encode(b"ba") == [1, 0] and sizes() == before
