@@ -97,7 +97,8 @@ def _forest(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
 
 def links(points: DataFrame, most: int = 3, block: int = BLOCK) -> DataFrame:
     """points(fp), distinct -> (u, v): pairs of fingerprints at `most` (3 at the most) or fewer bits that connect whatever all such
-    pairs connect."""
+    pairs connect. Spark sizes cells as the points that they are exploded from, a thirtieth of what they are, and would broadcast them: so they are merged, and
+    of cells and hot ones the hot are broadcast, at most a sixtieth of the points."""
     if most > 3:
         raise ValueError("the two halves' grids find pairs of up to 3 differing bits")
     cells = _cells(points)
@@ -106,11 +107,11 @@ def links(points: DataFrame, most: int = 3, block: int = BLOCK) -> DataFrame:
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= most
     pair = (F.col("a.cell") == F.col("b.cell")) & near & (~F.col("b.home") | (F.col("a.fp") < F.col("b.fp")))
     cool = cells.join(hot, "cell", "left_anti")
-    plain = cool.filter("home").alias("a").join(cool.alias("b"), pair).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    plain = cool.filter("home").alias("a").join(cool.alias("b").hint("merge"), pair).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
     # Homes are dealt out in rows of blocks, members in columns: a block of the product has about `block` of each.
     rows, columns = (F.ceil(F.col(c) / block).cast("int") for c in ("homes", "members"))
-    dealt = cells.join(hot, "cell")
+    dealt = cells.join(F.broadcast(hot), "cell")
     own = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     lefts = dealt.filter("home").select("cell", "fp", F.lit(True).alias("left"), own(rows).alias("i"), every(columns).alias("j"))

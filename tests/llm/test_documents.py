@@ -166,6 +166,17 @@ def test_simhash(documents, odd, empty):
     assert simhash.keep_first(odd).columns == odd.columns
 
 
+def test_links_do_not_broadcast_cells(spark):
+    """The cells of points that are small enough to be broadcast are not: they are some thirty times as many."""
+    points = spark.range(1000).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(points)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for k, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            below = [x for x in plan[k + 1 : k + 1 + next((i for i, x in enumerate(plan[k + 1 :]) if depth(x) <= depth(line)), len(plan))]]
+            assert any("HashAggregate" in x for x in below), "only hot cells, which are counted, are broadcast"
+
+
 @pytest.mark.parametrize(("block", "visited"), [(4, 16), (256, 16), (8, 1), (30, 1)])
 def test_links_connect_as_all_pairs_do(spark, block, visited, monkeypatch):
     """Chains and balls around common centres; small blocks deal cells out, those of few homes and many visitors too."""
