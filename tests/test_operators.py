@@ -212,3 +212,23 @@ def test_a_large_grid_is_dealt_out_on_both_sides_of_its_join(spark, monkeypatch)
     plan = large._jdf.queryExecution().executedPlan().toString()
     cells = [x for x in plan.splitlines() if "hashpartitioning(security_id" in x and "datetime" in x]
     assert len(cells) >= 3 and all("REPARTITION_BY_NUM" in x for x in cells)
+
+
+def test_large_ranks_shuffle_a_slice_of_bars_at_a_time(spark, monkeypatch):
+    """Bars are ranked slice by slice into a table, in passes over entities, with the ranks of whole bars; what is only ranked along is not kept, and nothing but the result stays."""
+    from tessella.llm import scratch
+
+    rows = [(b, i, None if i % 7 == 0 else ((i * 37 + b) % 101 - 50) / 7, float(i % 5) if i % 3 else None, f"n{i}") for b in range(9) for i in range(120)]
+    df = spark.createDataFrame(rows, "bar_idx long, security_id long, x double, y double, name string")
+    given = {"a": (cs.pct_rank_centred, F.col("x")), "b": (cs.rank, F.col("y") * 2), "c": (cs.average_rank, F.col("x") - F.col("y"))}
+    whole = df.withColumns({n: how(x) for n, (how, x) in given.items()})
+    for module, name, value in ((cs, "SMALL", 0), (cs, "SLICE", 300), (cs, "RANGE", 16), (cs, "TASK", 100), (scratch, "PASS", 400)):
+        monkeypatch.setattr(module, name, value)
+    for only in (None, F.col("y").isNotNull()):
+        used: list = []
+        got = cs.with_ranks(df, given, only=only, used=used)
+        want = whole if only is None else whole.filter(only)
+        assert got.columns == want.columns and len(used) == 1
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Join" not in plan  # the slices are ranked, so their exchanges are gone
