@@ -218,8 +218,8 @@ def test_large_ranks_shuffle_a_slice_of_bars_at_a_time(spark, monkeypatch):
     """Bars are ranked slice by slice into a table, in passes over entities, with the ranks of whole bars; what is only ranked along is not kept, and nothing but the result stays."""
     from tessella.llm import scratch
 
-    rows = [(b, i, None if i % 7 == 0 else ((i * 37 + b) % 101 - 50) / 7, float(i % 5) if i % 3 else None, f"n{i}") for b in range(9) for i in range(120)]
-    df = spark.createDataFrame(rows, "bar_idx long, security_id long, x double, y double, name string")
+    rows = [(b, i, None if i % 7 == 0 else ((i * 37 + b) % 101 - 50) / 7 + i / 1e6, float(i % 5) if i % 3 else None, f"n{i}") for b in range(9) for i in range(120)]
+    df = spark.createDataFrame(rows, "bar_idx long, security_id long, x double, y double, name string").withColumns({n: F.col("x") for n in ("size", "total", "s", "part", "first", "below")})
     given = {"a": (cs.pct_rank_centred, F.col("x")), "b": (cs.rank, F.col("y") * 2), "c": (cs.average_rank, F.col("x") - F.col("y"))}
     whole = df.withColumns({n: how(x) for n, (how, x) in given.items()})
     for module, name, value in ((cs, "SMALL", 0), (cs, "SLICE", 300), (cs, "RANGE", 16), (cs, "TASK", 100), (scratch, "PASS", 400)):
